@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.intervals import interval_join
 from ..functions.media_time import finite, micros
 from ..functions.text import first_reason, text_ok, trim_space
+from ..session import materialize
 from .cues import edge_neighbours, snap_to_cues
 
 EXCERPT_CHARS = 1000
@@ -222,7 +223,7 @@ def resolve_overlaps(snapped: DataFrame, cues: DataFrame) -> DataFrame:
         head = F.slice(items, F.lit(1), F.greatest(F.size(items) - 1, F.lit(0)))
         overlap = F.least(prev["end_s"], x["end_s"]) - x["start_s"]
         shorter = F.least(prev["end_s"] - prev["start_s"], x["end_s"] - x["start_s"])
-        meets = F.coalesce(overlap > 0, F.lit(False))
+        meets = prev.isNotNull() & (overlap > 0)
         free_start = F.when(prev["next_cue"] < x["end_s"], prev["next_cue"])
         absorb = meets & ((overlap >= shorter * 0.5) | free_start.isNull())
         shift = meets & ~absorb
@@ -419,11 +420,16 @@ def merge_short(spans: DataFrame, cues: DataFrame) -> DataFrame:
 
 
 def refine_timeline(items: DataFrame, cues: DataFrame, profile: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All phases -> ``(candidates, report)``; a project with a ``reason`` in the report has no candidates."""
+    """All phases -> ``(candidates, report)``; a project with a ``reason`` in the report has no candidates.
+
+    Results of a phase that several later steps read (a few rows per project) are stored, so that no phase is
+    planned or run twice.  ``cues`` and ``items`` should be stored tables too.
+    """
     snapped, gate = snap_items(items, cues)
-    resolved = resolve_overlaps(snapped, cues)
+    snapped = materialize(snapped, "snapped")
+    resolved = materialize(resolve_overlaps(snapped, cues), "resolved")
     spans = extend_short(resolved.where(~F.col("bad")), cues, profile)
-    final = merge_short(spans, cues)
+    final = materialize(merge_short(spans, cues), "refined")
     over = F.size(F.filter("items", lambda x: x["end_s"] - x["start_s"] > F.col("max_s") + 1e-6))
     counted = final.select(
         "project_id", "items", "extended", "over_hard_max", "dropped",

@@ -73,7 +73,7 @@ def raw_replies(spark, d):
             )
         )
     )
-    k = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(8))
+    k = (F.col("conv_id") * 3 + F.col("turn")) % 8
     raw = (
         F.when(k == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
         .when(k == 1, F.concat(body, F.lit(" trailing")))
@@ -946,7 +946,7 @@ def _visual_replies(spark, d):
             F.when(F.col("event_type") == "view", F.lit(" ")).otherwise(F.col("event_type")).alias("label"),
             F.col("s").alias("start_s"), (F.col("s") + F.col("len")).alias("end_s"), F.col("props").alias("evidence"),
             F.when(F.col("event_type") == "view", F.lit("")).when(n % 113 == 0, F.lit("party")).otherwise(F.lit("gameplay")).alias("kind"),
-            F.when(F.col("event_type") != "error", F.least(F.col("value"), F.lit(100.0 ) + F.col("value") % 2 * 0.01)).alias("score"),
+            F.when(F.col("event_type") != "error", F.when(F.col("value") > 300, F.lit(100.5)).otherwise(F.least(F.col("value"), F.lit(100.0)))).alias("score"),
             F.lit("").alias("selection_reason"),
             F.array(F.col("s") + 0.02, F.col("s") + F.col("len")).alias("frame_times"),
         ).alias("e"),
@@ -954,7 +954,7 @@ def _visual_replies(spark, d):
     return (
         e.groupBy(F.floor(n / 10).alias("reply_id"))
         .agg(
-            F.array_sort(F.collect_list(event)).alias("xs"), F.array_sort(F.collect_list("s")).alias("frames"),
+            F.array_sort(F.collect_list(event)).alias("xs"), F.array_sort(F.concat(F.collect_list("s"), F.collect_list(F.col("s") + F.col("len")))).alias("frames"),
             F.min("s").alias("win_start"), F.max(F.col("s") + F.col("len")).alias("win_end"),
         )
         .select("reply_id", F.col("xs.e").alias("events"), "frames", "win_start", "win_end", F.lit(9.0).alias("max_s"))
