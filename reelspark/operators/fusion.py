@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.intervals import interval_join
 from ..functions.scores import two_decimals
 from ..functions.text import not_blank
+from ..session import materialize
 
 MAX_FUSED = 6
 MATCH_GAP = 2.0
@@ -38,7 +39,8 @@ def fuse_evidence(
     pairs = interval_join(v_keys, t_keys, ["project_id"], ("v0", "v1"), ("t0", "t1"), pad=gap).where(
         (F.col("v0") <= F.col("t1") + gap) & (F.col("t0") <= F.col("v1") + gap)
     )
-    homes = pairs.groupBy("project_id", "v_ord").agg(F.min("t_ord").alias("home"))
+    # narrow keys, read by several later steps: stored once
+    homes = materialize(pairs.groupBy("project_id", "v_ord").agg(F.min("t_ord").alias("home")), "homes")
 
     payload = F.struct("label", "start_s", "end_s", "evidence", "score", "kind")
     t = text.select("project_id", F.col("ord").alias("ord"), payload.alias("t"))
@@ -50,14 +52,13 @@ def fuse_evidence(
         .agg(F.max_by("v", "v_ord").alias("v"))
     )
     no_text = F.lit(None).cast(t.schema["t"].dataType)
+    lone = placed.where(F.col("home").isNull()).select(
+        "project_id", F.lit(1).alias("part"), F.col("v_ord").alias("ord"), no_text.alias("t"), "v"
+    )
     groups = (
         t.join(winners, ["project_id", "ord"], "left")
         .select("project_id", F.lit(0).alias("part"), "ord", "t", "v")
-        .unionByName(
-            placed.where(F.col("home").isNull()).select(
-                "project_id", F.lit(1).alias("part"), F.col("v_ord").alias("ord"), no_text.alias("t"), "v"
-            )
-        )
+        .unionByName(lone)
     )
     joint = F.col("t").isNotNull() & F.col("v").isNotNull()
     score = (
@@ -70,7 +71,8 @@ def fuse_evidence(
     )
     marks = top.groupBy("project_id").agg(F.collect_list(F.struct("rank", "part", "ord")).alias("marks"))
     spread = marks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    keys = groups.select("project_id", "part", "ord", F.pmod(F.xxhash64("ord"), F.lit(salts)).cast("int").alias("salt"))
+    every = text.select("project_id", F.lit(0).alias("part"), "ord").unionByName(lone.select("project_id", "part", "ord"))
+    keys = every.select("project_id", "part", "ord", F.pmod(F.xxhash64("ord"), F.lit(salts)).cast("int").alias("salt"))
     reached = lambda i: F.count_if(
         F.struct("part", "ord") <= F.struct(F.try_element_at("marks", F.lit(i + 1))["part"].alias("part"),
                                             F.try_element_at("marks", F.lit(i + 1))["ord"].alias("ord"))

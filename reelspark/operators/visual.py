@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import interval_join, near_join
+from ..functions.let import let
 from ..functions.media_time import finite
 from ..functions.scores import rescale_score
 from ..functions.text import first_reason, not_blank, text_ok, valid_id
@@ -63,45 +64,52 @@ def snap_to_frames(citations: DataFrame, frames: DataFrame, tolerance: float = F
 def _check_event(e: Column, n: Column, ids: Column, frames: Column, lo: Column, hi: Column, longest: Column) -> Column:
     """One event of a reply -> canonical event plus its first failing rule."""
     start, end = F.greatest(lo, e["start_s"]), F.least(hi, e["end_s"])
-    score = F.when(e["score"].isNull(), F.lit(0.0)).otherwise(rescale_score(e["score"]))
     kind = F.when(not_blank(e["kind"]), e["kind"]).otherwise(F.lit("unknown"))
-    label = F.when(not_blank(e["label"]), e["label"]).otherwise(F.lit(DEFAULT_LABEL))
-    text = lambda c, limit: text_ok(F.coalesce(c, F.lit("")), limit, False)
-    t = trim_bounds(start, end, e["frame_times"], lo, hi, longest)
-    near = lambda c, pad: (c >= t["start_s"] - pad) & (c <= t["end_s"] + pad)
-    inside = F.filter(e["frame_times"], lambda c: finite(c) & near(c, FRAME_TOLERANCE))
-    nearest = F.transform(
-        inside,
-        lambda c: F.array_min(
-            F.transform(
-                F.filter(frames, lambda f: F.abs(f - c) <= FRAME_TOLERANCE),
-                lambda f: F.struct(F.abs(f - c).alias("d"), f.alias("f")),
-            )
-        )["f"],
-    )
-    cited = F.array_distinct(F.filter(nearest, lambda f: near(f, FRAME_TOLERANCE)))
-    n_cited = F.coalesce(F.size(e["frame_times"]), F.lit(0))
-    reason = first_reason(
-        (~valid_id(e["id"]) | (F.array_position(ids, e["id"]) <= n), "id"),
-        (~text(e["label"], 120), "label"),
-        (~text(e["evidence"], 1000), "evidence"),
-        (~text(e["selection_reason"], 500), "selection_reason"),
-        (score.isNull(), "score"),
-        (~kind.isin(*KINDS), "kind"),
-        (~finite(e["start_s"]) | ~finite(e["end_s"]), "time"),
-        ((e["start_s"] < lo - TIME_TOLERANCE) | (e["end_s"] > hi + TIME_TOLERANCE), "window"),
-        (e["end_s"] - e["start_s"] < 0.1 - TIME_TOLERANCE, "too_short"),
-        ((n_cited == 0) | (n_cited > F.size(frames)), "citation_count"),
-        (end - start < 0.1 - TIME_TOLERANCE, "too_short_clamped"),
-        (F.exists(nearest, lambda f: f.isNull()), "unknown_frame"),
-        (F.coalesce(F.size(cited), F.lit(0)) == 0, "no_supporting_frame"),
-    )
-    return F.struct(
-        e["id"].alias("id"), label.alias("label"), t["start_s"].alias("start_s"), t["end_s"].alias("end_s"),
-        F.coalesce(e["evidence"], F.lit("")).alias("evidence"), kind.alias("kind"), score.alias("score"),
-        F.coalesce(e["selection_reason"], F.lit("")).alias("selection_reason"), cited.alias("frame_times"),
-        reason.alias("reason"),
+    base = F.struct(
+        F.when(e["score"].isNull(), F.lit(0.0)).otherwise(rescale_score(e["score"])).alias("score"),
+        kind.alias("kind"),
+        F.when(not_blank(e["label"]), e["label"]).otherwise(F.lit(DEFAULT_LABEL)).alias("label"),
+        trim_bounds(start, end, e["frame_times"], lo, hi, longest).alias("t"),
     )
+    near = lambda c, t: (c >= t["start_s"] - FRAME_TOLERANCE) & (c <= t["end_s"] + FRAME_TOLERANCE)
+
+    def nearest(t: Column) -> Column:
+        inside = F.filter(e["frame_times"], lambda c: finite(c) & near(c, t))
+        gaps = lambda c: F.transform(
+            F.filter(frames, lambda f: F.abs(f - c) <= FRAME_TOLERANCE), lambda f: F.struct(F.abs(f - c).alias("d"), f.alias("f"))
+        )
+        return F.transform(inside, lambda c: F.array_min(gaps(c))["f"])
+
+    def with_frames(b: Column) -> Column:
+        found = F.struct(b.alias("b"), nearest(b["t"]).alias("near"))
+        return let(found, lambda x: judged(x["b"], x["near"], F.array_distinct(F.filter(x["near"], lambda f: near(f, x["b"]["t"])))))
+
+    def judged(b: Column, hits: Column, cited: Column) -> Column:
+        text = lambda c, limit: text_ok(F.coalesce(c, F.lit("")), limit, False)
+        n_cited = F.coalesce(F.size(e["frame_times"]), F.lit(0))
+        reason = first_reason(
+            (~valid_id(e["id"]) | (F.array_position(ids, e["id"]) <= n), "id"),
+            (~text(e["label"], 120), "label"),
+            (~text(e["evidence"], 1000), "evidence"),
+            (~text(e["selection_reason"], 500), "selection_reason"),
+            (b["score"].isNull(), "score"),
+            (~b["kind"].isin(*KINDS), "kind"),
+            (~finite(e["start_s"]) | ~finite(e["end_s"]), "time"),
+            ((e["start_s"] < lo - TIME_TOLERANCE) | (e["end_s"] > hi + TIME_TOLERANCE), "window"),
+            (e["end_s"] - e["start_s"] < 0.1 - TIME_TOLERANCE, "too_short"),
+            ((n_cited == 0) | (n_cited > F.size(frames)), "citation_count"),
+            (end - start < 0.1 - TIME_TOLERANCE, "too_short_clamped"),
+            (F.exists(hits, lambda f: f.isNull()), "unknown_frame"),
+            (F.coalesce(F.size(cited), F.lit(0)) == 0, "no_supporting_frame"),
+        )
+        return F.struct(
+            e["id"].alias("id"), b["label"].alias("label"), b["t"]["start_s"].alias("start_s"), b["t"]["end_s"].alias("end_s"),
+            F.coalesce(e["evidence"], F.lit("")).alias("evidence"), b["kind"].alias("kind"), b["score"].alias("score"),
+            F.coalesce(e["selection_reason"], F.lit("")).alias("selection_reason"), cited.alias("frame_times"),
+            reason.alias("reason"),
+        )
+
+    return let(base, with_frames)
 
 
 def validate_visual(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -110,9 +118,11 @@ def validate_visual(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``replies``: reply_id, events (array), frames (ascending array<double>), win_start, win_end, max_s.
     """
     checked = _checked_replies(replies)
+    accepted = F.when(F.col("reason").isNull(), F.col("es"))
+    # outer explode and a filter on its output, so that replies are not validated again for the filter
     events = (
-        checked.where(F.col("reason").isNull())
-        .select("reply_id", F.posexplode("es").alias("ord", "e"))
+        checked.select("reply_id", F.posexplode_outer(accepted).alias("ord", "e"))
+        .where(F.col("ord").isNotNull())
         .select("reply_id", "ord", "e.*")
         .drop("reason")
     )

@@ -13,7 +13,7 @@ from ..functions.media_time import srt_clock
 from ..functions.text import not_blank
 from ..operators.cues import normalize_cues
 from ..operators.selection import duration_profile
-from ..session import materialize
+from ..session import materialize, spread
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -83,7 +83,7 @@ def srt_docs(spark: SparkSession, d: str) -> DataFrame:
 
     doc = F.array_join(F.transform(lines, block), "\n")
     doc = F.when(k == 5, F.regexp_replace(doc, "\n", "\r\n")).when(k == 6, F.concat(F.lit("﻿\n\n"), doc)).otherwise(doc)
-    return table(spark, d, "documents").select("doc_id", doc.alias("content"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", doc.alias("content"))
 
 
 def visual_candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -104,6 +104,11 @@ def _event_ms() -> Column:
     return F.timestamp_diff("MILLISECOND", base, F.col("ts").cast("timestamp_ntz"))
 
 
+def stored_text(spark: SparkSession, d: str) -> DataFrame:
+    """Text candidates as the stored table that a later stage starts from."""
+    return materialize(text_candidates(cues(spark, d)), "text")
+
+
 def text_candidates(normal: DataFrame) -> DataFrame:
     """Four consecutive cues as one text candidate."""
     part = F.floor(F.col("cue_idx") / 4).cast("long") + 1
@@ -144,7 +149,7 @@ def drafts(spark: SparkSession, d: str) -> DataFrame:
         )
 
     k = F.col("doc_id") % 4
-    return table(spark, d, "documents").select(
+    return spread(table(spark, d, "documents")).select(
         F.col("doc_id").alias("project_id"),
         F.concat(F.lit("draft-"), F.col("doc_id")).alias("draft_id"),
         F.concat_ws(" ", "source", F.col("doc_id").cast("string")).alias("title"),

@@ -407,7 +407,7 @@ def draft_validate(spark, d):
 
 @query
 def promo_input(spark, d):
-    groups = A.text_candidates(A.cues(spark, d)).withColumn(
+    groups = A.stored_text(spark, d).withColumn(
         "kind", F.when(F.col("ord") % 3 == 0, F.lit("menu")).otherwise(F.lit("content"))
     )
     kept, rejects = SE.promo_inputs(groups)
@@ -530,7 +530,7 @@ def review_frames(spark, d):
 
 @query
 def evidence_fusion(spark, d):
-    return FU.fuse_evidence(A.text_candidates(A.cues(spark, d)), A.visual_candidates(spark, d))
+    return FU.fuse_evidence(A.stored_text(spark, d), A.visual_candidates(spark, d))
 
 
 def _first_scenes(spark, d):
@@ -547,7 +547,7 @@ def fused_drafts(spark, d):
 
 @query
 def fused_highlight_drafts(spark, d):
-    fused = fused_highlights(A.text_candidates(A.stored_cues(spark, d)), A.visual_candidates(spark, d), _first_scenes(spark, d))
+    fused = fused_highlights(A.stored_text(spark, d), A.visual_candidates(spark, d), _first_scenes(spark, d))
     return fused.select("project_id", "rank", "id", "draft_id", "overlap", "new_draft_id")
 
 
@@ -566,13 +566,13 @@ def _score_replies(candidates):
 
 @query
 def score_align(spark, d):
-    c = A.text_candidates(A.cues(spark, d))
+    c = A.stored_text(spark, d)
     return SE.align_scores(c.select("project_id", "ord", "id"), _score_replies(c))
 
 
 @query
 def title_align(spark, d):
-    c = A.text_candidates(A.cues(spark, d))
+    c = A.stored_text(spark, d)
     return SE.align_titles(c.select("project_id", "ord", "id", F.col("evidence").alias("label")), _score_replies(c))
 
 
@@ -599,7 +599,7 @@ def _topic_tables(cues):
 
 @query
 def topic_place(spark, d):
-    topics, replies, chunks = _topic_tables(A.cues(spark, d))
+    topics, replies, chunks = _topic_tables(A.stored_cues(spark, d))
     placed, rejected = TL.place_topics(topics, replies, chunks)
     return placed.withColumn("reason", F.lit(None).cast("string")).unionByName(rejected, allowMissingColumns=True)
 
@@ -667,7 +667,7 @@ def busy_projects(spark, d):
 @query
 def promo_plans(spark, d):
     # every four candidates of a project stand for one reply
-    c = A.text_candidates(A.cues(spark, d)).withColumns(
+    c = A.stored_text(spark, d).withColumns(
         {"project_id": F.col("project_id") * 1000 + F.floor((F.col("ord") - 1) / 4), "ord": (F.col("ord") - 1) % 4 + 1}
     )
     k = F.col("project_id") % 5
@@ -687,7 +687,7 @@ def promo_plans(spark, d):
 
 @query
 def cue_chunks(spark, d):
-    return C.chunk_cues(A.cues(spark, d), max_seconds=240.0, max_bytes=6000).select("project_id", "cue_idx", "chunk")
+    return C.chunk_cues(A.stored_cues(spark, d), max_seconds=240.0, max_bytes=6000).select("project_id", "cue_idx", "chunk")
 
 
 @query
@@ -796,7 +796,7 @@ def goal_failures(spark, d):
 
 @query
 def select_candidates(spark, d):
-    cues = A.cues(spark, d)
+    cues = A.stored_cues(spark, d)
     return SE.select_candidates(A.text_candidates(cues), A.profiles(spark, d, cues)).select("project_id", "id", "rank", "score")
 
 

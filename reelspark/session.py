@@ -64,3 +64,12 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     path = f"{root.rstrip('/')}/reelspark/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than cores, dealt out for expensive row-local work.
+
+    Large inputs already have many splits and pass through untouched, so no shuffle is added at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
