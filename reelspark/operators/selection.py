@@ -43,7 +43,7 @@ def duration_profile(projects: DataFrame) -> DataFrame:
 
 def profile_guidance(profile: DataFrame) -> DataFrame:
     """Adds ``guidance`` text for prompts (kept apart: number formatting is not a compared value)."""
-    whole = lambda c: F.format_number(F.rint(F.col(c)), "0")
+    whole = lambda c: F.rint(F.col(c)).cast("long").cast("string")
     text = F.concat(
         F.lit("These parameters outrank any duration or count written in the instructions above. Source is "),
         whole("duration"), F.lit(" seconds ("), F.col("tier"), F.lit("). Extract "), F.col("topics_low"), F.lit("-"),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import interval_join
+from ..functions.let import let
 from ..functions.media_time import finite, micros
 from ..functions.text import first_reason, text_ok, trim_space
 from ..session import materialize
@@ -18,6 +19,7 @@ from .cues import edge_neighbours, snap_to_cues
 EXCERPT_CHARS = 1000
 MAX_SPANS = 256
 MAX_TOPICS = 256
+MAX_CHUNKS = 256
 MAX_CHUNK_TOPICS = 64
 MAX_GAP = 5.0
 MIN_COVERAGE = 0.5
@@ -94,31 +96,36 @@ def merge_outlines(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
         | (F.size(i["subtopics"]) > 20)
         | F.coalesce(F.exists(i["subtopics"], bad_sub), F.lit(False))
     )
-    titles = F.transform("items", lambda i: i["title"])
-    kept = F.filter("items", lambda i, n: F.array_position(titles, i["title"]) == n + 1)
-    bad = F.col("items").isNull() | (F.size("items") > MAX_CHUNK_TOPICS) | F.exists("items", bad_item)
+    sized = F.coalesce(F.size("items") <= MAX_CHUNK_TOPICS, F.lit(False))
+    first_of_title = let(
+        F.transform("items", lambda i: i["title"]),
+        lambda ts: F.filter("items", lambda i, n: F.array_position(ts, i["title"]) == n + 1),
+    )
     chunks = replies.select(
-        "project_id", "chunk", F.coalesce(bad, F.lit(True)).alias("bad"), kept.alias("topics")
+        "project_id", "chunk", (~sized | F.coalesce(F.exists("items", bad_item), F.lit(True))).alias("bad"),
+        F.when(sized, first_of_title).otherwise(F.slice("items", 1, 0)).alias("topics"),
     )
     facts = chunks.groupBy("project_id").agg(
         F.bool_or("bad").alias("bad"),
         F.sum(F.size("topics")).alias("n_topics"),
-        F.count_if(F.size("topics") == 0).alias("skipped"),
+        F.count_if((F.size("topics") == 0) & ~F.col("bad")).alias("skipped"),
+        F.count(F.lit(1)).alias("n_chunks"),
     )
     reason = first_reason(
+        (F.col("n_chunks") > MAX_CHUNKS, "too_many_chunks"),
         (F.col("bad"), "malformed_chunk"),
         (F.col("n_topics") > MAX_TOPICS, "too_many_topics"),
         (F.col("n_topics") == 0, "no_topics"),
     )
     report = facts.select("project_id", "n_topics", "skipped", reason.alias("reason"))
     admitted = report.where(F.col("reason").isNull()).select("project_id")
-    # at most 256 non-empty chunks are left per project, so the running offset is a small window
+    # an admitted project has at most 256 chunks: the running offset is a small window
     earlier = Window.partitionBy("project_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     topics = (
-        chunks.where(F.size("topics") > 0)
-        .join(admitted, "project_id")
+        chunks.join(admitted, "project_id")
         .withColumn("offset", F.coalesce(F.sum(F.size("topics")).over(earlier), F.lit(0)))
-        .select("project_id", "chunk", "offset", F.posexplode("topics").alias("n", "topic"))
+        .select("project_id", "chunk", "offset", F.posexplode_outer("topics").alias("n", "topic"))
+        .where(F.col("n").isNotNull())
         .select(
             "project_id", "chunk",
             (F.col("offset") + F.col("n") + 1).alias("ord"),
