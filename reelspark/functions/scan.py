@@ -1,9 +1,9 @@
 """Ordered scans over keys that may hold a large share of all rows.
 
-A plain ``Window.partitionBy(key)`` puts every row of one key into one task.  Here a key is cut into
-buckets that follow the order (usually time buckets); rows are scanned inside ``(key, bucket)`` and
-the state at the start of each bucket comes from one summary row per bucket.  Summaries use
-partial aggregation, so a hot key costs one row per bucket and map task, not one row per input row.
+A plain ``Window.partitionBy(key)`` puts every row of one key into one task.  Here a large key is cut into
+slices that follow the order (``slice_hot_keys``); rows are scanned inside ``(key, slice)`` and the state at
+the start of each slice comes from one summary row per slice.  Summaries use partial aggregation.  Keys of
+ordinary size are one slice, so for them the summary is a single row.
 """
 
 from __future__ import annotations
@@ -95,7 +95,57 @@ def prefix_scan(
     return scanned.select(*[F.col(c) for c in df.columns], *[c.alias(n) for n, c in final.items()])
 
 
-def time_bucket(ts: Column, seconds: int = 3600) -> Column:
-    """Whole-number bucket of a timestamp (with or without zone)."""
+ROWS_PER_SLICE = 1_000_000
+
+
+def micros_since_epoch(ts: Column) -> Column:
+    """Whole microseconds of a timestamp (with or without zone)."""
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return F.floor(F.timestamp_diff("SECOND", epoch, ts.cast("timestamp_ntz")) / seconds)
+    return F.timestamp_diff("MICROSECOND", epoch, ts.cast("timestamp_ntz"))
+
+
+def _hot(df: DataFrame, keys: Sequence[str], rows: int, *facts: Column) -> DataFrame:
+    """Keys with more than ``rows`` rows: at most one per ``rows`` input rows, so the result is small by
+    construction and joins without moving the large side."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *facts).where(F.col("__n") > rows)
+
+
+def slice_hot_keys(
+    df: DataFrame, keys: Sequence[str], at: Column, name: str = "__b", rows: int | None = None
+) -> DataFrame:
+    """Adds a bucket that follows ``at`` (a whole number, monotone in the scan order).
+
+    A key with at most ``rows`` rows is one bucket.  A larger one is cut into equal slices between its own
+    first and last position, about ``rows`` rows each.
+    """
+    rows = rows or ROWS_PER_SLICE
+    placed = df.withColumn("__at", at)
+    hot = _hot(placed, keys, rows, F.min("__at").alias("__lo"), F.max("__at").alias("__hi"))
+    share = (F.col("__at") - F.col("__lo")) / (F.col("__hi") - F.col("__lo") + 1)
+    bucket = F.coalesce(F.floor(share * F.ceil(F.col("__n") / rows)), F.lit(0)).cast("long")
+    return placed.join(hot, list(keys), "left").select(*df.columns, bucket.alias(name))
+
+
+def hot_key_parts(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> DataFrame:
+    """``keys, __salts`` of the large keys only: how many parts each is cut into."""
+    rows = rows or ROWS_PER_SLICE
+    return _hot(df, keys, rows).select(*keys, F.ceil(F.col("__n") / rows).cast("int").alias("__salts"))
+
+
+def salt_hot_keys(df: DataFrame, keys: Sequence[str], by: Sequence[str], parts: DataFrame | None = None) -> DataFrame:
+    """Adds ``__salts`` (1, or the number of parts of a large key) and ``__salt`` (the part of this row)."""
+    parts = hot_key_parts(df, keys) if parts is None else parts
+    n = F.coalesce(F.col("__salts"), F.lit(1))
+    return (
+        df.join(parts, list(keys), "left")
+        .select(*df.columns, n.alias("__salts"))
+        .withColumn("__salt", F.pmod(F.xxhash64(*by), F.col("__salts")).cast("int"))
+    )
+
+
+def over_salts(small: DataFrame, keys: Sequence[str], parts: DataFrame) -> DataFrame:
+    """One copy of each row of ``small`` per part of its key, to meet ``salt_hot_keys`` on (keys, ``__salt``)."""
+    n = F.coalesce(F.col("__salts"), F.lit(1))
+    return small.join(parts, list(keys), "left").select(
+        *small.columns, F.explode(F.sequence(F.lit(0), n - 1)).alias("__salt")
+    )

@@ -160,11 +160,13 @@ def merge_revisions(base: DataFrame, edits: DataFrame, values: tuple[str, ...])
     ``edit_no`` applies (the others then see a newer revision).  Everything else is a conflict row.
     """
     stored = base.select("id", F.col("revision").alias("__stored"))
-    seen = edits.join(stored, "id", "left")
-    fits = F.coalesce(F.col("base_revision") == F.col("__stored"), F.lit(False))
-    firsts = seen.where(fits).groupBy("id").agg(
+    # reduced per (id, base revision) before the join: many edits of one draft move as a few rows
+    per_revision = edits.groupBy("id", "base_revision").agg(
         F.min("edit_no").alias("__edit"), F.min_by(F.struct(*values), "edit_no").alias("__new")
     )
+    firsts = per_revision.join(
+        stored.withColumnRenamed("__stored", "base_revision"), ["id", "base_revision"]
+    ).drop("base_revision")
     merged = base.join(firsts, "id", "left").select(
         *[
             (F.when(F.col("__edit").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c) if c in values else F.col(c))
@@ -173,9 +175,10 @@ def merge_revisions(base: DataFrame, edits: DataFrame, values: tuple[str, ...])
         ],
         (F.col("revision") + F.col("__edit").isNotNull().cast("int")).alias("revision"),
     )
+    applied = stored.join(firsts.select("id", "__edit"), "id", "left")
     conflicts = (
-        seen.join(firsts.select("id", "__edit"), "id", "left")
-        .where(~fits | (F.col("edit_no") != F.col("__edit")))
+        edits.join(applied, "id", "left")
+        .where(F.col("__edit").isNull() | (F.col("edit_no") != F.col("__edit")))
         .select(
             "id", "edit_no", "base_revision",
             F.when(F.col("__stored").isNull(), F.lit("unknown")).otherwise(F.lit("stale")).alias("reason"),

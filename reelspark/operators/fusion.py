@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import interval_join
+from ..functions.scan import hot_key_parts, over_salts, salt_hot_keys
 from ..functions.scores import two_decimals
 from ..functions.text import not_blank
 from ..session import materialize
@@ -20,7 +21,7 @@ REASON_JOINT = ("字幕 ", " + 画面 ", "，时间段重叠并合并")
 
 
 def fuse_evidence(
-    text: DataFrame, visual: DataFrame, gap: float = MATCH_GAP, keep: int = MAX_FUSED, salts: int = 16
+    text: DataFrame, visual: DataFrame, gap: float = MATCH_GAP, keep: int = MAX_FUSED
 ) -> DataFrame:
     """Ranked fused candidates, at most ``keep`` per project.
 
@@ -70,16 +71,16 @@ def fuse_evidence(
         F.col("rank") <= keep
     )
     marks = top.groupBy("project_id").agg(F.collect_list(F.struct("rank", "part", "ord")).alias("marks"))
-    spread = marks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     every = text.select("project_id", F.lit(0).alias("part"), "ord").unionByName(lone.select("project_id", "part", "ord"))
-    keys = every.select("project_id", "part", "ord", F.pmod(F.xxhash64("ord"), F.lit(salts)).cast("int").alias("salt"))
+    parts = hot_key_parts(every, ["project_id"])
+    keys = salt_hot_keys(every, ["project_id"], ["part", "ord"], parts)
     reached = lambda i: F.count_if(
         F.struct("part", "ord") <= F.struct(F.try_element_at("marks", F.lit(i + 1))["part"].alias("part"),
                                             F.try_element_at("marks", F.lit(i + 1))["ord"].alias("ord"))
     ).alias(f"c{i}")
     counted = (
-        keys.join(spread, ["project_id", "salt"])
-        .groupBy("project_id", "salt").agg(F.first("marks").alias("marks"), *[reached(i) for i in range(keep)])
+        keys.join(over_salts(marks, ["project_id"], parts), ["project_id", "__salt"])
+        .groupBy("project_id", "__salt").agg(F.first("marks").alias("marks"), *[reached(i) for i in range(keep)])
         .groupBy("project_id").agg(F.first("marks").alias("marks"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(keep)])
     )
     counts = F.array(*[F.col(f"c{i}") for i in range(keep)])
@@ -139,23 +140,21 @@ _SPAN = "struct<start_s:double,end_s:double>"
 
 
 def suppress_near_duplicates(
-    drafts: DataFrame, ratio: float = 0.8, keep: int = 6, salts: int = 16
+    drafts: DataFrame, ratio: float = 0.8, keep: int = 6
 ) -> DataFrame:
     """Score-descending greedy: drop a draft overlapping a kept one by more than ``ratio`` of the shorter.
 
     ``drafts``: project_id, draft_id, ord (unique per project), start_s, end_s, score.  Greedy order makes this
     sequential per project, but only ``keep`` winners exist: round *k* takes, per project, the best draft
-    that clears the k-1 winners so far.  A round is one aggregate with partial results; rows are salted by
-    ``ord``, so a project with a third of all drafts is spread over ``salts`` tasks, and every round
-    reads the same (reused) exchange of the input.
+    that clears the k-1 winners so far.  A round is one aggregate with partial results over (project, part);
+    large projects are cut into parts by row count, and every round reads the same (reused) exchange.
     """
-    salted = drafts.withColumn("__salt", F.pmod(F.xxhash64("ord"), F.lit(salts)).cast("int"))
     entry = F.struct(
         F.coalesce("score", F.lit(0.0)).alias("score"), (-F.col("ord")).alias("neg_ord"), F.col("draft_id"),
         F.col("start_s"), F.col("end_s"),
     )
-    rows = salted.select("project_id", "__salt", entry.alias("x")).repartition("project_id", "__salt")
-    all_salts = F.sequence(F.lit(0), F.lit(salts - 1))
+    salted = salt_hot_keys(drafts.select("project_id", "ord", entry.alias("x")), ["project_id"], ["ord"])
+    rows = salted.select("project_id", "__salts", "__salt", "x").repartition("project_id", "__salt")
 
     def clear(x: Column, kept: Column) -> Column:
         def clash(k: Column) -> Column:
@@ -166,22 +165,24 @@ def suppress_near_duplicates(
 
         return ~F.exists(kept, clash)
 
-    winners = (
-        rows.groupBy("project_id", "__salt").agg(F.max("x").alias("x"))
-        .groupBy("project_id").agg(F.max("x").alias("x"))
-        .select("project_id", F.array("x").alias("kept"))
-    )
+    def settle(parts: DataFrame) -> DataFrame:
+        return parts.groupBy("project_id").agg(F.first("kept").alias("kept"), F.max("salts").alias("salts"), F.max("x").alias("x")).select(
+            "project_id", "salts",
+            F.when(F.col("x").isNull(), F.col("kept")).otherwise(F.concat("kept", F.array("x"))).alias("kept"),
+        )
+
+    per_part = rows.groupBy("project_id", "__salt").agg(F.max("__salts").alias("salts"), F.max("x").alias("x"))
+    winners = settle(per_part.withColumn("kept", F.slice(F.array("x"), 1, 0)))
     for _ in range(keep - 1):
-        spread = winners.select("project_id", "kept", F.explode(all_salts).alias("__salt"))
-        winners = (
+        spread = winners.select(
+            "project_id", "kept", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("__salt")
+        )
+        winners = settle(
             rows.join(spread, ["project_id", "__salt"])
             .groupBy("project_id", "__salt")
-            .agg(F.first("kept").alias("kept"), F.max(F.when(clear(F.col("x"), F.col("kept")), F.col("x"))).alias("x"))
-            .groupBy("project_id")
-            .agg(F.first("kept").alias("kept"), F.max("x").alias("x"))
-            .select(
-                "project_id",
-                F.when(F.col("x").isNull(), F.col("kept")).otherwise(F.concat("kept", F.array("x"))).alias("kept"),
+            .agg(
+                F.first("kept").alias("kept"), F.max("__salts").alias("salts"),
+                F.max(F.when(clear(F.col("x"), F.col("kept")), F.col("x"))).alias("x"),
             )
         )
     return winners.select("project_id", F.posexplode("kept").alias("i", "x")).select(

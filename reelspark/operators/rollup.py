@@ -130,14 +130,16 @@ def draft_export_state(drafts: DataFrame, exports: DataFrame, tasks: DataFrame)
         .join(exports.select("task_id"), "task_id", "left_anti")
         .select("task_id", "draft_id", F.col("revision").alias("job_revision"), "created_at", "status")
     )
-    jobs = finished.unionByName(open_tasks)
+    # reduced per (draft, revision, status) first: a draft with very many jobs joins as a few rows
+    jobs = finished.unionByName(open_tasks).groupBy("draft_id", "job_revision", "status").agg(
+        F.max(F.struct("created_at", "task_id")).alias("newest")
+    )
     joined = drafts.select("draft_id", "revision").join(jobs, "draft_id", "left")
     now = F.col("job_revision") == F.col("revision")
     busy = now & F.col("status").isin("queued", "running")
     # newest job first; of equal times the larger task id
-    newest = F.struct("created_at", "task_id")
     facts = joined.groupBy("draft_id", "revision").agg(
-        F.max_by("status", F.when(busy, newest)).alias("active"),
+        F.max_by("status", F.when(busy, F.col("newest"))).alias("active"),
         _flag(now & (F.col("status") == "completed")).alias("completed"),
         _flag(now & F.col("status").isin(*BROKEN)).alias("broken"),
         _flag((F.col("job_revision") < F.col("revision")) & (F.col("status") == "completed")).alias("previous"),

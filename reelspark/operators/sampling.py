@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.media_time import finite, round_to
-from ..functions.scan import Scan, prefix_scan
+from ..functions.media_time import finite, micros, round_to
+from ..functions.scan import Scan, prefix_scan, slice_hot_keys
 from ..functions.text import first_reason
 
 BATCH = 60
@@ -54,13 +54,13 @@ def validate_samples(requests: DataFrame) -> DataFrame:
     return out.withColumn("normalized", F.when(F.col("reason").isNull(), normalized))
 
 
-def even_downsample(frames: DataFrame, n: int, keys: tuple[str, ...] = ("project_id",), bucket_seconds: int = 600) -> DataFrame:
+def even_downsample(frames: DataFrame, n: int, keys: tuple[str, ...] = ("project_id",)) -> DataFrame:
     """At most ``n`` rows per key, evenly by position, keeping first and last.
 
-    Positions come from a bucketed scan; whether a position is chosen is arithmetic on that row alone.
+    Positions come from a sliced scan; whether a position is chosen is arithmetic on that row alone.
     """
     numbered = prefix_scan(
-        frames.withColumn("__b", F.floor(F.col("time_s") / bucket_seconds)), list(keys), "__b", ["time_s"],
+        slice_hot_keys(frames, list(keys), micros(F.col("time_s"))), list(keys), "__b", ["time_s"],
         [Scan("__pos", "count")],
     )
     sizes = frames.groupBy(*keys).agg(F.count(F.lit(1)).alias("__len"))

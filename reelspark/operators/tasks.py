@@ -1,7 +1,7 @@
 """Task logs: step history, progress, snapshots, claims, heartbeats and checkpoints.
 
 Log operators order rows per task; a task (or a source that looks like one) may own a large share of the
-log, so ordered columns come from time-bucketed scans, not from one window per task.
+log, so ordered columns come from sliced scans, not from one window per task.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scan import Scan, prefix_scan, time_bucket
+from ..functions.scan import Scan, micros_since_epoch, prefix_scan, slice_hot_keys
 from ..functions.text import first_reason
 from .rollup import TERMINAL
 
@@ -19,17 +19,18 @@ EXPIRED = "Worker heartbeat expired; review before retrying paid requests"
 ORDER = ["ts", "seq"]
 
 
-def _bucketed(log: DataFrame, seconds: int) -> DataFrame:
-    return log.withColumn("__b", time_bucket(F.col("ts"), seconds))
+def _sliced(log: DataFrame, key: str = "task_id") -> DataFrame:
+    """Log with slice ``__b`` of its task; ordinary tasks are one slice."""
+    return slice_hot_keys(log, [key], micros_since_epoch(F.col("ts")))
 
 
-def task_steps(log: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+def task_steps(log: DataFrame) -> DataFrame:
     """Completed steps per task, one row each: ``task_id, step_no, stage``.
 
     ``log``: task_id, ts, seq, stage, done.  A step completes when the stage changes (empty and ``queued`` do
     not count) and the last stage completes with the task.  Rows with an empty stage change nothing.
     """
-    named = _bucketed(log.where((F.coalesce("stage", F.lit("")) != "") | F.col("done")), bucket_seconds)
+    named = _sliced(log.where((F.coalesce("stage", F.lit("")) != "") | F.col("done")))
     prior = prefix_scan(
         named, ["task_id"], "__b", ORDER,
         [Scan("before", "last", F.when(F.coalesce("stage", F.lit("")) != "", F.col("stage")))],
@@ -62,19 +63,17 @@ def line_percent(line: Column, duration: Column, scale: Column) -> Column:
     return F.coalesce(ffmpeg_percent(line, duration, scale), asr_percent(line).cast("double"))
 
 
-def monotone_progress(log: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+def monotone_progress(log: DataFrame) -> DataFrame:
     """Rows of ``op_id, ts, seq, percent`` that strictly exceed every earlier percent of the operation."""
-    known = _bucketed(log.where(F.col("percent").isNotNull()), bucket_seconds)
+    known = _sliced(log.where(F.col("percent").isNotNull()), "op_id")
     scanned = prefix_scan(known, ["op_id"], "__b", ORDER, [Scan("__best", "max", F.col("percent"))])
     return scanned.where(F.col("__best").isNull() | (F.col("percent") > F.col("__best"))).drop("__best", "__b")
 
 
-def snapshot_changes(
-    log: DataFrame, content: tuple[str, ...], status_col: str = "status", bucket_seconds: int = 3600
-) -> DataFrame:
+def snapshot_changes(log: DataFrame, content: tuple[str, ...], status_col: str = "status") -> DataFrame:
     """Snapshots that differ from the one before, up to and including the first terminal one."""
     text = F.to_json(F.struct(*content), {"ignoreNullFields": "false"})
-    boxed = _bucketed(log.withColumn("__key", F.sha2(text, 256)), bucket_seconds)
+    boxed = _sliced(log.withColumn("__key", F.sha2(text, 256)))
     ended = F.when(F.col(status_col).isin(*TERMINAL), F.lit(1)).otherwise(F.lit(0))
     scanned = prefix_scan(
         boxed, ["task_id"], "__b", ORDER, [Scan("__prev", "lag", F.col("__key")), Scan("__ended", "sum", ended)]
@@ -84,7 +83,7 @@ def snapshot_changes(
     ).drop("__b", "__key", "__prev", "__ended")
 
 
-def accepted_snapshots(log: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+def accepted_snapshots(log: DataFrame) -> DataFrame:
     """Arrivals (``task_id, ts`` arrival order, ``seq``, ``updated_at``, status, percent) that a reader accepts.
 
     Invalid rows are refused; a row older than the newest accepted one is dropped, ties are accepted; nothing is
@@ -92,7 +91,7 @@ def accepted_snapshots(log: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
     """
     pct = F.col("percent")
     valid = F.col("status").isin(*STATUSES) & (pct.isNull() | (~F.isnan(pct) & (pct >= 0) & (pct <= 100)))
-    rows = _bucketed(log.where(F.coalesce(valid, F.lit(False))), bucket_seconds)
+    rows = _sliced(log.where(F.coalesce(valid, F.lit(False))))
     scanned = prefix_scan(rows, ["task_id"], "__b", ORDER, [Scan("__newest", "max", F.col("updated_at"))])
     fresh = scanned.where(F.col("__newest").isNull() | (F.col("updated_at") >= F.col("__newest"))).drop("__newest")
     ended = F.when(F.col("status").isin(*TERMINAL), F.lit(1)).otherwise(F.lit(0))
@@ -103,11 +102,11 @@ def accepted_snapshots(log: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
     )
 
 
-def latest_snapshot(log: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+def latest_snapshot(log: DataFrame) -> DataFrame:
     """The snapshot a reader ends on, per task."""
     rest = [c for c in log.columns if c not in ("task_id",)]
     return (
-        accepted_snapshots(log, bucket_seconds)
+        accepted_snapshots(log)
         .groupBy("task_id")
         .agg(F.max_by(F.struct(*rest), F.struct("ts", "seq")).alias("s"))
         .select("task_id", "s.*")
@@ -154,7 +153,7 @@ def fence_leases(updates: DataFrame, leases: DataFrame) -> DataFrame:
     )
 
 
-def fold_task_log(log: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+def fold_task_log(log: DataFrame) -> DataFrame:
     """Final state of each task from its command log (batch twin of the stream fold).
 
     ``log``: task_id, ts, seq, op (progress / heartbeat / cancel / finish), stage, percent, status.  A task
@@ -162,7 +161,7 @@ def fold_task_log(log: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
     first finish is final and later commands are ignored.
     """
     op = F.col("op")
-    flagged = _bucketed(log, bucket_seconds)
+    flagged = _sliced(log)
     scanned = prefix_scan(
         flagged, ["task_id"], "__b", ORDER,
         [

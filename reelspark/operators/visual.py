@@ -53,8 +53,9 @@ def snap_to_frames(citations: DataFrame, frames: DataFrame, tolerance: float = F
 
     ``citations``: project_id, citation_id, t; ``frames``: project_id, time_s.
     """
-    pairs = near_join(citations.select("project_id", "citation_id", "t"), frames.select("project_id", "time_s"),
-                      ["project_id"], "t", "time_s", tolerance)
+    # equal frame times count once, so a citation meets only as many frames as the clock can tell apart
+    distinct = frames.select("project_id", "time_s").distinct()
+    pairs = near_join(citations.select("project_id", "citation_id", "t"), distinct, ["project_id"], "t", "time_s", tolerance)
     best = pairs.groupBy("project_id", "citation_id").agg(
         F.min_by("time_s", F.struct(F.abs(F.col("time_s") - F.col("t")), F.col("time_s"))).alias("frame_time")
     )
@@ -171,7 +172,7 @@ def review_frames(best: DataFrame, frames: DataFrame, pad: float = 2.0, limit: i
     )
     points = frames.select("project_id", "time_s")
     local = interval_join(windows, points, ["project_id"], ("w0", "w1"), ("time_s", "time_s")).select("project_id", "time_s")
-    return even_downsample(local, limit, bucket_seconds=60)
+    return even_downsample(local, limit)
 
 
 def apply_refinement(scan: DataFrame, refine: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from reelspark.functions import scan
 from reelspark.functions.intervals import interval_join, near_join
 from reelspark.functions.scan import Scan, prefix_scan
 from reelspark.operators import cues as C
@@ -55,12 +56,14 @@ def test_fusion(spark):
         assert got.get(p, []) == fuse_one_project([t for t in text if t[0] == p], [v for v in visual if v[0] == p])
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("rows_per_part", [1_000_000, 7])
+def test_near_duplicates(spark, monkeypatch, rows_per_part):
+    monkeypatch.setattr(scan, "ROWS_PER_SLICE", rows_per_part)
     rng = random.Random(3)
     rows = [(p, f"d{p}-{o}", o, float(a), float(a + n), s) for p in range(30) for o in range(25) for a, n, s in [(rng.randint(0, 40), rng.randint(1, 20), rng.choice([None, 0.2, 0.5, 0.9]))]]
     df = spark.createDataFrame(rows, "project_id long, draft_id string, ord long, start_s double, end_s double, score double")
     got = {}
-    for r in FU.suppress_near_duplicates(df, salts=3).orderBy("project_id", "rank").collect():
+    for r in FU.suppress_near_duplicates(df).orderBy("project_id", "rank").collect():
         got.setdefault(r["project_id"], []).append(r["draft_id"])
     for p in range(30):
         kept = []

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
+from reelspark.functions import scan
 from reelspark.operators import fusion as FU
 from reelspark.operators import rollup as R
 from reelspark.operators import tasks as K
@@ -33,17 +34,25 @@ def hot_log(spark):
     )
 
 
+@pytest.fixture(params=[100, 1_000_000])
+def slicing(request, monkeypatch):
+    """Once with slices far smaller than the hot key, once as configured."""
+    monkeypatch.setattr(scan, "ROWS_PER_SLICE", request.param)
+
+
+@pytest.mark.usefixtures("slicing")
 def test_progress_on_a_hot_task(spark, hot_log):
-    got = K.monotone_progress(hot_log.withColumnRenamed("task_id", "op_id"), bucket_seconds=600).select("op_id", "seq").collect()
+    got = K.monotone_progress(hot_log.withColumnRenamed("task_id", "op_id")).select("op_id", "seq").collect()
     before = Window.partitionBy("task_id").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
     best = F.max("percent").over(before)
     want = hot_log.select("task_id", "seq", (best.isNull() | (F.col("percent") > best)).alias("k")).where("k").select("task_id", "seq").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
 
 
+@pytest.mark.usefixtures("slicing")
 def test_steps_on_a_hot_task(spark, hot_log):
     got = {}
-    for r in K.task_steps(hot_log, bucket_seconds=600).orderBy("task_id", "step_no").collect():
+    for r in K.task_steps(hot_log).orderBy("task_id", "step_no").collect():
         got.setdefault(r["task_id"], []).append(r["stage"])
     want = {}
     current = {}
@@ -58,6 +67,7 @@ def test_steps_on_a_hot_task(spark, hot_log):
     assert got == want
 
 
+@pytest.mark.usefixtures("slicing")
 def test_hot_project_in_fusion_and_suppression(spark):
     n = F.col("id")
     visual = spark.range(6000).select(
@@ -70,6 +80,24 @@ def test_hot_project_in_fusion_and_suppression(spark):
     assert fused.where("project_id = 0").count() == 6
     kept = FU.suppress_near_duplicates(visual.withColumn("draft_id", F.col("ord").cast("string")))
     assert kept.groupBy("project_id").count().agg(F.max("count")).first()[0] == 6
+    digest = lambda df: sorted(map(tuple, df.collect()))
+    results.setdefault("fused", digest(fused))
+    results.setdefault("kept", digest(kept))
+    assert digest(fused) == results["fused"] and digest(kept) == results["kept"]
+
+
+results: dict = {}
+
+
+def test_slices_and_salts(spark):
+    df = spark.range(1000).select(F.when(F.col("id") < 600, F.lit(0)).otherwise(F.col("id")).alias("k"), F.col("id").alias("i"))
+    sliced = scan.slice_hot_keys(df, ["k"], F.col("i"), rows=100)
+    sizes = {(r["k"], r["__b"]): r["count"] for r in sliced.groupBy("k", "__b").count().collect()}
+    assert {b for k, b in sizes if k == 0} == set(range(6)) and max(sizes.values()) <= 110
+    assert all(b == 0 for k, b in sizes if k != 0)
+    salted = scan.salt_hot_keys(df, ["k"], ["i"], scan.hot_key_parts(df, ["k"], rows=100))
+    assert salted.where("k = 0").select("__salt").distinct().count() == 6 and salted.where("k != 0 and __salts != 1").count() == 0
+    assert salted.count() == 1000
 
 
 def test_ranking_is_cut_before_the_shuffle(spark, data_dir):
@@ -105,4 +133,4 @@ def test_workspace_pages_hold_every_child(spark):
 def test_materialize_keeps_rows_and_schema(spark):
     df = spark.range(10).withColumn("x", F.array(F.col("id")))
     stored = materialize(df, "t")
-    assert stored.schema == df.schema and sorted(map(tuple, stored.select("id").collect())) == sorted(map(tuple, df.select("id").collect()))
+    assert stored.columns == df.columns and sorted(map(tuple, stored.select("id").collect())) == sorted(map(tuple, df.select("id").collect()))
