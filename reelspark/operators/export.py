@@ -114,3 +114,8 @@ def to_ass(cues: DataFrame, dims: DataFrame, key: str = "project_id", order: str
     return docs.join(dims.select(key, "out_w", "out_h"), key).select(
         key, F.concat(ass_header(F.col("out_w"), F.col("out_h")), F.array_join(F.col("xs.__b"), "")).alias("ass")
     )
+
+
+def write_documents(docs: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Export sink: one row per document in Parquet (one file per project would not scale)."""
+    docs.write.mode(mode).parquet(path)

@@ -25,6 +25,8 @@ from ..sources import media as M
 from ..sources import replies as RP
 from ..sources import srt as SRT
 from ..sources import urls as U
+from ..streaming import tasks as ST
+from ..streaming.run import run_available
 from . import adapters as A
 from .highlights import fused_highlights
 
@@ -33,7 +35,7 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    QUERIES[fn.__name__.removeprefix("q_")] = fn
     return fn
 
 
@@ -394,7 +396,7 @@ def output_dimensions(spark, d):
 
 
 @query
-def scene_frame_count(spark, d):
+def q_scene_frames(spark, d):
     start, length = F.col("l_discount") * 100, F.col("l_quantity") / 7
     frames = scene_frames(start, start + length)
     return A.table(spark, d, "lineitem").select(A.task_key().alias("scene_id"), frames.alias("frames"), (frames / 30).alias("seconds"))
@@ -462,7 +464,7 @@ def plan_recommend(spark, d):
 
 
 @query
-def duration_labels(spark, d):
+def q_duration_label(spark, d):
     return A.table(spark, d, "events").select("event_id", duration_label(F.col("value") * 20 - 30).alias("label"))
 
 
@@ -1091,3 +1093,36 @@ def lease_fence(spark, d):
         F.concat(F.lit("lease-"), F.col("task_id") % 3).alias("lease_id"), F.when(F.max("value") > 250, F.lit("failed")).otherwise(F.lit("running")).alias("status")
     )
     return K.fence_leases(updates, leases)
+
+
+# --- streaming runs over the event table (file source, availableNow) -------------------------------
+
+
+def _event_stream(spark, d):
+    schema = A.table(spark, d, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+
+
+@query
+def snapshot_stream(spark, d):
+    v, seq, ts = F.col("value"), F.col("event_id"), F.col("ts").cast("timestamp")
+    feed = _event_stream(spark, d).select(
+        F.col("user_id").alias("task_id"), ts.alias("ts"), seq.alias("seq"), (ts - F.make_dt_interval(hours=(seq % 40).cast("int"))).alias("updated_at"),
+        F.when(v > 350, F.lit("failed")).when(v < 1, F.lit("lost")).otherwise(F.lit("running")).alias("status"),
+        F.when(F.col("event_type") != "view", v / 3).alias("percent"),
+    )
+    return run_available(ST.snapshot_stream(feed), "snapshots").select("task_id", "seq", "status")
+
+
+@query
+def progress_stream(spark, d):
+    v = F.col("value")
+    line = (
+        F.when(F.col("event_type") == "view", F.lit("out_time_us=N/A"))
+        .when(F.col("event_type") == "error", F.concat(F.lit("whisper: progress = "), F.floor(v).cast("int"), F.lit("%")))
+        .otherwise(F.concat(F.lit("out_time_us="), F.floor(v * 100000).cast("long")))
+    )
+    lines = _event_stream(spark, d).select(
+        F.col("user_id").alias("op_id"), F.col("event_id").alias("seq"), line.alias("line"), F.lit(40.0).alias("duration"), F.lit(98.0).alias("scale")
+    )
+    return run_available(ST.progress_stream(lines), "progress")

@@ -503,7 +503,7 @@ ORACLES: dict[str, str] = {
         FROM (SELECT *, width BETWEEN 2 AND 16384 AND height BETWEEN 2 AND 16384 AS ok, least(1e0, 1920e0 / greatest(width, height)) AS sc
           FROM (SELECT p_partkey, p_size * 77 AS width, (p_partkey % 2200)::INTEGER AS height,
                   CASE WHEN p_partkey % 7 < 4 THEN 'original' ELSE ['original', 'portrait', 'landscape', 'round'][p_partkey % 4 + 1] END AS aspect FROM part))""".replace("SELECT *, CASE aspect", "SELECT p_partkey, width, height, aspect, CASE aspect", 1),
-    "scene_frame_count": """
+    "scene_frames": """
         SELECT scene_id, f AS frames, f / 30 AS seconds FROM (SELECT l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber AS scene_id,
           greatest(1, round((l_discount * 100 + l_quantity / 7 - l_discount * 100) * 30)::INTEGER) AS f FROM lineitem)""",
     "draft_validate": _sql(
@@ -540,7 +540,7 @@ ORACLES: dict[str, str] = {
           CASE WHEN quality = 1 THEN '检测到可用字幕；默认同时使用字幕和抽样画面寻找高光，这是本地检查，尚未调用模型。' WHEN toxic <> 0 THEN '素材无音轨且没有可用字幕；默认使用抽样画面寻找高光。'
                ELSE '将结合字幕和抽样画面寻找高光片段；没有字幕时会尝试本地转写，仍可使用画面证据。' END AS plan_reason
         FROM documents LEFT JOIN labels USING (doc_id)""",
-    "duration_labels": """SELECT event_id, CASE WHEN x > 0 THEN floor(x / 60)::BIGINT || ':' || printf('%02d', floor(x)::BIGINT % 60) ELSE '0:00' END AS label FROM (SELECT event_id, value * 20 - 30 AS x FROM events)""",
+    "duration_label": """SELECT event_id, CASE WHEN x > 0 THEN floor(x / 60)::BIGINT || ':' || printf('%02d', floor(x)::BIGINT % 60) ELSE '0:00' END AS label FROM (SELECT event_id, value * 20 - 30 AS x FROM events)""",
     # --- joins
     "timeline_cues": _sql(
         """
@@ -927,3 +927,7 @@ ORACLES: dict[str, str] = {
     ),
     "lease_fence": _sql("SELECT task_id, seq, 'lease-' || seq % 3 AS lease_id FROM elog JOIN (SELECT task_id FROM elog GROUP BY 1 HAVING max(value) <= 250) USING (task_id) WHERE seq % 3 = task_id % 3"),
 }
+# the stream shows the accepted snapshots; no two of them are equal here, because update times differ
+ORACLES["snapshot_stream"] = ORACLES["accepted_snapshots"].replace("SELECT task_id, seq FROM acc", "SELECT task_id, seq, status FROM acc")
+# event ids follow time, so the order of lines is the same in the log and in the stream
+ORACLES["progress_stream"] = ORACLES["monotone_progress"]

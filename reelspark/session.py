@@ -48,20 +48,24 @@ def checkpoint_root(spark: SparkSession) -> str:
 _LOCAL_ROOT: str | None = None
 
 
+def storage_root(spark: SparkSession) -> str:
+    """Folder for stored tables: the configured one, or one temporary folder per local process."""
+    global _LOCAL_ROOT
+    root = configured_root(spark)
+    if root is None:
+        _LOCAL_ROOT = _LOCAL_ROOT or checkpoint_root(spark)
+        root = _LOCAL_ROOT
+    return root.rstrip("/")
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """``df`` written as a Parquet table in the shared checkpoint folder and read back.
 
     Cuts lineage between stages that several later steps read.  The files outlive lost executors, and
     readers still prune columns and push filters, which a row-based checkpoint could not.
     """
-    global _LOCAL_ROOT
     spark = df.sparkSession
-    root = configured_root(spark)
-    if root is None:
-        if _LOCAL_ROOT is None:
-            _LOCAL_ROOT = checkpoint_root(spark)
-        root = _LOCAL_ROOT
-    path = f"{root.rstrip('/')}/reelspark/{label}-{uuid.uuid4().hex}"
+    path = f"{storage_root(spark)}/reelspark/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
