@@ -729,7 +729,8 @@ def timeline_overlap(spark, d):
 def timeline_extend(spark, d):
     cues = A.stored_cues(spark, d)
     snapped, _ = TL.snap_items(A.timeline_items(cues), cues)
-    spans = TL.extend_short(TL.resolve_overlaps(snapped, cues), cues, A.profiles(spark, d, cues))
+    resolved = TL.resolve_overlaps(snapped, cues).where(~F.col("bad"))
+    spans = TL.extend_short(resolved, cues, A.profiles(spark, d, cues))
     return spans.select("project_id", "n", "start_s", "end_s", "extended")
 
 

@@ -739,8 +739,8 @@ ORACLES: dict[str, str] = {
         SELECT c_custkey AS project_id, c_name AS name, coalesce(n_pages, 1) AS n_pages, coalesce(n_workflows, 0) AS n_workflows, coalesce(n_tasks, 0) AS n_tasks, coalesce(page, 0) AS page,
           coalesce(workflows, '') AS workflows, coalesce(tasks, '') AS tasks
         FROM customer LEFT JOIN tot ON tot.project_id = c_custkey
-        LEFT JOIN (SELECT project_id, seq % n_pages AS page, coalesce(string_agg(seq || ':' || body, ';' ORDER BY seq) FILTER (sec = 'w'), '') AS workflows,
-                     coalesce(string_agg(seq || ':' || body, ';' ORDER BY seq) FILTER (sec = 't'), '') AS tasks FROM kid JOIN tot USING (project_id) GROUP BY 1, 2) a ON a.project_id = c_custkey""",
+        LEFT JOIN (SELECT project_id, seq % n_pages AS page, coalesce(string_agg(seq || ':' || body, ';' ORDER BY seq, body) FILTER (sec = 'w'), '') AS workflows,
+                     coalesce(string_agg(seq || ':' || body, ';' ORDER BY seq, body) FILTER (sec = 't'), '') AS tasks FROM kid JOIN tot USING (project_id) GROUP BY 1, 2) a ON a.project_id = c_custkey""",
         kid="SELECT o_custkey AS project_id, 'w' AS sec, o_orderkey AS seq, o_orderpriority AS body FROM orders UNION ALL SELECT project_id, 't', seq, task_id FROM ptask",
         tot="SELECT project_id, greatest(1, ceil(count(*) / 40)::INTEGER) AS n_pages, count(*) FILTER (sec = 'w') AS n_workflows, count(*) FILTER (sec = 't') AS n_tasks FROM kid GROUP BY 1",
     ),
