@@ -13,9 +13,12 @@ NOT_SPACE = f"[^{SPACE_CHARS}]"
 BLANK = "[\\t\\x0B\\f \\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
 
 
+SPACES = "\t\n\v\f\r \u0085\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim_space(c: Column) -> Column:
-    """Strip Unicode white space at both ends (Spark's ``trim`` only strips U+0020)."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+\\z", "")
+    """Strip Unicode white space at both ends (plain ``trim`` only strips U+0020)."""
+    return F.btrim(c, F.lit(SPACES))
 
 
 def not_blank(c: Column) -> Column:
@@ -33,15 +36,18 @@ def valid_id(c: Column) -> Column:
 
 
 def unify_newlines(c: Column) -> Column:
-    return F.regexp_replace(c, "\\r\\n?", "\n")
+    return F.when(F.contains(c, F.lit("\r")), F.regexp_replace(c, "\\r\\n?", "\n")).otherwise(c)
 
 
 def clean_caption(c: Column) -> Column:
-    """Caption text as exported: LF newlines, no blank lines, no trailing blanks."""
-    unified = unify_newlines(c)
-    no_tail = F.regexp_replace(unified, "[ \\t]+(?=\\n|\\z)", "")
+    """Caption text as exported: LF newlines, no blank lines, no trailing blanks.
+
+    One-line text, the usual case, only needs the trim.
+    """
+    no_tail = F.regexp_replace(unify_newlines(c), "[ \\t]+(?=\\n|\\z)", "")
     no_blank_lines = F.regexp_replace(no_tail, f"\\n(?:{BLANK}*+\\n)++", "\n")
-    return trim_space(no_blank_lines)
+    many = F.contains(c, F.lit("\n")) | F.contains(c, F.lit("\r"))
+    return trim_space(F.when(many, no_blank_lines).otherwise(c))
 
 
 def first_reason(*rules: tuple[Column, str]) -> Column:
