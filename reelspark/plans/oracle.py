@@ -623,7 +623,7 @@ ORACLES: dict[str, str] = {
         ver="""SELECT c.project_id, c.chunk, CASE WHEN count(r.row_no) = 0 THEN 'empty_reply' WHEN count(r.row_no) > 2 THEN 'oversized_reply' END AS reason
                FROM chu c LEFT JOIN rep r USING (project_id, chunk) GROUP BY 1, 2""",
     ),
-    "completed_exports": _sql(f"SELECT task_id, draft_id, revision, seq FROM ({_EXPORT}) WHERE kind = 'export' AND status = 'completed'"),
+    "completed_exports": _sql(f"SELECT task_id, draft_id, revision, seq FROM ({_EXPORT}) WHERE kind = 'export' AND task_id IN (SELECT task_id FROM task WHERE status = 'completed')"),
     "draft_export_state": _sql(
         f"""
         SELECT draft_id, revision, CASE WHEN active = 'queued' THEN 'queued' WHEN active = 'running' THEN 'rendering' WHEN done THEN 'ready' WHEN broken THEN 'failed' WHEN prev THEN 'updated' ELSE 'draft' END AS export_state
