@@ -155,7 +155,7 @@ def fit(rows: list, buckets: int, rank: int = 8, epochs: int = 12, rate: float =
                 v = model.factors[:, f]
                 words = each * value * (by_row[:, f] - v[index] * value)
                 factors[: len(used), f] = np.bincount(place, words, len(used))
-                factors[len(used) :, f] = z.T @ (error * sums[:, f]) - v[buckets:] * (z**2).T @ error
+                factors[len(used) :, f] = z.T @ (error * sums[:, f]) - v[buckets:] * ((z**2).T @ error)
             factors += 1e-5 * model.factors[at_all]
             held_linear[at_all] += linear**2
             held_factors[at_all] += factors**2
