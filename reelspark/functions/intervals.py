@@ -53,9 +53,7 @@ def near_join(
     left point probes the buckets its tolerance reaches."""
     width = tolerance * 2
     lo, hi = F.col(left_point) - tolerance, F.col(left_point) + tolerance
-    probe = left.withColumn(
-        "__bucket", F.explode(F.sequence(_span(lo, width) - 1, _span(hi, width) + 1))
-    )
+    probe = left.withColumn("__bucket", F.explode(F.sequence(_span(lo, width), _span(hi, width))))
     points = right.withColumn("__bucket", _span(F.col(right_point), width))
     return (
         probe.join(points, [*on, "__bucket"])

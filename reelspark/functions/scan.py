@@ -1,7 +1,7 @@
 """Ordered scans over keys that may hold a large share of all rows.
 
-A plain ``Window.partitionBy(key)`` puts every row of one key into one task.  Here a large key is cut into
-slices that follow the order (``slice_hot_keys``); rows are scanned inside ``(key, slice)`` and the state at
+A plain ``Window.partitionBy(key)`` puts every row of one key into one task.  Here a large key is cut by row rank
+into slices that follow the order (``slice_hot_keys``); rows are scanned inside ``(key, slice)`` and the state at
 the start of each slice comes from one summary row per slice.  Summaries use partial aggregation.  Keys of
 ordinary size are one slice, so for them the summary is a single row.
 """
@@ -98,10 +98,8 @@ def prefix_scan(
 ROWS_PER_SLICE = 1_000_000
 
 
-def micros_since_epoch(ts: Column) -> Column:
-    """Whole microseconds of a timestamp (with or without zone)."""
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return F.timestamp_diff("MICROSECOND", epoch, ts.cast("timestamp_ntz"))
+#: Sampled positions per slice, from which the edges of slices are taken.
+SAMPLES_PER_SLICE = 40
 
 
 def _hot(df: DataFrame, keys: Sequence[str], rows: int, *facts: Column) -> DataFrame:
@@ -110,20 +108,45 @@ def _hot(df: DataFrame, keys: Sequence[str], rows: int, *facts: Column) -> DataF
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *facts).where(F.col("__n") > rows)
 
 
+def _edges_before(edges: Column, position: Column) -> Column:
+    """Number of sorted ``edges`` at or before ``position``, by binary search."""
+    steps = F.array(*[F.lit(1 << k) for k in range(20, -1, -1)])
+    return F.aggregate(
+        steps,
+        F.lit(0),
+        lambda at, step: F.when(F.get(edges, at + step - 1) <= position, at + step).otherwise(at),
+    )
+
+
 def slice_hot_keys(
-    df: DataFrame, keys: Sequence[str], at: Column, name: str = "__b", rows: int | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "__b", rows: int | None = None
 ) -> DataFrame:
-    """Adds a bucket that follows ``at`` (a whole number, monotone in the scan order).
+    """Adds a bucket that follows ``order`` (the columns of the scan's total order).
 
-    A key with at most ``rows`` rows is one bucket.  A larger one is cut into equal slices between its own
-    first and last position, about ``rows`` rows each.
+    A key with at most ``rows`` rows is one bucket.  A larger one is cut at quantiles of its own positions, taken
+    from a sample chosen by a hash of the position, so slices hold about ``rows`` rows each however the positions are
+    spread; only rows at one and the same position stay together.
     """
     rows = rows or ROWS_PER_SLICE
-    placed = df.withColumn("__at", at)
-    hot = _hot(placed, keys, rows, F.min("__at").alias("__lo"), F.max("__at").alias("__hi"))
-    share = (F.col("__at") - F.col("__lo")) / (F.col("__hi") - F.col("__lo") + 1)
-    bucket = F.coalesce(F.floor(share * F.ceil(F.col("__n") / rows)), F.lit(0)).cast("long")
-    return placed.join(hot, list(keys), "left").select(*df.columns, bucket.alias(name))
+    hot = _hot(df, keys, rows).select(*keys, F.col("__n"), F.ceil(F.col("__n") / rows).cast("int").alias("__slices"))
+    position = F.struct(*order)
+    chosen = F.pmod(F.xxhash64(*order), "__n") < F.col("__slices") * SAMPLES_PER_SLICE
+    sample = (
+        df.select(*keys, *[c for c in order if c not in keys])
+        .join(hot, list(keys))
+        .where(chosen)
+        .groupBy(*keys, "__slices")
+        .agg(F.array_sort(F.collect_list(position)).alias("__at"))
+    )
+    size, slices = F.size("__at"), F.col("__slices")
+    picks = F.transform(
+        F.sequence(F.lit(1), slices - 1), lambda i: F.get(F.col("__at"), F.floor(i * size / slices).cast("int"))
+    )
+    edges = sample.select(
+        *keys, F.array_distinct(F.when(slices > 1, picks).otherwise(F.slice("__at", 1, 0))).alias("__edges")
+    )
+    bucket = F.coalesce(_edges_before(F.col("__edges"), position), F.lit(0)).cast("long")
+    return df.join(edges, list(keys), "left").select(*df.columns, bucket.alias(name))
 
 
 def hot_key_parts(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> DataFrame:

@@ -6,14 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The code points that count as white space (Unicode White_Space).
-SPACE_CHARS = "\\t-\\r \\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
+SPACES = "\t\n\v\f\r \u0085\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+SPACE_CHARS = "".join(f"\\u{ord(c):04X}" for c in SPACES)
 SPACE = f"[{SPACE_CHARS}]"
 NOT_SPACE = f"[^{SPACE_CHARS}]"
 # White space that does not end a line, for line-wise regular expressions.
-BLANK = "[\\t\\x0B\\f \\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
-
-
-SPACES = "\t\n\v\f\r \u0085\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+BLANK = "[" + "".join(f"\\u{ord(c):04X}" for c in SPACES if c not in "\n\r") + "]"
 
 
 def trim_space(c: Column) -> Column:

@@ -113,7 +113,9 @@ def chunk_cues(
 POINTS_PER_SHARD = 100_000
 
 
-def edge_neighbours(points: DataFrame, cues: DataFrame, few_points: bool = False) -> DataFrame:
+def edge_neighbours(
+    points: DataFrame, cues: DataFrame, few_points: bool = False, sides: tuple[str, ...] = ("start", "end")
+) -> DataFrame:
     """For every point: nearest cue edge at or below and at or above, first cue reaching it, last cue.
 
     ``points``: project_id, side (``start`` / ``end``: which cue edge counts), t, ...  Adds ``below``/``above``
@@ -122,7 +124,8 @@ def edge_neighbours(points: DataFrame, cues: DataFrame, few_points: bool = False
 
     Edges and points of a project are merged in time order.  Cues per project are admitted (at most 100,000);
     a project with more points than ``POINTS_PER_SHARD`` is cut into shards, each with its own copy of the
-    edges.  ``few_points`` skips the count where points are already bounded.
+    edges.  ``few_points`` skips the count where points are already bounded.  ``sides`` are those the points ask for;
+    edges of other sides, and cues of projects without points, are never read into the merge.
     """
     order = Window.partitionBy("project_id").orderBy("cue_idx").rowsBetween(Window.unboundedPreceding, -1)
     prior = F.max("end_s").over(order)
@@ -133,7 +136,8 @@ def edge_neighbours(points: DataFrame, cues: DataFrame, few_points: bool = False
     point_cols = [x for x in points.columns if x not in ("project_id", "side", "t")]
     p = points.withColumn("p", F.struct(*point_cols))
     if few_points:
-        p, c = p.withColumn("shard", F.lit(0)), c.withColumn("shard", F.lit(0))
+        asked_for = points.select("project_id").distinct()
+        p, c = p.withColumn("shard", F.lit(0)), c.join(asked_for, "project_id", "left_semi").withColumn("shard", F.lit(0))
     else:
         shards = (
             points.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"))
@@ -159,7 +163,7 @@ def edge_neighbours(points: DataFrame, cues: DataFrame, few_points: bool = False
 
     edges = c.select(
         "project_id", "shard", "cue_idx", "start_s", "end_s",
-        F.explode(F.array(edge("start"), edge("end"), record("start"), record("end"))).alias("x"),
+        F.explode(F.array(*[f(side) for side in sides for f in (edge, record)])).alias("x"),
     ).where(F.col("x").isNotNull()).select(
         "project_id", "shard", "x.*", "cue_idx", F.struct("cue_idx", "start_s", "end_s").alias("cue"),
     )

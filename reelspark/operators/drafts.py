@@ -1,6 +1,6 @@
 """Drafts: validation, assembly, scene edits, revisions, snapshots and edit-list mapping.
 
-A draft holds at most 30 scenes, so everything about its scenes happens inside its row.
+A draft that passes validation holds at most 30 scenes; everything about its scenes happens inside its row.
 """
 
 from __future__ import annotations
@@ -53,9 +53,11 @@ def draft_reason(duration: Column | None) -> Column:
 
 
 def validate_drafts(drafts: DataFrame, projects: DataFrame) -> DataFrame:
-    """Adds ``reason`` against the duration of each draft's project."""
-    timed = drafts.join(projects.select("project_id", F.col("duration").alias("__d")), "project_id")
-    return timed.withColumn("reason", draft_reason(F.col("__d"))).drop("__d")
+    """Adds ``reason`` against the duration of each draft's project; a draft of no known project is refused."""
+    known = projects.select("project_id", F.col("duration").alias("__d"), F.lit(True).alias("__known"))
+    timed = drafts.join(known, "project_id", "left")
+    unknown = F.when(F.col("__known").isNull(), F.lit("unknown_project"))
+    return timed.withColumn("reason", F.coalesce(unknown, draft_reason(F.col("__d")))).drop("__d", "__known")
 
 
 def draft_durations(drafts: DataFrame) -> DataFrame:
@@ -207,23 +209,25 @@ def snapshot_exports(drafts: DataFrame, requests: DataFrame) -> tuple[DataFrame,
 def edl_position(drafts: DataFrame, positions: DataFrame) -> DataFrame:
     """Output position -> ``scene_no, source_s``; the last scene takes any overflow.
 
-    ``positions``: position_id, draft_id, position_s.  Scene offsets are whole microseconds.
+    ``positions``: position_id, draft_id, position_s.  Scene offsets are whole microseconds.  A position whose draft is
+    unknown or has no scenes stays, with null results and a ``reason``.
     """
     offsets = F.aggregate(
         "scenes", F.array(F.lit(0).cast("long")),
         lambda a, s: F.concat(a, F.array(F.element_at(a, -1) + micros(s["end_s"]) - micros(s["start_s"]))),
     )
-    d = drafts.where(F.size("scenes").between(1, MAX_SCENES)).select("draft_id", "scenes", offsets.alias("offsets"))
+    d = drafts.select("draft_id", "scenes", offsets.alias("offsets"), F.lit(True).alias("__known"))
     p = micros(F.col("position_s"))
     # number of scene ends at or before the position, limited to the last scene
     ends = F.slice("offsets", F.lit(2), F.size("scenes"))
-    no = F.least(F.size(F.filter(ends, lambda e: e <= p)), F.size("scenes") - 1)
-    joined = positions.join(d, "draft_id").withColumn("scene_no", no)
-    at = F.element_at("scenes", F.col("scene_no") + 1)
-    inside = p - F.element_at("offsets", F.col("scene_no") + 1)
+    no = F.when(F.size("scenes") > 0, F.least(F.size(F.filter(ends, lambda e: e <= p)), F.size("scenes") - 1))
+    joined = positions.join(d, "draft_id", "left").withColumn("scene_no", no)
+    at = F.get("scenes", F.col("scene_no"))
+    inside = p - F.get("offsets", F.col("scene_no"))
     length = micros(at["end_s"]) - micros(at["start_s"])
     return joined.select(
-        "position_id", "draft_id", "scene_no", ((micros(at["start_s"]) + F.least(length, inside)) / 1e6).alias("source_s")
+        "position_id", "draft_id", "scene_no", ((micros(at["start_s"]) + F.least(length, inside)) / 1e6).alias("source_s"),
+        F.when(F.col("__known").isNull(), F.lit("unknown_draft")).when(F.col("scene_no").isNull(), F.lit("no_scenes")).alias("reason"),
     )
 
 

@@ -1,7 +1,7 @@
 """Subtitle export: timeline intersection, SRT and ASS documents.
 
-A document belongs to one project or draft whose captions were admitted (at most 100,000), so the ordered
-list behind one document is bounded.
+A document is one value, so its captions come together in one task; ``max_cues`` bounds it.  Projects that are not
+exported (too many captions, a bad one, unknown dimensions) come back as reject rows with a reason.
 """
 
 from __future__ import annotations
@@ -47,24 +47,29 @@ def timeline_cues(drafts: DataFrame, cues: DataFrame) -> DataFrame:
     return hits.select("draft_id", (F.row_number().over(order) - 1).alias("out_idx"), "start_s", "end_s", "text")
 
 
-def _admitted(cues: DataFrame, key: str) -> DataFrame:
-    """Projects whose captions all pass the media rules and stay within the count limit."""
-    bad = caption_reason(F.col("start_s"), F.col("end_s"), F.col("text")).isNotNull()
-    facts = cues.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.bool_or(bad).alias("bad"))
-    return facts.where((F.col("n") <= MAX_CUES) & ~F.col("bad")).select(key)
+def _admission(cues: DataFrame, key: str, max_cues: int) -> DataFrame:
+    """``key, reason``: why the captions of a project make no document, or null.  Partial aggregates only."""
+    reason = caption_reason(F.col("start_s"), F.col("end_s"), F.col("text"))
+    facts = cues.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.bool_or(reason.isNotNull()).alias("bad"))
+    return facts.select(
+        key, F.when(F.col("n") > max_cues, F.lit("too_many_cues")).when(F.col("bad"), F.lit("bad_caption")).alias("reason")
+    )
 
 
-def to_srt(cues: DataFrame, key: str = "project_id", order: str = "cue_idx") -> DataFrame:
-    """One SRT document per project with valid captions."""
+def to_srt(
+    cues: DataFrame, key: str = "project_id", order: str = "cue_idx", max_cues: int = MAX_CUES
+) -> tuple[DataFrame, DataFrame]:
+    """``(documents, rejects)``: one SRT document per project with valid captions."""
+    admission = _admission(cues, key, max_cues)
     start = F.round(F.col("start_s") * 1000).cast("long")
     end = F.greatest(start + 1, F.round(F.col("end_s") * 1000).cast("long"))
-    kept = cues.join(_admitted(cues, key), key)
+    kept = cues.join(admission.where(F.col("reason").isNull()).drop("reason"), key)
     body = F.concat(srt_clock(start), F.lit(" --> "), srt_clock(end), F.lit("\n"), clean_caption(F.col("text")), F.lit("\n\n"))
     docs = kept.select(key, F.col(order).alias("__o"), body.alias("__b")).groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("__o", "__b"))).alias("xs")
     )
     lines = F.transform("xs", lambda x, i: F.concat((i + 1).cast("string"), F.lit("\n"), x["__b"]))
-    return docs.select(key, F.array_join(lines, "").alias("srt"))
+    return docs.select(key, F.array_join(lines, "").alias("srt")), admission.where(F.col("reason").isNotNull())
 
 
 def escape_ass(text: Column) -> Column:
@@ -97,8 +102,16 @@ def ass_header(w: Column, h: Column) -> Column:
     )
 
 
-def to_ass(cues: DataFrame, dims: DataFrame, key: str = "project_id", order: str = "cue_idx") -> DataFrame:
-    """One ASS document per project; ``dims``: project_id, out_w, out_h.  Times are centiseconds, at least one long."""
+def to_ass(
+    cues: DataFrame, dims: DataFrame, key: str = "project_id", order: str = "cue_idx", max_cues: int = MAX_CUES
+) -> tuple[DataFrame, DataFrame]:
+    """``(documents, rejects)``: one ASS document per project with valid captions and known dimensions.
+
+    ``dims``: project_id, out_w, out_h.  Times are centiseconds, at least one long.
+    """
+    sized = _admission(cues, key, max_cues).join(dims.select(key, "out_w", "out_h"), key, "left")
+    unsized = F.when(F.col("out_w").isNull() | F.col("out_h").isNull(), F.lit("no_dimensions"))
+    admission = sized.withColumn("reason", F.coalesce("reason", unsized))
     start = F.round(F.col("start_s") * 100).cast("long")
     end = F.greatest(start + 1, F.round(F.col("end_s") * 100).cast("long"))
     line = F.concat(
@@ -106,14 +119,15 @@ def to_ass(cues: DataFrame, dims: DataFrame, key: str = "project_id", order: str
         escape_ass(F.col("text")), F.lit("\n"),
     )
     docs = (
-        cues.join(_admitted(cues, key), key)
+        cues.join(admission.where(F.col("reason").isNull()).select(key), key)
         .select(key, F.col(order).alias("__o"), line.alias("__b"))
         .groupBy(key)
         .agg(F.array_sort(F.collect_list(F.struct("__o", "__b"))).alias("xs"))
     )
-    return docs.join(dims.select(key, "out_w", "out_h"), key).select(
+    written = docs.join(admission.where(F.col("reason").isNull()), key).select(
         key, F.concat(ass_header(F.col("out_w"), F.col("out_h")), F.array_join(F.col("xs.__b"), "")).alias("ass")
     )
+    return written, admission.where(F.col("reason").isNotNull()).select(key, "reason")
 
 
 def write_documents(docs: DataFrame, path: str, mode: str = "errorifexists") -> None:

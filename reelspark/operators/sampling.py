@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.media_time import finite, micros, round_to
+from ..functions.media_time import finite, round_to
 from ..functions.scan import Scan, prefix_scan, slice_hot_keys
 from ..functions.text import first_reason
 
@@ -60,7 +60,7 @@ def even_downsample(frames: DataFrame, n: int, keys: tuple[str, ...] = ("project
     Positions come from a sliced scan; whether a position is chosen is arithmetic on that row alone.
     """
     numbered = prefix_scan(
-        slice_hot_keys(frames, list(keys), micros(F.col("time_s"))), list(keys), "__b", ["time_s"],
+        slice_hot_keys(frames, list(keys), ["time_s"]), list(keys), "__b", ["time_s"],
         [Scan("__pos", "count")],
     )
     sizes = frames.groupBy(*keys).agg(F.count(F.lit(1)).alias("__len"))

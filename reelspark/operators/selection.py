@@ -9,9 +9,11 @@ from ..functions.media_time import finite
 from ..functions.scores import FALLBACK_SCORE, rescale_score
 from ..functions.text import SPACE, first_reason, not_blank, text_ok, trim_space, valid_id
 
+# Fixed value: reason of a score that no reply gave.
 FALLBACK_REASON = "Not scored by the model; neutral fallback applied."
 # Kinds that are never played back as highlights.
 NON_PLAY = ("menu", "reward_screen", "loading")
+# Fixed value: the largest number of candidates a duration profile keeps.
 LARGEST_KEEP = 32
 
 
@@ -36,29 +38,11 @@ def duration_profile(projects: DataFrame) -> DataFrame:
         *projects.columns,
         min_s.alias("min_s"), target_s.alias("target_s"), max_s.alias("max_s"),
         F.least(d, F.lit(1800.0)).alias("hard_max_s"),
-        tier(2, 3, 3).alias("min_keep"), tier(6, 10, 32).alias("max_keep"),
+        tier(2, 3, 3).alias("min_keep"), tier(6, 10, LARGEST_KEEP).alias("max_keep"),
         tier("short", "medium", "long").alias("tier"), low.alias("topics_low"), high.alias("topics_high"),
     )
 
 
-def profile_guidance(profile: DataFrame) -> DataFrame:
-    """Adds ``guidance`` text for prompts (kept apart: number formatting is not a compared value)."""
-    whole = lambda c: F.rint(F.col(c)).cast("long").cast("string")
-    text = F.concat(
-        F.lit("These parameters outrank any duration or count written in the instructions above. Source is "),
-        whole("duration"), F.lit(" seconds ("), F.col("tier"), F.lit("). Extract "), F.col("topics_low"), F.lit("-"),
-        F.col("topics_high"), F.lit(" nonoverlapping topics in total. Prefer segments of "), whole("min_s"), F.lit("-"),
-        whole("max_s"), F.lit(" seconds; target "), whole("target_s"),
-        F.lit(
-            " seconds is advisory. Requested duration zero means automatic complete semantics. Exceed the preferred"
-            " tier only when needed for a complete semantic unit; never blindly truncate a valid complete passage."
-            " The hard maximum is only a safety budget, not a desired length: do not pad toward it. Start and end"
-            " must fall exactly on subtitle-cue boundaries: quote a cue's own timestamps rather than computing your own."
-        ),
-    )
-    return profile.withColumn("guidance", text)
-
-
 def _single_replies(replies: DataFrame, *values: str) -> DataFrame:
     """Reply rows whose id occurs exactly once in the project; every copy of a repeated id is dropped."""
     return (
@@ -95,14 +79,15 @@ def align_titles(candidates: DataFrame, replies: DataFrame) -> DataFrame:
     return joined.select(*candidates.columns, title.alias("title"), hook.alias("hook"))
 
 
-def select_candidates(candidates: DataFrame, profile: DataFrame) -> DataFrame:
+def select_candidates(candidates: DataFrame, profile: DataFrame, largest_keep: int = LARGEST_KEEP) -> DataFrame:
     """Best by score up to ``max_keep``: score >= 0.7, or among the first ``min_keep``.
 
-    The constant bound on the rank lets Spark cut every map task to 32 rows per project before the
-    shuffle, so a project with very many candidates costs no more than any other.
+    ``largest_keep`` is the largest ``max_keep`` in ``profile`` (those of ``duration_profile`` end there; pass your own
+    bound with other profiles).  As a constant it lets Spark cut every map task to that many rows per project before
+    the shuffle, so a project with very many candidates costs no more than any other.
     """
     order = Window.partitionBy("project_id").orderBy(F.col("score").desc(), F.col("ord").asc())
-    best = candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= LARGEST_KEEP)
+    best = candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= largest_keep)
     return (
         best.join(profile.select("project_id", "min_keep", "max_keep"), "project_id")
         .where(

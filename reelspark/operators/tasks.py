@@ -9,19 +9,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scan import Scan, micros_since_epoch, prefix_scan, slice_hot_keys
+from ..functions.scan import Scan, prefix_scan, slice_hot_keys
 from ..functions.text import first_reason
 from .rollup import TERMINAL
 
 STATUSES = ("queued", "running", "completed", "failed", "interrupted", "cancelled")
 HEARTBEAT_SECONDS = 90
+# Fixed value: error text of an expired task.
 EXPIRED = "Worker heartbeat expired; review before retrying paid requests"
 ORDER = ["ts", "seq"]
 
 
 def _sliced(log: DataFrame, key: str = "task_id") -> DataFrame:
     """Log with slice ``__b`` of its task; ordinary tasks are one slice."""
-    return slice_hot_keys(log, [key], micros_since_epoch(F.col("ts")))
+    return slice_hot_keys(log, [key], ORDER)
 
 
 def task_steps(log: DataFrame) -> DataFrame:

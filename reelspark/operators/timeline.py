@@ -14,7 +14,7 @@ from ..functions.let import let
 from ..functions.media_time import finite, micros
 from ..functions.text import first_reason, text_ok, trim_space
 from ..session import materialize
-from .cues import edge_neighbours, snap_to_cues
+from .cues import cue_grounded, edge_neighbours, snap_to_cues
 
 EXCERPT_CHARS = 1000
 MAX_SPANS = 256
@@ -179,17 +179,19 @@ _ITEM = "struct<start_s:double,end_s:double,ord:int,label:string,next_cue:double
 def snap_items(items: DataFrame, cues: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Phase 1: check and snap bounds -> ``(snapped items, per-project facts with reason)``."""
     source = cues.groupBy("project_id").agg(F.min("start_s").alias("first_s"), F.max("end_s").alias("last_s"))
-    known = items.join(source, "project_id")
+    known = items.join(source, "project_id", "left")
     outside = (
         ~finite(F.col("start_s")) | ~finite(F.col("end_s")) | (F.col("end_s") <= F.col("start_s"))
         | (F.col("end_s") <= F.col("first_s")) | (F.col("start_s") >= F.col("last_s"))
     )
     checked = known.withColumn("outside", outside)
     gate = checked.groupBy("project_id").agg(
-        F.count(F.lit(1)).alias("n_input"), F.bool_or("outside").alias("outside")
+        F.count(F.lit(1)).alias("n_input"), F.bool_or("outside").alias("outside"),
+        F.count("first_s").alias("n_known"),
     )
     gate_reason = first_reason(
-        (F.col("n_input") > MAX_SPANS, "too_many_spans"), (F.col("outside"), "reversed_or_outside")
+        (F.col("n_input") > MAX_SPANS, "too_many_spans"), (F.col("n_known") == 0, "no_cues"),
+        (F.col("outside"), "reversed_or_outside"),
     )
     gate = gate.select("project_id", "n_input", gate_reason.alias("gate_reason"))
     admitted = checked.drop("outside").join(
@@ -214,7 +216,7 @@ def snap_items(items: DataFrame, cues: DataFrame) -> tuple[DataFrame, DataFrame]
 def resolve_overlaps(snapped: DataFrame, cues: DataFrame) -> DataFrame:
     """Phase 2 -> one row per project: ``items`` (non-overlapping), ``merged``, ``shifted``, ``snapped``, ``bad``."""
     ends = snapped.withColumns({"side": F.lit("start"), "t": F.col("end_s")})
-    nxt = edge_neighbours(ends, cues, few_points=True).select("project_id", "ord", "label", "start_s", "end_s", "moved", F.col("above.value").alias("next_cue"))
+    nxt = edge_neighbours(ends, cues, few_points=True, sides=("start",)).select("project_id", "ord", "label", "start_s", "end_s", "moved", F.col("above.value").alias("next_cue"))
     per = nxt.groupBy("project_id").agg(
         F.array_sort(F.collect_list(F.struct("start_s", "end_s", "ord", "label", "next_cue"))).alias("xs"),
         F.count_if("moved").alias("snapped"),
@@ -478,5 +480,28 @@ def refine_timeline(items: DataFrame, cues: DataFrame, profile: DataFrame) -> tu
 
 
 def quality_report(items: DataFrame, cues: DataFrame, profile: DataFrame) -> DataFrame:
-    """Counters of the refinement, checked against the surviving rows."""
-    return refine_timeline(items, cues, profile)[1]
+    """Counters of the refinement with ``consistent``: whether the surviving rows bear them out.
+
+    A project's rows must be as many as reported, in order without overlap, bounded by cue edges, and hold as many spans
+    over the tier maximum as reported; a project with a reason must have none.
+    """
+    candidates, report = refine_timeline(items, cues, profile)
+    spans = cue_grounded(candidates.select("project_id", F.col("ord").alias("span_id"), "start_s", "end_s"), cues)
+    before = Window.partitionBy("project_id").orderBy("span_id")  # at most 256 spans in a project
+    found = (
+        spans.withColumn("after", F.coalesce(F.lag("end_s").over(before) <= F.col("start_s"), F.lit(True)))
+        .join(profile.select("project_id", "max_s"), "project_id", "left")
+        .groupBy("project_id")
+        .agg(
+            F.count("*").alias("n"),
+            F.bool_and(F.col("grounded") & F.col("after") & (F.col("end_s") > F.col("start_s"))).alias("sound"),
+            F.count_if(F.col("end_s") - F.col("start_s") > F.col("max_s") + 1e-6).alias("n_over"),
+        )
+    )
+    none = F.col("n").isNull()
+    agrees = F.col("sound") & (F.col("n") == F.col("output")) & (F.col("n_over") == F.col("over_tier"))
+    return (
+        report.join(found, "project_id", "left")
+        .withColumn("consistent", F.when(F.col("reason").isNotNull(), none).otherwise(F.coalesce(agrees, F.lit(False))))
+        .drop("n", "sound", "n_over")
+    )

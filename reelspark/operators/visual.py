@@ -179,36 +179,41 @@ def apply_refinement(scan: DataFrame, refine: DataFrame) -> DataFrame:
     """Scan candidates with the outcome of the single refinement.
 
     ``scan``: project_id, ord, rank (1 = reviewed, null = not playable), id, start_s, end_s, score, kind.
-    ``refine``: project_id, ok, id, start_s, end_s, score, kind.  Accepted (one event, same id): the reviewed
-    row takes the refined values.  Rejected: the reviewed row is skipped only when another playable one is
-    left, otherwise the project fails.  ``selected`` marks rows that become drafts.
+    ``refine``: project_id, ok, id, start_s, end_s, score, kind.  Both may carry further columns (label, evidence,
+    reasons, frames); an accepted event (``ok``, same id) replaces the reviewed row in every column they share.
+    Rejected: the reviewed row is skipped only when another playable one is left, otherwise the project fails.
+    ``no_highlights``: nothing was playable, or what was accepted is not and nothing else is left.  ``selected`` marks
+    rows that become drafts.
     """
-    top = scan.where(F.col("rank") == 1).select("project_id", F.col("id").alias("top_id"))
-    others = scan.where(F.col("rank") > 1).groupBy("project_id").agg(F.count(F.lit(1)).alias("n_other"))
-    r = refine.select(
-        "project_id", "ok", F.col("id").alias("r_id"), F.struct("start_s", "end_s", "score", "kind").alias("r")
+    shared = [c for c in refine.columns if c in scan.columns and c not in ("project_id", "ord", "rank", "id")]
+    facts = scan.groupBy("project_id").agg(
+        F.count_if(F.col("rank") > 1).alias("n_other"), F.count_if(F.col("rank") == 1).alias("n_top")
     )
+    top = scan.where(F.col("rank") == 1).select("project_id", F.col("id").alias("top_id"))
+    r = refine.select("project_id", "ok", F.col("id").alias("r_id"), F.struct(*shared).alias("r"))
+    unplayable = F.col("r.kind").isin(*NON_PLAY) & (F.col("n_other") == 0)
     decision = (
-        top.join(others, "project_id", "left")
+        facts.join(top, "project_id", "left")
         .join(r, "project_id", "left")
         .withColumn("accepted", F.coalesce(F.col("ok") & (F.col("r_id") == F.col("top_id")), F.lit(False)))
         .withColumn(
             "status",
-            F.when(F.col("accepted"), F.lit("accepted"))
-            .when(F.coalesce(F.col("n_other"), F.lit(0)) > 0, F.lit("skipped"))
+            F.when((F.col("n_top") == 0) | (F.col("accepted") & unplayable), F.lit("no_highlights"))
+            .when(F.col("accepted"), F.lit("accepted"))
+            .when(F.col("n_other") > 0, F.lit("skipped"))
             .otherwise(F.lit("failed")),
         )
         .select("project_id", "top_id", "r", "status")
     )
     joined = scan.join(decision, "project_id")
-    is_top = F.col("id") == F.col("top_id")
+    is_top = F.coalesce(F.col("id") == F.col("top_id"), F.lit(False))
     use = is_top & (F.col("status") == "accepted")
     pick = lambda c: F.when(use, F.col(f"r.{c}")).otherwise(F.col(c)).alias(c)
     selected = F.when(
         is_top, (F.col("status") == "accepted") & ~F.col("r.kind").isin(*NON_PLAY)
-    ).otherwise(F.col("rank").isNotNull() & (F.col("status") != "failed"))
+    ).otherwise(F.col("rank").isNotNull() & ~F.col("status").isin("failed", "no_highlights"))
     return joined.select(
-        "project_id", "ord", "id", pick("start_s"), pick("end_s"), pick("score"), pick("kind"),
+        "project_id", "ord", "id", *[pick(c) for c in shared],
         F.when(use, F.lit("refined")).otherwise(F.lit("scan")).alias("disposition"),
         F.coalesce(selected, F.lit(False)).alias("selected"), "status",
     )

@@ -47,10 +47,17 @@ def srt_ingest(spark, d):
     return SRT.parse_srt_rows(A.srt_docs(spark, d), "doc_id", "content")
 
 
+def _some_bad(cues):
+    """Captions of which one in every seventh project ends before it starts."""
+    bad = (F.col("project_id") % 7 == 3) & (F.col("cue_idx") == 0)
+    return cues.withColumn("end_s", F.when(bad, F.col("start_s") - 1).otherwise(F.col("end_s")))
+
+
 @query
 def srt_export(spark, d):
     cues = A.short_cues(spark, d).withColumnRenamed("seq", "cue_idx")
-    return X.to_srt(cues)
+    docs, rejects = X.to_srt(_some_bad(cues))
+    return docs.unionByName(rejects, allowMissingColumns=True)
 
 
 @query
@@ -61,7 +68,8 @@ def ass_export(spark, d):
         F.when(F.col("project_id") % 2 == 0, F.lit(1080)).otherwise(F.lit(1920)).alias("out_w"),
         F.when(F.col("project_id") % 2 == 0, F.lit(1920)).otherwise(F.lit(1080)).alias("out_h"),
     )
-    return X.to_ass(cues, dims)
+    docs, rejects = X.to_ass(_some_bad(cues), dims.where(F.col("project_id") % 11 != 5))
+    return docs.unionByName(rejects, allowMissingColumns=True)
 
 
 def raw_replies(spark, d):
@@ -634,7 +642,7 @@ def candidate_merge(spark, d):
     previous = A.table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("workflow_id"), F.concat_ws("-", mode, A.task_key()).alias("id"), F.col("l_linenumber").alias("ord")
     )
-    incoming = o.where(F.col("o_orderstatus") != "P").select(
+    incoming = o.select(
         F.col("o_orderkey").alias("workflow_id"),
         F.concat(F.when(F.col("o_orderstatus") == "F", F.lit("visual-")).otherwise(F.lit("subtitle-")), F.col("o_custkey")).alias("id"), F.lit(0).alias("ord"),
     )
@@ -743,7 +751,9 @@ def timeline_refine(spark, d):
 @query
 def quality_report(spark, d):
     cues = A.stored_cues(spark, d)
-    return TL.quality_report(A.timeline_items(cues), cues, A.profiles(spark, d, cues))
+    items = A.timeline_items(cues)
+    orphans = items.where((F.col("ord") == 0) & (F.col("project_id") % 9 == 0)).withColumn("project_id", -1 - F.col("project_id"))
+    return TL.quality_report(items.unionByName(orphans), cues, A.profiles(spark, d, cues))
 
 
 @query
@@ -805,8 +815,8 @@ def select_candidates(spark, d):
 
 @query
 def playable_topk(spark, d):
-    events = A.visual_candidates(spark, d).select("project_id", "ord", "kind", "score")
-    return V.playable(events)
+    events = A.visual_candidates(spark, d).select(F.floor(F.col("ord") / 10).alias("reply_id"), "ord", "kind", "score")
+    return V.playable(events, key="reply_id")
 
 
 @query
@@ -996,7 +1006,7 @@ def checkpoint_lineage(spark, d):
     c = A.table(spark, d, "conversations")
     stages = c.select(F.col("conv_id").alias("run_id"), F.col("turn").cast("int").alias("n"), F.concat(F.lit("stage-"), F.col("turn")).alias("stage"), F.col("role").alias("input"), F.col("text").alias("data"))
     k = (F.col("conv_id") + F.col("turn")) % 5
-    saved = c.where(F.col("role") != "system").select(
+    saved = c.select(
         F.col("conv_id").alias("run_id"), F.concat(F.lit("stage-"), F.col("turn")).alias("stage"),
         F.when(k == 0, F.lit("old")).otherwise(F.lit(K.VERSION)).alias("version"),
         F.sha2(F.when(k == 1, F.lit("x")).otherwise(F.col("role")), 256).alias("input_hash"), F.lit("").alias("previous"),

@@ -112,7 +112,7 @@ def fold_engine_events(
 
 def engine_candidate_rows(results: DataFrame, projects: DataFrame) -> DataFrame:
     """Engine results with project duration, mapped to candidate columns, plus ``bad`` per row."""
-    joined = results.join(projects.select("project_id", "duration"), "project_id")
+    joined = results.join(projects.select("project_id", "duration"), "project_id", "left")  # unknown project: bad
     label = F.when(F.coalesce(F.col("title"), F.lit("")) == "", F.lit(DEFAULT_LABEL)).otherwise(F.col("title"))
     bad = (
         (F.coalesce(F.col("id"), F.lit("")) == "")

@@ -74,5 +74,5 @@ def test_text_highlights(spark, tmp_path):
     assert checked.where("reason is not null").count() == 0
     timed = X.timeline_cues(drafts.select("project_id", "draft_id", "scenes"), cues)
     assert timed.groupBy("draft_id").count().where("count != 4").count() == 0
-    X.write_documents(X.to_srt(timed, key="draft_id", order="out_idx"), str(tmp_path / "srt"))
+    X.write_documents(X.to_srt(timed, key="draft_id", order="out_idx")[0], str(tmp_path / "srt"))
     assert spark.read.parquet(str(tmp_path / "srt")).count() == 6
