@@ -224,39 +224,25 @@ def goal_failures(results: DataFrame) -> DataFrame:
     )
 
 
-def workspace_snapshot(
-    projects: DataFrame, sections: dict[str, DataFrame], page_size: int = 500
-) -> DataFrame:
-    """Nested child arrays per project in pages of about ``page_size`` rows.
-
-    ``sections``: name -> DataFrame(project_id, seq, body).  A page is chosen from ``seq`` and the number of
-    children, both known without ordering the children, so a project with very many of them becomes many
-    bounded rows instead of one unbounded one.  ``n_<section>`` is the total of the whole project.
+SECTIONS = ("candidates", "drafts", "exports", "tasks", "workflows")
+
+
+def workspace_snapshot(projects: DataFrame, sections: dict[str, DataFrame]) -> DataFrame:
+    """One row per child of a project (section, seq, body), in the same shape for every size.
+
+    ``sections``: name (of ``SECTIONS``) -> DataFrame(project_id, seq, body).  A project without children has one row
+    whose section is null.  ``n_<section>`` is the total of the whole project; totals are partial aggregates, so
+    no task sees all children of a project.
     """
     children = None
     for name, df in sections.items():
         part = df.select("project_id", F.lit(name).alias("section"), F.col("seq").cast("long").alias("seq"), "body")
         children = part if children is None else children.unionByName(part)
     totals = children.groupBy("project_id").agg(
-        F.count(F.lit(1)).alias("__n"),
-        *[F.count_if(F.col("section") == name).alias(f"n_{name}") for name in sections],
-    )
-    sized = totals.withColumn("n_pages", F.greatest(F.lit(1), F.ceil(F.col("__n") / page_size)).cast("int")).drop("__n")
-    paged = children.join(sized.select("project_id", "n_pages"), "project_id").withColumn(
-        "page", F.pmod(F.col("seq"), F.col("n_pages")).cast("int")
-    )
-    child = F.struct("seq", "body")
-    arrays = paged.groupBy("project_id", "page").agg(
-        *[
-            F.array_sort(F.collect_list(F.when(F.col("section") == name, child))).alias(name)
-            for name in sections
-        ]
+        *[F.count_if(F.col("section") == name).alias(f"n_{name}") for name in sections]
     )
     return (
-        projects.join(sized, "project_id", "left")
-        .join(arrays, "project_id", "left")
-        .withColumns(
-            {"n_pages": F.coalesce("n_pages", F.lit(1)), "page": F.coalesce("page", F.lit(0))}
-            | {f"n_{s}": F.coalesce(F.col(f"n_{s}"), F.lit(0).cast("long")) for s in sections}
-        )
+        projects.join(totals, "project_id", "left")
+        .join(children, "project_id", "left")
+        .withColumns({f"n_{s}": F.coalesce(F.col(f"n_{s}"), F.lit(0).cast("long")) for s in sections})
     )

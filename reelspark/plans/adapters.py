@@ -219,21 +219,21 @@ def workflow_goals(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def event_log(spark: SparkSession, d: str) -> DataFrame:
-    """Events as a task log ordered by time and id."""
-    return table(spark, d, "events").select(
+def event_log(spark: SparkSession, d: str, events: DataFrame | None = None) -> DataFrame:
+    """Events (the table, or a stream of it) as a task log ordered by time and id."""
+    return (table(spark, d, "events") if events is None else events).select(
         F.col("user_id").alias("task_id"), "ts", F.col("event_id").alias("seq"), "event_type", "value"
     )
 
 
-def command_log(spark: SparkSession, d: str) -> DataFrame:
+def command_log(spark: SparkSession, d: str, events: DataFrame | None = None) -> DataFrame:
     """Events as commands: mostly progress, some heartbeats, rare cancels and finishes."""
     v = F.col("value")
     op = (
         F.when(v > 250, F.lit("finish")).when((v > 200) & (F.col("event_type") == "error"), F.lit("cancel"))
         .when(F.col("event_type") == "view", F.lit("heartbeat")).otherwise(F.lit("progress"))
     )
-    return event_log(spark, d).select(
+    return event_log(spark, d, events).select(
         "task_id", "ts", "seq", op.alias("op"), F.col("event_type").alias("stage"),
         F.least(F.lit(100.0), v / 4).alias("percent"),
         F.when(F.col("event_type") == "purchase", F.lit("failed")).otherwise(F.lit("completed")).alias("status"),

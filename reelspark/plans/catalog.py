@@ -26,7 +26,7 @@ from ..sources import replies as RP
 from ..sources import srt as SRT
 from ..sources import urls as U
 from ..streaming import tasks as ST
-from ..streaming.run import run_available
+from ..streaming.run import run_available, run_updates, stream_session
 from . import adapters as A
 from .highlights import fused_highlights
 
@@ -219,11 +219,62 @@ def entity_scan(spark, d):
             F.col("o_orderdate").alias("created_at"),
         )
     )
-    raw = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), body.alias("body"))
+    raw = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), _some_broken(body, F.col("o_orderkey")).alias("body"))
     out = E.read_entities(raw, "export")
     return out.withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd"))
 
 
+def _some_broken(body, n):
+    """JSON bodies, one in eleven of which breaks off and one in thirteen of which is missing."""
+    return F.when(n % 13 == 5, F.lit(None)).when(n % 11 == 3, F.substring(body, 1, 9)).otherwise(body)
+
+
+@query
+def entity_project(spark, d):
+    n = F.col("c_custkey")
+    body = F.to_json(F.struct(
+        n.cast("string").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("status"), F.col("c_acctbal").alias("duration"),
+        (n % 1920).cast("int").alias("width"), (n % 2 == 0).alias("has_audio"),
+    ))
+    raw = A.table(spark, d, "customer").select(n.alias("seq"), _some_broken(body, n).alias("body"))
+    return E.read_entities(raw, "project").select("seq", "id", "name", "status", "duration", "width", "has_audio", "reason")
+
+
+@query
+def entity_task(spark, d):
+    n = F.col("event_id")
+    body = F.to_json(F.struct(
+        n.cast("string").alias("id"), F.col("user_id").cast("string").alias("project_id"), F.col("event_type").alias("stage"),
+        F.col("value").alias("progress"), F.array(F.lit("probe"), F.col("event_type")).alias("completed_steps"), (n % 3 == 0).alias("retryable"),
+    ))
+    raw = A.table(spark, d, "events").select(n.alias("seq"), _some_broken(body, n).alias("body"))
+    out = E.read_entities(raw, "task")
+    return out.select("seq", "id", "project_id", "stage", "progress", F.array_join("completed_steps", ",").alias("steps"), "retryable", "reason")
+
+
+@query
+def entity_draft(spark, d):
+    n = F.col("p_partkey")
+    scene = F.struct(F.lit("s0").alias("id"), F.col("p_brand").alias("label"), F.lit(0.5).alias("start"), (F.col("p_size") + 1.0).alias("end"))
+    body = F.to_json(F.struct(n.cast("string").alias("id"), F.col("p_brand").alias("title"), F.array(scene).alias("scenes"), F.col("p_size").cast("int").alias("revision")))
+    raw = A.table(spark, d, "part").select(n.alias("seq"), _some_broken(body, n).alias("body"))
+    out = E.read_entities(raw, "draft")
+    return out.select("seq", "id", "title", F.size("scenes").alias("n_scenes"), F.col("scenes")[0]["end"].alias("first_end"), "revision", "reason")
+
+
+@query
+def entity_workflow(spark, d):
+    n = F.col("o_orderkey")
+    goal = F.struct(F.lit("content").alias("goal"), F.col("o_orderstatus").alias("status"), F.array(F.lit("d1"), F.lit("d2")).alias("draft_ids"))
+    body = F.to_json(F.struct(
+        n.cast("string").alias("id"), F.col("o_custkey").cast("string").alias("project_id"), (n % 2 == 0).alias("auto_export"), F.array(goal).alias("goals"),
+    ))
+    raw = A.table(spark, d, "orders").select(n.alias("seq"), _some_broken(body, n).alias("body"))
+    g = F.col("goals")[0]
+    out = E.read_entities(raw, "workflow")
+    return out.select("seq", "id", "project_id", "auto_export", g["status"].alias("goal_status"), F.size(g["draft_ids"]).alias("n_drafts"), "reason")
+
+
 @query
 def keyed_upsert(spark, d):
     base = A.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("amount"), F.col("c_mktsegment").alias("tag"))
@@ -781,9 +832,15 @@ def workspace_snapshot(spark, d):
     orders = A.table(spark, d, "orders")
     flows = orders.select(F.col("o_custkey").alias("project_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("body"))
     tasks = A.project_tasks(spark, d).select("project_id", "seq", F.col("task_id").alias("body"))
-    snap = R.workspace_snapshot(projects, {"workflows": flows, "tasks": tasks}, page_size=40)
-    joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["seq"].cast("string"), x["body"])), ";")
-    return snap.withColumns({"workflows": F.coalesce(joined("workflows"), F.lit("")), "tasks": F.coalesce(joined("tasks"), F.lit(""))})
+    # drafts, exports and candidates stand in for by parts, order lines and events of the same keys
+    drafts = A.table(spark, d, "part").select((F.col("p_partkey") * 7).alias("project_id"), F.col("p_partkey").alias("seq"), F.col("p_brand").alias("body"))
+    exports = A.table(spark, d, "lineitem").where("l_returnflag = 'R'").select(
+        F.col("l_suppkey").alias("project_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("l_linestatus").alias("body")
+    )
+    candidates = A.table(spark, d, "events").select(F.col("user_id").alias("project_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("body"))
+    return R.workspace_snapshot(
+        projects, {"workflows": flows, "tasks": tasks, "drafts": drafts, "exports": exports, "candidates": candidates}
+    )
 
 
 @query
@@ -1111,7 +1168,8 @@ def lease_fence(spark, d):
 
 def _event_stream(spark, d):
     schema = A.table(spark, d, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    reader = stream_session(spark).readStream.schema(schema).option("maxFilesPerTrigger", 16)
+    return reader.option("pathGlobFilter", "events.parquet").parquet(d)
 
 
 @query
@@ -1122,7 +1180,7 @@ def snapshot_stream(spark, d):
         F.when(v > 350, F.lit("failed")).when(v < 1, F.lit("lost")).otherwise(F.lit("running")).alias("status"),
         F.when(F.col("event_type") != "view", v / 3).alias("percent"),
     )
-    return run_available(ST.snapshot_stream(feed), "snapshots").select("task_id", "seq", "status")
+    return run_available(ST.snapshot_stream(feed), spark, "snapshots").select("task_id", "seq", "status")
 
 
 @query
@@ -1136,4 +1194,30 @@ def progress_stream(spark, d):
     lines = _event_stream(spark, d).select(
         F.col("user_id").alias("op_id"), F.col("event_id").alias("seq"), line.alias("line"), F.lit(40.0).alias("duration"), F.lit(98.0).alias("scale")
     )
-    return run_available(ST.progress_stream(lines), "progress")
+    return run_available(ST.progress_stream(lines), spark, "progress")
+
+
+@query
+def heartbeat_expiry_stream(spark, d):
+    feed = _event_stream(spark, d).select(
+        F.col("user_id").alias("task_id"), F.col("ts").cast("timestamp").alias("ts"),
+        F.when(F.col("value") > 350, F.lit("completed")).otherwise(F.lit("running")).alias("status"),
+    )
+    return run_available(ST.expire_heartbeats(feed, seconds=36000), spark, "heartbeats")
+
+
+@query
+def task_fold_stream(spark, d):
+    log = A.command_log(spark, d, _event_stream(spark, d)).withColumn("ts", F.col("ts").cast("timestamp"))
+    newest = run_updates(ST.fold_tasks(log), spark, ["task_id"], "applied", "folded")
+    return newest.select("task_id", "status", "stage", "percent", "cancel_requested")
+
+
+@query
+def lease_fence_stream(spark, d):
+    e = _event_stream(spark, d)
+    updates = e.select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), F.concat(F.lit("lease-"), F.col("event_id") % 3).alias("lease_id"))
+    leases = A.table(e.sparkSession, d, "events").groupBy(F.col("user_id").alias("task_id")).agg(
+        F.concat(F.lit("lease-"), F.col("task_id") % 3).alias("lease_id"), F.when(F.max("value") > 250, F.lit("failed")).otherwise(F.lit("running")).alias("status")
+    )
+    return run_available(ST.fence_stream(updates, leases), spark, "fenced")

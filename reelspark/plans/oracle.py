@@ -271,6 +271,13 @@ def _needs(sql: str) -> list[str]:
     return [n for n in _CTES if n in words]
 
 
+def _entity(seq: str, table: str, **columns: str) -> str:
+    """Typed entity columns; bodies that are missing or broken leave them null with a reason."""
+    kept = ", ".join(f"CASE WHEN reason IS NULL THEN {sql} END AS {name}" for name, sql in columns.items())
+    reason = f"CASE WHEN {seq} % 13 = 5 THEN 'no_body' WHEN {seq} % 11 = 3 THEN 'malformed_json' END"
+    return f"SELECT {seq} AS seq, {kept}, reason FROM (SELECT *, {reason} AS reason FROM {table})"
+
+
 def _sql(body: str, **own: str) -> str:
     """``body`` with its CTEs; ``own`` adds CTEs of this query only."""
     order: list[str] = []
@@ -443,8 +450,20 @@ ORACLES: dict[str, str] = {
         r="SELECT vis.*, e.value AS v FROM vis JOIN events e ON e.event_id = vis.ord",
         bad="SELECT DISTINCT project_id FROM r WHERE end_s > 7200.001::DOUBLE OR end_s <= start_s",
     ),
-    "entity_scan": """SELECT o_orderkey AS seq, o_orderkey::VARCHAR AS task_id, o_custkey::VARCHAR AS draft_id, length(o_orderpriority) AS revision, o_orderpriority AS title,
-        strftime(o_orderdate, '%Y-%m-%d') AS created_at FROM orders""",
+    "entity_scan": _entity(
+        "o_orderkey", "orders", task_id="o_orderkey::VARCHAR", draft_id="o_custkey::VARCHAR", revision="length(o_orderpriority)",
+        title="o_orderpriority", created_at="strftime(o_orderdate, '%Y-%m-%d')",
+    ),
+    "entity_project": _entity(
+        "c_custkey", "customer", id="c_custkey::VARCHAR", name="c_name", status="c_mktsegment", duration="c_acctbal", width="(c_custkey % 1920)::INTEGER", has_audio="c_custkey % 2 = 0",
+    ),
+    "entity_task": _entity(
+        "event_id", "events", id="event_id::VARCHAR", project_id="user_id::VARCHAR", stage="event_type", progress="value", steps="'probe,' || event_type", retryable="event_id % 3 = 0",
+    ),
+    "entity_draft": _entity("p_partkey", "part", id="p_partkey::VARCHAR", title="p_brand", n_scenes="1", first_end="p_size + 1e0", revision="p_size"),
+    "entity_workflow": _entity(
+        "o_orderkey", "orders", id="o_orderkey::VARCHAR", project_id="o_custkey::VARCHAR", auto_export="o_orderkey % 2 = 0", goal_status="o_orderstatus", n_drafts="2",
+    ),
     "keyed_upsert": """
         SELECT coalesce(d.id, b.c_custkey) AS id, CASE WHEN d.id IS NULL THEN b.c_acctbal ELSE d.amount END AS amount, CASE WHEN d.id IS NULL THEN b.c_mktsegment ELSE d.tag END AS tag
         FROM customer b FULL JOIN (SELECT id, arg_max(o_totalprice, row(o_orderdate, o_orderkey)) AS amount, arg_max(o_orderpriority, row(o_orderdate, o_orderkey)) AS tag
@@ -746,13 +765,14 @@ ORACLES: dict[str, str] = {
     ),
     "workspace_snapshot": _sql(
         """
-        SELECT c_custkey AS project_id, c_name AS name, coalesce(n_pages, 1) AS n_pages, coalesce(n_workflows, 0) AS n_workflows, coalesce(n_tasks, 0) AS n_tasks, coalesce(page, 0) AS page,
-          coalesce(workflows, '') AS workflows, coalesce(tasks, '') AS tasks
-        FROM customer LEFT JOIN tot ON tot.project_id = c_custkey
-        LEFT JOIN (SELECT project_id, seq % n_pages AS page, coalesce(string_agg(seq || ':' || body, ';' ORDER BY seq, body) FILTER (sec = 'w'), '') AS workflows,
-                     coalesce(string_agg(seq || ':' || body, ';' ORDER BY seq, body) FILTER (sec = 't'), '') AS tasks FROM kid JOIN tot USING (project_id) GROUP BY 1, 2) a ON a.project_id = c_custkey""",
-        kid="SELECT o_custkey AS project_id, 'w' AS sec, o_orderkey AS seq, o_orderpriority AS body FROM orders UNION ALL SELECT project_id, 't', seq, task_id FROM ptask",
-        tot="SELECT project_id, greatest(1, ceil(count(*) / 40)::INTEGER) AS n_pages, count(*) FILTER (sec = 'w') AS n_workflows, count(*) FILTER (sec = 't') AS n_tasks FROM kid GROUP BY 1",
+        SELECT c_custkey AS project_id, c_name AS name, k.section, k.seq, k.body, coalesce(n_workflows, 0) AS n_workflows, coalesce(n_tasks, 0) AS n_tasks,
+          coalesce(n_drafts, 0) AS n_drafts, coalesce(n_exports, 0) AS n_exports, coalesce(n_candidates, 0) AS n_candidates
+        FROM customer LEFT JOIN kid k ON k.project_id = c_custkey
+        LEFT JOIN (SELECT project_id, count(*) FILTER (section = 'workflows') AS n_workflows, count(*) FILTER (section = 'tasks') AS n_tasks, count(*) FILTER (section = 'drafts') AS n_drafts,
+                     count(*) FILTER (section = 'exports') AS n_exports, count(*) FILTER (section = 'candidates') AS n_candidates FROM kid GROUP BY 1) t ON t.project_id = c_custkey""",
+        kid="""SELECT o_custkey AS project_id, 'workflows' AS section, o_orderkey AS seq, o_orderpriority AS body FROM orders UNION ALL SELECT project_id, 'tasks', seq, task_id FROM ptask
+               UNION ALL SELECT p_partkey * 7, 'drafts', p_partkey, p_brand FROM part UNION ALL SELECT l_suppkey, 'exports', l_orderkey * 10 + l_linenumber, l_linestatus FROM lineitem WHERE l_returnflag = 'R'
+               UNION ALL SELECT user_id, 'candidates', event_id, event_type FROM events""",
     ),
     "disable_subtitles": _sql("SELECT project_id // 5 AS project_id, draft_id, revision + subtitles::INTEGER AS revision, false AS subtitles, count(*) FILTER (subtitles) OVER (PARTITION BY project_id // 5) AS n_changed FROM draft"),
     "draft_duration": _sql("SELECT draft_id, count(*) AS n_scenes, sum(round(end_s * 1e6)::BIGINT - round(start_s * 1e6)::BIGINT)::BIGINT / 1e6 AS seconds FROM scene GROUP BY 1"),
@@ -942,3 +962,14 @@ ORACLES: dict[str, str] = {
 ORACLES["snapshot_stream"] = ORACLES["accepted_snapshots"].replace("SELECT task_id, seq FROM acc", "SELECT task_id, seq, status FROM acc")
 # event ids follow time, so the order of lines is the same in the log and in the stream
 ORACLES["progress_stream"] = ORACLES["monotone_progress"]
+ORACLES["task_fold_stream"] = ORACLES["task_state_stream"]
+ORACLES["lease_fence_stream"] = ORACLES["lease_fence"]
+ORACLES["heartbeat_expiry_stream"] = _sql(
+    """
+    SELECT task_id, 'interrupted' AS status, epoch_us(coalesce(gap_from, last)) // 1000 AS heartbeat_ms, true AS retryable,
+      'Worker heartbeat expired; review before retrying paid requests' AS error
+    FROM (SELECT task_id, max(ts) AS last, min(seq) FILTER (value > 350) AS finish, min(seq) FILTER (ts - prev > INTERVAL 10 HOUR) AS gap,
+            arg_min(prev, seq) FILTER (ts - prev > INTERVAL 10 HOUR) AS gap_from FROM beats GROUP BY 1)
+    WHERE CASE WHEN gap IS NOT NULL AND (finish IS NULL OR gap <= finish) THEN true ELSE finish IS NULL AND last + INTERVAL 10 HOUR < (SELECT max(ts) - INTERVAL 10 SECOND FROM events) END""",
+    beats="SELECT *, lag(ts) OVER (PARTITION BY task_id ORDER BY ts, seq) AS prev FROM elog",
+)

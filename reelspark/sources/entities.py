@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SCENE = "struct<id:string,label:string,start:double,end:double,evidence:string>"
@@ -31,11 +31,20 @@ ENTITY_SCHEMAS = {
 def read_entities(
     raw: DataFrame, entity: str, body_col: str = "body", seq_col: str = "seq", newest_first: bool = False
 ) -> DataFrame:
-    """Typed columns of one entity plus its insertion sequence.
+    """Typed columns of one entity, its insertion sequence, and ``reason`` where a body is missing or does not parse.
 
     ``newest_first`` adds a global sort; leave it off when the result feeds another operator.
     """
-    typed = raw.select(seq_col, F.from_json(body_col, ENTITY_SCHEMAS[entity]).alias("e")).select(seq_col, "e.*")
+    schema = f"{ENTITY_SCHEMAS[entity]}, __bad string"
+    body = F.from_json(body_col, schema, {"columnNameOfCorruptRecord": "__bad"})
+    reason = F.when(F.col(body_col).isNull(), F.lit("no_body")).when(F.col("e.__bad").isNotNull(), F.lit("malformed_json"))
+    typed = (
+        raw.withColumn("e", body)
+        .withColumn("reason", reason)
+        .withColumn("e", F.when(F.col("reason").isNull(), F.col("e")))  # no half-read rows
+        .select(seq_col, "e.*", "reason")
+        .drop("__bad")
+    )
     return typed.orderBy(F.col(seq_col).desc()) if newest_first else typed
 
 
@@ -45,20 +54,14 @@ def upsert(
     """Batch table maintenance.
 
     ``replace``: the newest delta row (by ``order``) of a key replaces the stored one.  ``ignore``: the
-    stored row stays; of several new rows the earliest is inserted.  One partial-aggregated shuffle: a
-    key with many delta rows is reduced before it moves.
+    stored row stays; of several new rows the earliest is inserted.  Only the delta is reduced (a bounded rank, so a key
+    with many delta rows is cut in the map tasks); base rows pass one anti join and are never aggregated.
     """
-    cols = base.columns
-    rank = F.struct(F.col("__from"), *[F.col(f"__k{i}") for i in range(len(order))])
-    tagged_base = base.select(
-        *cols, F.lit(0).alias("__from"), *[F.lit(None).cast(delta.schema[c].dataType).alias(f"__k{i}") for i, c in enumerate(order)]
-    )
-    tagged_delta = delta.select(*cols, F.lit(1).alias("__from"), *[F.col(c).alias(f"__k{i}") for i, c in enumerate(order)])
-    rest = [c for c in cols if c not in keys]
-    pick = F.max_by if mode == "replace" else F.min_by
-    return (
-        tagged_base.unionByName(tagged_delta)
-        .groupBy(*keys)
-        .agg(pick(F.struct(*rest), rank).alias("__row"))
-        .select(*[F.col(c) if c in keys else F.col(f"__row.{c}").alias(c) for c in cols])
+    replace = mode == "replace"
+    ranked = [F.col(c).desc() if replace else F.col(c).asc() for c in order or keys]
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*ranked))
+    new = delta.withColumn("__rank", first).where("__rank = 1").select(*base.columns)
+    keep, add = (base.join(new.select(*keys), list(keys), "left_anti"), new) if replace else (
+        base, new.join(base.select(*keys), list(keys), "left_anti")
     )
+    return keep.select(*base.columns).unionByName(add.select(*base.columns))

@@ -4,36 +4,66 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import storage_root
 
 
-def run_available(stream: DataFrame, label: str = "stream", timeout: int = 3600) -> DataFrame:
-    """Runs an append-mode stream with ``availableNow`` and returns the table it wrote.
+def stream_session(spark: SparkSession) -> SparkSession:
+    """A session of its own for one stream: on a local master each shuffle partition is one state store per core.
+
+    Settings of the given session stay as they are; a cluster keeps its own number of partitions.
+    """
+    own = spark.newSession()
+    for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.checkpoint.dir"):
+        if (value := spark.conf.get(key, None)) is not None and own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    cores = spark.sparkContext.defaultParallelism
+    if spark.sparkContext.master.startswith("local[") and int(own.conf.get("spark.sql.shuffle.partitions")) > cores:
+        own.conf.set("spark.sql.shuffle.partitions", str(cores))
+    return own
+
+
+def run_available(stream: DataFrame, spark: SparkSession, label: str = "stream") -> DataFrame:
+    """Runs an append-mode stream with ``availableNow`` and returns the table it wrote, read by ``spark``.
 
     Output and progress live in the shared checkpoint folder, so a restarted query continues where it was.
     """
-    spark = stream.sparkSession
     base = f"{storage_root(spark)}/reelspark/{label}-{uuid.uuid4().hex}"
-    partitions = spark.conf.get("spark.sql.shuffle.partitions")
-    cores = spark.sparkContext.defaultParallelism
-    local = spark.sparkContext.master.startswith("local") and int(partitions) > cores
-    if local:  # every shuffle partition keeps its own state store; a cluster keeps its own setting
-        spark.conf.set("spark.sql.shuffle.partitions", str(cores))
-    try:
-        query = (
-            stream.writeStream.format("parquet")
-            .outputMode("append")
-            .option("path", f"{base}/out")
-            .option("checkpointLocation", f"{base}/progress")
-            .trigger(availableNow=True)
-            .start()
-        )
-        if not query.awaitTermination(timeout):
-            query.stop()
-            raise TimeoutError(f"{label} did not finish in {timeout} seconds")
-    finally:
-        if local:
-            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    query = (
+        stream.writeStream.format("parquet")
+        .outputMode("append")
+        .option("path", f"{base}/out")
+        .option("checkpointLocation", f"{base}/progress")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+def run_updates(
+    stream: DataFrame, spark: SparkSession, keys: list[str], version: str, label: str = "stream"
+) -> DataFrame:
+    """Runs an update-mode stream with ``availableNow`` and returns the newest row of every key.
+
+    Each micro-batch overwrites its own folder, so a batch that is run again leaves the same table; ``version`` is a
+    column that grows with every update of a key.
+    """
+    base = f"{storage_root(spark)}/reelspark/{label}-{uuid.uuid4().hex}"
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{base}/out/batch={batch}")
+
+    query = (
+        stream.writeStream.outputMode("update")
+        .option("checkpointLocation", f"{base}/progress")
+        .trigger(availableNow=True)
+        .foreachBatch(write)
+        .start()
+    )
+    query.awaitTermination()
+    versions = spark.read.schema(stream.schema).parquet(f"{base}/out")
+    newest = versions.groupBy(*keys).agg(F.max(version).alias(version))
+    return versions.join(newest, [*keys, version], "left_semi")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,36 +19,64 @@ from ..operators.rollup import TERMINAL
 from ..operators.tasks import EXPIRED, HEARTBEAT_SECONDS, STATUSES, fence_leases, line_percent
 
 
+#: Event time for which a task without rows is remembered.
+RETENTION = "30 days"
+
+
 def _in_order(pdfs: Iterator[pd.DataFrame], columns: list[str]) -> pd.DataFrame:
     return pd.concat(list(pdfs)).sort_values(columns, kind="stable")
 
 
 def _millis(ts: pd.Timestamp) -> int:
-    return int(pd.Timestamp(ts).timestamp() * 1000)
+    return pd.Timestamp(ts).as_unit("ns").value // 1_000_000
+
+
+def expire_heartbeats(
+    feed: DataFrame, seconds: int = HEARTBEAT_SECONDS, delay: str = "10 seconds", retention: str = RETENTION
+) -> DataFrame:
+    """``task_id, ts, status`` feed -> one row per task whose heartbeat stopped for ``seconds`` of event time.
 
+    A gap within the rows of one batch counts like one that the watermark shows, so the result does not depend on how
+    rows fall into batches.  An expired or finished task stays marked for ``retention`` of event time: later rows neither
+    revive it nor interrupt it again; then its state goes.
+    """
+    wait, keep = seconds * 1000, pd.Timedelta(retention).value // 1_000_000
+
+    def expired(key, last):
+        return pd.DataFrame(
+            {"task_id": [key[0]], "status": ["interrupted"], "heartbeat_ms": [last], "retryable": [True], "error": [EXPIRED]}
+        )
 
-def expire_heartbeats(feed: DataFrame, seconds: int = HEARTBEAT_SECONDS, delay: str = "10 seconds") -> DataFrame:
-    """``task_id, ts, status`` feed -> one row per task whose heartbeat stopped for ``seconds`` of event time."""
-    wait = seconds * 1000
+    def settle(state: GroupState, last: int, done: bool) -> None:
+        state.update((last, done))
+        # what is already behind the watermark fires with the next one
+        state.setTimeoutTimestamp(max(last + (keep if done else wait), state.getCurrentWatermarkMs() + 1))
 
     def fold(key, pdfs, state: GroupState):
         if state.hasTimedOut:
-            (last, done) = state.get
-            state.remove()
-            if not done:
-                yield pd.DataFrame(
-                    {"task_id": [key[0]], "status": ["interrupted"], "heartbeat_ms": [last], "retryable": [True], "error": [EXPIRED]}
-                )
+            last, done = state.get
+            if done:
+                state.remove()
+                return
+            settle(state, last, True)
+            yield expired(key, last)
+            return
+        last, done = state.get if state.exists else (None, False)
+        if done:
+            settle(state, last, True)
             return
         rows = _in_order(pdfs, ["ts"])
-        last, done = state.get if state.exists else (0, False)
-        last = max(last, _millis(rows["ts"].max()))
-        done = done or bool(rows["status"].isin(TERMINAL).any())
-        state.update((last, done))
-        # an expiry already behind the watermark fires with the next one
-        state.setTimeoutTimestamp(max(last + wait, state.getCurrentWatermarkMs() + 1))
-        return
-        yield
+        at = rows["ts"].map(_millis).to_numpy()
+        end = rows["status"].isin(TERMINAL).to_numpy()
+        before = np.concatenate([[at[0] if last is None else last], np.maximum.accumulate(at)[:-1]])
+        before = np.maximum(before, before[0])
+        gap = np.flatnonzero(at - before > wait)
+        finish = np.flatnonzero(end)
+        if len(gap) and (not len(finish) or gap[0] <= finish[0]):
+            settle(state, int(before[gap[0]]), True)
+            yield expired(key, int(before[gap[0]]))
+        else:
+            settle(state, int(max(at.max(), before[0])), bool(len(finish)))
 
     return (
         feed.withWatermark("ts", delay)
@@ -62,17 +91,24 @@ def expire_heartbeats(feed: DataFrame, seconds: int = HEARTBEAT_SECONDS, delay:
     )
 
 
-def fold_tasks(feed: DataFrame) -> DataFrame:
+def fold_tasks(feed: DataFrame, delay: str = "1 hour", retention: str = RETENTION) -> DataFrame:
     """Command feed (task_id, ts, seq, op, stage, percent, status) -> current state per task, in update mode.
 
     Same rules as the batch twin ``fold_task_log``: cancel wins over a late finish, a finished task is final.
+    ``applied`` grows with every update.  State of a task goes after ``retention`` of event time without rows.
     """
+    keep = pd.Timedelta(retention).value // 1_000_000
 
     def fold(key, pdfs, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = _in_order(pdfs, ["ts", "seq"])
-        status, stage, percent, steps, beat, cancel = (
-            state.get if state.exists else ("running", None, None, 0, 0, False)
+        status, stage, percent, steps, beat, cancel, applied = (
+            state.get if state.exists else ("running", None, None, 0, 0, False, 0)
         )
+        newest = _millis(rows["ts"].max())
+        applied += len(rows)
         for r in rows.itertuples(index=False):
             if status != "running":
                 break
@@ -91,20 +127,21 @@ def fold_tasks(feed: DataFrame) -> DataFrame:
                 if status == "completed":
                     percent, steps = 100.0, steps + 1
             beat = _millis(r.ts)
-        state.update((status, stage, percent, steps, beat, cancel))
+        state.update((status, stage, percent, steps, beat, cancel, applied))
+        state.setTimeoutTimestamp(max(newest + keep, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(
             {
                 "task_id": [key[0]], "status": [status], "stage": [stage], "percent": [percent], "n_steps": [steps],
-                "heartbeat_ms": [beat], "cancel_requested": [cancel],
+                "heartbeat_ms": [beat], "cancel_requested": [cancel], "applied": [applied],
             }
         )
 
-    return feed.groupBy("task_id").applyInPandasWithState(
+    return feed.withWatermark("ts", delay).groupBy("task_id").applyInPandasWithState(
         fold,
-        "task_id long, status string, stage string, percent double, n_steps int, heartbeat_ms long, cancel_requested boolean",
-        "status string, stage string, percent double, n_steps int, heartbeat_ms long, cancel boolean",
+        "task_id long, status string, stage string, percent double, n_steps int, heartbeat_ms long, cancel_requested boolean, applied long",
+        "status string, stage string, percent double, n_steps int, heartbeat_ms long, cancel boolean, applied long",
         "update",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
@@ -113,13 +150,13 @@ def fence_stream(feed: DataFrame, leases: DataFrame) -> DataFrame:
     return fence_leases(feed, leases)
 
 
-def snapshot_stream(feed: DataFrame, delay: str = "1 hour") -> DataFrame:
+def snapshot_stream(feed: DataFrame, delay: str = "1 hour", retention: str = RETENTION) -> DataFrame:
     """Arrivals (task_id, ts, seq, updated_at, status, percent) -> accepted snapshots that changed.
 
-    Older ``updated_at`` than the newest accepted one is dropped; nothing follows a terminal snapshot.  The
-    watermark bounds how long an idle task keeps its state.
+    Older ``updated_at`` than the newest accepted one is dropped; nothing follows a terminal snapshot.  What was newest
+    and whether a task has ended is remembered for ``retention`` of event time after its last row.
     """
-    idle = pd.Timedelta(delay).value // 1_000_000
+    idle = pd.Timedelta(retention).value // 1_000_000
 
     def fold(key, pdfs, state: GroupState):
         if state.hasTimedOut:

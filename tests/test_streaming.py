@@ -46,6 +46,29 @@ def test_heartbeat_expiry(spark, tmp_path):
     assert got == {1: ("interrupted", epoch + 60000), 3: ("interrupted", epoch + 150000)}
 
 
+def test_expired_tasks_stay_expired_however_rows_are_batched(spark, tmp_path):
+    schema = "task_id long, ts timestamp, status string"
+    rows = [(1, at(0), "running"), (1, at(200), "running"), (1, at(500), "running"), (2, at(0), "running"), (2, at(60), "completed"), (2, at(400), "running"), (3, at(500), "running"), (3, at(10), "running")]
+    found = []
+    for n, parts in enumerate(([[0, 1, 2, 3, 4, 5, 6]], [[0, 3], [4], [1], [5, 2], [6]])):
+        write_batches(spark, rows, schema, tmp_path / f"in{n}", parts)
+        out = run(spark, ST.expire_heartbeats(stream(spark, schema, tmp_path / f"in{n}")), f"again{n}", tmp_path / f"cp{n}")
+        found.append(sorted(r["task_id"] for r in out.collect()))
+    assert found == [[1], [1]]
+
+
+def test_a_restarted_stream_goes_on(spark, tmp_path):
+    schema = "task_id long, ts timestamp, status string"
+    rows = [(1, at(0), "running"), (1, at(300), "running"), (1, at(900), "running"), (2, at(900), "running")]
+    total = []
+    for i in range(4):
+        write_batches(spark, rows, schema, tmp_path / "in", [[i]] if i == 0 else [[]] * 0)
+        if i:
+            spark.createDataFrame([rows[i]], schema).coalesce(1).write.parquet(f"{tmp_path}/in/part={i:03d}")
+        total += run(spark, ST.expire_heartbeats(stream(spark, schema, tmp_path / "in")), f"restart{i}", tmp_path / "cp").collect()
+    assert [r["task_id"] for r in total] == [1]
+
+
 def test_task_fold_matches_batch(spark, tmp_path, data_dir):
     log = A.command_log(spark, data_dir).withColumn("ts", F.col("ts").cast("timestamp"))
     schema = "task_id long, ts timestamp, seq long, op string, stage string, percent double, status string"
