@@ -29,6 +29,7 @@ from ..streaming import tasks as ST
 from ..streaming.run import run_available, run_updates, stream_session
 from . import adapters as A
 from .highlights import fused_highlights
+from .highlights import text_highlights as text_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -637,13 +638,13 @@ def title_align(spark, d):
     return SE.align_titles(c.select("project_id", "ord", "id", F.col("evidence").alias("label")), _score_replies(c))
 
 
-def _topic_tables(cues):
-    """Two topics per chunk of eight cues, and reply rows that name them loosely."""
+def _topic_tables(cues, first=0):
+    """Two topics per chunk of eight cues, numbered from ``first``, and reply rows that name them loosely."""
     chunk = F.floor(F.col("cue_idx") / 8).cast("int")
     chunks = cues.groupBy("project_id", chunk.alias("chunk")).agg(F.min("start_s").alias("chunk_start"), F.max("end_s").alias("chunk_end"))
     n = F.col("n")
     topics = chunks.select("project_id", "chunk", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("n")).select(
-        "project_id", "chunk", F.concat(F.lit("topic-"), F.col("chunk") * 2 + n).alias("topic_id"), F.concat(F.lit("T"), F.col("chunk"), F.lit("."), n).alias("title")
+        "project_id", "chunk", F.concat(F.lit("topic-"), F.col("chunk") * 2 + n + first).alias("topic_id"), F.concat(F.lit("T"), F.col("chunk"), F.lit("."), n).alias("title")
     )
     k = (F.col("project_id") + F.col("chunk")) % 5
     rows = chunks.select(
@@ -651,7 +652,7 @@ def _topic_tables(cues):
     ).withColumn("k", k)
     replies = rows.select(
         "project_id", "chunk", F.col("n").alias("row_no"),
-        F.concat(F.lit("topic-"), F.col("chunk") * 2 + F.when(F.col("k") == 2, F.lit(1)).when((F.col("k") == 3) & (n == 1), F.lit(77)).otherwise(n)).alias("topic_id"),
+        F.concat(F.lit("topic-"), first + F.col("chunk") * 2 + F.when(F.col("k") == 2, F.lit(1)).when((F.col("k") == 3) & (n == 1), F.lit(77)).otherwise(n)).alias("topic_id"),
         (F.col("chunk_start") + n * 3 - 5).alias("start_s"),
         F.when((F.col("k") == 2) & (n == 0), F.col("chunk_start") - 9).otherwise(F.col("chunk_end") + n * 7 - 6).alias("end_s"),
     )
@@ -807,6 +808,25 @@ def quality_report(spark, d):
     return TL.quality_report(items.unionByName(orphans), cues, A.profiles(spark, d, cues))
 
 
+@query
+def text_highlights(spark, d):
+    """The text path in one plan: outline, placement, refinement, scores, selection, titles."""
+    cues = A.stored_cues(spark, d)
+    _, replies, chunks = _topic_tables(cues, first=1)
+    topic = lambda i: F.struct(
+        F.concat(F.lit("T"), F.col("chunk"), F.lit(f".{i}")).alias("title"), F.array(F.lit("detail")).alias("subtopics")
+    )
+    outline = chunks.select("project_id", "chunk", F.array(topic(0), topic(1)).alias("items"))
+    n = F.col("n")
+    marks = chunks.select("project_id").distinct().select("project_id", F.explode(F.sequence(F.lit(1), F.lit(40))).alias("n")).select(
+        "project_id", F.concat(F.lit("text-"), n).alias("id"),
+        F.when(n % 9 != 4, (F.col("project_id") * 31 + n * 17) % 101 / 100).alias("score"), F.concat(F.lit("because "), n).alias("reason"),
+        F.when(n % 7 == 3, F.lit(" ")).otherwise(F.concat(F.lit("Title "), n)).alias("title"), F.concat(F.lit("Hook "), n).alias("hook"),
+    )
+    titled, _ = text_path(cues, chunks, A.profiles(spark, d, cues), outline, replies, marks, marks)
+    return titled.select("project_id", "ord", "id", "label", "start_s", "end_s", "evidence", "score", "reason", "rank", "title", "hook")
+
+
 @query
 def highlight_nms(spark, d):
     drafts = A.visual_candidates(spark, d).select(

@@ -958,6 +958,32 @@ ORACLES: dict[str, str] = {
     ),
     "lease_fence": _sql("SELECT task_id, seq, 'lease-' || seq % 3 AS lease_id FROM elog JOIN (SELECT task_id FROM elog GROUP BY 1 HAVING max(value) <= 250) USING (task_id) WHERE seq % 3 = task_id % 3"),
 }
+_REFINED = {n: _CTES[n] for n in "gate pts snapped sorted nextcue r2 resolved spans grow ext pair cov n_ext m4 final final_row".split()}
+ORACLES["text_highlights"] = _sql(
+    f"""
+    SELECT project_id, ord, id, label, start_s, end_s, evidence, score, reason, rank,
+      CASE WHEN {_text_ok('m_title', 200, True)} THEN m_title WHEN {_text_ok('label', 200, True)} THEN label ELSE 'Highlight ' || id END AS title,
+      CASE WHEN n <= 40 THEN 'Hook ' || n ELSE '' END AS hook
+    FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY score DESC, ord) AS rank FROM (
+            SELECT c.*, ord AS n, CASE WHEN ord > 40 THEN NULL WHEN ord % 7 = 3 THEN ' ' ELSE 'Title ' || ord END AS m_title,
+              CASE WHEN ord <= 40 THEN 'because ' || ord ELSE 'Not scored by the model; neutral fallback applied.' END AS reason,
+              coalesce({_rescale('raw')}, 0.5::DOUBLE) AS score
+            FROM (SELECT *, CASE WHEN ord <= 40 AND ord % 9 <> 4 THEN ((project_id * 31 + ord * 17) % 101) / 100 END AS raw FROM cand) c)) JOIN profile USING (project_id)
+    WHERE rank <= max_keep AND (score >= 0.7::DOUBLE OR rank <= min_keep)""",
+    chu="SELECT project_id, cue_idx // 8 AS chunk, min(start_s) AS chunk_start, max(end_s) AS chunk_end, cnt FROM (SELECT *, max(cue_idx // 8) OVER (PARTITION BY project_id) + 1 AS cnt FROM cues) GROUP BY ALL",
+    rep="""SELECT project_id, chunk, n AS row_no, chunk * 2 + CASE WHEN k = 2 THEN 1 WHEN k = 3 AND n = 1 THEN 77 ELSE n END AS topic, chunk_start + n * 3 - 5 AS start_s,
+             CASE WHEN k = 2 AND n = 0 THEN chunk_start - 9 ELSE chunk_end + n * 7 - 6 END AS end_s
+           FROM (SELECT *, (project_id + chunk) % 5 AS k FROM chu) JOIN (SELECT unnest([0, 1, 2]) AS n) ON k <> 1 AND (n < 2 OR k = 0)""",
+    ver="SELECT c.project_id, c.chunk FROM chu c LEFT JOIN rep r USING (project_id, chunk) WHERE cnt <= 128 GROUP BY 1, 2 HAVING count(r.row_no) BETWEEN 1 AND 2",
+    items="""SELECT project_id, (chunk * 256 + row_no)::INTEGER AS ord, 'T' || chunk || '.' || (topic - 2 * chunk) AS label, start_s, end_s FROM (
+               SELECT r.project_id, r.chunk, r.topic, r.row_no, greatest(r.start_s, c.chunk_start) AS start_s, least(r.end_s, c.chunk_end) AS end_s,
+                 row_number() OVER (PARTITION BY r.project_id, r.chunk, r.topic ORDER BY row_no) AS rn
+               FROM rep r JOIN chu c USING (project_id, chunk) JOIN ver v USING (project_id, chunk)
+               WHERE r.topic - 2 * r.chunk IN (0, 1) AND least(r.end_s, c.chunk_end) > greatest(r.start_s, c.chunk_start)) WHERE rn = 1""",
+    **_REFINED,
+    cand=f"""SELECT f.project_id, f.ord, f.id, f.label, f.start_s, f.end_s, coalesce((string_agg({_trim('c.text')}, ' ' ORDER BY cue_idx))[1:1000], '') AS evidence
+             FROM final_row f LEFT JOIN cues c ON c.project_id = f.project_id AND c.start_s < f.end_s AND c.end_s > f.start_s GROUP BY 1, 2, 3, 4, 5, 6""",
+)
 # the stream shows the accepted snapshots; no two of them are equal here, because update times differ
 ORACLES["snapshot_stream"] = ORACLES["accepted_snapshots"].replace("SELECT task_id, seq FROM acc", "SELECT task_id, seq, status FROM acc")
 # event ids follow time, so the order of lines is the same in the log and in the stream
