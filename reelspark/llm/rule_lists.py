@@ -144,7 +144,8 @@ def _grow(table: dict[str, np.ndarray], bad: np.ndarray, most: int) -> Rule:
                             best = (gain, Condition(name, above, float(cut)))
         if best[1] is None:
             break
-        rule += (best[1],)
+        # A tighter threshold on the same side takes the place of the looser one.
+        rule = tuple(c for c in rule if (c.name, c.above) != (best[1].name, best[1].above)) + (best[1],)
         rows = rows[best[1].holds({best[1].name: table[best[1].name][rows]})]
     return rule
 
