@@ -7,7 +7,7 @@ cosines are computed at once in double precision.  A pair is counted in its firs
 counts per vector and one link per vector and group found, so the output is linear in the vectors however large a group is.
 
 Equal vectors of one label collapse to one class first; each member is linked to all others.  Pivots are a bounded sample
-(``sample`` rows by a hash of vec_id, thinned to ``pivots`` distant ones); every vector is indexed.
+(``SAMPLED`` rows per pivot by a hash of vec_id, thinned to distant ones); every vector is indexed.
 
 Defined results: rows with a null label, and vectors that are null, empty, zero or hold null or non-finite components, link
 with nothing and stay alone; vectors of different lengths never link; rows with a null vec_id link with nothing and have
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from reelspark.llm.components import components
 from reelspark.llm.rows import map_slices, stored
 
+#: Bound of the number of pivots, and vectors sampled for each.
+MOST_PIVOTS, SAMPLED = 2048, 16
 #: Vectors in a block; a cell holds two blocks at most.
 BLOCK = 512
 
@@ -121,12 +123,15 @@ def _cells(postings: DataFrame, block: int) -> DataFrame:
 def near_duplicates(
     vectors: DataFrame,
     threshold: float = 0.93,
-    pivots: int = 64,
+    pivots: int | None = None,
     near: int = 6,
-    sample: int = 2048,
     block: int = BLOCK,
 ) -> DataFrame:
-    """vec_id, n_links, component_id and kept of each row of ``vectors`` (vec_id, embedding, label)."""
+    """vec_id, n_links, component_id and kept of each row of ``vectors`` (vec_id, embedding, label).
+
+    ``pivots`` is by default half the square root of the number of classes, between 32 and ``MOST_PIVOTS``, so that lists
+    stay short as the table grows.
+    """
     rows = vectors.select(
         F.col("vec_id").cast("long"),
         F.col("label").cast("int"),
@@ -138,10 +143,11 @@ def near_duplicates(
         .agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
     )
     classes = stored(classes, "pivot-classes")
+    count = pivots or int(min(max(classes.count() ** 0.5 / 2, 32), MOST_PIVOTS))
     points = {}
     for dim, *_ in classes.select(F.size("embedding")).distinct().collect():  # the lengths of vectors, usually one
-        picked = classes.where(F.size("embedding") == dim).orderBy(F.xxhash64("node")).limit(sample).toPandas()
-        points[dim] = choose_pivots(np.stack(picked["embedding"].to_numpy()), pivots)
+        picked = classes.where(F.size("embedding") == dim).orderBy(F.xxhash64("node")).limit(SAMPLED * count).toPandas()
+        points[dim] = choose_pivots(np.stack(picked["embedding"].to_numpy()), count)
     cells = _cells(_postings(classes, points, near), block)
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
