@@ -20,6 +20,7 @@ TIME_TOLERANCE = 1e-3
 FRAME_TOLERANCE = 5e-2
 MAX_EVENTS = 12
 MAX_PLAYABLE = 6
+MAX_FRAMES = 600
 DEFAULT_LABEL = "片段"
 # Event kinds a reply may use.
 KINDS = ("gameplay", "menu", "reward_screen", "loading", "other", "unknown")
@@ -147,6 +148,35 @@ def _checked_replies(replies: DataFrame) -> DataFrame:
     return checked.select("reply_id", "es", reason.alias("reason"))
 
 
+def prepare_frames(
+    frames: DataFrame, projects: DataFrame, max_frames: int = MAX_FRAMES
+) -> tuple[DataFrame, DataFrame]:
+    """``(frame sets, rejects)``: distinct frame times in order, with a digest each, for projects whose frames are sound.
+
+    ``frames``: project_id, time_s, content; ``projects``: project_id, duration.  Of equal times the smallest digest
+    stays.  A project is refused when it is unknown, has a time that is not finite or outside [0, duration], or more than
+    ``max_frames`` distinct times; projects without frames are refused as well.  Admission is a partial aggregate, so
+    only admitted projects (bounded) are numbered by a window.
+    """
+    t, d = F.col("time_s"), F.col("duration")
+    known = projects.select("project_id", "duration", F.lit(True).alias("__known"))
+    per_time = frames.groupBy("project_id", "time_s").agg(F.min(F.sha2(F.col("content"), 256)).alias("digest"))
+    placed = per_time.join(known, "project_id", "full")
+    bad = F.col("digest").isNotNull() & F.coalesce(~finite(t) | (t < 0) | (t > d), F.lit(True))
+    facts = placed.groupBy("project_id").agg(
+        F.count("digest").alias("n"), F.bool_or(bad).alias("bad"), F.bool_or(F.col("__known")).alias("known")
+    )
+    reason = first_reason(
+        (F.col("known").isNull(), "unknown_project"), (F.col("n") == 0, "no_frames"), (F.col("bad"), "time_out_of_range"),
+        (F.col("n") > max_frames, "too_many_frames"),
+    )
+    judged = facts.select("project_id", reason.alias("reason"))
+    admitted = judged.where(F.col("reason").isNull()).select("project_id")
+    order = Window.partitionBy("project_id").orderBy("time_s")
+    sets = per_time.join(admitted, "project_id", "left_semi").withColumn("frame_no", F.row_number().over(order) - 1)
+    return sets.select("project_id", "frame_no", "time_s", "digest"), judged.where(F.col("reason").isNotNull())
+
+
 def playable(events: DataFrame, keep: int = MAX_PLAYABLE, key: str = "project_id") -> DataFrame:
     """First 12 events by ``ord``, without menus and loading screens, best ``keep`` by score.
 

@@ -1058,6 +1058,17 @@ def visual_validate(spark, d):
     return flat.withColumn("reason", F.lit(None).cast("string")).unionByName(rejects, allowMissingColumns=True)
 
 
+@query
+def frame_sets(spark, d):
+    """Frames of every user; some times repeat, some lie behind the end, some projects have no frames or are unknown."""
+    start = F.floor(A._event_ms() / 36000)
+    frames = A.table(spark, d, "events").select(F.col("user_id").alias("project_id"), (start / 10).alias("time_s"), F.col("props").alias("content"))
+    k = F.col("c_custkey")
+    projects = A.table(spark, d, "customer").where(k % 17 != 4).select(k.alias("project_id"), F.when(k % 5 == 0, F.lit(5000.0)).otherwise(F.lit(1e6)).alias("duration"))
+    sets, rejects = V.prepare_frames(frames, projects, max_frames=100)
+    return sets.unionByName(rejects, allowMissingColumns=True)
+
+
 @query
 def refine_apply(spark, d):
     events = A.visual_candidates(spark, d).select(F.floor(F.col("ord") / 10).alias("project_id"), "ord", "id", "start_s", "end_s", "score", "kind")

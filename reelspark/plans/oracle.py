@@ -889,6 +889,14 @@ ORACLES: dict[str, str] = {
                FROM ev LEFT JOIN ca USING (reply_id, ord)""",
         bad="SELECT reply_id, arg_min(why, ord) AS reason FROM ev2 WHERE why IS NOT NULL GROUP BY 1",
     ),
+    "frame_sets": """
+        WITH e AS (SELECT user_id AS project_id, (epoch_ms(ts) - epoch_ms(TIMESTAMP '2024-01-01')) // 36000 / 10 AS time_s, min(sha256(props)) AS digest FROM events GROUP BY 1, 2),
+        p AS (SELECT c_custkey AS project_id, CASE WHEN c_custkey % 5 = 0 THEN 5000e0 ELSE 1e6 END AS duration FROM customer WHERE c_custkey % 17 <> 4),
+        j AS (SELECT coalesce(e.project_id, p.project_id) AS project_id,
+                CASE WHEN count(p.project_id) = 0 THEN 'unknown_project' WHEN count(e.project_id) = 0 THEN 'no_frames' WHEN bool_or(time_s < 0 OR time_s > duration) THEN 'time_out_of_range' WHEN count(*) > 100 THEN 'too_many_frames' END AS reason
+              FROM e FULL JOIN p ON e.project_id = p.project_id GROUP BY 1)
+        SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY time_s) - 1 AS frame_no, time_s, digest, NULL AS reason FROM e JOIN j USING (project_id) WHERE reason IS NULL
+        UNION ALL SELECT project_id, NULL, NULL, NULL, reason FROM j WHERE reason IS NOT NULL""",
     "refine_apply": _sql(
         """
         SELECT project_id, ord, id, CASE WHEN u THEN start_s + 0.5::DOUBLE ELSE start_s END AS start_s, CASE WHEN u THEN end_s + 0.25::DOUBLE ELSE end_s END AS end_s,

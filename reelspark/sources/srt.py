@@ -33,8 +33,10 @@ def read_srt_files(spark: SparkSession, path: str, glob: str = "*.srt") -> DataF
 
 def _clock_ms(text: Column) -> Column:
     def ms(t: Column) -> Column:
-        part = lambda i: F.regexp_extract(t, CLOCK, i).cast("long")
-        return F.when(t.rlike(CLOCK), part(1) * 3600000 + part(2) * 60000 + part(3) * 1000 + part(4))
+        # the last ten characters have fixed places, so one match suffices
+        tail = lambda at, size: F.substring(t, at, size).cast("long")
+        hours = F.substring_index(t, ":", 1).cast("long")
+        return F.when(t.rlike(CLOCK), hours * 3600000 + tail(-9, 2) * 60000 + tail(-6, 2) * 1000 + tail(-3, 3))
 
     return let(trim_space(text), ms)
 
