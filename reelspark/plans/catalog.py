@@ -25,11 +25,14 @@ from ..sources import media as M
 from ..sources import replies as RP
 from ..sources import srt as SRT
 from ..sources import urls as U
+from ..session import materialize
 from ..streaming import tasks as ST
 from ..streaming.run import run_available, run_updates, stream_session
 from . import adapters as A
 from .highlights import fused_highlights
 from .highlights import text_highlights as text_path
+from .highlights import visual_highlights as visual_path
+from .highlights import visual_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1058,6 +1061,21 @@ def visual_validate(spark, d):
     return flat.withColumn("reason", F.lit(None).cast("string")).unionByName(rejects, allowMissingColumns=True)
 
 
+@query
+def visual_highlights(spark, d):
+    """The visual path in one plan: replies, playable events, review, context, drafts."""
+    replies = _visual_replies(spark, d)
+    scan = materialize(visual_scan(replies)[0], "visual-scan")
+    k = F.col("project_id")
+    refine = scan.where(F.col("rank") == 1).select(
+        "project_id", (k % 3 != 0).alias("ok"), F.when(k % 5 == 0, F.lit("other")).otherwise(F.col("id")).alias("id"),
+        (F.col("start_s") + 0.5).alias("start_s"), (F.col("end_s") + 0.25).alias("end_s"), (F.col("score") / 2).alias("score"),
+        F.when(k % 4 == 0, F.lit("loading")).otherwise(F.lit("gameplay")).alias("kind"),
+    )
+    projects = replies.select(F.col("reply_id").alias("project_id"), F.lit(30.0).alias("target"), F.col("win_end").alias("duration"))
+    return visual_path(scan, refine, projects)
+
+
 @query
 def frame_sets(spark, d):
     """Frames of every user; some times repeat, some lie behind the end, some projects have no frames or are unknown."""

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +9,7 @@ from ..operators.drafts import assemble_drafts, schedule_exports
 from ..operators.fusion import fuse_evidence, match_drafts
 from ..operators.selection import align_scores, align_titles, select_candidates
 from ..operators.timeline import merge_outlines, place_topics, refine_timeline
+from ..operators.visual import add_context, apply_refinement, playable, validate_visual
 
 
 def text_highlights(
@@ -35,6 +33,33 @@ def text_highlights(
     return align_titles(chosen, titles), report
 
 
+def visual_scan(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Visual replies (one per project as ``reply_id``) -> ``(events with rank, rejects)``.
+
+    ``rank`` is 1 for the event to be reviewed, null for what is not playable or not among the best.
+    """
+    events, rejects = validate_visual(replies)
+    named = events.withColumnRenamed("reply_id", "project_id")
+    ranks = playable(named.select("project_id", "ord", "kind", "score")).select("project_id", "ord", "rank")
+    return named.join(ranks, ["project_id", "ord"], "left"), rejects
+
+
+def visual_highlights(scan: DataFrame, refine: DataFrame, projects: DataFrame) -> DataFrame:
+    """Scan, the reply of the one review, and ``project_id, target, duration`` -> drafts with padded bounds and ids.
+
+    Projects that end without a highlight keep one row with their status and no draft.
+    """
+    applied = apply_refinement(scan, refine)
+    chosen = applied.where("selected").join(projects, "project_id", "left")
+    key = F.concat_ws(":", F.col("project_id").cast("string"), F.lit("visual"), "id", F.col("ord").cast("string"))
+    drafts = add_context(chosen).select(
+        "project_id", "ord", "id", "start_s", "end_s", "score", "kind", "disposition", "status",
+        F.substring(F.sha2(key, 256), 1, 32).alias("draft_id"),
+    )
+    ended = applied.where(F.col("status").isin("failed", "no_highlights")).select("project_id", "status").distinct()
+    return drafts.unionByName(ended, allowMissingColumns=True)
+
+
 def fused_highlights(text: DataFrame, visual: DataFrame, drafts: DataFrame) -> DataFrame:
     """Ranked fused candidates with the best-overlapping draft of each and its deterministic id."""
     fused = match_drafts(fuse_evidence(text, visual), drafts)
@@ -46,7 +71,3 @@ def produce(candidates: DataFrame, workflows: DataFrame) -> tuple[DataFrame, Dat
     """Titled candidates to drafts and their export tasks."""
     drafts = assemble_drafts(candidates)
     return drafts, schedule_exports(drafts, workflows)
-
-
-def union_all(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), parts)

@@ -357,6 +357,27 @@ _FUSION = """
     )
 _HOME = """SELECT v.project_id, v.ord, min(t.ord) AS home FROM vis v JOIN txt t ON t.project_id = v.project_id AND v.start_s <= t.end_s + 2 AND t.start_s <= v.end_s + 2 GROUP BY 1, 2"""
 
+#: Validation of visual replies, step by step.
+_VISUAL = dict(
+    e0="""SELECT event_id // 10 AS reply_id, event_id % 10 AS ord, s, s + len AS e, CASE WHEN event_id % 97 = 0 THEN 'bad id' WHEN event_id % 89 = 1 THEN 'e' ELSE 'e' || event_id END AS id,
+            CASE event_type WHEN 'view' THEN '片段' ELSE event_type END AS label, CASE WHEN event_type = 'view' THEN 'unknown' WHEN event_id % 113 = 0 THEN 'party' ELSE 'gameplay' END AS kind,
+            CASE WHEN event_type = 'error' THEN 0e0 WHEN value > 300 THEN 100.5::DOUBLE ELSE least(value, 100e0) END AS raw
+          FROM (SELECT *, (date_diff('millisecond', TIMESTAMP '2024-01-01', ts) // 360) / 1000 AS s, floor(value * 100) / 1000 AS len FROM events)""",
+    win="SELECT reply_id, min(s) AS w0, max(e) AS w1, count(*) * 2 AS n_frames FROM e0 GROUP BY 1",
+    fr="SELECT reply_id, s AS f FROM e0 UNION ALL SELECT reply_id, e FROM e0",
+    ev=f"""SELECT *, CASE WHEN e - s > 9 + 1e-3 THEN greatest(w0, nf) ELSE s END AS ts, CASE WHEN e - s > 9 + 1e-3 THEN least(w1, e, nf + 9) ELSE e END AS te FROM (
+            SELECT e0.*, w0, w1, {_rescale('raw')} AS score, greatest(w0, s, least(CASE WHEN b - a > 9 THEN a ELSE (a + b) / 2 END - 4.5::DOUBLE, e - 9)) AS nf
+            FROM e0 JOIN win USING (reply_id), LATERAL (SELECT least(e, least(s + 0.02::DOUBLE, e)) AS a, greatest(s, greatest(s + 0.02::DOUBLE, e)) AS b))""",
+    ci="""SELECT ev.reply_id, ev.ord, k, any_value(c) AS c, any_value(ts) AS ts, any_value(te) AS te, arg_min(f, row(abs(f - c), f)) FILTER (abs(f - c) <= 5e-2) AS f
+          FROM ev JOIN (SELECT unnest([1, 2]) AS k) ON true JOIN fr USING (reply_id), LATERAL (SELECT CASE k WHEN 1 THEN s + 0.02::DOUBLE ELSE e END AS c)
+          WHERE c >= ts - 5e-2 AND c <= te + 5e-2 GROUP BY 1, 2, 3""",
+    ca="""SELECT reply_id, ord, bool_or(f IS NULL) AS lost, count(DISTINCT f) FILTER (f >= ts - 5e-2 AND f <= te + 5e-2) AS n_cited, arg_min(f, k) FILTER (f >= ts - 5e-2 AND f <= te + 5e-2) AS first_cited FROM ci GROUP BY 1, 2""",
+    ev2="""SELECT ev.*, n_cited, first_cited, CASE WHEN id = 'bad id' OR row_number() OVER (PARTITION BY ev.reply_id, id ORDER BY ev.ord) > 1 THEN 'id' WHEN score IS NULL THEN 'score' WHEN kind = 'party' THEN 'kind'
+             WHEN e - s < 0.1::DOUBLE - 1e-3 THEN 'too_short' WHEN lost THEN 'unknown_frame' WHEN coalesce(n_cited, 0) = 0 THEN 'no_supporting_frame' END AS why
+           FROM ev LEFT JOIN ca USING (reply_id, ord)""",
+    bad="SELECT reply_id, arg_min(why, ord) AS reason FROM ev2 WHERE why IS NOT NULL GROUP BY 1",
+)
+
 ORACLES: dict[str, str] = {
     "srt_ingest": _sql(
         """
@@ -871,23 +892,7 @@ ORACLES: dict[str, str] = {
         """
         SELECT reply_id, ord, id, label, ts AS start_s, te AS end_s, kind, score, n_cited, first_cited, NULL AS reason FROM ev2 WHERE reply_id NOT IN (SELECT reply_id FROM bad)
         UNION ALL SELECT reply_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, reason FROM bad""",
-        e0="""SELECT event_id // 10 AS reply_id, event_id % 10 AS ord, s, s + len AS e, CASE WHEN event_id % 97 = 0 THEN 'bad id' WHEN event_id % 89 = 1 THEN 'e' ELSE 'e' || event_id END AS id,
-                CASE event_type WHEN 'view' THEN '片段' ELSE event_type END AS label, CASE WHEN event_type = 'view' THEN 'unknown' WHEN event_id % 113 = 0 THEN 'party' ELSE 'gameplay' END AS kind,
-                CASE WHEN event_type = 'error' THEN 0e0 WHEN value > 300 THEN 100.5::DOUBLE ELSE least(value, 100e0) END AS raw
-              FROM (SELECT *, (date_diff('millisecond', TIMESTAMP '2024-01-01', ts) // 360) / 1000 AS s, floor(value * 100) / 1000 AS len FROM events)""",
-        win="SELECT reply_id, min(s) AS w0, max(e) AS w1, count(*) * 2 AS n_frames FROM e0 GROUP BY 1",
-        fr="SELECT reply_id, s AS f FROM e0 UNION ALL SELECT reply_id, e FROM e0",
-        ev=f"""SELECT *, CASE WHEN e - s > 9 + 1e-3 THEN greatest(w0, nf) ELSE s END AS ts, CASE WHEN e - s > 9 + 1e-3 THEN least(w1, e, nf + 9) ELSE e END AS te FROM (
-                SELECT e0.*, w0, w1, {_rescale('raw')} AS score, greatest(w0, s, least(CASE WHEN b - a > 9 THEN a ELSE (a + b) / 2 END - 4.5::DOUBLE, e - 9)) AS nf
-                FROM e0 JOIN win USING (reply_id), LATERAL (SELECT least(e, least(s + 0.02::DOUBLE, e)) AS a, greatest(s, greatest(s + 0.02::DOUBLE, e)) AS b))""",
-        ci="""SELECT ev.reply_id, ev.ord, k, any_value(c) AS c, any_value(ts) AS ts, any_value(te) AS te, arg_min(f, row(abs(f - c), f)) FILTER (abs(f - c) <= 5e-2) AS f
-              FROM ev JOIN (SELECT unnest([1, 2]) AS k) ON true JOIN fr USING (reply_id), LATERAL (SELECT CASE k WHEN 1 THEN s + 0.02::DOUBLE ELSE e END AS c)
-              WHERE c >= ts - 5e-2 AND c <= te + 5e-2 GROUP BY 1, 2, 3""",
-        ca="""SELECT reply_id, ord, bool_or(f IS NULL) AS lost, count(DISTINCT f) FILTER (f >= ts - 5e-2 AND f <= te + 5e-2) AS n_cited, arg_min(f, k) FILTER (f >= ts - 5e-2 AND f <= te + 5e-2) AS first_cited FROM ci GROUP BY 1, 2""",
-        ev2="""SELECT ev.*, n_cited, first_cited, CASE WHEN id = 'bad id' OR row_number() OVER (PARTITION BY ev.reply_id, id ORDER BY ev.ord) > 1 THEN 'id' WHEN score IS NULL THEN 'score' WHEN kind = 'party' THEN 'kind'
-                 WHEN e - s < 0.1::DOUBLE - 1e-3 THEN 'too_short' WHEN lost THEN 'unknown_frame' WHEN coalesce(n_cited, 0) = 0 THEN 'no_supporting_frame' END AS why
-               FROM ev LEFT JOIN ca USING (reply_id, ord)""",
-        bad="SELECT reply_id, arg_min(why, ord) AS reason FROM ev2 WHERE why IS NOT NULL GROUP BY 1",
+        **_VISUAL,
     ),
     "frame_sets": """
         WITH e AS (SELECT user_id AS project_id, (epoch_ms(ts) - epoch_ms(TIMESTAMP '2024-01-01')) // 36000 / 10 AS time_s, min(sha256(props)) AS digest FROM events GROUP BY 1, 2),
@@ -992,6 +997,24 @@ ORACLES["text_highlights"] = _sql(
     cand=f"""SELECT f.project_id, f.ord, f.id, f.label, f.start_s, f.end_s, coalesce((string_agg({_trim('c.text')}, ' ' ORDER BY cue_idx))[1:1000], '') AS evidence
              FROM final_row f LEFT JOIN cues c ON c.project_id = f.project_id AND c.start_s < f.end_s AND c.end_s > f.start_s GROUP BY 1, 2, 3, 4, 5, 6""",
 )
+ORACLES["visual_highlights"] = _sql(
+    """
+    SELECT project_id, ord, id, CASE WHEN ok THEN ns ELSE start_s END AS start_s, CASE WHEN ok THEN ne ELSE end_s END AS end_s, score, kind, disposition, status,
+      sha256(project_id || ':visual:' || id || ':' || ord)[1:32] AS draft_id
+    FROM (SELECT *, d > 0 AND ne > ns AND ne - ns >= end_s - start_s AS ok FROM (SELECT *, least(d, end_s + 2, ns + 30) AS ne FROM (
+      SELECT a.*, w1 AS d, greatest(0e0, start_s - greatest(0e0, least(1.5::DOUBLE, (30e0 - (end_s - start_s)) / 2))) AS ns FROM app a JOIN win ON reply_id = project_id
+      WHERE CASE WHEN rk = 1 THEN status = 'accepted' AND project_id % 4 <> 0 ELSE coalesce(rk > 1, false) AND status NOT IN ('failed', 'no_highlights') END)))
+    UNION ALL SELECT DISTINCT project_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, status, NULL FROM app WHERE status IN ('failed', 'no_highlights')""",
+    **_VISUAL,
+    sc="""SELECT *, CASE WHEN kind NOT IN ('menu', 'reward_screen', 'loading') AND n <= 6 THEN n END AS rk FROM (
+           SELECT reply_id AS project_id, ord, id, ts AS start_s, te AS end_s, kind, score, row_number() OVER (PARTITION BY reply_id, kind IN ('menu', 'reward_screen', 'loading') ORDER BY score DESC, ord) AS n
+           FROM ev2 WHERE reply_id NOT IN (SELECT reply_id FROM bad))""",
+    app="""SELECT project_id, ord, id, rk, status, CASE WHEN u THEN start_s + 0.5::DOUBLE ELSE start_s END AS start_s, CASE WHEN u THEN end_s + 0.25::DOUBLE ELSE end_s END AS end_s,
+             CASE WHEN u THEN score / 2 ELSE score END AS score, CASE WHEN NOT u THEN kind WHEN project_id % 4 = 0 THEN 'loading' ELSE 'gameplay' END AS kind, CASE WHEN u THEN 'refined' ELSE 'scan' END AS disposition
+           FROM (SELECT *, coalesce(rk = 1, false) AND status = 'accepted' AS u FROM sc JOIN (SELECT project_id,
+             CASE WHEN max(rk) IS NULL OR (project_id % 3 <> 0 AND project_id % 5 <> 0 AND project_id % 4 = 0 AND max(rk) = 1) THEN 'no_highlights'
+               WHEN project_id % 3 <> 0 AND project_id % 5 <> 0 THEN 'accepted' WHEN max(rk) > 1 THEN 'skipped' ELSE 'failed' END AS status FROM sc GROUP BY 1) USING (project_id))""",
+)
 # the stream shows the accepted snapshots; no two of them are equal here, because update times differ
 ORACLES["snapshot_stream"] = ORACLES["accepted_snapshots"].replace("SELECT task_id, seq FROM acc", "SELECT task_id, seq, status FROM acc")
 # event ids follow time, so the order of lines is the same in the log and in the stream
