@@ -20,15 +20,18 @@ an empty table gives an empty result; extra columns are ignored by ``repeated_li
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspark.functions.let import let
-from reelspark.llm.rows import stored
+from reelspark.llm.rows import bits_apart, stored
 
 #: Characters cut from the ends of a line before comparison.
 BLANKS = " \t\r\v\f"
 
+#: Columns that say where a line is, in the order of the corpus.
+PLACE = ("doc", "tie", "n")
+
 #: Stands for a null doc_id: the last place in the order.
 LAST = (1 << 63) - 1
 
@@ -52,7 +55,10 @@ def segment_keys(line: Column, length: Column, max_edits: int) -> Column:
 
 
 def probe_keys(line: Column, length: Column, max_edits: int) -> Column:
-    """Hashes of the substrings of a line that may equal a segment of a line as long or up to ``max_edits`` shorter."""
+    """Hashes of the substrings of a line that may equal a segment of a line as long or up to ``max_edits`` shorter.
+
+    Null where a substring would reach over an end of the line.
+    """
     keys = []
     count = max_edits + 1
     for less in range(max_edits + 1):
@@ -67,7 +73,7 @@ def probe_keys(line: Column, length: Column, max_edits: int) -> Column:
                 at = start + shift
                 inside = (at >= 0) & (at + size <= length)
                 keys.append(F.when(inside, F.xxhash64(F.lit(i), other, F.substring(line, at + 1, size))))
-    return F.array_compact(F.array(*keys))
+    return F.array(*keys)
 
 
 def within_edits(a: Column, b: Column, max_edits: int) -> Column:
@@ -148,50 +154,87 @@ def _lines(documents: DataFrame, min_chars: int) -> DataFrame:
     )
 
 
-def _candidates(lines: DataFrame, max_edits: int) -> DataFrame:
-    """Distinct pairs a < b of line hashes that share an index entry."""
+def _one_copy_of_frequent(lines: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``lines`` without the later copies of very frequent lines.
+
+    A line is very frequent with more than max(1,000, a ten-thousandth of all lines) copies, so there are at most
+    10,000 of them, and their list is broadcast.  Copies of other lines are few and meet their equals later.
+    """
+    total = firsts.agg(F.sum("copies")).first()[0] or 0
+    frequent = firsts.where(F.col("copies") > max(1000, total // 10_000)).select(
+        "h1", "h2", *(F.col(c).alias(f"first_{c}") for c in PLACE)
+    )
+    found = lines.join(F.broadcast(frequent), ["h1", "h2"], "left")
+    return found.where(F.col("first_doc").isNull() | _at_first()).select(*lines.columns)
+
+
+def _at_first() -> Column:
+    same = F.lit(True)
+    for c in PLACE:
+        same &= F.col(c) == F.col(f"first_{c}")
+    return same
+
 
-    def entries(keys: Column, indexed: bool) -> Column:
-        return F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(indexed).alias("indexed")))
+def _shared_entries(lines: DataFrame, max_edits: int) -> DataFrame:
+    """key, id, indexed of the index entries and probes whose key belongs to more than one line.
 
+    Most keys belong to one line only: they go in one pass over sorted entries, before any join.
+    """
     line, chars = F.col("line"), F.col("chars")
-    both = F.concat(
-        entries(segment_keys(line, chars, max_edits), True), entries(probe_keys(line, chars, max_edits), False)
+    own, probes = segment_keys(line, chars, max_edits), probe_keys(line, chars, max_edits)
+    entries = (
+        lines.select(F.col("h1").alias("id"), F.posexplode(F.concat(own, probes)).alias("place", "key"))
+        .where(F.col("key").isNotNull())
+        .select("id", "key", (F.col("place") <= max_edits).alias("indexed"))
     )
-    # distinct() reduces copies of a line before they meet, however many there are.
-    keys = lines.select(F.col("h1").alias("id"), F.inline(both)).distinct()
-    x, y = keys.where("indexed").alias("x"), keys.alias("y")
-    met = (F.col("x.key") == F.col("y.key")) & F.when(
-        F.col("y.indexed"), F.col("x.id") < F.col("y.id")
-    ).otherwise(F.col("x.id") != F.col("y.id"))
+    per_key = Window.partitionBy("key")
     return (
-        x.join(y, met)
-        .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+        entries.withColumns({"least": F.min("id").over(per_key), "most": F.max("id").over(per_key)})
+        .where("least < most")
+        .select("key", "id", "indexed")
         .distinct()
     )
 
 
+def parity(line: Column) -> Column:
+    """64 bits: which characters (by code point modulo 64) occur an odd number of times.  An edit changes two at most."""
+    one = F.lit(1).cast("long")
+    flip = lambda bits, c: bits.bitwiseXOR(F.call_function("shiftleft", one, F.ascii(c) % 64))
+    return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), flip)
+
+
 def _near_repeats(lines: DataFrame, firsts: DataFrame, max_edits: int) -> DataFrame:
     """doc, tie, n of the first places of lines that an earlier, different line is within ``max_edits`` of."""
-    pairs = stored(_candidates(lines, max_edits), "line-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
-    places = firsts.join(ids, "h1").select("h1", "doc", "tie", "n")
+    entries = stored(_shared_entries(_one_copy_of_frequent(lines, firsts), max_edits), "line-entries")
+    places = firsts.join(entries.select(F.col("id").alias("h1")).distinct(), "h1").select("h1", *PLACE)
     named = stored(
-        places.join(lines.select("doc", "tie", "n", "line"), ["doc", "tie", "n"]).dropDuplicates(["doc", "tie", "n"]),
+        places.join(lines.select(*PLACE, "line", "chars"), list(PLACE))
+        .dropDuplicates(list(PLACE))
+        .withColumn("parity", parity(F.col("line"))),
         "line-texts",
     )
-    x, y = (
-        named.select(F.col("h1").alias(f"{s}"), *(F.col(c).alias(f"{s}_{c}") for c in ("doc", "tie", "n", "line")))
+    marked = entries.join(named.select(F.col("h1").alias("id"), "parity", "chars"), "id")
+    x, y = marked.where("indexed").alias("x"), marked.alias("y")
+    met = (
+        (F.col("x.key") == F.col("y.key"))
+        & F.when(F.col("y.indexed"), F.col("x.id") < F.col("y.id")).otherwise(F.col("x.id") != F.col("y.id"))
+        & (F.abs(F.col("x.chars") - F.col("y.chars")) <= max_edits)
+        & (bits_apart(F.col("x.parity"), F.col("y.parity")) <= 2 * max_edits)
+    )
+    pairs = (
+        x.join(y, met)
+        .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+        .distinct()
+    )
+    a, b = (
+        named.select(F.col("h1").alias(s), F.struct(*PLACE).alias(f"{s}_at"), F.col("line").alias(f"{s}_line"))
         for s in ("a", "b")
     )
-    a, b = (F.struct(*(f"{s}_{c}" for c in ("doc", "tie", "n"))) for s in ("a", "b"))
     return (
-        pairs.join(x, "a")
-        .join(y, "b")
+        pairs.join(a, "a")
+        .join(b, "b")
         .where(within_edits(F.col("a_line"), F.col("b_line"), max_edits))
-        .select(F.when(a < b, F.struct(*(F.col(f"b_{c}").alias(c) for c in ("doc", "tie", "n")))).otherwise(
-            F.struct(*(F.col(f"a_{c}").alias(c) for c in ("doc", "tie", "n")))
-        ).alias("later"))
+        .select(F.greatest("a_at", "b_at").alias("later"))
         .select("later.*")
         .distinct()
     )
@@ -200,19 +243,18 @@ def _near_repeats(lines: DataFrame, firsts: DataFrame, max_edits: int) -> DataFr
 def repeated_lines(documents: DataFrame, max_edits: int = 2, min_chars: int = 20, near_chars: int = 40) -> DataFrame:
     """doc, tie, n and near of every line that repeats an earlier one; ``near``: no earlier line equals it."""
     lines = _lines(documents, min_chars)
-    # The first place of every distinct line: a narrow table that both kinds of repeats start from.
+    # Places and hashes without the texts: a narrow table that both kinds of repeats start from.
+    narrow = stored(lines.select(*PLACE, "h1", "h2"), "line-places")
     firsts = stored(
-        lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "tie", "n")).alias("at")).select("h1", "h2", "at.*"),
+        narrow.groupBy("h1", "h2")
+        .agg(F.min(F.struct(*PLACE)).alias("at"), F.count("*").alias("copies"))
+        .select("h1", "h2", "at.*", "copies"),
         "line-firsts",
     )
-    heads = firsts.select("h1", "h2", *(F.col(c).alias(f"first_{c}") for c in ("doc", "tie", "n")))
-    is_first = F.lit(True)
-    for c in ("doc", "tie", "n"):
-        is_first &= F.col(c) == F.col(f"first_{c}")
+    heads = firsts.where("copies > 1").select("h1", "h2", *(F.col(c).alias(f"first_{c}") for c in PLACE))
     exact = (
-        lines.select("doc", "tie", "n", "h1", "h2")
-        .join(heads, ["h1", "h2"])
-        .where(~is_first)
+        narrow.join(heads, ["h1", "h2"])
+        .where(~_at_first())
         .select("doc", "tie", "n", F.lit(False).alias("near"))
         .distinct()
     )
