@@ -32,7 +32,8 @@ def _split(items: np.ndarray, chars: np.ndarray, into: list[list[np.ndarray]]) -
     """Append items to the lists of their characters, in order."""
     if not len(items):
         return
-    order = np.argsort(chars, kind="stable")
+    # Two-byte keys are sorted by radix; alphabets here have at most BUCKETS characters.
+    order = np.argsort(chars.astype(np.uint16), kind="stable")
     sorted_chars = chars[order]
     cuts = np.flatnonzero(sorted_chars[1:] != sorted_chars[:-1]) + 1
     for part in np.split(order, cuts):
@@ -109,25 +110,29 @@ def _names(text: np.ndarray, heads: np.ndarray, ordered: np.ndarray) -> np.ndarr
     return np.concatenate([[0], np.cumsum(~same)])
 
 
-def _doubled(names: np.ndarray) -> np.ndarray:
-    """Suffix order of a sequence with a large alphabet, by rank doubling."""
+def _doubled(names: np.ndarray, depth: int) -> np.ndarray:
+    """Order of the suffixes of a sequence with a large alphabet by their first ``depth`` names, by rank doubling."""
     n, rank, span = len(names), names.astype(np.int64), 1
     while True:
         second = np.zeros(n, np.int64)
         second[: n - span] = rank[span:] + 1
         key = rank * (n + 2) + second
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         steps = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
         rank = np.empty(n, np.int64)
         rank[order] = steps
-        if steps[-1] == n - 1 or span >= n:
-            return order
         span *= 2
+        if steps[-1] == n - 1 or span >= min(n, depth):
+            return order
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffix array of a sequence of small non-negative integers that ends with its unique smallest."""
+def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """Suffix array of a sequence of small non-negative integers that ends with its unique smallest.
+
+    With ``depth``, suffixes that agree in their first ``depth`` characters may stay in any order.
+    """
     text = np.asarray(text, np.int64)
+    depth = len(text) if depth is None else depth
     if len(text) == 1:
         return np.zeros(1, np.int64)
     size = int(text.max()) + 1
@@ -142,27 +147,30 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         at = np.empty(len(text), np.int64)
         at[ordered] = names
         reduced = at[heads]
-        ordered = heads[suffix_array(reduced) if names[-1] < BUCKETS else _doubled(reduced)]
+        # Leftmost smaller suffixes are at least two characters apart.
+        names_deep = depth // 2 + 1
+        ordered = heads[suffix_array(reduced, names_deep) if names[-1] < BUCKETS else _doubled(reduced, names_deep)]
     return _induce(text, rising, _by_bucket(ordered, text, size), size)
 
 
 def permuted_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """Common prefix of each suffix, by place in the text, with the one before it in ``order``, counted up to ``most``.
+    """Common prefix, by place in the text, of each suffix in ``order`` with the one before it, counted up to ``most``.
 
-    ``text`` is an array of bytes followed by at least ``most + 8`` further bytes of padding.
+    ``order`` holds all or some of the suffixes; places that it lacks, and its first, have 0.  ``text`` is an array of
+    bytes followed by at least ``most + 8`` further bytes of padding.
     """
-    n = len(order)
-    before = np.full(n, -1, np.int64)
-    before[order[1:]] = order[:-1]
-    words = np.lib.stride_tricks.as_strided(
-        text.view(np.uint8), shape=(len(text) - 7, 8), strides=(1, 1)
-    )
-    prefix = np.zeros(n, np.int64)
-    left = np.flatnonzero(before >= 0)
-    while len(left):
-        i, j = left + prefix[left], before[left] + prefix[left]
-        equal = words[i] == words[j]
-        run = np.where(equal.all(axis=1), 8, np.argmin(equal, axis=1))
-        prefix[left] += run
-        left = left[(run == 8) & (prefix[left] < most)]
+    # Eight bytes from every place on, compared at once.
+    words = np.lib.stride_tricks.as_strided(text[:8].view("<u8"), shape=(len(text) - 7,), strides=(1,))
+    prefix = np.zeros(len(text), np.int64)
+    here, before = order[1:], order[:-1]
+    done = 0
+    while len(here) and done < most:
+        differ = words[here + done] ^ words[before + done]
+        ends = differ != 0
+        low = differ[ends]
+        low &= ~low + np.uint64(1)
+        prefix[here[ends]] = done + np.log2(low.astype(np.float64)).astype(np.int64) // 8
+        here, before = here[~ends], before[~ends]
+        done += 8
+    prefix[here] = most
     return np.minimum(prefix, most)

@@ -9,8 +9,9 @@ A suffix array of the whole corpus would pass through one task.  It is cut into
    classes first, so a passage that a third of the corpus shares leaves each batch once.
 3. Records that are alone on their anchor have no repeats.  The others, one per class, are gathered in shards of bounded
    size by anchor.  In a shard, induced sorting orders all suffixes of the records, and the permuted common prefixes of
-   neighbours tell which starts share ``length`` bytes; of those the earliest stays.  An anchor with very many different
-   records is dealt out by the strings themselves, which loses nothing.
+   neighbours tell which starts share ``length`` bytes; of those the earliest stays.  The records of an anchor that very
+   many different ones share (the edges of a common passage) are cut again with anchors nearly as long as the strings,
+   so that they spread over many shards; this loses nothing either.
 
 Earlier means a smaller doc_id, or the same document and an earlier start.  Strings are judged on the input.
 
@@ -38,8 +39,10 @@ from reelspark.llm.rows import raw_texts, stored
 CHUNK = 1 << 20
 #: Bytes of records in a shard, on average.
 SHARD_BYTES = 1 << 21
-#: Different records on one anchor beyond which they are dealt out by string.
+#: Different records on one anchor beyond which they are cut again.
 HOT_RECORDS = 10_000
+#: Bytes by which the anchors of that second cut are shorter than the strings.
+FINE = 7
 #: Stands for a null doc_id: the last place in the order.
 LAST = (1 << 63) - 1
 
@@ -191,8 +194,44 @@ def _as_batch(rows: np.ndarray) -> pa.RecordBatch:
     )
 
 
+#: Columns of the rows that shards sort; rows without bytes are known to be repeats already.
+BODIES = {n: pa.int64() for n in ("shard", "anchor", "doc", "tie", "start", "count")} | {"bytes": pa.binary()}
+
+
+def _finer(parts: list[bytes], owners: list[tuple[int, int, int]], length: int) -> Iterator[tuple]:
+    """anchor, doc, tie, start, count, bytes of records with long anchors; equal ones but the earliest without bytes."""
+    powers = _powers(CHUNK + length)
+    earliest: dict[tuple[int, int], tuple] = {}
+    rows = []
+    at = 0
+    while at < len(parts):
+        end, size = at, 0
+        while end < len(parts) and size + len(parts[end]) <= CHUNK:
+            size += len(parts[end])
+            end += 1
+        data, ends = b"".join(parts[at:end]), np.cumsum([len(p) for p in parts[at:end]])
+        start, count, anchor, content = chunk_records(data, ends, length, length - FINE, powers)
+        owner = np.searchsorted(ends, start, side="right")
+        begins = np.concatenate([[0], ends[:-1]])
+        for s, k, a, c, o in zip(*(x.tolist() for x in (start, count, anchor, content, owner)), strict=True):
+            doc, tie, base = owners[at + o]
+            place = (doc, tie, s - int(begins[o]) + base)
+            rows.append((a, c, *place, k, data[s : s + k - 1 + length]))
+            if (a, c) not in earliest or place < earliest[a, c]:
+                earliest[a, c] = place
+        at = end
+    for a, c, doc, tie, start, count, body in rows:
+        first = earliest[a, c] == (doc, tie, start)
+        yield (a if first else start, doc, tie, start, count, body if first else None)
+
+
 def shard_repeats(records: pd.DataFrame, length: int) -> pd.DataFrame:
     """doc, tie, start, count of the starts in the records of one shard whose string also starts earlier in the shard."""
+    spans = ["doc", "tie", "start", "count"]
+    known = records.loc[records["bytes"].isna(), spans]
+    records = records[records["bytes"].notna() & records.duplicated("anchor", keep=False)]
+    if records.empty:
+        return known
     parts = records["bytes"].tolist()
     sizes = np.array([len(p) for p in parts])
     joined = np.frombuffer(b"\0".join([*parts, b"\0" * (length + 8)]), np.uint8)
@@ -201,13 +240,17 @@ def shard_repeats(records: pd.DataFrame, length: int) -> pd.DataFrame:
     text = joined[:n].astype(np.int64) + 2
     text[begins + sizes] = 1  # between records
     text = np.append(text, 0)
-    order = suffix_array(text)[1:]
-    shared = permuted_prefixes(joined, order, length)[order] >= length
     owner = np.repeat(np.arange(len(parts)), sizes + 1)
     offset = np.arange(n) - begins[owner]
     valid = offset < records["count"].to_numpy()[owner]  # places where a string begins that the record stands for
+    order = suffix_array(text, length)[1:]
+    order = order[valid[order]]
+    shared = permuted_prefixes(joined, order, length)[order] >= length
+    shared[:1] = False
     group = np.cumsum(~shared)
-    places, group = order[valid[order]], group[valid[order]]
+    # Strings that occur once are done.
+    often = np.bincount(group)[group] > 1
+    places, group = order[often], group[often]
     doc, tie, start = (records[c].to_numpy()[owner[places]] for c in ("doc", "tie", "start"))
     start = start + offset[places]
     ranked = np.lexsort((start, tie, doc, group))
@@ -220,7 +263,7 @@ def shard_repeats(records: pd.DataFrame, length: int) -> pd.DataFrame:
     run = np.ones(len(found), bool)
     run[1:] = (found[1:] != found[:-1] + 1) | (owner[found[1:]] != owner[found[:-1]])
     first = np.flatnonzero(run)
-    return pd.DataFrame(
+    repeats = pd.DataFrame(
         {
             "doc": records["doc"].to_numpy()[owner[found[first]]],
             "tie": records["tie"].to_numpy()[owner[found[first]]],
@@ -228,6 +271,7 @@ def shard_repeats(records: pd.DataFrame, length: int) -> pd.DataFrame:
             "count": np.diff(np.append(first, len(found))),
         }
     )
+    return pd.concat([known, repeats], ignore_index=True)
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
@@ -267,30 +311,31 @@ def repeated_spans(keyed: DataFrame, length: int = 100, gram: int = 32, hot: int
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in BODIES]
+            hot_parts, hot_owners = [], []
             texts = raw_texts(batch.column(2))
             for doc, tie, text, spans in zip(
                 batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, batch.column(3).to_pylist(), strict=True
             ):
                 for span in spans:
                     at, count = span["start"], span["count"]
+                    body = text[at : at + count - 1 + length]
                     if span["hot"]:
-                        pieces = [(xxhash.xxh3_64_intdigest(text[s : s + length]), s, 1) for s in range(at, at + count)]
+                        hot_parts.append(body)
+                        hot_owners.append((doc, tie, at))
                     else:
-                        pieces = [(span["anchor"], at, count)]
-                    for key, s, k in pieces:
-                        for column, value in zip(
-                            out, (key % shards, doc, tie, s, k, text[s : s + k - 1 + length]), strict=True
-                        ):
+                        anchor = span["anchor"]
+                        for column, value in zip(out, (anchor % shards, anchor, doc, tie, at, count, body), strict=True):
                             column.append(value)
-            names = ("shard", "doc", "tie", "start", "count", "bytes")
-            kinds = (pa.int64(),) * 5 + (pa.binary(),)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
+            for row in _finer(hot_parts, hot_owners, length):
+                for column, value in zip(out, (row[0] % shards, *row), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, BODIES.values(), strict=True)], names=list(BODIES))
 
     bodies = (
         keyed.join(wanted, ["doc", "tie"])
         .select("doc", "tie", "text", "spans")
-        .mapInArrow(cut, "shard bigint, doc bigint, tie bigint, start bigint, count bigint, bytes binary")
+        .mapInArrow(cut, ", ".join(f"{n} {'binary' if n == 'bytes' else 'bigint'}" for n in BODIES))
     )
 
     def run(records: pd.DataFrame) -> pd.DataFrame:
