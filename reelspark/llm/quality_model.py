@@ -120,12 +120,12 @@ def _raw_scores(model: Model, index, value, ends, stats) -> tuple[np.ndarray, np
 
 
 def fit(rows: list, buckets: int, rank: int = 8, epochs: int = 12, rate: float = 0.02, seed: int = 7) -> Model:
-    """Model of feature rows (index, value, stats, label), by mini-batches of adaptive gradient steps."""
+    """Model of feature rows (index, value, stats as bytes; label), by mini-batches of adaptive gradient steps."""
     size = buckets + len(STATISTICS)
     random = np.random.default_rng(seed)
     labels = np.array([r["label"] for r in rows], np.float64)
     share = labels.mean() if len(labels) else 0.5
-    stats = np.array([r["stats"] for r in rows]).reshape(-1, len(STATISTICS))
+    stats = np.array([np.frombuffer(r["stats"]) for r in rows]).reshape(-1, len(STATISTICS))
     mean, scale = (stats.mean(axis=0), stats.std(axis=0) + 1e-6) if len(rows) else (np.zeros(len(STATISTICS)),) * 2
     model = Model(0.0, np.zeros(size), random.normal(0, 0.02, (size, rank)), mean, np.maximum(scale, 1e-6))
     if share in (0.0, 1.0) or not len(rows):
@@ -134,7 +134,7 @@ def fit(rows: list, buckets: int, rank: int = 8, epochs: int = 12, rate: float =
         return model
     model.bias = float(np.log(share / (1 - share)))
     held_linear, held_factors, held_bias = np.full(size, 1e-8), np.full((size, rank), 1e-8), 1e-8
-    arrays = [(np.array(r["index"], np.int64), np.array(r["value"])) for r in rows]
+    arrays = [(np.frombuffer(r["index"], np.int32), np.frombuffer(r["value"], np.float32)) for r in rows]
     for _ in range(epochs):
         order = random.permutation(len(rows))
         for at in range(0, len(order), 256):
@@ -168,16 +168,17 @@ def fit(rows: list, buckets: int, rank: int = 8, epochs: int = 12, rate: float =
 
 def train(labelled: DataFrame, buckets: int = 1 << 16, rank: int = 8) -> Model:
     """Model of labelled documents (doc_id, text, n_chars, label), all of which are used: pass a bounded sample."""
-    schema = "index array<int>, value array<float>, stats array<double>, label double"
+    # Arrays travel as bytes: as lists of Python numbers they would take many times the driver's memory.
+    schema = "index binary, value binary, stats binary, label double"
 
     def rows(batch: pa.RecordBatch) -> dict:
         index, value, ends, stats = _features(batch, buckets)
         starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
         spans = list(zip(starts, ends, strict=True))
         return {
-            "index": [index[a:b] for a, b in spans],
-            "value": [value[a:b].astype(np.float32) for a, b in spans],
-            "stats": list(stats),
+            "index": [index[a:b].astype(np.int32).tobytes() for a, b in spans],
+            "value": [value[a:b].astype(np.float32).tobytes() for a, b in spans],
+            "stats": [row.tobytes() for row in stats],
             "label": batch.column(3),
         }
 
