@@ -145,7 +145,7 @@ def _lines(documents: DataFrame, min_chars: int) -> DataFrame:
         documents.select(
             F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"),
             F.xxhash64("text").alias("tie"),
-            F.posexplode(F.split("text", "\n", -1)).alias("n", "line"),
+            F.posexplode_outer(F.split("text", "\n", -1)).alias("n", "line"),
         )
         .withColumn("line", F.trim("line", F.lit(BLANKS)))
         .withColumn("chars", F.length("line"))
@@ -182,8 +182,10 @@ def _shared_entries(lines: DataFrame, max_edits: int) -> DataFrame:
     """
     line, chars = F.col("line"), F.col("chars")
     own, probes = segment_keys(line, chars, max_edits), probe_keys(line, chars, max_edits)
+    # The outer form: a plain explode would first test the size of the array, and so compute all keys twice.
     entries = (
-        lines.select(F.col("h1").alias("id"), F.posexplode(F.concat(own, probes)).alias("place", "key"))
+        lines.select(F.col("h1").alias("id"), F.concat(own, probes).alias("keys"))
+        .select("id", F.posexplode_outer("keys").alias("place", "key"))
         .where(F.col("key").isNotNull())
         .select("id", "key", (F.col("place") <= max_edits).alias("indexed"))
     )
