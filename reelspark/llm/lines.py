@@ -10,8 +10,11 @@ smaller doc_id, or the same document and a smaller line number.  Repeats are jud
   the index of its own length and of lengths up to ``max_edits`` less.  Candidates are verified by a bit-parallel automaton
   whose states are the 2 * max_edits + 1 diagonals of the band, one word of bits per number of edits.
 
-Only lines of at least ``min_chars`` code points (blanks at the ends cut) take part; near matching starts at
-``near_chars``.  Shorter lines are always kept.
+Every line with a character that is no blank takes part (blanks at the ends cut).  How many edits a near copy may have
+goes by its length: one for every ``EDIT_CHARS`` code points of the shorter line, ``max_edits`` at most; under
+``EDIT_CHARS`` an edit makes another line.  Each number of edits has an index of its own, so that segments stay long.
+Callers may ask for less: lines under ``min_chars`` are then left alone, and a ``near_chars`` lets near matching start
+there, with ``max_edits`` at once.
 
 Defined results: null and empty texts have no lines that take part; of rows with one doc_id the order is that of a hash of
 their texts, and equal rows have equal results, as neither is earlier; rows with a null doc_id come last in the order;
@@ -32,6 +35,9 @@ BLANKS = " \t\r\v\f"
 #: Columns that say where a line is, in the order of the corpus.
 PLACE = ("doc", "tie", "n")
 
+#: Code points of a line for each edit that a near copy may have.
+EDIT_CHARS = 10
+
 #: Stands for a null doc_id: the last place in the order.
 LAST = (1 << 63) - 1
 
@@ -242,7 +248,9 @@ def _near_repeats(lines: DataFrame, firsts: DataFrame, max_edits: int) -> DataFr
     )
 
 
-def repeated_lines(documents: DataFrame, max_edits: int = 2, min_chars: int = 20, near_chars: int = 40) -> DataFrame:
+def repeated_lines(
+    documents: DataFrame, max_edits: int = 2, min_chars: int = 1, near_chars: int | None = None
+) -> DataFrame:
     """doc, tie, n and near of every line that repeats an earlier one; ``near``: no earlier line equals it."""
     lines = _lines(documents, min_chars)
     # Places and hashes without the texts: a narrow table that both kinds of repeats start from.
@@ -260,7 +268,15 @@ def repeated_lines(documents: DataFrame, max_edits: int = 2, min_chars: int = 20
         .select("doc", "tie", "n", F.lit(False).alias("near"))
         .distinct()
     )
-    near = _near_repeats(lines.where(F.col("chars") >= near_chars), firsts, max_edits)
+    chars = F.col("chars")
+    if near_chars is not None:
+        near = _near_repeats(lines.where(chars >= near_chars), firsts, max_edits)
+    else:
+        near = _near_repeats(lines.where(chars >= max_edits * EDIT_CHARS), firsts, max_edits)
+        for edits in range(1, max_edits):  # the shorter line has the length for so many, the longer so many more at most
+            fewer = chars.between(edits * EDIT_CHARS, (edits + 1) * EDIT_CHARS - 1 + edits)
+            near = near.union(_near_repeats(lines.where(fewer), firsts, edits))
+        near = near.distinct()
     return exact.union(near.withColumn("near", F.lit(True)))
 
 

@@ -85,3 +85,34 @@ def test_empty_table(nothing):
 def test_main_path_is_native(corpus):
     plan = lines.line_report(corpus)._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+
+
+def test_registered_limits_cover_lines_of_every_length(spark):
+    r = random.Random(6)
+    texts = ["x", "ab", "}"] + ["".join(r.choice("abcdefghij ") for _ in range(n)).strip().ljust(n, "k") for n in range(3, 60)]
+    rows = []
+    for i in range(12):
+        found = []
+        for text in texts:
+            line = list(text)
+            for _ in range(r.randint(0, 3)):
+                at = r.randint(0, len(line))
+                line[at : at + r.randint(0, 1)] = [r.choice("abcdefghij")] * r.randint(0, 1)
+            found.append("".join(line))
+        rows.append((i, "\n".join([*found, "", " \t", "x", "y" * 19])))
+    firsts, want = set(), {}
+    for i, text in rows:
+        want[i] = [[], 0]
+        for n, line in enumerate(text.split("\n")):
+            line = line.strip(lines.BLANKS)
+            if not line:
+                continue
+            near = any(
+                abs(len(o) - len(line)) <= 2 and edits(o, line) <= min(2, min(len(o), len(line)) // 10) for o in firsts
+            )
+            if line in firsts or near:
+                want[i][0].append(n)
+                want[i][1] += line not in firsts
+            firsts.add(line)
+    got = lines.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: [x.removed_lines, x.n_near] for x in got} == want
