@@ -2,7 +2,9 @@
 
 A byte-pair vocabulary spends few characters per token on random strings and many on words.  Runs of key characters
 with letters and digits whose characters per token fall below a limit are reported as kind ``token``, unless their
-shape says what they are: digests in hexadecimal, UUIDs, numbers and dates, identifiers made of words.
+shape says what they are: digests in hexadecimal, UUIDs, numbers and dates, identifiers made of words.  A run is cut
+where ``= / _ - +`` stand: known shapes among its parts are left out, and the least efficient stretches of the other
+parts are judged and reported, so that words joined to a random string do not hide it.
 
 Defined results: a null text counts as empty and has no spans; offsets are code points, ends exclusive; matches of one
 kind never overlap, those of different kinds may; repeated rows repeat; other columns are ignored.
@@ -33,6 +35,12 @@ _KNOWN = (
     re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.IGNORECASE),
     re.compile(r"[0-9+/_=-]+"),
 )
+_PART = re.compile(r"[A-Za-z0-9]+")
+_WALL = re.compile(
+    r"(?<![A-Za-z0-9])(?:[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}"
+    r"|[0-9a-f]{96}|[0-9a-f]{128})(?![A-Za-z0-9])",
+    re.IGNORECASE,
+)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
@@ -55,22 +63,61 @@ def _identifier(run: str) -> bool:
     return all(len(p) <= 4 for p in digits) and len(digits) <= 2 and sum(map(len, letters)) >= 4 * max(len(letters), 1)
 
 
+def _stretches(parts: list[tuple[int, int]], scores: list[float]) -> list[tuple[int, int]]:
+    """Start and end of the maximal stretches of parts by sum of scores (Ruzzo and Tompa, 1999)."""
+    kept: list[tuple[float, float, int, int]] = []  # sum before, sum after, start, end
+    total = 0.0
+    for (start, end), score in zip(parts, scores, strict=True):
+        before, total = total, total + score
+        if score <= 0:
+            continue
+        after, waiting = total, []
+        while True:
+            while kept and kept[-1][0] >= before:
+                waiting.append(kept.pop())
+            if not kept or kept[-1][1] >= after:
+                kept += [*reversed(waiting), (before, after, start, end)]
+                break
+            before, _, start, _ = kept.pop()
+            waiting = []
+    return [(start, end) for _, _, start, end in kept]
+
+
 def token_spans(text: str, encode, shortest: int, most_chars_per_token: float) -> list[tuple[str, int, int]]:
-    """Spans of runs of at least ``shortest`` key characters that the vocabulary encodes poorly."""
+    """Spans of stretches of at least ``shortest`` key characters that the vocabulary encodes poorly."""
     if not any(len(word) >= shortest for word in text.split()):
         return []
-    found = []
-    for m in _RUN.finditer(text):
-        run = m[0]
-        if (
+
+    def opaque(run: str) -> bool:
+        return (
             len(run) >= shortest
             and any(c.isdigit() for c in run)
             and any(c.isalpha() for c in run)
             and not any(known.fullmatch(run) for known in _KNOWN)
             and not _identifier(run)
             and len(run) < most_chars_per_token * len(encode(run))
-        ):
-            found.append(("token", *m.span()))
+        )
+
+    found = []
+    for m in _RUN.finditer(text):
+        if len(m[0]) < shortest or m[0].isalpha():
+            continue
+        walls = [(w.start(), w.end()) for w in _WALL.finditer(m[0])]
+        for at, to in zip([0, *(w[1] for w in walls)], [*(w[0] for w in walls), len(m[0])], strict=True):
+            run = m[0][at:to]
+            if len(run) < shortest:
+                continue
+            parts = [p.span() for p in _PART.finditer(run)]
+            spans = []
+            if len(parts) > 1:
+                scores = [most_chars_per_token * len(encode(run[a:b])) - (b - a) for a, b in parts]
+                spans = [s for s in _stretches(parts, scores) if opaque(run[slice(*s)])]
+            if not spans and opaque(run):
+                spans = [(0, len(run))]
+            for start, end in spans:
+                while end < len(run) and run[end] == "=":  # padding
+                    end += 1
+                found.append(("token", m.start() + at + start, m.start() + at + end))
     return found
 
 

@@ -68,3 +68,28 @@ def test_redaction(spark):
     assert got[1].text == "a <assign> b" and got[1].n_chars == 12 and got[1].lang == "en"
     assert got[2].text == "clean" and got[2].n_chars is None and got[3].text is None
     assert secrets.without_secrets("0123456789", [("assign", 1, 6), ("hex", 3, 8)]) == "0<assign>89"
+
+
+def test_words_joined_to_a_random_string_do_not_hide_it():
+    encode = secrets.byte_pairs(RANKS)[0].encode_ordinary
+    r = random.Random(11)
+    for before in ("production_database_connection=", "Authorization=", "/services/webhook/", ""):
+        for size in (20, 24, 32, 40):
+            found = whole = 0
+            for _ in range(100):
+                key = "".join(r.choice(string.ascii_letters + string.digits) for _ in range(size - 1)) + r.choice(string.digits)
+                spans = secrets.token_spans(f"a {before}{key}/status b", encode, 20, 2.0)
+                found += any(a < 2 + len(before) + size and b > 2 + len(before) for _, a, b in spans)
+                whole += any(a <= 2 + len(before) and b >= 2 + len(before) + size for _, a, b in spans)
+            assert found >= 99 and whole >= 95, (before, size, found, whole)
+
+
+def test_known_digests_are_no_tokens_behind_a_name():
+    encode = secrets.byte_pairs(RANKS)[0].encode_ordinary
+    for text in (
+        "sha256=" + hashlib.sha256(b"a").hexdigest(),
+        "md5-" + hashlib.md5(b"b").hexdigest(),
+        "request_id=123e4567-e89b-12d3-a456-426614174000/",
+        "production_database_connection_settings_of_the_year_2024",
+    ):
+        assert secrets.token_spans(text, encode, 20, 2.0) == []
