@@ -48,8 +48,8 @@ def token_count(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sampled_segmentations(spark: SparkSession, folder: str) -> DataFrame:
-    turns = table(spark, folder, "conversations")
-    return segmentation.sample(turns, ["conv_id", "turn"], "text", public_path("piece_bpe_32k.model"), k=4)
+    documents = table(spark, folder, "documents")
+    return segmentation.sample(documents, ["doc_id"], "text", public_path("piece_bpe_32k.model"), k=4)
 
 
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
