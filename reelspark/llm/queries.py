@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from reelspark.llm import (
+    alignment,
+    decontamination,
+    fill_middle,
     lines,
     packing,
     pivots,
@@ -65,6 +68,19 @@ def suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.without_repeats(table(spark, folder, "documents"))
 
 
+def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_middle.digests(table(spark, folder, "documents"))
+
+
+def tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    paths = public_path("byte_bpe_50k.json"), public_path("piece_bpe_32k.model")
+    return alignment.align(table(spark, folder, "documents"), *paths, hashed=True)
+
+
 QUERIES = {
     "op1_quality_classifier": quality_classifier,
     "op2_simhash_near_dedup": simhash_near_dedup,
@@ -76,8 +92,14 @@ QUERIES = {
     "op8_quality_rules": quality_rules,
     "op9_power_of_two_packing": power_of_two_packing,
     "op10_suffix_array_dedup": suffix_array_dedup,
+    "op11_benchmark_decontamination": benchmark_decontamination,
+    "op12_fill_in_middle": fill_in_middle,
+    "op13_tokenizer_alignment": tokenizer_alignment,
 }
 
 #: SQL equivalents.  The others' results depend on a fitted model, a tokenizer or a hash that SQL lacks; they are
 #: tested against brute force instead.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_benchmark_decontamination": decontamination.ORACLE_SQL,
+    "op12_fill_in_middle": fill_middle.ORACLE_SQL,
+}

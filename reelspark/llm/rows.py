@@ -5,14 +5,16 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.session import storage_root
 
-#: Rows handed to a row function at once; bounds what one Python worker holds beside the batch itself.
-SLICE_ROWS = 512
+#: Rows, and bytes of text, handed to a row function at once: what one Python worker holds beside the batch itself.
+SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
 
 
 def raw_texts(column: pa.Array) -> list[bytes]:
@@ -25,13 +27,27 @@ def texts(column: pa.Array) -> list[str]:
     return [value or "" for value in column.to_pylist()]
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch, each within ``SLICE_ROWS`` and ``SLICE_BYTES``, or one row."""
+    held = np.zeros(batch.num_rows + 1, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            held[1:] += np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        to = int(np.searchsorted(held, held[at] + SLICE_BYTES, side="right")) - 1
+        to = min(max(to, at + 1), at + SLICE_ROWS, batch.num_rows)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def map_slices(df: DataFrame, schema: str, rows: Callable[[pa.RecordBatch], dict]) -> DataFrame:
     """``rows`` applied to slices of each Arrow batch; it returns the output columns by name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                out = rows(batch.slice(at, SLICE_ROWS))
+            for part in slices(batch):
+                out = rows(part)
                 yield pa.RecordBatch.from_arrays(
                     [c if isinstance(c, pa.Array) else pa.array(c, types[n]) for n, c in out.items()], names=list(out)
                 )
@@ -45,8 +61,8 @@ def edit_slices(df: DataFrame, edit: Callable[[pa.RecordBatch], pa.RecordBatch])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                yield edit(batch.slice(at, SLICE_ROWS))
+            for part in slices(batch):
+                yield edit(part)
 
     return df.mapInArrow(run, df.schema)
 
