@@ -67,12 +67,13 @@ def srt_export(spark, d):
 @query
 def ass_export(spark, d):
     cues = A.short_cues(spark, d).withColumnRenamed("seq", "cue_idx")
+    known = F.col("project_id") % 11 != 5
     dims = cues.select("project_id").distinct().select(
         "project_id",
-        F.when(F.col("project_id") % 2 == 0, F.lit(1080)).otherwise(F.lit(1920)).alias("out_w"),
-        F.when(F.col("project_id") % 2 == 0, F.lit(1920)).otherwise(F.lit(1080)).alias("out_h"),
+        F.when(known, F.when(F.col("project_id") % 2 == 0, F.lit(1080)).otherwise(F.lit(1920))).alias("out_w"),
+        F.when(known, F.when(F.col("project_id") % 2 == 0, F.lit(1920)).otherwise(F.lit(1080))).alias("out_h"),
     )
-    docs, rejects = X.to_ass(_some_bad(cues), dims.where(F.col("project_id") % 11 != 5))
+    docs, rejects = X.to_ass(_some_bad(cues), dims)
     return docs.unionByName(rejects, allowMissingColumns=True)
 
 
@@ -855,9 +856,9 @@ def workspace_snapshot(spark, d):
     orders = A.table(spark, d, "orders")
     flows = orders.select(F.col("o_custkey").alias("project_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("body"))
     tasks = A.project_tasks(spark, d).select("project_id", "seq", F.col("task_id").alias("body"))
-    # drafts, exports and candidates stand in for by parts, order lines and events of the same keys
+    # parts, order lines and events of the same keys stand in for drafts, exports and candidates
     drafts = A.table(spark, d, "part").select((F.col("p_partkey") * 7).alias("project_id"), F.col("p_partkey").alias("seq"), F.col("p_brand").alias("body"))
-    exports = A.table(spark, d, "lineitem").where("l_returnflag = 'R'").select(
+    exports = A.table(spark, d, "lineitem").select(
         F.col("l_suppkey").alias("project_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("l_linestatus").alias("body")
     )
     candidates = A.table(spark, d, "events").select(F.col("user_id").alias("project_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("body"))
@@ -1079,10 +1080,10 @@ def visual_highlights(spark, d):
 @query
 def frame_sets(spark, d):
     """Frames of every user; some times repeat, some lie behind the end, some projects have no frames or are unknown."""
-    start = F.floor(A._event_ms() / 36000)
-    frames = A.table(spark, d, "events").select(F.col("user_id").alias("project_id"), (start / 10).alias("time_s"), F.col("props").alias("content"))
-    k = F.col("c_custkey")
-    projects = A.table(spark, d, "customer").where(k % 17 != 4).select(k.alias("project_id"), F.when(k % 5 == 0, F.lit(5000.0)).otherwise(F.lit(1e6)).alias("duration"))
+    start, user, k = F.floor(A._event_ms() / 36000), F.col("user_id"), F.col("c_custkey")
+    owner = F.when(user % 17 == 4, -user).otherwise(user)  # no project has a negative id
+    frames = A.table(spark, d, "events").select(owner.alias("project_id"), (start / 10).alias("time_s"), F.col("props").alias("content"))
+    projects = A.table(spark, d, "customer").select(k.alias("project_id"), F.when(k % 5 == 0, F.lit(5000.0)).otherwise(F.lit(1e6)).alias("duration"))
     sets, rejects = V.prepare_frames(frames, projects, max_frames=100)
     return sets.unionByName(rejects, allowMissingColumns=True)
 

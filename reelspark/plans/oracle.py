@@ -792,7 +792,7 @@ ORACLES: dict[str, str] = {
         LEFT JOIN (SELECT project_id, count(*) FILTER (section = 'workflows') AS n_workflows, count(*) FILTER (section = 'tasks') AS n_tasks, count(*) FILTER (section = 'drafts') AS n_drafts,
                      count(*) FILTER (section = 'exports') AS n_exports, count(*) FILTER (section = 'candidates') AS n_candidates FROM kid GROUP BY 1) t ON t.project_id = c_custkey""",
         kid="""SELECT o_custkey AS project_id, 'workflows' AS section, o_orderkey AS seq, o_orderpriority AS body FROM orders UNION ALL SELECT project_id, 'tasks', seq, task_id FROM ptask
-               UNION ALL SELECT p_partkey * 7, 'drafts', p_partkey, p_brand FROM part UNION ALL SELECT l_suppkey, 'exports', l_orderkey * 10 + l_linenumber, l_linestatus FROM lineitem WHERE l_returnflag = 'R'
+               UNION ALL SELECT p_partkey * 7, 'drafts', p_partkey, p_brand FROM part UNION ALL SELECT l_suppkey, 'exports', l_orderkey * 10 + l_linenumber, l_linestatus FROM lineitem
                UNION ALL SELECT user_id, 'candidates', event_id, event_type FROM events""",
     ),
     "disable_subtitles": _sql("SELECT project_id // 5 AS project_id, draft_id, revision + subtitles::INTEGER AS revision, false AS subtitles, count(*) FILTER (subtitles) OVER (PARTITION BY project_id // 5) AS n_changed FROM draft"),
@@ -895,8 +895,8 @@ ORACLES: dict[str, str] = {
         **_VISUAL,
     ),
     "frame_sets": """
-        WITH e AS (SELECT user_id AS project_id, (epoch_ms(ts) - epoch_ms(TIMESTAMP '2024-01-01')) // 36000 / 10 AS time_s, min(sha256(props)) AS digest FROM events GROUP BY 1, 2),
-        p AS (SELECT c_custkey AS project_id, CASE WHEN c_custkey % 5 = 0 THEN 5000e0 ELSE 1e6 END AS duration FROM customer WHERE c_custkey % 17 <> 4),
+        WITH e AS (SELECT CASE WHEN user_id % 17 = 4 THEN -user_id ELSE user_id END AS project_id, (epoch_ms(ts) - epoch_ms(TIMESTAMP '2024-01-01')) // 36000 / 10 AS time_s, min(sha256(props)) AS digest FROM events GROUP BY 1, 2),
+        p AS (SELECT c_custkey AS project_id, CASE WHEN c_custkey % 5 = 0 THEN 5000e0 ELSE 1e6 END AS duration FROM customer),
         j AS (SELECT coalesce(e.project_id, p.project_id) AS project_id,
                 CASE WHEN count(p.project_id) = 0 THEN 'unknown_project' WHEN count(e.project_id) = 0 THEN 'no_frames' WHEN bool_or(time_s < 0 OR time_s > duration) THEN 'time_out_of_range' WHEN count(*) > 100 THEN 'too_many_frames' END AS reason
               FROM e FULL JOIN p ON e.project_id = p.project_id GROUP BY 1)
