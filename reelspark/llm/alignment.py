@@ -4,11 +4,13 @@ A byte-level vocabulary (A) encodes a space and the text; a SentencePiece vocabu
 encodes the text.  Byte offsets where tokens of both end cut the tokens into groups; the last tokens of a group end
 together and are a link.  A pair of ids counts as many links as the corpus holds of it.
 
+* Both vocabularies end a token in front of a space that follows a character other than white space.  So groups are found per
+  stretch between such spaces, and remembered by a worker; a text's groups are those of its stretches in turn.
 * Identity-map fast path: an array gives for every id of A the id of B with the same bytes.  A group of one token each
   that follows the map is counted in a vector as long as A's vocabulary; such a vector per task is all that moves.
 * Only links that the map does not tell enter the shuffle of pairs.  They are counted per block of documents first, and
   a block asks for a pair once, so a pair that every document holds is a row per block.
-* The answers meet the documents of their block again (a block is bounded by ``block_bytes`` of text, or one text).
+* The answers meet the documents of their block again (a block is bounded by ``block_size`` of text).
 
 What goes to the driver has the length of a vocabulary: links per identity pair, and the highest count per id of B.
 
@@ -19,6 +21,8 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -30,8 +34,12 @@ from pyspark.sql import functions as F
 
 from reelspark.llm.rows import slices, stored, texts
 
-#: Text bytes of the documents that ask for pairs together.
-BLOCK_BYTES = 8 << 20
+#: Text of the documents that ask for pairs together, in characters; bytes that a worker remembers, in all and of a stretch.
+BLOCK_SIZE, REMEMBERED, LONG = 8 << 20, 48 << 20, 1 << 12
+
+SPACE = "\u2581"
+
+_AFTER_SPACE, _CUT = re.compile(r"\s "), re.compile(r"(?<=\S) (?!\Z)")
 
 _DOCUMENT = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, groups {}, same binary, other array<bigint>"
 _RESULT = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups {}"
@@ -45,19 +53,15 @@ def _byte_level() -> dict[str, int]:
 
 
 class _Vocabulary:
-    """Bytes of every id, their lengths, and how texts become ids."""
+    """Bytes of every id, and how texts become ids."""
 
     def __init__(self, tokens: list[bytes], encode):
-        self.tokens = tokens
-        self.lengths = np.array([len(t) for t in tokens], np.int64)
-        self.encode = encode
-        #: Decimal ids before a comma, a bar and a semicolon.
-        self.printed = [b"%d%c" % (i, mark) for mark in b",|;" for i in range(len(tokens))]
+        self.tokens, self.encode = tokens, encode
 
 
 @cache
 def byte_level(path: str) -> _Vocabulary:
-    """A: byte-level vocabulary file; special tokens in texts are plain text."""
+    """A: byte-level vocabulary file, for a space and a text; special tokens in texts are plain text."""
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(path)
@@ -75,80 +79,97 @@ def pieces(path: str) -> _Vocabulary:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
+    names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+    if any(SPACE in name.lstrip(SPACE) for name in names):
+        raise ValueError("a piece goes on behind a space: words are not encoded on their own")
     tokens = [
-        bytes([int(model.id_to_piece(i)[3:5], 16)])
-        if model.is_byte(i)
-        else model.id_to_piece(i).replace("▁", " ").encode()
-        for i in range(model.get_piece_size())
+        bytes([int(name[3:5], 16)]) if model.is_byte(i) else name.replace(SPACE, " ").encode()
+        for i, name in enumerate(names)
     ]
     return _Vocabulary(tokens, lambda text: model.encode(text, num_threads=1))
 
 
-def identity_map(a: _Vocabulary, b: _Vocabulary) -> np.ndarray:
+def identity_map(a: _Vocabulary, b: _Vocabulary) -> list[int]:
     """For every id of A the smallest id of B with the same bytes, or -1."""
     of: dict[bytes, int] = {}
     for i, token in enumerate(b.tokens):
         of.setdefault(token, i)
-    return np.array([of.get(t, -1) if t else -1 for t in a.tokens], np.int64)
+    return [of.get(t, -1) if t else -1 for t in a.tokens]
+
+
+def stretches(text: str) -> list[str]:
+    """A text cut where both vocabularies must end a token: at a space behind a character that is no white space.
+
+    The space goes to the stretch behind it, and is not part of the returned string.
+    """
+    if text[:1] == " " or text[-1:] == " " or _AFTER_SPACE.search(text):
+        return _CUT.split(text)
+    return text.split(" ")
+
+
+class Aligned(dict):
+    """Groups of a stretch of text by stretch; emptied when it holds more than ``REMEMBERED`` bytes.
+
+    A value is (n_a, n_b, n_groups, printed groups, ids of A of identity links, numbers of the other pairs), or None for
+    a stretch that a vocabulary does not give back.
+    """
+
+    def __init__(self, path_a: str, path_b: str):
+        self.a, self.b = byte_level(path_a), pieces(path_b)
+        self.same, self.held = identity_map(self.a, self.b), 0
+
+    def __missing__(self, stretch: str):
+        found = self.groups(stretch)
+        size = 4 * len(stretch) + (400 + len(found[3]) + len(found[4]) + len(found[5]) if found else 100)
+        if size < LONG:
+            if self.held + size > REMEMBERED:
+                self.clear()
+                self.held = 0
+            self.held += size
+            self[stretch] = found
+        return found
+
+    def groups(self, stretch: str):
+        ids_a, ids_b = self.a.encode(stretch), self.b.encode(stretch)
+        of_a, of_b = self.a.tokens, self.b.tokens
+        whole = b" " + stretch.encode()
+        if b"".join([of_a[i] for i in ids_a]) != whole or b"".join([of_b[i] for i in ids_b]) != whole:
+            return None
+        printed, told, others = [], [], []
+        from_a = from_b = next_b = end_a = end_b = 0
+        for next_a, id_a in enumerate(ids_a, 1):
+            end_a += len(of_a[id_a])
+            while end_b < end_a:
+                end_b += len(of_b[ids_b[next_b]])
+                next_b += 1
+            if end_a == end_b:
+                id_b = ids_b[next_b - 1]
+                printed.append(
+                    ",".join(map(str, ids_a[from_a:next_a])) + "|" + ",".join(map(str, ids_b[from_b:next_b]))
+                )
+                # Tokens of equal bytes that end together also begin together, so they are a group of their own.
+                if self.same[id_a] == id_b:
+                    told.append(id_a)
+                else:
+                    others.append(id_a * len(of_b) + id_b)
+                from_a, from_b = next_a, next_b
+        return (
+            len(ids_a), len(ids_b), len(printed), ";".join(printed).encode(),
+            np.array(told, "<u4").tobytes(), np.array(others, "<i8").tobytes(),
+        )
+
+    def document(self, text: str):
+        """As for a stretch, of a whole text."""
+        found = [self[s] for s in stretches(text)] if text else [None]
+        if None in found:
+            return 0, 0, 0, b"", b"", b""
+        n_a, n_b, n, printed, told, others = zip(*found, strict=True)
+        return sum(n_a), sum(n_b), sum(n), b";".join(printed), b"".join(told), b"".join(others)
 
 
 @cache
-def _identity(path_a: str, path_b: str) -> np.ndarray:
-    return identity_map(byte_level(path_a), pieces(path_b))
-
-
-def common_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in both of the tokens that end together; both sequences end at the same byte."""
-    at = np.searchsorted(ends_a, ends_b)
-    last_b = np.flatnonzero(ends_a[at] == ends_b)
-    return at[last_b], last_b
-
-
-def printed_groups(a: _Vocabulary, b: _Vocabulary, ids_a, ids_b, last_a, last_b) -> bytes:
-    """``a1,a2|b1;a3|b2,b3``: the ids of each group."""
-    before_a, before_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
-    n = len(ids_a) + len(ids_b)
-    # Tokens of A move up by the tokens of B in earlier groups, tokens of B by those of A up to their own group.
-    up_a = np.repeat(np.cumsum(before_b) - before_b, before_a)
-    up_b = np.repeat(np.cumsum(before_a), before_b)
-    mark_a, mark_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
-    mark_a[last_a], mark_b[last_b] = 1, 2
-    # Ids of B follow those of A in the list of what is printed.
-    own = np.empty(n, np.int64)
-    own[np.arange(len(ids_a)) + up_a] = ids_a + mark_a * len(a.tokens)
-    own[np.arange(len(ids_b)) + up_b] = ids_b + mark_b * len(b.tokens) + len(a.printed)
-    both = _printed(a, b)
-    return b"".join(map(both.__getitem__, own.tolist()))[:-1]
-
-
-_BOTH: dict = {}
-
-
-def _printed(a: _Vocabulary, b: _Vocabulary) -> list[bytes]:
-    key = (id(a), id(b))
-    if key not in _BOTH:
-        _BOTH[key] = a.printed + b.printed
-    return _BOTH[key]
-
-
-def _aligned(path_a: str, path_b: str, text: str, digest):
-    """n_a, n_b, n_groups, groups, ids of A of identity links, pair numbers of the other links."""
-    empty = np.zeros(0, np.int64)
-    if not text:
-        return 0, 0, 0, "", empty, empty
-    a, b, same = byte_level(path_a), pieces(path_b), _identity(path_a, path_b)
-    listed_a, listed_b = a.encode(text), b.encode(text)
-    whole = b" " + text.encode()
-    if b"".join(map(a.tokens.__getitem__, listed_a)) != whole or b"".join(map(b.tokens.__getitem__, listed_b)) != whole:
-        return 0, 0, 0, "", empty, empty
-    ids_a, ids_b = np.array(listed_a, np.int64), np.array(listed_b, np.int64)
-    last_a, last_b = common_ends(np.cumsum(a.lengths[ids_a]), np.cumsum(b.lengths[ids_b]))
-    groups = printed_groups(a, b, ids_a, ids_b, last_a, last_b)
-    link_a, link_b = ids_a[last_a], ids_b[last_b]
-    # Tokens of equal bytes that end together also begin together, so they are a group of their own.
-    told = same[link_a] == link_b
-    pairs = link_a[~told] * len(b.tokens) + link_b[~told]
-    return len(ids_a), len(ids_b), len(last_a), digest(groups), link_a[told], pairs
+def _aligned(path_a: str, path_b: str) -> Aligned:
+    return Aligned(path_a, path_b)
 
 
 def _as_text(groups: bytes) -> str:
@@ -156,31 +177,36 @@ def _as_text(groups: bytes) -> str:
 
 
 def _as_sha256(groups: bytes) -> str:
-    import hashlib
+    return hashlib.sha256(groups).hexdigest() if groups else ""
 
-    return hashlib.sha256(groups).hexdigest()
 
-
-def _encoded(documents: DataFrame, path_a: str, path_b: str, digest, name: str, block_bytes: int) -> DataFrame:
+def _encoded(documents: DataFrame, path_a: str, path_b: str, digest, name: str, block_size: int) -> DataFrame:
     """A row per document: its block, counts, groups, ids of identity links and numbers of the other pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, block, filled = TaskContext.get().partitionId(), 0, 0
+        known = _aligned(path_a, path_b)
         for batch in batches:
             for part in slices(batch):
-                out: list[tuple] = []
-                for doc_id, text in zip(part.column(0).to_pylist(), texts(part.column(1)), strict=True):
-                    if filled >= block_bytes:
+                blocks, found = [], []
+                for text in texts(part.column(1)):
+                    if filled >= block_size:
                         block, filled = block + 1, 0
-                    filled += len(text.encode()) + 64
-                    n_a, n_b, n, groups, told, pairs = _aligned(path_a, path_b, text, digest)
-                    out.append(((task << 32) + block, doc_id, n_a, n_b, n, groups, told.astype("<u4").tobytes(), pairs))
-                columns = list(zip(*out, strict=True))
-                kinds = [pa.int64()] * 5 + [pa.string(), pa.binary(), pa.list_(pa.int64())]
+                    filled += len(text) + 64
+                    blocks.append((task << 32) + block)
+                    found.append(known.document(text))
+                n_a, n_b, n, groups, told, others = zip(*found, strict=True)
+                ends = np.cumsum([0, *map(len, others)], dtype=np.int64) // 8
+                pairs = pa.ListArray.from_arrays(
+                    pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(others), "<i8"))
+                )
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                    [
+                        pa.array(blocks), part.column(0), *(pa.array(c, pa.int64()) for c in (n_a, n_b, n)),
+                        pa.array([digest(g) for g in groups], pa.string()), pa.array(told, pa.binary()), pairs,
+                    ],
                     names=["block", "doc_id", "n_a", "n_b", "n_groups", name, "same", "other"],
-                )
+                )
 
     schema = "block bigint, " + _DOCUMENT.replace("groups {}", f"{name} string")
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
@@ -209,7 +235,7 @@ def align(
     path_a: str,
     path_b: str,
     hashed: bool = False,
-    block_bytes: int = BLOCK_BYTES,
+    block_size: int = BLOCK_SIZE,
 ) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups of every document.
 
@@ -219,10 +245,10 @@ def align(
     spark = documents.sparkSession
     name = "groups_sha256" if hashed else "groups"
     encoded = stored(
-        _encoded(documents, path_a, path_b, _as_sha256 if hashed else _as_text, name, block_bytes), "aligned"
+        _encoded(documents, path_a, path_b, _as_sha256 if hashed else _as_text, name, block_size), "aligned"
     )
-    a, b, same = byte_level(path_a), pieces(path_b), _identity(path_a, path_b)
-    size_b = len(b.tokens)
+    a, b = byte_level(path_a), pieces(path_b)
+    size_b, same = len(b.tokens), np.array(identity_map(a, b))
     identity = _identity_counts(encoded, len(a.tokens))
 
     asked = stored(

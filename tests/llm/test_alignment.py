@@ -75,8 +75,8 @@ def test_rows_match_brute_force(spark, corpus, corpus_rows, nothing):
     )
     want = brute(rows)
     names = "doc_id n_a n_b n_groups n_links n_best count_sum groups".split()
-    for size in (alignment.BLOCK_BYTES, 1000):
-        got = alignment.align(docs.repartition(3), A, B, block_bytes=size)
+    for size in (alignment.BLOCK_SIZE, 1000):
+        got = alignment.align(docs.repartition(3), A, B, block_size=size)
         assert sorted((tuple(r) for r in got.select(*names).collect()), key=repr) == want
     hashed = alignment.align(docs, A, B, hashed=True).select("doc_id", "groups_sha256").collect()
     assert sorted(map(tuple, hashed), key=repr) == sorted(
@@ -85,6 +85,18 @@ def test_rows_match_brute_force(spark, corpus, corpus_rows, nothing):
     assert alignment.align(nothing, A, B).count() == 0
 
 
+def test_stretches_are_encoded_as_in_the_whole_text(data_dir):
+    import duckdb
+
+    a, b = alignment.byte_level(A), alignment.pieces(B)
+    found = duckdb.sql(f"SELECT text FROM '{data_dir}/documents.parquet' UNION ALL SELECT html FROM '{data_dir}/pages.parquet'")
+    for (text,) in found.fetchall() + [(t,) for t in ODD]:
+        cut = alignment.stretches(text)
+        assert " ".join(cut) == text
+        assert [i for s in cut for i in a.encode(s)] == a.encode(text)
+        assert [i for s in cut for i in b.encode(s)] == b.encode(text)
+
+
 def test_long_white_space(spark):
     docs = spark.createDataFrame([(1, " " * 1_000_000), (2, "\n" * 1_000_000)], "doc_id long, text string")
     assert {r.doc_id: r.n_groups > 0 for r in alignment.align(docs, A, B).collect()} == {1: True, 2: True}
