@@ -149,6 +149,44 @@ def slice_hot_keys(
     return df.join(edges, list(keys), "left").select(*df.columns, bucket.alias(name))
 
 
+def has_large(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> bool:
+    """Whether some key has more rows than a slice.  Runs one count per key; tells how to build a scan, not what it returns."""
+    return not _hot(df, keys, rows or ROWS_PER_SLICE).isEmpty()
+
+
+def plain_scan(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], scans: Sequence[Scan], descending: bool = False
+) -> DataFrame:
+    """``prefix_scan`` with one slice per key: windows only, for keys that were found, or are known, to be small."""
+    at = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() if descending else F.col(c).asc() for c in order])
+    before = at.rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0)
+    made = {
+        "count": lambda v: F.row_number().over(at).cast("long"),
+        "sum": lambda v: F.coalesce(F.sum(v).over(before), zero),
+        "max": lambda v: F.max(v).over(before),
+        "lag": lambda v: F.lag(v).over(at),
+        "last": lambda v: F.last(v, ignorenulls=True).over(before),
+    }
+    return df.withColumns({s.name: made[s.kind](s.value) for s in scans})
+
+
+def scan(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    scans: Sequence[Scan],
+    large: bool,
+    descending: bool = False,
+    slice_by: Sequence[str] | None = None,
+) -> DataFrame:
+    """``plain_scan``, or with ``large`` keys ``prefix_scan`` over slices that follow ``slice_by`` (first columns of the order)."""
+    if not large:
+        return plain_scan(df, keys, order, scans, descending)
+    sliced = slice_hot_keys(df, keys, slice_by or order)
+    return prefix_scan(sliced, keys, "__b", order, scans, descending).drop("__b")
+
+
 def hot_key_parts(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> DataFrame:
     """``keys, __salts`` of the large keys only: how many parts each is cut into."""
     rows = rows or ROWS_PER_SLICE

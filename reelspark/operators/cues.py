@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.intervals import near_join
 from ..functions.media_time import finite
+from ..functions.scan import Scan, has_large, plain_scan, scan
 from ..functions.text import first_reason, text_ok
+from ..session import materialize
 from ..sources.srt import caption_reason
 
 MAX_CUES = 100_000
@@ -110,9 +112,6 @@ def chunk_cues(
     )
 
 
-POINTS_PER_SHARD = 100_000
-
-
 def edge_neighbours(
     points: DataFrame, cues: DataFrame, few_points: bool = False, sides: tuple[str, ...] = ("start", "end")
 ) -> DataFrame:
@@ -122,30 +121,19 @@ def edge_neighbours(
     (``struct<value, cue_idx>``), ``reaching`` (``struct<start_s, end_s>``: first cue in order whose end is at or
     past the point) and ``last``.
 
-    Edges and points of a project are merged in time order.  Cues per project are admitted (at most 100,000);
-    a project with more points than ``POINTS_PER_SHARD`` is cut into shards, each with its own copy of the
-    edges.  ``few_points`` skips the count where points are already bounded.  ``sides`` are those the points ask for;
-    edges of other sides, and cues of projects without points, are never read into the merge.
+    Edges and points of a project are merged in time order and scanned upwards and downwards.  Cues per project are admitted
+    (at most 100,000); where a project has very many points (``few_points``: that is ruled out), the merge is cut into time
+    slices, which carry the last edge across.  ``sides`` are those the points ask for; edges of other sides, and cues of
+    projects without points, are never read into the merge.
     """
-    order = Window.partitionBy("project_id").orderBy("cue_idx").rowsBetween(Window.unboundedPreceding, -1)
-    prior = F.max("end_s").over(order)
-    c = cues.select(
-        "project_id", "cue_idx", "start_s", "end_s",
-        (prior.isNull() | (F.col("end_s") > prior)).alias("record"),
+    large = not few_points and has_large(points, ["project_id"])
+    asked_for = points.select("project_id").distinct()
+    own = cues.select("project_id", "cue_idx", "start_s", "end_s").join(asked_for, "project_id", "left_semi")
+    # A cue that ends no later than an earlier one is never the first to reach a point.
+    c = plain_scan(own, ["project_id"], ["cue_idx"], [Scan("prior", "max", F.col("end_s"))]).withColumn(
+        "record", F.col("prior").isNull() | (F.col("end_s") > F.col("prior"))
     )
     point_cols = [x for x in points.columns if x not in ("project_id", "side", "t")]
-    p = points.withColumn("p", F.struct(*point_cols))
-    if few_points:
-        asked_for = points.select("project_id").distinct()
-        p, c = p.withColumn("shard", F.lit(0)), c.join(asked_for, "project_id", "left_semi").withColumn("shard", F.lit(0))
-    else:
-        shards = (
-            points.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"))
-            .select("project_id", F.ceil(F.col("n") / POINTS_PER_SHARD).cast("int").alias("shards"))
-        )
-        p = p.join(shards, "project_id").withColumn("shard", F.pmod(F.xxhash64("p", "t"), F.col("shards")).cast("int"))
-        c = c.join(shards, "project_id").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-
     none_e = F.lit(None).cast("struct<value:double,cue_idx:int>")
     none_r = F.lit(None).cast("struct<start_s:double,end_s:double>")
 
@@ -162,30 +150,34 @@ def edge_neighbours(
         )
 
     edges = c.select(
-        "project_id", "shard", "cue_idx", "start_s", "end_s",
+        "project_id", "cue_idx", "start_s", "end_s",
         F.explode(F.array(*[f(side) for side in sides for f in (edge, record)])).alias("x"),
-    ).where(F.col("x").isNotNull()).select(
-        "project_id", "shard", "x.*", "cue_idx", F.struct("cue_idx", "start_s", "end_s").alias("cue"),
-    )
-    asked = p.select(
-        "project_id", "shard", "side", "t", none_e.alias("e"), none_r.alias("r"), F.lit(None).cast("int").alias("cue_idx"),
-        F.lit(None).cast("struct<cue_idx:int,start_s:double,end_s:double>").alias("cue"), "p",
+    ).where(F.col("x").isNotNull()).select("project_id", "x.*", "cue_idx")
+    asked = points.select(
+        "project_id", "side", "t", none_e.alias("e"), none_r.alias("r"), F.lit(None).cast("int").alias("cue_idx"),
+        F.struct(*point_cols).alias("p"),
     )
     merged = edges.withColumn("p", F.lit(None).cast(asked.schema["p"].dataType)).unionByName(asked)
-    keys = ["project_id", "side", "shard"]
-    is_point = F.col("p").isNotNull().cast("int")
-    # of equal edges the first in cue order is the one seen last, in both directions
-    up = Window.partitionBy(*keys).orderBy(F.col("t"), is_point, F.col("cue_idx").desc())
-    down = Window.partitionBy(*keys).orderBy(F.col("t").desc(), is_point, F.col("cue_idx").desc())
-    until = (Window.unboundedPreceding, 0)
-    scanned = merged.select(
-        "project_id", "side", "t", "p",
-        F.last("e", ignorenulls=True).over(up.rowsBetween(*until)).alias("below"),
-        F.last("e", ignorenulls=True).over(down.rowsBetween(*until)).alias("above"),
-        F.last("r", ignorenulls=True).over(down.rowsBetween(*until)).alias("reaching"),
-        F.max("cue").over(Window.partitionBy(*keys)).alias("last"),
+    # Of equal edges the first in cue order is the one seen last, and points see edges at their own time, in both directions.
+    keys, is_point = ["project_id", "side"], F.col("p").isNotNull()
+    ordered = merged.withColumns(
+        {"up_tie": is_point.cast("int"), "down_tie": (~is_point).cast("int"), "back": -F.col("cue_idx")}
+    )
+    if large:
+        ordered = materialize(ordered, "edges")
+    up = scan(ordered, keys, ["t", "up_tie", "back"], [Scan("below", "last", F.col("e"))], large, slice_by=["t"])
+    if large:
+        up = materialize(up, "edges")
+    down = [Scan("above", "last", F.col("e")), Scan("reaching", "last", F.col("r"))]
+    both = scan(up, keys, ["t", "down_tie", "cue_idx"], down, large, True, ["t"])
+    lasts = own.groupBy("project_id").agg(
+        F.max_by("start_s", "cue_idx").alias("start_s"), F.max_by("end_s", "cue_idx").alias("end_s")
+    ).select("project_id", F.struct("start_s", "end_s").alias("last"))
+    return (
+        both.where(is_point)
+        .join(lasts, "project_id", "left")
+        .select("project_id", "side", "t", "p.*", "below", "above", "reaching", "last")
     )
-    return scanned.where(F.col("p").isNotNull()).select("project_id", "side", "t", "p.*", "below", "above", "reaching", "last")
 
 
 def snap_to_cues(points: DataFrame, cues: DataFrame, few_points: bool = False) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import interval_join
-from ..functions.scan import hot_key_parts, over_salts, salt_hot_keys
+from ..functions.scan import Scan, has_large, hot_key_parts, over_salts, salt_hot_keys, scan
 from ..functions.scores import two_decimals
 from ..functions.text import not_blank
 from ..session import materialize
@@ -20,6 +22,65 @@ REASON_VISUAL = "仅有画面证据，未发现可用字幕证据"
 REASON_JOINT = ("字幕 ", " + 画面 ", "，时间段重叠并合并")
 
 
+def earliest_within(probes: DataFrame, spans: DataFrame, gap: float) -> DataFrame:
+    """``project_id, v_ord, home``: for every probe the lowest ordinal among the spans within ``gap`` seconds, if any.
+
+    Both sides: project_id, ord, start_s, end_s; empty spans take no part.  Time is cut into cells of twice the gap, so a
+    probe, widened by the gap, always reaches into a second cell.  Then one bound decides in each cell.  In a probe's first
+    cell it is the end: any span that touches the cell and ends at or after the probe's start is within reach.  Other
+    spans within reach start in a later cell: in those between any start will do, in the last one a start at or before the
+    probe's end.  A probe reads the running minimum of the ordinals at its own bound.
+
+    The work is the number of cells that spans and probes touch.  A cell with very many entries is cut into slices that
+    carry their minimum.
+    """
+    if gap <= 0:
+        raise ValueError("gap must be positive")
+    width = F.lit(2.0 * gap)
+    real = F.col("end_s") > F.col("start_s")
+    cell = lambda c: F.floor(c / width).cast("long")
+    lo, hi = F.col("start_s") - gap, F.col("end_s") + gap
+
+    # Entries at or above a probe's bound are within its reach: ends as they are, starts with their sign turned.
+    touched = F.transform(
+        F.sequence(cell(F.col("start_s")), cell(F.col("end_s"))),
+        lambda c: F.struct(c.alias("cell"), F.lit(0).alias("side"), F.least("end_s", (c + 1) * width).alias("bound")),
+    )
+    begun = F.struct(cell(F.col("start_s")).alias("cell"), F.lit(1).alias("side"), (-F.col("start_s")).alias("bound"))
+    entries = spans.where(real).select(
+        "project_id", F.col("ord").alias("home"), F.inline(F.concat(touched, F.array(begun)))
+    )
+    first, last = cell(lo), cell(hi)
+    asked = (
+        probes.where(real)
+        .select("project_id", F.col("ord").alias("v_ord"), lo.alias("lo"), hi.alias("hi"), first.alias("first"), last.alias("last"))
+        .select("*", F.explode(F.sequence("first", "last")).alias("cell"))
+        .select(
+            "project_id", "cell",
+            (F.col("cell") > F.col("first")).cast("int").alias("side"),
+            F.when(F.col("cell") == F.col("first"), F.col("lo")).when(F.col("cell") == F.col("last"), -F.col("hi"))
+            .otherwise(-(F.col("cell") + 1) * width).alias("bound"),
+            "v_ord",
+        )
+    )
+    both = entries.withColumn("v_ord", F.lit(None).cast(asked.schema["v_ord"].dataType)).unionByName(
+        asked.withColumn("home", F.lit(None).cast(entries.schema["home"].dataType))
+    )
+    # Among equal bounds, entries come first (descending: a missing probe sorts above any).
+    placed = both.withColumn("entry", F.col("v_ord").isNull()).withColumn("tie", F.coalesce("v_ord", "home"))
+    keys, order = ["project_id", "cell", "side"], ["bound", "entry", "tie"]
+    rows = probes.select("project_id").unionAll(spans.select("project_id"))
+    large = has_large(rows, ["project_id"])  # a cell has no more entries than its project has rows
+    seen = scan(
+        materialize(placed, "cells") if large else placed, keys, order, [Scan("least", "max", -F.col("home"))], large, True
+    )
+    return (
+        seen.where(F.col("v_ord").isNotNull() & F.col("least").isNotNull())
+        .groupBy("project_id", "v_ord")
+        .agg((-F.max("least")).alias("home"))
+    )
+
+
 def fuse_evidence(
     text: DataFrame, visual: DataFrame, gap: float = MATCH_GAP, keep: int = MAX_FUSED
 ) -> DataFrame:
@@ -29,19 +90,10 @@ def fuse_evidence(
     visual goes to the lowest-ordinal text within ``gap`` seconds; of several visuals on one text the
     highest ordinal stays; unmatched visuals follow.  Ids number the groups before ranking.
 
-    The match is a bucketed interval join on keys only, reduced by ``min`` and ``max_by`` with partial
-    aggregation.  Ranking is cut to ``keep`` rows per project in every map task; only the survivors get a
+    The match probes a cell index (``earliest_within``); no pairs are listed.  Ranking is cut to ``keep`` rows per project in every map task; only the survivors get a
     group number, as a salted count of the groups at or before them.
     """
-    span = lambda p: [F.col("start_s").alias(f"{p}0"), F.col("end_s").alias(f"{p}1")]
-    real = F.col("end_s") > F.col("start_s")
-    v_keys = visual.where(real).select("project_id", F.col("ord").alias("v_ord"), *span("v"))
-    t_keys = text.where(real).select("project_id", F.col("ord").alias("t_ord"), *span("t"))
-    pairs = interval_join(v_keys, t_keys, ["project_id"], ("v0", "v1"), ("t0", "t1"), pad=gap).where(
-        (F.col("v0") <= F.col("t1") + gap) & (F.col("t0") <= F.col("v1") + gap)
-    )
-    # narrow keys, read by several later steps: stored once
-    homes = materialize(pairs.groupBy("project_id", "v_ord").agg(F.min("t_ord").alias("home")), "homes")
+    homes = materialize(earliest_within(visual, text, gap), "homes")  # narrow, read by several later steps
 
     payload = F.struct("label", "start_s", "end_s", "evidence", "score", "kind")
     t = text.select("project_id", F.col("ord").alias("ord"), payload.alias("t"))
@@ -123,69 +175,152 @@ def match_drafts(candidates: DataFrame, drafts: DataFrame) -> DataFrame:
     ``candidates``: project_id, id, start_s, end_s; ``drafts``: project_id, ord, draft_id, start_s, end_s.
     """
     c = candidates.select("project_id", "id", F.col("start_s").alias("c0"), F.col("end_s").alias("c1"))
-    d = drafts.select("project_id", "ord", "draft_id", F.col("start_s").alias("d0"), F.col("end_s").alias("d1"))
-    overlap = F.least("c1", "d1") - F.greatest("c0", "d0")
-    best = (
+    d = drafts.select("project_id", "ord", F.col("start_s").alias("d0"), F.col("end_s").alias("d1"))
+    pairs = (
         interval_join(c, d, ["project_id"], ("c0", "c1"), ("d0", "d1"))
-        .withColumn("overlap", overlap)
+        .withColumn("overlap", F.least("c1", "d1") - F.greatest("c0", "d0"))
         .where(F.col("overlap") > 0)
-        .groupBy("project_id", "id")
-        .agg(F.max_by(F.struct("draft_id", "overlap"), F.struct(F.col("overlap"), -F.col("ord"))).alias("m"))
-        .select("project_id", "id", "m.draft_id", "m.overlap")
     )
-    return candidates.join(best, ["project_id", "id"], "left")
+    return _with_best(candidates, pairs.select("project_id", "id", "ord", "overlap"), drafts)
+
+
+def match_ranked(fused: DataFrame, drafts: DataFrame) -> DataFrame:
+    """``match_drafts`` for the few ranked candidates of a project (at most ``MAX_FUSED``): work linear in the drafts.
+
+    Every draft meets the one short list of its project and names the candidates that it overlaps; the best draft
+    per candidate is cut in the map tasks.  A project with very many drafts meets copies of its list in parts.
+    """
+    lists = fused.groupBy("project_id").agg(F.collect_list(F.struct("id", "start_s", "end_s")).alias("cs"))
+    parts = hot_key_parts(drafts, ["project_id"])
+    placed = salt_hot_keys(drafts.select("project_id", "ord", "start_s", "end_s"), ["project_id"], ["ord"], parts)
+    met = placed.join(over_salts(lists, ["project_id"], parts), ["project_id", "__salt"])
+    overlaps = F.transform(
+        "cs",
+        lambda c: F.struct(
+            c["id"].alias("id"),
+            (F.least(c["end_s"], F.col("end_s")) - F.greatest(c["start_s"], F.col("start_s"))).alias("overlap"),
+        ),
+    )
+    pairs = met.select("project_id", "ord", F.inline(F.filter(overlaps, lambda c: c["overlap"] > 0)))
+    return _with_best(fused, pairs, drafts)
+
+
+def _with_best(candidates: DataFrame, pairs: DataFrame, drafts: DataFrame) -> DataFrame:
+    """``candidates`` with the id and the overlap of the best of their drafts."""
+    order = Window.partitionBy("project_id", "id").orderBy(F.col("overlap").desc(), "ord")
+    best = pairs.withColumn("n", F.row_number().over(order)).where(F.col("n") == 1).drop("n")
+    named = best.join(drafts.select("project_id", "ord", "draft_id"), ["project_id", "ord"]).drop("ord")
+    return candidates.join(named, ["project_id", "id"], "left")
 
 
-_SPAN = "struct<start_s:double,end_s:double>"
+#: What a new draft starts with.
+NEW_DRAFT = {
+    "hook": "", "aspect": "original", "layout": "fit", "crop_x": 0.5, "title_style": "plain",
+    "title_template_version": 1, "title_motion": True, "title_scale": 1.0, "title_y": 0.12, "original_audio": True, "revision": 1,
+}
+
+
+def rebuild_drafts(fused: DataFrame, originals: DataFrame, workflows: DataFrame) -> DataFrame:
+    """A draft for every fused candidate: a copy of the original that it overlaps most, or else a new one.
+
+    ``originals``: project_id, ord, draft_id, scenes and the columns of ``NEW_DRAFT`` (only the first scene counts; without
+    scenes a draft is no match); ``workflows``: project_id, workflow_id, burn_subtitles.  Whatever it was copied from,
+    a draft has the candidate's label and span as its title and only scene.  ``source_draft_id`` names the original.
+    """
+    first = F.try_element_at("scenes", F.lit(1))
+    scened = originals.select(
+        "project_id", "ord", "draft_id", first["start_s"].alias("start_s"), first["end_s"].alias("end_s")
+    ).where(F.col("start_s").isNotNull())
+    matched = match_ranked(fused, scened).withColumnRenamed("draft_id", "source_draft_id")
+    style = originals.select("project_id", F.col("draft_id").alias("source_draft_id"), F.struct(*NEW_DRAFT).alias("o"))
+    copied = F.col("source_draft_id").isNotNull()
+    key = F.concat_ws(":", "workflow_id", "id", (F.col("rank") - 1).cast("string"))
+    return (
+        matched.join(style, ["project_id", "source_draft_id"], "left")
+        .join(workflows, "project_id")
+        .select(
+            "project_id", "rank", F.substring(F.sha2(key, 256), 1, 32).alias("draft_id"), "source_draft_id", "overlap",
+            F.col("label").alias("title"),
+            F.array(F.struct("id", "label", "start_s", "end_s", "evidence")).alias("scenes"),
+            *[F.when(copied, F.col("o")[c]).otherwise(F.lit(v)).alias(c) for c, v in NEW_DRAFT.items()],
+            F.col("burn_subtitles").alias("subtitles"), F.lit("highlight").alias("goal"), F.lit("fused-highlight").alias("origin"),
+        )
+    )
+
+
+#: Best rows of a project that one round of the suppression looks at.
+TOP_LIST = 64
+
+_KEPT = "array<struct<rank:int,ord:bigint,start_s:double,end_s:double>>"
+
+
+def _clear(x: Column, kept: Column, ratio: float) -> Column:
+    """Whether a span overlaps none of the kept ones by more than ``ratio`` of the shorter of both."""
+
+    def clash(k: Column) -> Column:
+        overlap = F.least(x["end_s"], k["end_s"]) - F.greatest(x["start_s"], k["start_s"])
+        shorter = F.least(x["end_s"] - x["start_s"], k["end_s"] - k["start_s"])
+        return (x["ord"] == k["ord"]) | ((overlap > 0) & (overlap / shorter > ratio))
+
+    return ~F.exists(kept, clash)
 
 
 def suppress_near_duplicates(
-    drafts: DataFrame, ratio: float = 0.8, keep: int = 6
+    drafts: DataFrame, ratio: float = 0.8, keep: int = 6, top: int = TOP_LIST
 ) -> DataFrame:
     """Score-descending greedy: drop a draft overlapping a kept one by more than ``ratio`` of the shorter.
 
-    ``drafts``: project_id, draft_id, ord (unique per project), start_s, end_s, score.  Greedy order makes this
-    sequential per project, but only ``keep`` winners exist: round *k* takes, per project, the best draft
-    that clears the k-1 winners so far.  A round is one aggregate with partial results over (project, part);
-    large projects are cut into parts by row count, and every round reads the same (reused) exchange.
+    ``drafts``: project_id, draft_id, ord (unique per project), start_s, end_s, score.  A round takes the best ``top`` rows of
+    each project, cut to that number in every map task, and folds them.  The kept ones of a project are then ``keep``, or its
+    rows are used up, or it goes on with what is clear of them.  The best of those is kept in any case, so ``keep`` rounds
+    are enough; nearly always the first one is, and the next reads the unfinished projects only.  Rounds move ordinals,
+    scores and bounds; ids are joined to the winners.
     """
-    entry = F.struct(
-        F.coalesce("score", F.lit(0.0)).alias("score"), (-F.col("ord")).alias("neg_ord"), F.col("draft_id"),
-        F.col("start_s"), F.col("end_s"),
-    )
-    salted = salt_hot_keys(drafts.select("project_id", "ord", entry.alias("x")), ["project_id"], ["ord"])
-    rows = salted.select("project_id", "__salts", "__salt", "x").repartition("project_id", "__salt")
-
-    def clear(x: Column, kept: Column) -> Column:
-        def clash(k: Column) -> Column:
-            overlap = F.least(x["end_s"], k["end_s"]) - F.greatest(x["start_s"], k["start_s"])
-            shorter = F.least(x["end_s"] - x["start_s"], k["end_s"] - k["start_s"])
-            same = (x["neg_ord"] == k["neg_ord"])
-            return same | ((overlap > 0) & (overlap / shorter > ratio))
-
-        return ~F.exists(kept, clash)
-
-    def settle(parts: DataFrame) -> DataFrame:
-        return parts.groupBy("project_id").agg(F.first("kept").alias("kept"), F.max("salts").alias("salts"), F.max("x").alias("x")).select(
-            "project_id", "salts",
-            F.when(F.col("x").isNull(), F.col("kept")).otherwise(F.concat("kept", F.array("x"))).alias("kept"),
-        )
+    rows = drafts.select(
+        "project_id", F.col("ord").cast("long").alias("ord"), "start_s", "end_s", F.coalesce("score", F.lit(0.0)).alias("score")
+    )
+    best = Window.partitionBy("project_id").orderBy(F.col("score").desc(), "ord")
 
-    per_part = rows.groupBy("project_id", "__salt").agg(F.max("__salts").alias("salts"), F.max("x").alias("x"))
-    winners = settle(per_part.withColumn("kept", F.slice(F.array("x"), 1, 0)))
-    for _ in range(keep - 1):
-        spread = winners.select(
-            "project_id", "kept", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("__salt")
-        )
-        winners = settle(
-            rows.join(spread, ["project_id", "__salt"])
-            .groupBy("project_id", "__salt")
+    def step(kept: Column, x: Column) -> Column:
+        return F.when((F.size(kept) < keep) & _clear(x, kept, ratio), F.concat(kept, F.array(x))).otherwise(kept)
+
+    def fold(left: DataFrame) -> DataFrame:
+        listed = (
+            left.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+            .groupBy("project_id")
             .agg(
-                F.first("kept").alias("kept"), F.max("__salts").alias("salts"),
-                F.max(F.when(clear(F.col("x"), F.col("kept")), F.col("x"))).alias("x"),
+                F.array_sort(F.collect_list(F.struct("rank", "ord", "start_s", "end_s"))).alias("xs"),
+                F.first("kept").alias("kept"),
             )
         )
-    return winners.select("project_id", F.posexplode("kept").alias("i", "x")).select(
-        "project_id", (F.col("i") + 1).alias("rank"), F.col("x.draft_id").alias("draft_id"),
-        F.col("x.start_s").alias("start_s"), F.col("x.end_s").alias("end_s"), F.col("x.score").alias("score"),
+        return listed.select(
+            "project_id",
+            F.aggregate("xs", F.col("kept"), step).alias("kept"),
+            (F.size("xs") == top).alias("more"),
+        )
+
+    none = F.expr(f"CAST(array() AS {_KEPT})")
+    unfinished = (F.size("kept") < keep) & F.col("more")
+    settled = materialize(fold(rows.withColumn("kept", none)), "kept")
+    done = [settled.where(~unfinished)]
+    while not (rest := settled.where(unfinished)).isEmpty():
+        left = rows.join(rest.select("project_id", "kept"), "project_id").where(
+            _clear(F.struct("ord", "start_s", "end_s"), F.col("kept"), ratio)
+        )
+        # A project without a clear row is finished too.
+        settled = materialize(
+            rest.select("project_id", F.col("kept").alias("before")).join(fold(left), "project_id", "left").select(
+                "project_id", F.coalesce("kept", "before").alias("kept"), F.coalesce("more", F.lit(False)).alias("more")
+            ),
+            "kept",
+        )
+        done.append(settled.where(~unfinished))
+    winners = reduce(DataFrame.unionByName, done).select("project_id", F.posexplode("kept").alias("i", "x"))
+    names = drafts.select(
+        "project_id", F.col("ord").cast("long").alias("ord"), "draft_id", F.coalesce("score", F.lit(0.0)).alias("score")
+    )
+    return (
+        winners.select("project_id", (F.col("i") + 1).alias("rank"), "x.ord", "x.start_s", "x.end_s")
+        .join(names, ["project_id", "ord"])
+        .select("project_id", "rank", "draft_id", "start_s", "end_s", "score")
     )

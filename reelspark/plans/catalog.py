@@ -30,6 +30,7 @@ from ..streaming import tasks as ST
 from ..streaming.run import run_available, run_updates, stream_session
 from . import adapters as A
 from .highlights import fused_highlights
+from .highlights import fused_production as fused_production_path
 from .highlights import text_highlights as text_path
 from .highlights import visual_highlights as visual_path
 from .highlights import visual_scan
@@ -617,6 +618,35 @@ def fused_highlight_drafts(spark, d):
     return fused.select("project_id", "rank", "id", "draft_id", "overlap", "new_draft_id")
 
 
+@query
+def fused_production(spark, d):
+    """Fusion to drafts, with failed branches, drafts without scenes and projects without candidates."""
+    text, k = A.stored_text(spark, d), F.col("project_id")
+    visual = A.visual_candidates(spark, d).withColumn("batch", F.floor(F.col("start_s") / 60) + 1)
+    branches = A.table(spark, d, "customer").select(
+        F.col("c_custkey").alias("project_id"), F.concat(F.lit("wf-"), F.col("c_custkey")).alias("workflow_id"),
+        (F.col("c_custkey") % 3 == 0).alias("burn_subtitles"), (F.col("c_custkey") % 10 != 3).alias("text_ok"),
+        F.when(F.col("c_custkey") % 4 == 1, F.lit(60)).alias("failed_batch"),
+    )
+    scene = F.when((k + F.col("ord")) % 3 != 0, F.array(F.struct("id", "label", "start_s", (F.col("end_s") + 20).alias("end_s"), "evidence")))
+    style = [F.concat(F.lit("Hook "), F.col("ord")).alias("hook"), F.when(F.col("ord") % 2 == 0, F.lit("portrait")).otherwise(F.lit("landscape")).alias("aspect"),
+             F.lit("crop").alias("layout"), ((F.col("ord") % 9) / 10).alias("crop_x"), F.lit("card").alias("title_style"), F.lit(1).alias("title_template_version"),
+             F.lit(False).alias("title_motion"), F.lit(0.8).alias("title_scale"), F.lit(0.2).alias("title_y"), F.lit(True).alias("original_audio"), (F.col("ord") % 4 + 1).cast("int").alias("revision")]
+    # drafts of the text branch come before those of the visual one
+    made = lambda c, side, batch, first: c.select(
+        "project_id", (F.col("ord") + first).alias("ord"), F.concat(F.lit("d-"), F.col("id")).alias("draft_id"), scene.alias("scenes"),
+        *style, F.lit(side).alias("side"), batch.alias("batch"),
+    )
+    originals = made(text, "text", F.lit(0).cast("long"), 0).unionByName(made(visual, "visual", F.col("batch"), 1_000_000_000))
+    drafts, rejects = fused_production_path(text, visual, originals, branches)
+    flat = drafts.select(
+        "project_id", "rank", "draft_id", "source_draft_id", "overlap", "title", F.col("scenes")[0]["id"].alias("scene_id"),
+        F.col("scenes")[0]["start_s"].alias("start_s"), F.col("scenes")[0]["end_s"].alias("end_s"), "hook", "aspect", "layout", "crop_x",
+        "title_style", "title_motion", "title_scale", "title_y", "revision", "subtitles", "origin",
+    )
+    return flat.unionByName(rejects, allowMissingColumns=True)
+
+
 def _score_replies(candidates):
     """Replies with gaps, repeats, unknown ids and odd scales, derived from the candidates."""
     k = (F.col("project_id") + F.col("ord")) % 6

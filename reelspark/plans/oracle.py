@@ -642,6 +642,29 @@ ORACLES: dict[str, str] = {
         home=_HOME,
         fus=_FUSION,
     ),
+    "fused_production": _sql(
+        """
+        SELECT f.project_id, f.rank, sha256('wf-' || f.project_id || ':' || f.id || ':' || (f.rank - 1))[1:32] AS draft_id, o.draft_id AS source_draft_id, o.overlap, f.label AS title,
+          f.id AS scene_id, f.start_s, f.end_s, coalesce('Hook ' || o.n, '') AS hook, CASE WHEN o.n IS NULL THEN 'original' WHEN o.n % 2 = 0 THEN 'portrait' ELSE 'landscape' END AS aspect,
+          CASE WHEN o.n IS NULL THEN 'fit' ELSE 'crop' END AS layout, coalesce((o.n % 9) / 10, 0.5) AS crop_x, CASE WHEN o.n IS NULL THEN 'plain' ELSE 'card' END AS title_style,
+          o.n IS NULL AS title_motion, CASE WHEN o.n IS NULL THEN 1e0 ELSE 8e-1 END AS title_scale, CASE WHEN o.n IS NULL THEN 12e-2 ELSE 2e-1 END AS title_y,
+          coalesce(o.n % 4 + 1, 1) AS revision, f.project_id % 3 = 0 AS subtitles, 'fused-highlight' AS origin, NULL AS reason
+        FROM fus f LEFT JOIN best o ON o.project_id = f.project_id AND o.id = f.id
+        UNION ALL
+        SELECT project_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+          CASE WHEN text_failed AND stop IS NOT NULL THEN 'both_branches_failed' ELSE 'no_candidates' END
+        FROM branch WHERE text_failed AND stop IS NOT NULL OR project_id NOT IN (SELECT project_id FROM fus)""",
+        branch="SELECT c_custkey AS project_id, c_custkey % 10 = 3 AS text_failed, CASE WHEN c_custkey % 4 = 1 THEN 60 END AS stop FROM customer",
+        okt="SELECT t.* FROM txt t JOIN branch b USING (project_id) WHERE NOT text_failed",
+        okv="SELECT v.* FROM vis v JOIN branch b USING (project_id) WHERE NOT (text_failed AND stop IS NOT NULL) AND (stop IS NULL OR floor(start_s / 60) + 1 < stop)",
+        home=_HOME.replace("FROM vis v JOIN txt t", "FROM okv v JOIN okt t"),
+        fus=re.sub(r"\bvis\b", "okv", re.sub(r"\btxt\b", "okt", _FUSION)),
+        original="""SELECT project_id, ord AS place, ord AS n, 'd-' || id AS draft_id, start_s, end_s + 20 AS end_s FROM okt WHERE (project_id + ord) % 3 <> 0
+            UNION ALL SELECT project_id, ord + 1000000000, ord, 'd-' || id, start_s, end_s + 20 FROM okv WHERE (project_id + ord) % 3 <> 0""",
+        best="""SELECT * FROM (SELECT f.project_id, f.id, o.draft_id, o.n, least(f.end_s, o.end_s) - greatest(f.start_s, o.start_s) AS overlap,
+              row_number() OVER (PARTITION BY f.project_id, f.id ORDER BY least(f.end_s, o.end_s) - greatest(f.start_s, o.start_s) DESC, o.place) AS k
+            FROM fus f JOIN original o ON o.project_id = f.project_id AND o.start_s < f.end_s AND o.end_s > f.start_s) WHERE k = 1""",
+    ),
     "fused_drafts": _sql(
         """
         SELECT t.project_id, t.id, t.start_s, t.end_s, arg_max('d-' || v.ord, row(o, -v.ord)) AS draft_id, max(o) AS overlap

@@ -46,7 +46,9 @@ def fuse_one_project(text, visual):
     return sorted(out, key=lambda x: -x[3])[:6]
 
 
-def test_fusion(spark):
+@pytest.mark.parametrize("rows_per_slice", [1_000_000, 4])
+def test_fusion(spark, monkeypatch, rows_per_slice):
+    monkeypatch.setattr(scan, "ROWS_PER_SLICE", rows_per_slice)
     rng = random.Random(7)
     text, visual = random_candidates(rng, 60, 8, "text"), random_candidates(rng, 60, 14, "gameplay")
     got = {}
@@ -56,14 +58,13 @@ def test_fusion(spark):
         assert got.get(p, []) == fuse_one_project([t for t in text if t[0] == p], [v for v in visual if v[0] == p])
 
 
-@pytest.mark.parametrize("rows_per_part", [1_000_000, 7])
-def test_near_duplicates(spark, monkeypatch, rows_per_part):
-    monkeypatch.setattr(scan, "ROWS_PER_SLICE", rows_per_part)
+@pytest.mark.parametrize("top", [FU.TOP_LIST, 2, 1])
+def test_near_duplicates(spark, top):
     rng = random.Random(3)
     rows = [(p, f"d{p}-{o}", o, float(a), float(a + n), s) for p in range(30) for o in range(25) for a, n, s in [(rng.randint(0, 40), rng.randint(1, 20), rng.choice([None, 0.2, 0.5, 0.9]))]]
     df = spark.createDataFrame(rows, "project_id long, draft_id string, ord long, start_s double, end_s double, score double")
     got = {}
-    for r in FU.suppress_near_duplicates(df).orderBy("project_id", "rank").collect():
+    for r in FU.suppress_near_duplicates(df, top=top).orderBy("project_id", "rank").collect():
         got.setdefault(r["project_id"], []).append(r["draft_id"])
     for p in range(30):
         kept = []
@@ -87,9 +88,9 @@ def random_cues(rng, projects, most):
 CUE = "project_id long, cue_idx int, start_s double, end_s double, text string"
 
 
-@pytest.mark.parametrize("per_shard", [100_000, 5])
-def test_snap(spark, monkeypatch, per_shard):
-    monkeypatch.setattr(C, "POINTS_PER_SHARD", per_shard)
+@pytest.mark.parametrize("rows_per_slice", [1_000_000, 5])
+def test_snap(spark, monkeypatch, rows_per_slice):
+    monkeypatch.setattr(scan, "ROWS_PER_SLICE", rows_per_slice)
     rng = random.Random(11)
     cues = random_cues(rng, 20, 12)
     points = [(p, side, rng.randint(-20, 1000) / 4, n) for p in range(20) for n in range(15) for side in ("start", "end")]
