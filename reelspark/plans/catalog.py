@@ -27,7 +27,7 @@ from ..sources import srt as SRT
 from ..sources import urls as U
 from ..session import materialize
 from ..streaming import tasks as ST
-from ..streaming.run import run_available, run_updates, stream_session
+from ..streaming.run import refresh_expired, run_available, run_updates, stream_session
 from . import adapters as A
 from .highlights import fused_highlights
 from .highlights import fused_production as fused_production_path
@@ -1301,3 +1301,39 @@ def lease_fence_stream(spark, d):
         F.concat(F.lit("lease-"), F.col("task_id") % 3).alias("lease_id"), F.when(F.max("value") > 250, F.lit("failed")).otherwise(F.lit("running")).alias("status")
     )
     return run_available(ST.fence_stream(updates, leases), spark, "fenced")
+
+
+@query
+def lease_version_stream(spark, d):
+    """Leases that change while updates arrive: the feed of views grants them, the other events use them."""
+    e = _event_stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    holder = F.concat(F.lit("lease-"), F.floor(F.col("event_id") / 3) % 2)
+    updates = e.where("event_type <> 'view'").select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), "ts", holder.alias("lease_id"))
+    leases = _event_stream(e.sparkSession, d).where("event_type = 'view'").select(
+        F.col("user_id").alias("task_id"), holder.alias("lease_id"), F.col("ts").cast("timestamp").alias("granted_at"),
+        F.when(F.col("value") > 120, F.lit("failed")).otherwise(F.lit("running")).alias("status"),
+    )
+    return run_available(ST.fence_versions(updates, leases, "1 hour", "2 days"), spark, "lease-versions").select("task_id", "seq", "lease_id")
+
+
+@query
+def expiry_refresh_stream(spark, d):
+    """Tasks that expire in the event stream, on into the workflows and projects that they belong to."""
+    feed = _event_stream(spark, d).select(
+        F.col("user_id").alias("task_id"), F.col("ts").cast("timestamp").alias("ts"),
+        F.when(F.col("value") > 350, F.lit("completed")).otherwise(F.lit("running")).alias("status"),
+    )
+    k = F.col("task_id")
+    tasks = materialize(A.table(spark, d, "events").select(F.col("user_id").alias("task_id")).distinct().select(
+        "task_id", F.floor(k / 8).alias("project_id"), F.floor(k / 4).alias("workflow_id"),
+        F.when(k % 4 == 0, F.lit("analyze")).otherwise(F.lit("export")).alias("kind"), A.goal_of(k % 4).alias("goal"), k.alias("seq"),
+        F.when(k % 5 == 0, F.lit("completed")).when(k % 5 == 1, F.lit("failed")).otherwise(F.lit("running")).alias("status"),
+        F.when(k % 5 == 1, F.lit("E")).otherwise(F.lit("")).alias("error"),
+    ), "refresh-tasks")
+    goals = tasks.select("workflow_id").distinct().select(
+        "workflow_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("g")
+    ).select("workflow_id", A.goal_of(F.col("g")).alias("goal"), F.lit("analyzing").alias("status"), F.lit("").alias("error"), (F.col("g") % 2).cast("int").alias("n_drafts"))
+    flows, projects = refresh_expired(ST.expire_heartbeats(feed, seconds=36000), spark, tasks, goals)
+    return flows.select(F.lit("workflow").alias("what"), F.col("workflow_id").alias("id"), "goal", F.col("goal_status").alias("status"), F.col("goal_error").alias("error"), "workflow_status").unionByName(
+        projects.select(F.lit("project").alias("what"), F.col("project_id").alias("id"), "status", "error"), allowMissingColumns=True
+    )

@@ -1053,3 +1053,35 @@ ORACLES["heartbeat_expiry_stream"] = _sql(
     WHERE CASE WHEN gap IS NOT NULL AND (finish IS NULL OR gap <= finish) THEN true ELSE finish IS NULL AND last + INTERVAL 10 HOUR < (SELECT max(ts) - INTERVAL 10 SECOND FROM events) END""",
     beats="SELECT *, lag(ts) OVER (PARTITION BY task_id ORDER BY ts, seq) AS prev FROM elog",
 )
+
+ORACLES["lease_version_stream"] = """
+    WITH u AS (SELECT user_id AS task_id, event_id AS seq, ts, 'lease-' || event_id // 3 % 2 AS lease_id FROM events WHERE event_type <> 'view'),
+    l AS (SELECT user_id AS task_id, 'lease-' || event_id // 3 % 2 AS lease_id, ts AS granted_at, CASE WHEN value > 120 THEN 'failed' ELSE 'running' END AS status FROM events WHERE event_type = 'view'),
+    ends AS (SELECT least((SELECT max(ts) FROM u), (SELECT max(granted_at) FROM l)) - INTERVAL 1 HOUR - INTERVAL 2 DAY AS t),
+    v AS (SELECT u.task_id, u.seq, u.ts, u.lease_id, max(row(l.granted_at, l.lease_id, l.status)) AS top
+          FROM u JOIN l ON l.task_id = u.task_id AND l.granted_at <= u.ts AND l.granted_at > u.ts - INTERVAL 2 DAY GROUP BY 1, 2, 3, 4)
+    SELECT task_id, seq, lease_id FROM v WHERE top[2] = lease_id AND top[3] = 'running' AND ts < (SELECT t FROM ends)"""
+
+ORACLES["expiry_refresh_stream"] = (
+    "WITH hb AS ("
+    + ORACLES["heartbeat_expiry_stream"]
+    + f"""),
+    base AS (SELECT user_id AS task_id, user_id // 8 AS project_id, user_id // 4 AS workflow_id, CASE WHEN user_id % 4 = 0 THEN 'analyze' ELSE 'export' END AS kind,
+               ['content', 'highlight', 'promo'][user_id % 4 % 3 + 1] AS goal, CASE user_id % 5 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' ELSE 'running' END AS st FROM (SELECT DISTINCT user_id FROM events)),
+    t AS (SELECT b.*, h.task_id IS NOT NULL AND st = 'running' AS hit, CASE WHEN h.task_id IS NOT NULL AND st = 'running' THEN 'interrupted' ELSE st END AS status,
+            CASE WHEN h.task_id IS NOT NULL AND st = 'running' THEN h.error WHEN st = 'failed' THEN 'E' ELSE '' END AS error, b.task_id + CASE WHEN h.task_id IS NOT NULL AND st = 'running' THEN 1099511627776 ELSE 0 END AS seq
+          FROM base b LEFT JOIN hb h ON h.task_id = b.task_id),
+    a AS (SELECT workflow_id, bool_or(status = 'running') AS active, arg_max(status, seq) FILTER (kind = 'analyze') AS ast, arg_max(error, seq) FILTER (kind = 'analyze') AS aerr, bool_or(hit) AS hit FROM t GROUP BY 1),
+    x AS (SELECT workflow_id, goal, count(*) AS nx, bool_or(status = 'running') AS wait, bool_or(status IN {_BROKEN}) AS broke, count(*) FILTER (status = 'completed') AS ndone,
+            arg_max(error, seq) FILTER (status IN {_BROKEN}) AS err FROM t WHERE kind = 'export' GROUP BY 1, 2),
+    s AS (SELECT a.workflow_id, goal, active, ast, hit, coalesce(nx, 0) AS nx, coalesce(ndone, 0) AS ndone,
+            CASE WHEN nx > 0 THEN CASE WHEN wait THEN 'rendering' WHEN broke THEN 'failed' ELSE 'completed' END WHEN n = 0 AND ast = 'running' THEN 'analyzing' WHEN n = 0 AND ast IN {_BROKEN} THEN ast ELSE 'analyzing' END AS gs,
+            CASE WHEN nx > 0 THEN CASE WHEN broke THEN err ELSE '' END WHEN n = 0 AND ast IN {_BROKEN} THEN aerr ELSE '' END AS ge
+          FROM a CROSS JOIN (VALUES ('content', 0), ('highlight', 1), ('promo', 0)) g(goal, n) LEFT JOIN x USING (workflow_id, goal))
+    SELECT 'workflow' AS what, workflow_id AS id, goal, gs AS status, ge AS error,
+      CASE WHEN active THEN 'running' WHEN bad AND good THEN 'partial' WHEN bad AND ast IN ('cancelled', 'interrupted') THEN ast WHEN bad THEN 'failed' ELSE 'completed' END AS workflow_status
+    FROM (SELECT *, bool_or(ndone > 0 OR gs = 'completed') OVER w AS good, bool_or(gs IN {_BROKEN}) OVER w AS bad FROM s WINDOW w AS (PARTITION BY workflow_id)) WHERE hit
+    UNION ALL
+    SELECT 'project', project_id, NULL, arg_max(CASE WHEN status <> 'completed' THEN status WHEN kind = 'analyze' THEN 'drafts_ready' ELSE 'exported' END, seq), arg_max(error, seq), NULL
+    FROM t GROUP BY project_id HAVING bool_or(hit)"""
+)

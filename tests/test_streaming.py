@@ -2,15 +2,18 @@
 
 import datetime as dt
 import random
+import time
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from reelspark.operators import tasks as K
+from reelspark.operators.tasks import EXPIRED
 from reelspark.plans import adapters as A
 from reelspark.plans import catalog
 from reelspark.streaming import tasks as ST
+from reelspark.streaming.run import STATE_STORE, refresh_expired
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -127,6 +130,63 @@ def test_lease_fence_stream_matches_batch(spark, tmp_path):
     assert got.count() > 0
 
 
+def progress_of(df, checkpoint, tmp):
+    q = df.writeStream.format("parquet").option("path", f"{tmp}/out").option("checkpointLocation", str(checkpoint)).trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    assert q.exception() is None
+    return [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+
+
+def test_state_goes_with_event_time(spark, tmp_path):
+    schema = "task_id long, ts timestamp, seq long, updated_at timestamp, status string, percent double"
+    day = 86400
+    rows = [(i, at(i), i, at(i), "running", 1.0) for i in range(20)] + [(99, at(40 * day), 50, at(0), "running", 1.0), (99, at(80 * day), 51, at(1), "running", 1.0), (99, at(81 * day), 52, at(2), "running", 2.0)]
+    write_batches(spark, rows, schema, tmp_path / "in", [list(range(20)), [20], [21], [22]])
+    totals = progress_of(ST.snapshot_stream(stream(spark, schema, tmp_path / "in"), retention="10 days"), tmp_path / "cp", tmp_path)
+    assert max(totals) >= 40 and totals[-1] < 10, totals
+    assert sorted(r["seq"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [*range(20), 50, 51, 52]
+
+
+def test_progress_state_goes_after_idle_time(spark, tmp_path):
+    schema = "op_id long, seq long, line string, duration double, scale double"
+    rows = [(i, i, "progress = 10%", 10.0, 98.0) for i in range(30)] + [(77, 100, "progress = 20%", 10.0, 98.0)]
+    write_batches(spark, rows, schema, tmp_path / "in", [list(range(30))])
+    before = progress_of(ST.progress_stream(stream(spark, schema, tmp_path / "in"), idle="3 seconds"), tmp_path / "cp", tmp_path)
+    time.sleep(4)
+    spark.createDataFrame(rows[30:], schema).coalesce(1).write.parquet(f"{tmp_path}/in/part=900")
+    after = progress_of(ST.progress_stream(stream(spark, schema, tmp_path / "in"), idle="3 seconds"), tmp_path / "cp", tmp_path)
+    assert max(before) >= 30 and after[-1] < max(before), (before, after)
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 31
+
+
+def test_a_changed_lease_refuses_the_old_holder(spark, tmp_path):
+    up, le = "task_id long, seq long, ts timestamp, lease_id string", "task_id long, lease_id string, granted_at timestamp, status string"
+    updates = [(1, 0, at(10), "a"), (1, 1, at(200), "a"), (1, 2, at(210), "b"), (2, 3, at(20), "c"), (2, 4, at(400), "c"), (3, 5, at(30), "x"), (1, 6, at(90), "b"), (9, 7, at(5000), "z"), (9, 8, at(9000), "z")]
+    leases = [(1, "a", at(0), "running"), (2, "c", at(0), "running"), (1, "b", at(100), "running"), (2, "c", at(300), "failed"), (9, "z", at(5000), "running"), (9, "z", at(9000), "running")]
+    found = []
+    for n, (parts, versions) in enumerate((([[0, 1, 2, 3, 4, 5, 6], [7], [8]], [[0, 1, 2, 3], [4], [5]]), ([[1, 4], [0, 3, 2], [5, 6], [7], [8]], [[2], [0], [1, 3], [4], [5]]))):
+        write_batches(spark, updates, up, tmp_path / f"u{n}", parts)
+        write_batches(spark, leases, le, tmp_path / f"l{n}", versions)
+        out = run(spark, ST.fence_versions(stream(spark, up, tmp_path / f"u{n}").drop("part"), stream(spark, le, tmp_path / f"l{n}").drop("part")), f"versions{n}", tmp_path / f"cp{n}")
+        found.append(sorted(r["seq"] for r in out.collect()))
+    assert found == [[0, 2, 3, 7], [0, 2, 3, 7]]
+
+
+def test_an_expired_task_changes_its_workflow_and_project(spark, tmp_path):
+    schema = "task_id long, ts timestamp, status string"
+    rows = [(1, at(0), "running"), (2, at(0), "running"), (3, at(300), "running"), (3, at(390), "running"), (4, at(900), "running")]
+    write_batches(spark, rows, schema, tmp_path / "in", [[0, 1], [2], [3], [4]])
+    tasks = spark.createDataFrame(
+        [(1, 7, 70, "analyze", "content", 1, "running", ""), (2, 7, 70, "analyze", "content", 0, "completed", ""), (3, 8, 80, "export", "content", 1, "running", ""), (5, 8, 80, "export", "content", 2, "completed", ""), (4, 9, 90, "analyze", "content", 1, "running", "")],
+        "task_id long, project_id long, workflow_id long, kind string, goal string, seq long, status string, error string",
+    )
+    goals = spark.createDataFrame([(70, "content", "analyzing", "", 0), (80, "content", "analyzing", "", 1), (90, "content", "analyzing", "", 0)], "workflow_id long, goal string, status string, error string, n_drafts int")
+    flows, projects = refresh_expired(ST.expire_heartbeats(stream(spark, schema, tmp_path / "in")), spark, tasks, goals)
+    assert {r["workflow_id"]: (r["goal_status"], r["workflow_status"], r["project_status"]) for r in flows.collect()} == {
+        70: ("interrupted", "interrupted", "interrupted"), 80: ("failed", "partial", "partial")}
+    assert {r["project_id"]: (r["status"], r["error"]) for r in projects.collect()} == {7: ("interrupted", EXPIRED), 8: ("interrupted", EXPIRED)}
+
+
 def test_catalog_has_the_batch_twins():
     assert {"heartbeat_expiry", "task_state_stream", "lease_fence", "accepted_snapshots", "monotone_progress"} <= set(catalog.QUERIES)
 
@@ -134,5 +194,6 @@ def test_catalog_has_the_batch_twins():
 @pytest.fixture(autouse=True)
 def _small_state(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "2")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     yield
     spark.conf.set("spark.sql.shuffle.partitions", "4")
