@@ -75,6 +75,10 @@ def validate_cues(cues: DataFrame, projects: DataFrame | None = None) -> DataFra
     return timed.withColumn("reason", F.coalesce(reason, past)).drop("__d")
 
 
+#: Cues of a project that one array holds; a project with more finds its chunks by a table of successors.
+CUES_PER_FOLD = 20_000
+
+
 def chunk_cues(
     cues: DataFrame,
     max_seconds: float = CHUNK_SECONDS,
@@ -83,14 +87,39 @@ def chunk_cues(
 ) -> DataFrame:
     """Adds ``chunk`` to normalised cues.
 
-    The cut depends on running state, so one fold per project walks ``(start, end, bytes)`` of its
-    (admitted, at most 100,000) cues and returns only the first ordinal of every chunk.
+    A chunk ends in front of the first cue that would make it longer than ``max_seconds`` or larger than ``max_bytes``.  For a
+    project of at most ``CUES_PER_FOLD`` cues one fold walks ``(start, end, bytes)`` and returns the first ordinal of
+    every chunk; larger ones are never put together (``_chunk_starts``).
     """
-    c = F.struct(
-        F.col("cue_idx"), F.col("start_s"), F.col("end_s"),
-        (F.octet_length("text") + overhead).cast("long").alias("cost"),
+    narrow = cues.select(
+        "project_id", "cue_idx", "start_s", "end_s", (F.octet_length("text") + overhead).cast("long").alias("cost")
+    )
+    if not has_large(narrow, ["project_id"], CUES_PER_FOLD):
+        return _numbered(cues, _folded_starts(narrow, max_seconds, max_bytes))
+    sizes = narrow.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"))
+    large = sizes.where(F.col("n") > CUES_PER_FOLD).select("project_id")
+    rest = _folded_starts(narrow.join(large, "project_id", "left_anti"), max_seconds, max_bytes)
+    starts = _chunk_starts(materialize(narrow.join(large, "project_id"), "chunk-cues"), max_seconds, max_bytes)
+    begun = cues.join(large, "project_id").join(starts.withColumn("begins", F.lit(1)), ["project_id", "cue_idx"], "left")
+    counted = scan(begun, ["project_id"], ["cue_idx"], [Scan("chunk", "sum", F.coalesce("begins", F.lit(0)))], True)
+    numbered = counted.withColumn("chunk", (F.col("chunk") + F.coalesce("begins", F.lit(0)) - 1).cast("int"))
+    return _numbered(cues.join(large, "project_id", "left_anti"), rest).unionByName(numbered.drop("begins"))
+
+
+def _numbered(cues: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``cues`` with the chunk that the sorted first ordinals of their project give."""
+    return (
+        cues.join(cuts, "project_id")
+        .withColumn("chunk", F.size(F.filter("__firsts", lambda f: f <= F.col("cue_idx"))) - 1)
+        .drop("__firsts")
+    )
+
+
+def _folded_starts(narrow: DataFrame, max_seconds: float, max_bytes: int) -> DataFrame:
+    """``project_id, __firsts``: first ordinals of the chunks, by a fold over each project."""
+    per_project = narrow.groupBy("project_id").agg(
+        F.array_sort(F.collect_list(F.struct("cue_idx", "start_s", "end_s", "cost"))).alias("cs")
     )
-    per_project = cues.groupBy("project_id").agg(F.array_sort(F.collect_list(c)).alias("cs"))
     zero = F.struct(
         F.array().cast("array<int>").alias("firsts"), F.lit(0.0).alias("t"), F.lit(0).cast("long").alias("size")
     )
@@ -104,12 +133,64 @@ def chunk_cues(
             F.when(cut, x["cost"]).otherwise(acc["size"] + x["cost"]).alias("size"),
         )
 
-    cuts = per_project.select("project_id", F.aggregate("cs", zero, step, lambda a: a["firsts"]).alias("__firsts"))
-    return (
-        cues.join(cuts, "project_id")
-        .withColumn("chunk", F.size(F.filter("__firsts", lambda f: f <= F.col("cue_idx"))) - 1)
-        .drop("__firsts")
+    return per_project.select("project_id", F.aggregate("cs", zero, step, lambda a: a["firsts"]).alias("__firsts"))
+
+
+def _counted_below(entries: DataFrame, asked: DataFrame, strict: bool) -> DataFrame:
+    """``project_id, cue_idx, n``: how many ``entries`` (project_id, at) lie below each asked place, or at it."""
+    e = entries.select("project_id", "at", F.lit(None).cast("int").alias("cue_idx"), F.lit(1).alias("one"))
+    q = asked.select("project_id", "at", "cue_idx", F.lit(0).alias("one"))
+    # At equal places the asked ones come first if entries must lie strictly below.
+    tie = F.col("one") if strict else 1 - F.col("one")
+    both = materialize(e.unionByName(q).withColumns({"tie": tie, "last": F.coalesce("cue_idx", F.lit(-1))}), "chunk-merge")
+    found = scan(both, ["project_id"], ["at", "tie", "last"], [Scan("n", "sum", F.col("one"))], True, slice_by=["at"])
+    return found.where(F.col("cue_idx").isNotNull()).select("project_id", "cue_idx", "n")
+
+
+def _chunk_starts(narrow: DataFrame, max_seconds: float, max_bytes: int) -> DataFrame:
+    """``project_id, cue_idx`` of the first cue of every chunk, for projects of any size.
+
+    Every cue gets its successor: the first cue of the next chunk, were it the first of one.  Cue ``i`` is too late for all
+    chunks that begin before place ``r``, the number of cues that start before its end less ``max_seconds``; so the
+    successor by time is the first cue whose running maximum of ``r`` is past the place.  The successor by size is a search
+    on prefix sums.  Both are counts in a merge of two orders.  The starts are those that successors reach from the first
+    cue, found by doubling: a round adds what all known starts reach by a jump, and the jump then counts twice.
+    """
+    at = lambda c: c.cast("double").alias("at")
+    before = materialize(
+        scan(narrow, ["project_id"], ["cue_idx"], [Scan("before", "sum", F.col("cost"))], True), "chunk-sums"
     )
+    too_late = _counted_below(
+        before.select("project_id", at(F.col("start_s"))),
+        before.select("project_id", "cue_idx", at(F.col("end_s") - max_seconds)), True,
+    )
+    bounded = materialize(too_late.withColumn("r", F.least("n", F.col("cue_idx").cast("long"))), "chunk-late")
+    reach = scan(bounded, ["project_id"], ["cue_idx"], [Scan("m", "max", F.col("r"))], True)
+    by_time = _counted_below(
+        reach.select("project_id", at(F.greatest("r", F.coalesce("m", F.col("r"))))),
+        before.select("project_id", "cue_idx", at(F.col("cue_idx"))), False,
+    ).withColumnRenamed("n", "by_time")
+    by_size = _counted_below(
+        before.select("project_id", at(F.col("before") + F.col("cost"))),
+        before.select("project_id", "cue_idx", at(F.col("before") + max_bytes)), False,
+    ).withColumnRenamed("n", "by_size")
+    following = F.least("by_time", F.greatest("by_size", F.col("cue_idx") + 1)).cast("int")
+    jumps = materialize(
+        by_time.join(by_size, ["project_id", "cue_idx"]).select("project_id", "cue_idx", following.alias("to")), "chunk-jumps"
+    )
+    known = materialize(narrow.where("cue_idx = 0").select("project_id", "cue_idx"), "chunk-starts")
+    n = known.count()
+    while True:
+        reached = known.join(jumps, ["project_id", "cue_idx"]).select("project_id", F.col("to").alias("cue_idx"))
+        real = reached.join(narrow.select("project_id", "cue_idx"), ["project_id", "cue_idx"], "left_semi")
+        known = materialize(known.union(real).distinct(), "chunk-starts")
+        if (after := known.count()) == n:
+            return known
+        n = after
+        further = jumps.select("project_id", F.col("cue_idx").alias("to"), F.col("to").alias("next"))
+        jumps = materialize(
+            jumps.join(further, ["project_id", "to"]).select("project_id", "cue_idx", F.col("next").alias("to")), "chunk-jumps"
+        )
 
 
 def edge_neighbours(

@@ -13,13 +13,16 @@ from ..functions.intervals import interval_join
 from ..functions.media_time import FPS, ass_clock, scene_frames, srt_clock
 from ..functions.text import clean_caption
 from ..sources.srt import MAX_CUES, caption_reason
+from .cues import MAX_SECONDS
 
 
 def timeline_cues(drafts: DataFrame, cues: DataFrame) -> DataFrame:
     """Cues of a draft's timeline: ``draft_id, out_idx, start_s, end_s, text``.
 
     ``drafts``: project_id, draft_id, scenes.  Every scene, in edit order and with repeats, takes its own clipped
-    copy of the cues it meets; scene lengths are whole frames, so offsets are frame counts.
+    copy of the cues it meets; scene lengths are whole frames, so offsets are frame counts.  Scenes follow each other in
+    output time, so a place is the number of captions of the scenes before and the place within the scene: no task
+    sees all captions of a draft.
     """
     frames = F.transform("scenes", lambda s: scene_frames(s["start_s"], s["end_s"]))
     offsets = F.aggregate(
@@ -32,10 +35,12 @@ def timeline_cues(drafts: DataFrame, cues: DataFrame) -> DataFrame:
         F.least(F.col("z.scenes.end_s"), F.col("z.scenes.start_s") + F.col("z.frames") / float(FPS)).alias("s1"),
         (F.col("z.offset") / float(FPS)).alias("offset"),
     )
+    # Nothing is said outside of a source, however far a scene reaches.
+    scenes = scenes.withColumn("to", F.least("s1", F.lit(MAX_SECONDS))).where(F.col("to") > F.greatest("s0", F.lit(0.0)))
     c = cues.select("project_id", "cue_idx", F.col("start_s").alias("c0"), F.col("end_s").alias("c1"), "text")
     start, end = F.greatest("s0", "c0"), F.least("s1", "c1")
     hits = (
-        interval_join(scenes, c, ["project_id"], ("s0", "s1"), ("c0", "c1"))
+        interval_join(scenes, c, ["project_id"], ("s0", "to"), ("c0", "c1"))
         .where(end > start)
         .select(
             "draft_id", "scene_no", "cue_idx", "text",
@@ -43,8 +48,15 @@ def timeline_cues(drafts: DataFrame, cues: DataFrame) -> DataFrame:
             (F.col("offset") + end - F.col("s0")).alias("end_s"),
         )
     )
-    order = Window.partitionBy("draft_id").orderBy("start_s", "scene_no", "cue_idx")
-    return hits.select("draft_id", (F.row_number().over(order) - 1).alias("out_idx"), "start_s", "end_s", "text")
+    order = Window.partitionBy("draft_id", "scene_no").orderBy("start_s", "cue_idx")
+    placed = hits.withColumn("place", F.row_number().over(order) - 1)
+    earlier = Window.partitionBy("draft_id").orderBy("scene_no").rowsBetween(Window.unboundedPreceding, -1)
+    counts = hits.groupBy("draft_id", "scene_no").agg(F.count(F.lit(1)).alias("n")).select(
+        "draft_id", "scene_no", F.coalesce(F.sum("n").over(earlier), F.lit(0)).cast("int").alias("first")
+    )
+    return placed.join(counts, ["draft_id", "scene_no"]).select(
+        "draft_id", (F.col("first") + F.col("place")).alias("out_idx"), "start_s", "end_s", "text"
+    )
 
 
 def _admission(cues: DataFrame, key: str, max_cues: int) -> DataFrame:

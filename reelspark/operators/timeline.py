@@ -38,11 +38,27 @@ def _meeting_cues(spans: DataFrame, cues: DataFrame, *payload: str) -> DataFrame
 
 
 def evidence_excerpt(spans: DataFrame, cues: DataFrame) -> DataFrame:
-    """Adds ``evidence``: overlapping cue texts, trimmed, in cue order, joined, first 1000 code points."""
+    """Adds ``evidence``: overlapping cue texts, trimmed, in cue order, joined, first 1000 code points.
+
+    Pairs of spans and cues carry text lengths.  Only cues that begin within the limit fetch their texts; a cue has a
+    character and a blank at least, which bounds the cues of a span before any sum.
+    """
+    own = cues.withColumn("n", F.char_length(trim_space(F.col("text"))))
+    order = Window.partitionBy("project_id", "span_id").orderBy("cue_idx")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    near = (
+        _meeting_cues(spans, own, "n")
+        .select("project_id", "span_id", "cue_idx", "n")
+        .withColumn("k", F.row_number().over(order))
+        .where(F.col("k") <= EXCERPT_CHARS // 2 + 1)
+        .withColumn("at", F.coalesce(F.sum(F.col("n") + 1).over(earlier), F.lit(0)))
+        .where(F.col("at") <= EXCERPT_CHARS)  # at the limit itself, the blank in front still counts
+    )
     texts = (
-        _meeting_cues(spans, cues, "text")
+        near.join(cues.select("project_id", "cue_idx", "text"), ["project_id", "cue_idx"])
+        .select("project_id", "span_id", "cue_idx", F.substring(trim_space(F.col("text")), 1, EXCERPT_CHARS).alias("x"))
         .groupBy("project_id", "span_id")
-        .agg(F.array_sort(F.collect_list(F.struct("cue_idx", trim_space(F.col("text")).alias("x")))).alias("xs"))
+        .agg(F.array_sort(F.collect_list(F.struct("cue_idx", "x"))).alias("xs"))
         .select(
             "project_id", "span_id",
             F.substring(F.array_join(F.col("xs.x"), " "), 1, EXCERPT_CHARS).alias("evidence"),

@@ -225,3 +225,35 @@ def test_refine(spark):
             continue
         want = refine_one_project([(i[3], i[4]) for i in items if i[0] == p], [c for c in cues if c[0] == p], profile[p][1], profile[p][2])
         assert got.get(p) == (want or None), (p, reasons[p])
+
+
+@pytest.mark.parametrize("per_fold", [20_000, 3])
+def test_chunks(spark, monkeypatch, per_fold):
+    monkeypatch.setattr(C, "CUES_PER_FOLD", per_fold)
+    monkeypatch.setattr(scan, "ROWS_PER_SLICE", 6)
+    rng = random.Random(8)
+    rows = []
+    for p, n in enumerate([1, 3, 40, 90]):
+        spans = sorted((a, a + rng.choice([1, 20, 500])) for a in (rng.randint(0, 2000) for _ in range(n)))
+        rows += [(p, i, a / 4, b / 4, "x" * rng.choice([1, 30, 200])) for i, (a, b) in enumerate(spans)]
+    got = {(r["project_id"], r["cue_idx"]): r["chunk"] for r in C.chunk_cues(spark.createDataFrame(rows, CUE), 60.0, 300, 10).collect()}
+    want = {}
+    for p in range(4):
+        chunk, t, size = -1, 0.0, 0
+        for _, i, a, b, text in (r for r in rows if r[0] == p):
+            cost = len(text) + 10
+            if chunk < 0 or b - t > 60 or size + cost > 300:
+                chunk, t, size = chunk + 1, a, 0
+            size += cost
+            want[(p, i)] = chunk
+    assert got == want
+
+
+def test_excerpt_reads_no_text_past_its_limit(spark):
+    rng = random.Random(6)
+    cues = [(0, i, i * 2.0, i * 2.0 + 3, " " + "é" * rng.choice([1, 2, 3, 40, 400, 1500]) + "\u3000") for i in range(300)]
+    spans = [(0, n, float(a), float(a + rng.randint(1, 500))) for n, a in enumerate(range(0, 550, 25))] + [(1, 0, 0.0, 9.0)]
+    got = TL.evidence_excerpt(spark.createDataFrame(spans, "project_id long, span_id int, start_s double, end_s double"), spark.createDataFrame(cues, CUE))
+    for r in got.collect():
+        mine = [c[4].strip() for c in cues if c[0] == r["project_id"] and c[2] < r["end_s"] and c[3] > r["start_s"]]
+        assert r["evidence"] == " ".join(mine)[:1000]
