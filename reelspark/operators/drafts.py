@@ -76,13 +76,20 @@ def draft_ids(drafts: DataFrame, scheme: str = "goal") -> DataFrame:
     return drafts.withColumn("draft_id", F.substring(F.sha2(key, 256), 1, 32))
 
 
+#: Fixed value: origin of drafts that the engine made.
+ENGINE = "python-engine"
+
+
 def assemble_drafts(candidates: DataFrame) -> DataFrame:
     """One draft per titled candidate.
 
     ``candidates``: project_id, workflow_id, i, id, label, start_s, end_s, evidence, title, hook, goal, route,
-    aspect, burn_subtitles.  Content drafts carry no hook and no title.
+    aspect, burn_subtitles, and ``origin`` if some come from the engine.  Content drafts carry no hook and no title; drafts of
+    the engine keep their origin and always have subtitles.
     """
     content = F.col("goal") == "content"
+    engine = F.col("origin") == ENGINE if "origin" in candidates.columns else F.lit(False)
+    engine = F.coalesce(engine, F.lit(False))
     key = F.concat_ws(":", "workflow_id", "goal", "id", F.col("i").cast("string"))
     return candidates.select(
         "project_id", "workflow_id", "goal",
@@ -96,15 +103,15 @@ def assemble_drafts(candidates: DataFrame) -> DataFrame:
         F.lit(True).alias("title_motion"),
         F.when(content, F.lit(False)).alias("title_enabled"),
         F.lit(1.0).alias("title_scale"), F.lit(0.12).alias("title_y"), F.lit(None).cast("string").alias("title_accent"),
-        F.col("burn_subtitles").alias("subtitles"), F.lit(True).alias("original_audio"), F.lit(1).alias("revision"),
-        F.concat_ws("-", "route", "goal").alias("origin"),
+        (engine | F.col("burn_subtitles")).alias("subtitles"), F.lit(True).alias("original_audio"), F.lit(1).alias("revision"),
+        F.when(engine, F.lit(ENGINE)).otherwise(F.concat_ws("-", "route", "goal")).alias("origin"),
     )
 
 
 def schedule_exports(drafts: DataFrame, workflows: DataFrame) -> DataFrame:
-    """Export tasks for finished drafts: always for content, otherwise where the workflow asks for it."""
+    """Export tasks for finished drafts: always for content, otherwise where the workflow (if it is known) asks for it."""
     return (
-        drafts.join(workflows.select("workflow_id", "auto_export"), "workflow_id")
+        drafts.join(workflows.select("workflow_id", "auto_export"), "workflow_id", "left")
         .where((F.col("goal") == "content") | F.col("auto_export"))
         .select("workflow_id", "project_id", "goal", "draft_id", "revision", F.lit("export").alias("kind"), F.lit("queued").alias("status"))
     )
@@ -124,10 +131,10 @@ def move_scene(scenes: Column, index: Column, delta: Column) -> Column:
 def apply_scene_edits(drafts: DataFrame, edits: DataFrame) -> DataFrame:
     """One edit per draft: ``op`` move (index, delta), append or replace (index) with ``scene``.
 
-    Adds ``reason``: a replaced scene that does not exist, or a result that breaks the draft rules; such a
-    draft keeps its scenes.
+    Adds ``reason``: a draft that is not there, a replaced scene that does not exist, or a result that breaks the draft
+    rules; such a draft keeps its scenes.
     """
-    joined = drafts.join(edits, "draft_id")
+    joined = edits.join(drafts.withColumn("__known", F.lit(True)), "draft_id", "left")
     index, scene = F.col("index"), F.col("scene")
     missing = (F.col("op") == "replace") & ((index < 0) | (index >= F.size("scenes")))
     edited = (
@@ -138,21 +145,24 @@ def apply_scene_edits(drafts: DataFrame, edits: DataFrame) -> DataFrame:
     )
     tried = joined.withColumns({"__old": F.col("scenes"), "__missing": missing}).withColumn("scenes", edited)
     broken = F.when(F.col("op") != "move", draft_reason(None))
-    tried = tried.withColumn("reason", F.when(F.col("__missing"), F.lit("no_such_scene")).otherwise(broken))
+    unknown = F.when(F.col("__known").isNull(), F.lit("unknown_draft")).when(F.col("__missing"), F.lit("no_such_scene"))
+    tried = tried.withColumn("reason", unknown.otherwise(broken))
     return tried.withColumn(
         "scenes", F.when(F.col("reason").isNull(), F.col("scenes")).otherwise(F.col("__old"))
     ).select(*drafts.columns, "op", "reason")
 
 
 def duplicate_drafts(drafts: DataFrame, requests: DataFrame) -> DataFrame:
-    """Copies with lineage: ``requests`` has draft_id, new_id, new_title."""
-    copied = drafts.join(requests, "draft_id")
+    """Copies with lineage: ``requests`` has draft_id, new_id, new_title.  ``reason`` tells of a draft that is not there."""
+    copied = requests.join(drafts.withColumn("__known", F.lit(True)), "draft_id", "left")
+    known = F.col("__known").isNotNull()
     return copied.withColumns(
         {
+            "reason": F.when(~known, F.lit("unknown_draft")),
             "parent_draft_id": F.col("draft_id"), "parent_revision": F.col("revision"),
-            "draft_id": F.col("new_id"), "revision": F.lit(1), "title": F.col("new_title"),
+            "draft_id": F.col("new_id"), "revision": F.when(known, F.lit(1)), "title": F.col("new_title"),
         }
-    ).drop("new_id", "new_title")
+    ).drop("new_id", "new_title", "__known")
 
 
 def merge_revisions(base: DataFrame, edits: DataFrame, values: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:

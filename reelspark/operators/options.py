@@ -64,9 +64,24 @@ def route_goals(plans: DataFrame) -> DataFrame:
     return plans.select(*others, F.explode("goals").alias("goal")).withColumn("route", route)
 
 
-def combine_routes(candidates: DataFrame) -> DataFrame:
-    """Candidate ids made unique across routes by prefix."""
-    return candidates.withColumn("id", F.concat_ws("-", F.col("route"), F.col("id")))
+def open_goals(goals: DataFrame, plans: DataFrame) -> DataFrame:
+    """``workflow_id, goal, route`` of the goals that are to be produced: a retry skips goals that have drafts.
+
+    ``goals``: workflow_id, goal, n_drafts; ``plans``: workflow_id, mode, allow_visual.
+    """
+    missing = goals.where(F.col("n_drafts") == 0).select("workflow_id", F.array("goal").alias("goals"))
+    routed = route_goals(missing.join(plans.select("workflow_id", "mode", "allow_visual"), "workflow_id"))
+    return routed.select("workflow_id", "goal", "route")
+
+
+def combine_routes(goals: DataFrame, analyses: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Candidates of all routes that a workflow ran, with ids made unique across routes by prefix.
+
+    ``goals``: from ``open_goals``; ``analyses``: workflow_id, route, ok; ``candidates``: project or workflow rows with workflow_id,
+    route, id.  A route runs once however many goals share it, and gives nothing if its analysis failed.
+    """
+    ran = goals.select("workflow_id", "route").distinct().join(analyses.where("ok").select("workflow_id", "route"), ["workflow_id", "route"])
+    return candidates.join(ran, ["workflow_id", "route"]).withColumn("id", F.concat_ws("-", F.col("route"), F.col("id")))
 
 
 def output_dimensions(info: DataFrame) -> DataFrame:

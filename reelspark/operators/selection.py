@@ -84,12 +84,16 @@ def select_candidates(candidates: DataFrame, profile: DataFrame, largest_keep: i
 
     ``largest_keep`` is the largest ``max_keep`` in ``profile`` (those of ``duration_profile`` end there; pass your own
     bound with other profiles).  As a constant it lets Spark cut every map task to that many rows per project before
-    the shuffle, so a project with very many candidates costs no more than any other.
+    the shuffle, so a project with very many candidates costs no more than any other.  A profile that asks for more ends the
+    job with an error instead of a shorter list; a project without a profile keeps no candidate.
     """
     order = Window.partitionBy("project_id").orderBy(F.col("score").desc(), F.col("ord").asc())
     best = candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= largest_keep)
+    asked = F.when(F.col("max_keep") <= largest_keep, F.col("max_keep")).otherwise(
+        F.raise_error(F.lit(f"max_keep is over largest_keep = {largest_keep}")).cast("int")
+    )
     return (
-        best.join(profile.select("project_id", "min_keep", "max_keep"), "project_id")
+        best.join(profile.select("project_id", "min_keep", asked.alias("max_keep")), "project_id")
         .where(
             (F.col("rank") <= F.col("max_keep")) & ((F.col("score") >= 0.7) | (F.col("rank") <= F.col("min_keep")))
         )

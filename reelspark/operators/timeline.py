@@ -521,3 +521,51 @@ def quality_report(items: DataFrame, cues: DataFrame, profile: DataFrame) -> Dat
         .withColumn("consistent", F.when(F.col("reason").isNotNull(), none).otherwise(F.coalesce(agrees, F.lit(False))))
         .drop("n", "sound", "n_over")
     )
+
+
+def check_timeline(candidates: DataFrame, report: DataFrame, cues: DataFrame, profile: DataFrame) -> DataFrame:
+    """``project_id, reason``: whether a stored timeline still holds when it is used again (null: it does).
+
+    ``candidates``: project_id, ord, id, label, start_s, end_s, evidence, score, kind; ``report``: project_id, output, over_tier;
+    ``profile``: project_id, min_s, max_s, hard_max_s.  Of all rules that some row breaks the first is named: the number of rows,
+    their ids in order, labels, bounds, order without overlap, length between minimum and hard maximum, edges of cues,
+    evidence as the cues give it, speech over half of the span, kind and score, and the number of rows over the tier.
+    """
+    keys = candidates.withColumnRenamed("ord", "span_id")
+    grounded = cue_grounded(keys.select("project_id", "span_id", "start_s", "end_s"), cues).select("project_id", "span_id", "grounded")
+    covered = covered_micros(keys.select("project_id", "span_id", "start_s", "end_s"), cues).select("project_id", "span_id", "covered_us")
+    told = evidence_excerpt(keys.select("project_id", "span_id", "start_s", "end_s"), cues).select(
+        "project_id", "span_id", F.col("evidence").alias("said")
+    )
+    on = ["project_id", "span_id"]
+    # Only projects of at most 256 rows come to the window; more are an error by themselves.
+    before = Window.partitionBy("project_id").orderBy("span_id")
+    sized = report.select("project_id", "output", "over_tier")
+    counts = keys.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"))
+    few = counts.where(F.col("n") <= MAX_SPANS).select("project_id")
+    rows = (
+        keys.join(few, "project_id")
+        .join(grounded, on).join(covered, on).join(told, on)
+        .join(profile.select("project_id", "min_s", "max_s", "hard_max_s"), "project_id")
+        .withColumns({"place": F.row_number().over(before), "prior": F.lag("end_s", 1, 0.0).over(before)})
+    )
+    length = F.col("end_s") - F.col("start_s")
+    hard = F.when(F.col("hard_max_s") > 0, F.least(F.lit(HARD_MAX), F.col("hard_max_s"))).otherwise(F.lit(HARD_MAX))
+    silent = F.col("covered_us") < (micros(F.col("end_s")) - micros(F.col("start_s"))) * MIN_COVERAGE
+    rules = {
+        "id": F.col("id") != F.concat(F.lit("text-"), F.col("place")), "label": ~text_ok(F.col("label"), 120, True),
+        "bounds": ~finite(F.col("start_s")) | ~finite(F.col("end_s")), "overlap": F.col("start_s") < F.col("prior"),
+        "too_short": length < F.col("min_s") - 1e-6, "too_long": length > hard + 1e-6, "not_grounded": ~F.col("grounded"),
+        "evidence": ~F.col("evidence").eqNullSafe(F.col("said")), "silence": silent,
+        "kind": (F.col("kind") != "text") | (F.col("score") != 0),
+    }
+    facts = rows.groupBy("project_id").agg(
+        *[F.bool_or(F.coalesce(rule, F.lit(True))).alias(f"x_{name}") for name, rule in rules.items()],
+        F.count_if(length > F.col("max_s") + 1e-6).alias("n_over"),
+    )
+    reason = first_reason(
+        (F.coalesce(F.col("n"), F.lit(0)) == 0, "empty"), (F.col("n") != F.col("output"), "count"),
+        (F.col("n") > MAX_SPANS, "too_many_spans"), (F.col("n_over").isNull(), "no_profile"),
+        *[(F.col(f"x_{name}"), name) for name in rules], (F.col("n_over") != F.col("over_tier"), "over_tier"),
+    )
+    return sized.join(counts, "project_id", "left").join(facts, "project_id", "left").select("project_id", reason.alias("reason"))

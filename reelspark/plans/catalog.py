@@ -216,6 +216,33 @@ def engine_candidates(spark, d):
     ).select(*cols, "reason")
 
 
+@query
+def engine_drafts(spark, d):
+    """Drafts of engine candidates with their words; some projects have a bad boundary, a path outside or no candidate."""
+    e, start, user = A.table(spark, d, "events"), F.floor(A._event_ms() / 360), F.col("user_id")
+    span = [(start / 1000).alias("start_s"), ((start + 100 + F.floor(F.col("value") * 100)) / 1000).alias("end_s")]
+    up = F.when(F.col("event_id") % 797 == 5, F.lit("../../x")).otherwise(F.concat(F.lit("./crop//"), F.lit("a/../"), F.col("event_id")))
+    results = e.select(
+        user.alias("project_id"), F.col("event_id").alias("seq"), F.concat(F.lit("e"), F.col("event_id")).alias("id"), *span,
+        F.when(F.col("event_type") == "view", F.lit("")).otherwise(F.col("event_type")).alias("title"), F.col("value").alias("score"),
+        F.col("props").alias("reason"), F.concat(F.lit("Hook "), F.col("event_id")).alias("hook"),
+        F.concat(F.when(user % 2 == 0, F.lit("/work/engine/")).otherwise(F.lit("")), up).alias("crop_path"),
+    )
+    projects = A.table(spark, d, "customer").select(
+        F.col("c_custkey").alias("project_id"), F.when(F.col("c_custkey") % 40 == 7, F.lit(6000.0)).otherwise(F.lit(7300.0)).alias("duration"),
+        F.when(F.col("c_custkey") % 2 == 0, F.lit("portrait")).otherwise(F.lit("original")).alias("aspect"),
+    )
+    words = e.select(user.alias("project_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("text"), *span, F.lit(None).cast("string").alias("speaker"))
+    drafts, rejects = M.engine_drafts(results, projects, "/work/engine")
+    drafts = materialize(drafts, "engine-drafts")
+    said = M.draft_words(drafts, words).groupBy("draft_id").agg(F.count(F.lit(1)).alias("n_words"))
+    flat = drafts.join(said, "draft_id", "left").select(
+        "project_id", "draft_id", "title", "hook", F.col("scenes")[0]["id"].alias("scene_id"), "start_s", "end_s", "aspect", "subtitles", "origin",
+        "crop_path", "ratio", F.coalesce("n_words", F.lit(0).cast("long")).alias("n_words"),
+    )
+    return flat.unionByName(rejects, allowMissingColumns=True)
+
+
 @query
 def entity_scan(spark, d):
     body = F.to_json(
@@ -1159,6 +1186,7 @@ def _titled(spark, d):
         "start_s", "end_s", "evidence", F.concat(F.lit("Title "), F.col("label")).alias("title"), F.concat(F.lit("Hook "), F.col("ord")).alias("hook"),
         A.goal_of(F.col("ord")).alias("goal"), F.lit("subtitle").alias("route"),
         F.when(F.col("project_id") % 2 == 0, F.lit("portrait")).otherwise(F.lit("original")).alias("aspect"), (F.col("project_id") % 3 == 0).alias("burn_subtitles"),
+        F.when(F.col("ord") % 10 == 7, F.lit("python-engine")).alias("origin"),
     )
 
 
@@ -1180,7 +1208,7 @@ def export_schedule(spark, d):
 @query
 def scene_edits(spark, d):
     edits = A.table(spark, d, "documents").select(
-        F.concat(F.lit("draft-"), F.col("doc_id")).alias("draft_id"),
+        F.concat(F.when(F.col("n_chars") % 13 == 0, F.lit("none-")).otherwise(F.lit("draft-")), F.col("doc_id")).alias("draft_id"),
         F.element_at(F.array(F.lit("move"), F.lit("append"), F.lit("replace")), (F.col("doc_id") % 3 + 1).cast("int")).alias("op"),
         (F.col("n_chars") % 9).cast("int").alias("index"), F.when(F.col("n_chars") % 2 == 0, F.lit(1)).otherwise(F.lit(-1)).alias("delta"),
         F.struct(F.lit("new").alias("id"), F.col("source").alias("label"), F.lit(1.0).alias("start_s"), F.lit(4.5).alias("end_s"), F.lit("").alias("evidence")).alias("scene"),
@@ -1194,7 +1222,7 @@ def draft_lineage(spark, d):
     reqs = A.table(spark, d, "events").select(
         F.concat(F.lit("draft-"), F.col("user_id")).alias("draft_id"), F.concat(F.lit("copy-"), F.col("event_id")).alias("new_id"), F.col("event_type").alias("new_title")
     )
-    return D.duplicate_drafts(A.drafts(spark, d).drop("scenes"), reqs).select("draft_id", "title", "revision", "parent_draft_id", "parent_revision", "aspect")
+    return D.duplicate_drafts(A.drafts(spark, d).drop("scenes"), reqs).select("draft_id", "title", "revision", "parent_draft_id", "parent_revision", "aspect", "reason")
 
 
 @query
@@ -1202,6 +1230,41 @@ def goal_route(spark, d):
     return O.route_goals(_plans(spark, d).select("plan_id", "mode", "allow_visual", "goals"))
 
 
+@query
+def route_candidates(spark, d):
+    """Candidates of the routes that a workflow runs for its open goals, one workflow per customer."""
+    k = F.col("c_custkey")
+    customers = A.table(spark, d, "customer")
+    plans = customers.select(k.alias("workflow_id"), F.when(k % 3 == 0, F.lit("auto")).when(k % 3 == 1, F.lit("visual")).otherwise(F.lit("subtitle")).alias("mode"), (k % 2 == 0).alias("allow_visual"))
+    goals = customers.select(k.alias("workflow_id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("g")).select(
+        "workflow_id", A.goal_of(F.col("g")).alias("goal"), ((F.col("workflow_id") + F.col("g")) % 3).cast("int").alias("n_drafts"))
+    routes = F.array(F.lit("subtitle"), F.lit("visual"))
+    analyses = customers.select(k.alias("workflow_id"), F.explode(routes).alias("route")).select(
+        "workflow_id", "route", (~((F.col("workflow_id") % 7 == 0) & (F.col("route") == "visual"))).alias("ok"))
+    of = lambda c, route: c.select(F.col("project_id").alias("workflow_id"), F.lit(route).alias("route"), "id", "start_s", "score")
+    candidates = of(A.text_candidates(A.cues(spark, d)), "subtitle").unionByName(of(A.visual_candidates(spark, d), "visual"))
+    return O.combine_routes(O.open_goals(goals, plans), analyses, candidates)
+
+
+@query
+def timeline_check(spark, d):
+    """Stored timelines checked again: spans of four cues, with planted faults of every kind."""
+    cues = A.stored_cues(spark, d)
+    k, o = F.col("project_id"), F.col("ord")
+    spans = A.text_candidates(cues).select("project_id", F.col("ord").alias("span_id"), "id", "label", "start_s", "end_s")
+    faulty = lambda n, bad, good: F.when((k % 13 == n) & (o == 2), bad).otherwise(good)
+    candidates = materialize(TL.evidence_excerpt(spans, cues), "timelines").withColumnRenamed("span_id", "ord").select(
+        "project_id", "ord", faulty(1, F.lit("text-9"), F.col("id")).alias("id"), faulty(2, F.lit(" "), F.col("label")).alias("label"),
+        faulty(3, F.col("start_s") - 2, F.col("start_s")).alias("start_s"), faulty(4, F.col("end_s") + 0.5, F.col("end_s")).alias("end_s"),
+        faulty(5, F.lit("else"), F.col("evidence")).alias("evidence"), faulty(6, F.lit(0.5), F.lit(0.0)).alias("score"),
+        faulty(7, F.lit("other"), F.lit("text")).alias("kind"),
+    )
+    report = candidates.groupBy("project_id").agg((F.count(F.lit(1)) + F.when(k % 13 == 8, 1).otherwise(0)).alias("output")).withColumn(
+        "over_tier", F.when(k % 13 == 9, F.lit(3)).otherwise(F.lit(0)))
+    profile = A.profiles(spark, d, cues).withColumns({"min_s": F.lit(1.0), "max_s": F.lit(1e4), "hard_max_s": F.when(k % 13 == 10, F.lit(40.0)).otherwise(F.lit(1800.0))})
+    return TL.check_timeline(candidates, report, cues, profile)
+
+
 @query
 def export_snapshot(spark, d):
     reqs = A.table(spark, d, "events").select(

@@ -948,16 +948,18 @@ ORACLES: dict[str, str] = {
     "draft_assemble": _sql(
         """SELECT project_id, 'wf-' || project_id AS workflow_id, g AS goal, sha256('wf-' || project_id || ':' || g || ':' || id || ':' || ord - 1)[1:32] AS draft_id, 'Title ' || label AS title,
              CASE g WHEN 'content' THEN '' ELSE 'Hook ' || ord END AS hook, id AS scene_id, start_s, CASE WHEN project_id % 2 = 0 THEN 'portrait' ELSE 'original' END AS aspect,
-             CASE WHEN project_id % 2 = 0 THEN 'crop' ELSE 'fit' END AS layout, CASE g WHEN 'content' THEN false END AS title_enabled, project_id % 3 = 0 AS subtitles, 'subtitle-' || g AS origin
+             CASE WHEN project_id % 2 = 0 THEN 'crop' ELSE 'fit' END AS layout, CASE g WHEN 'content' THEN false END AS title_enabled, project_id % 3 = 0 OR ord % 10 = 7 AS subtitles,
+             CASE WHEN ord % 10 = 7 THEN 'python-engine' ELSE 'subtitle-' || g END AS origin
            FROM (SELECT *, ['content', 'highlight', 'promo'][ord % 3 + 1] AS g FROM txt)""".replace("':' || ord - 1)", "':' || (ord - 1))")
     ),
     "export_schedule": _sql(
         """SELECT 'wf-' || project_id AS workflow_id, project_id, g AS goal, sha256('wf-' || project_id || ':' || g || ':' || id || ':' || (ord - 1))[1:32] AS draft_id, 1 AS revision, 'export' AS kind, 'queued' AS status
-           FROM (SELECT *, ['content', 'highlight', 'promo'][ord % 3 + 1] AS g FROM txt) JOIN documents ON doc_id = project_id WHERE g = 'content' OR n_chars % 2 = 0"""
+           FROM (SELECT *, ['content', 'highlight', 'promo'][ord % 3 + 1] AS g FROM txt) LEFT JOIN documents ON doc_id = project_id WHERE g = 'content' OR n_chars % 2 = 0"""
     ),
     "scene_edits": _sql(
         """
-        SELECT draft_id, op, reason, array_to_string(CASE WHEN reason IS NULL THEN new_ids ELSE ids END, ',') AS scene_ids FROM (
+        SELECT CASE WHEN n_chars % 13 = 0 THEN 'none-' || project_id ELSE draft_id END AS draft_id, op, CASE WHEN n_chars % 13 = 0 THEN 'unknown_draft' ELSE reason END AS reason,
+          CASE WHEN n_chars % 13 <> 0 THEN array_to_string(CASE WHEN reason IS NULL THEN new_ids ELSE ids END, ',') END AS scene_ids FROM (
           SELECT *, CASE WHEN op = 'replace' AND ix >= n THEN 'no_such_scene' WHEN op = 'move' THEN NULL WHEN len(new_ids) > 30 THEN 'scene_count'
               WHEN len(list_filter(bad, lambda z, i: z AND NOT (op = 'replace' AND i = ix + 1))) > 0 OR len(list_distinct(new_ids)) < len(new_ids) THEN 'scene'
               WHEN total + CASE WHEN op = 'append' THEN 3.5::DOUBLE ELSE 3.5::DOUBLE - lens[ix + 1] END > 1800 THEN 'too_long'
@@ -968,7 +970,50 @@ ORACLES: dict[str, str] = {
               FROM draft d JOIN (SELECT draft_id, count(*) AS n, list(id ORDER BY scene_no) AS ids, list(length(evidence) > 1000 OR end_s - start_s < 0.1::DOUBLE ORDER BY scene_no) AS bad,
                 list(end_s - start_s ORDER BY scene_no) AS lens, sum(end_s - start_s) AS total FROM scene GROUP BY 1) s USING (draft_id))))"""
     ),
-    "draft_lineage": _sql("SELECT 'copy-' || event_id AS draft_id, event_type AS title, 1 AS revision, d.draft_id AS parent_draft_id, d.revision AS parent_revision, aspect FROM events JOIN draft d ON d.draft_id = 'draft-' || user_id"),
+    "draft_lineage": _sql(
+        """SELECT 'copy-' || event_id AS draft_id, event_type AS title, CASE WHEN d.draft_id IS NOT NULL THEN 1 END AS revision, 'draft-' || user_id AS parent_draft_id, d.revision AS parent_revision, aspect,
+             CASE WHEN d.draft_id IS NULL THEN 'unknown_draft' END AS reason FROM events LEFT JOIN draft d ON d.draft_id = 'draft-' || user_id"""
+    ),
+    "route_candidates": _sql(
+        """
+        SELECT workflow_id, route, route || '-' || id AS id, start_s, score FROM (
+          SELECT project_id AS workflow_id, 'subtitle' AS route, id, start_s, score FROM txt UNION ALL SELECT project_id, 'visual', id, start_s, score FROM vis) c
+        JOIN (SELECT DISTINCT w AS workflow_id, CASE WHEN goal = 'content' THEN 'subtitle' WHEN w % 3 = 0 THEN CASE WHEN w % 2 = 0 THEN 'visual' ELSE 'subtitle' END WHEN w % 3 = 1 THEN 'visual' ELSE 'subtitle' END AS route
+              FROM (SELECT c_custkey AS w, unnest([0, 1, 2]) AS g, ['content', 'highlight', 'promo'][g + 1] AS goal FROM customer) WHERE (w + g) % 3 = 0) r USING (workflow_id, route)
+        WHERE NOT (workflow_id % 7 = 0 AND route = 'visual')"""
+    ),
+    "engine_drafts": _sql(
+        """
+        SELECT project_id, sha256(project_id || ':engine:e' || ord)[1:32] AS draft_id, CASE label WHEN 'view' THEN '片段' ELSE label END AS title, 'Hook ' || ord AS hook, 'e' || ord AS scene_id, start_s, end_s,
+          CASE WHEN project_id % 2 = 0 THEN 'portrait' ELSE 'original' END AS aspect, true AS subtitles, 'python-engine' AS origin, '/work/engine/crop/' || ord AS crop_path,
+          CASE WHEN project_id % 2 = 0 THEN '9:16' ELSE '16:9' END AS ratio, (SELECT count(*) FROM vis w WHERE w.project_id = r.project_id AND w.start_s < r.end_s AND w.end_s > r.start_s) AS n_words, NULL AS reason
+        FROM r WHERE project_id NOT IN (SELECT project_id FROM bad)
+        UNION ALL SELECT project_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, arg_min(reason, ord) FROM bad GROUP BY 1
+        UNION ALL SELECT c_custkey, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'no_candidates' FROM customer WHERE c_custkey NOT IN (SELECT project_id FROM vis)""",
+        r="SELECT vis.*, c_custkey IS NULL AS unknown, CASE WHEN c_custkey % 40 = 7 THEN 6000 ELSE 7300 END AS duration FROM vis LEFT JOIN customer ON c_custkey = project_id",
+        bad="""SELECT project_id, ord, CASE WHEN unknown OR end_s > duration + 0.001::DOUBLE OR end_s <= start_s THEN 'invalid_boundary' ELSE 'unsafe_crop_path' END AS reason FROM r
+               WHERE unknown OR end_s > duration + 0.001::DOUBLE OR end_s <= start_s OR ord % 797 = 5""",
+    ),
+    "timeline_check": _sql(
+        f"""
+        SELECT project_id, CASE WHEN project_id % 13 = 8 THEN 'count' WHEN n > 256 THEN 'too_many_spans'
+            WHEN x_id THEN 'id' WHEN x_label THEN 'label' WHEN x_overlap THEN 'overlap' WHEN x_long THEN 'too_long' WHEN x_ground THEN 'not_grounded' WHEN x_said THEN 'evidence'
+            WHEN x_silent THEN 'silence' WHEN x_kind THEN 'kind' WHEN project_id % 13 = 9 THEN 'over_tier' END AS reason
+        FROM (SELECT project_id, count(*) AS n, bool_or(f = 1) AS x_id, bool_or(f = 2) AS x_label, bool_or(a < prior) AS x_overlap, bool_or(b - a > CASE WHEN project_id % 13 = 10 THEN 40 ELSE 1800 END + 1e-6) AS x_long,
+                bool_or(NOT grounded) AS x_ground, bool_or(f = 5 OR coalesce(said, '') <> coalesce(kept, '')) AS x_said, bool_or(coalesce(us, 0) * 2 < round(b * 1e6)::BIGINT - round(a * 1e6)::BIGINT) AS x_silent, bool_or(f IN (6, 7)) AS x_kind
+              FROM (SELECT s.*, lag(b, 1, 0) OVER (PARTITION BY s.project_id ORDER BY ord) AS prior,
+                      EXISTS (SELECT 1 FROM cues c WHERE c.project_id = s.project_id AND abs(c.start_s - a) < 1e-6) AND EXISTS (SELECT 1 FROM cues c WHERE c.project_id = s.project_id AND abs(c.end_s - b) < 1e-6) AS grounded,
+                      (SELECT (string_agg({_trim('c.text')}, ' ' ORDER BY cue_idx))[1:1000] FROM cues c WHERE c.project_id = s.project_id AND c.start_s < b AND c.end_s > a) AS said,
+                      (SELECT (string_agg({_trim('c.text')}, ' ' ORDER BY cue_idx))[1:1000] FROM cues c WHERE c.project_id = s.project_id AND c.start_s < s.end_s AND c.end_s > s.start_s) AS kept
+                    FROM sp s)
+              LEFT JOIN part USING (project_id, ord) GROUP BY 1)""",
+        sp="""SELECT *, CASE WHEN ord = 2 THEN project_id % 13 ELSE -1 END AS f, CASE WHEN ord = 2 AND project_id % 13 = 3 THEN start_s - 2 ELSE start_s END AS a,
+                CASE WHEN ord = 2 AND project_id % 13 = 4 THEN end_s + 0.5::DOUBLE ELSE end_s END AS b FROM txt""",
+        part="""SELECT project_id, ord, sum(greatest(0, e1 - greatest(s1, coalesce(pm, s1))))::BIGINT AS us FROM (
+                  SELECT s.project_id, s.ord, round(greatest(a, c.start_s) * 1e6)::BIGINT AS s1, round(least(b, c.end_s) * 1e6)::BIGINT AS e1,
+                    max(round(least(b, c.end_s) * 1e6)::BIGINT) OVER (PARTITION BY s.project_id, s.ord ORDER BY cue_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm
+                  FROM sp s JOIN cues c ON c.project_id = s.project_id AND c.start_s < b AND c.end_s > a) GROUP BY 1, 2""",
+    ),
     "goal_route": _sql(
         """SELECT plan_id, mode, allow_visual, goal, CASE WHEN goal = 'content' THEN 'subtitle' WHEN mode = 'auto' THEN CASE WHEN allow_visual THEN 'visual' ELSE 'subtitle' END ELSE mode END AS route
            FROM (SELECT plan_id, mode, allow_visual, unnest(goals) AS goal FROM plan)"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.intervals import interval_join
 from ..functions.media_time import finite
 from ..functions.text import first_reason
 
@@ -110,8 +111,8 @@ def fold_engine_events(
     )
 
 
-def engine_candidate_rows(results: DataFrame, projects: DataFrame) -> DataFrame:
-    """Engine results with project duration, mapped to candidate columns, plus ``bad`` per row."""
+def engine_candidate_rows(results: DataFrame, projects: DataFrame, *payload: str) -> DataFrame:
+    """Engine results with project duration, mapped to candidate columns, plus ``payload`` and ``bad`` per row."""
     joined = results.join(projects.select("project_id", "duration"), "project_id", "left")  # unknown project: bad
     label = F.when(F.coalesce(F.col("title"), F.lit("")) == "", F.lit(DEFAULT_LABEL)).otherwise(F.col("title"))
     bad = (
@@ -123,7 +124,7 @@ def engine_candidate_rows(results: DataFrame, projects: DataFrame) -> DataFrame:
     return joined.select(
         "project_id", "seq", "id", label.alias("label"), "start_s", "end_s",
         F.col("reason").alias("evidence"), (F.col("score") / 100).alias("score"), F.lit("other").alias("kind"),
-        F.coalesce(bad, F.lit(True)).alias("bad"),
+        F.coalesce(bad, F.lit(True)).alias("bad"), *payload,
     )
 
 
@@ -134,6 +135,59 @@ def engine_candidates(results: DataFrame, projects: DataFrame) -> tuple[DataFram
     return rows.drop("bad").join(rejected, "project_id", "left_anti"), rejected
 
 
+def clean_path(path: Column, base: str) -> Column:
+    """``path`` without ``.``, ``..`` and repeated slashes; a relative one is taken from ``base``."""
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), path))
+    parts = F.filter(F.split(whole, "/"), lambda x: (x != "") & (x != "."))
+    up = lambda acc, x: F.when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(
+        F.concat(acc, F.array(x))
+    )
+    kept = F.aggregate(parts, F.array().cast("array<string>"), up)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
+def engine_drafts(results: DataFrame, projects: DataFrame, workspace: str) -> tuple[DataFrame, DataFrame]:
+    """``(drafts, rejects)``: a draft of one scene for every engine candidate, with what its framing needs.
+
+    ``results``: as for ``engine_candidates`` with hook and crop_path; ``projects``: project_id, duration, aspect.  One bad
+    boundary, or a crop path outside of ``workspace``, rejects the project, and so does a project without candidates.
+    """
+    rows = engine_candidate_rows(results, projects, "hook", "crop_path")
+    path = clean_path(F.coalesce("crop_path", F.lit("")), workspace)
+    root = "/" + workspace.strip("/")
+    reason = first_reason(
+        (F.col("bad"), "invalid_boundary"), (~F.startswith(path, F.lit(root + "/")), "unsafe_crop_path")
+    )
+    checked = rows.withColumns({"crop_path": path, "reason": reason})
+    # A boundary is checked before the path, candidate by candidate.
+    first = checked.where(F.col("reason").isNotNull()).groupBy("project_id").agg(F.min_by("reason", "seq").alias("reason"))
+    empty = projects.join(results.select("project_id").distinct(), "project_id", "left_anti").select(
+        "project_id", F.lit("no_candidates").alias("reason")
+    )
+    good = checked.drop("reason", "bad").join(first.select("project_id"), "project_id", "left_anti")
+    drafts = good.join(projects.select("project_id", "aspect"), "project_id").select(
+        "project_id", "seq", F.substring(F.sha2(F.concat_ws(":", "project_id", F.lit("engine"), "id"), 256), 1, 32).alias("draft_id"),
+        F.col("label").alias("title"), F.coalesce("hook", F.lit("")).alias("hook"),
+        F.array(F.struct("id", "label", "start_s", "end_s", "evidence")).alias("scenes"), "start_s", "end_s", "aspect",
+        F.lit(True).alias("subtitles"), F.lit("python-engine").alias("origin"), F.lit("content").alias("goal"), "crop_path",
+        F.when(F.col("aspect") == "portrait", F.lit("9:16")).otherwise(F.lit("16:9")).alias("ratio"),
+    )
+    return drafts, first.unionByName(empty)
+
+
+def draft_words(drafts: DataFrame, words: DataFrame) -> DataFrame:
+    """Words that an engine draft captions: ``draft_id, seq, text, start_s, end_s, speaker``, clipped to nothing.
+
+    ``words``: project_id, seq, text, start_s, end_s, speaker.  Those outside of the draft's span are left with the project,
+    since its captions can never show them.
+    """
+    spans = drafts.select("project_id", "draft_id", F.col("start_s").alias("d0"), F.col("end_s").alias("d1"))
+    met = interval_join(spans, words, ["project_id"], ("d0", "d1"), ("start_s", "end_s"))
+    return met.where((F.col("start_s") < F.col("d1")) & (F.col("end_s") > F.col("d0"))).select(
+        "draft_id", "seq", "text", "start_s", "end_s", "speaker"
+    )
+
+
 def media_manifest(files: DataFrame) -> DataFrame:
     """``path, size, duration`` -> ``path, ok, reason``."""
     ext = F.lower(F.regexp_extract("path", "(\\.[^./]*)\\z", 1))
