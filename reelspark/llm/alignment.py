@@ -4,8 +4,6 @@ A byte-level vocabulary (A) encodes a space and the text; a SentencePiece vocabu
 encodes the text.  Byte offsets where tokens of both end cut the tokens into groups; the last tokens of a group end
 together and are a link.  A pair of ids counts as many links as the corpus holds of it.
 
-* Both vocabularies end a token in front of a space that follows a character other than white space.  So groups are found per
-  stretch between such spaces, and remembered by a worker; a text's groups are those of its stretches in turn.
 * Identity-map fast path: an array gives for every id of A the id of B with the same bytes.  A group of one token each
   that follows the map is counted in a vector as long as A's vocabulary; such a vector per task is all that moves.
 * Only links that the map does not tell enter the shuffle of pairs.  They are counted per block of documents first, and
@@ -22,6 +20,7 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -34,12 +33,14 @@ from pyspark.sql import functions as F
 
 from reelspark.llm.rows import slices, stored, texts
 
-#: Text of the documents that ask for pairs together, in characters; bytes that a worker remembers, in all and of a stretch.
-BLOCK_SIZE, REMEMBERED, LONG = 8 << 20, 48 << 20, 1 << 12
+#: Text of the documents that ask for pairs together, in characters.
+BLOCK_SIZE = 8 << 20
 
 SPACE = "\u2581"
 
-_AFTER_SPACE, _CUT = re.compile(r"\s "), re.compile(r"(?<=\S) (?!\Z)")
+#: White space in a row that the rank encoder is not given.
+BLANKS = 10_000
+_BLANKS = re.compile(rf"\s{{{BLANKS}}}")
 
 _DOCUMENT = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, groups {}, same binary, other array<bigint>"
 _RESULT = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups {}"
@@ -53,15 +54,23 @@ def _byte_level() -> dict[str, int]:
 
 
 class _Vocabulary:
-    """Bytes of every id, and how texts become ids."""
+    """Bytes of every id, their lengths, decimal ids before a comma and a mark, and how a text becomes ids."""
 
-    def __init__(self, tokens: list[bytes], encode):
+    def __init__(self, tokens: list[bytes], encode, mark: bytes):
         self.tokens, self.encode = tokens, encode
+        self.lengths = np.array([len(t) for t in tokens], np.int64)
+        self.printed = [b"%d%s" % (i, end) for end in (b",", mark) for i in range(len(tokens))]
 
 
 @cache
 def byte_level(path: str) -> _Vocabulary:
-    """A: byte-level vocabulary file, for a space and a text; special tokens in texts are plain text."""
+    """A: byte-level vocabulary file, for a space and a text; special tokens in texts are plain text.
+
+    The file's merges stand in the order of its ids, so ids are ranks, and the faster rank encoder gives the same tokens.  It
+    cannot take very long runs of white space; texts that hold one go to the file's own encoder.
+    """
+    import tiktoken
+    from public_tokenizers import PATTERN
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(path)
@@ -70,7 +79,22 @@ def byte_level(path: str) -> _Vocabulary:
     tokens = [b""] * whole.get_vocab_size()
     for token, i in whole.get_vocab().items():
         tokens[i] = bytes(of[c] for c in token) if all(c in of for c in token) else token.encode()
-    return _Vocabulary(tokens, lambda text: whole.encode(" " + text, add_special_tokens=False).ids)
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    merged = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    if [model["vocab"][x + y] for x, y in merged] != list(range(256, 256 + len(merged))):
+        raise ValueError("the merges of the vocabulary do not stand in the order of its ids")
+    special = set(whole.get_added_tokens_decoder())
+    ranks = tiktoken.Encoding(
+        "ranks", pat_str=PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens) if i not in special}, special_tokens={}
+    )
+
+    def encode(text: str) -> np.ndarray:
+        if len(text) > BLANKS and _BLANKS.search(text):
+            return np.array(whole.encode(" " + text, add_special_tokens=False).ids, np.int64)
+        return np.array(ranks.encode_ordinary(" " + text), np.int64)
+
+    return _Vocabulary(tokens, encode, b"|")
 
 
 @cache
@@ -80,96 +104,73 @@ def pieces(path: str) -> _Vocabulary:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
-    if any(SPACE in name.lstrip(SPACE) for name in names):
-        raise ValueError("a piece goes on behind a space: words are not encoded on their own")
     tokens = [
         bytes([int(name[3:5], 16)]) if model.is_byte(i) else name.replace(SPACE, " ").encode()
         for i, name in enumerate(names)
     ]
-    return _Vocabulary(tokens, lambda text: model.encode(text, num_threads=1))
+    return _Vocabulary(tokens, lambda text: np.array(model.encode(text, num_threads=1), np.int64), b";")
 
 
-def identity_map(a: _Vocabulary, b: _Vocabulary) -> list[int]:
+def identity_map(a: _Vocabulary, b: _Vocabulary) -> np.ndarray:
     """For every id of A the smallest id of B with the same bytes, or -1."""
     of: dict[bytes, int] = {}
     for i, token in enumerate(b.tokens):
         of.setdefault(token, i)
-    return [of.get(t, -1) if t else -1 for t in a.tokens]
-
-
-def stretches(text: str) -> list[str]:
-    """A text cut where both vocabularies must end a token: at a space behind a character that is no white space.
+    return np.array([of.get(t, -1) if t else -1 for t in a.tokens], np.int64)
 
-    The space goes to the stretch behind it, and is not part of the returned string.
-    """
-    if text[:1] == " " or text[-1:] == " " or _AFTER_SPACE.search(text):
-        return _CUT.split(text)
-    return text.split(" ")
 
+def common_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in both of the tokens that end together; both sequences end at the same byte."""
+    at = np.searchsorted(ends_a, ends_b)
+    last_b = np.flatnonzero(ends_a[at] == ends_b)
+    return at[last_b], last_b
 
-class Aligned(dict):
-    """Groups of a stretch of text by stretch; emptied when it holds more than ``REMEMBERED`` bytes.
 
-    A value is (n_a, n_b, n_groups, printed groups, ids of A of identity links, numbers of the other pairs), or None for
-    a stretch that a vocabulary does not give back.
-    """
+class Aligner:
+    """Groups of whole texts; everything about a vocabulary is made once for a worker."""
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = byte_level(path_a), pieces(path_b)
-        self.same, self.held = identity_map(self.a, self.b), 0
-
-    def __missing__(self, stretch: str):
-        found = self.groups(stretch)
-        size = 4 * len(stretch) + (400 + len(found[3]) + len(found[4]) + len(found[5]) if found else 100)
-        if size < LONG:
-            if self.held + size > REMEMBERED:
-                self.clear()
-                self.held = 0
-            self.held += size
-            self[stretch] = found
-        return found
-
-    def groups(self, stretch: str):
-        ids_a, ids_b = self.a.encode(stretch), self.b.encode(stretch)
-        of_a, of_b = self.a.tokens, self.b.tokens
-        whole = b" " + stretch.encode()
-        if b"".join([of_a[i] for i in ids_a]) != whole or b"".join([of_b[i] for i in ids_b]) != whole:
-            return None
-        printed, told, others = [], [], []
-        from_a = from_b = next_b = end_a = end_b = 0
-        for next_a, id_a in enumerate(ids_a, 1):
-            end_a += len(of_a[id_a])
-            while end_b < end_a:
-                end_b += len(of_b[ids_b[next_b]])
-                next_b += 1
-            if end_a == end_b:
-                id_b = ids_b[next_b - 1]
-                printed.append(
-                    ",".join(map(str, ids_a[from_a:next_a])) + "|" + ",".join(map(str, ids_b[from_b:next_b]))
-                )
-                # Tokens of equal bytes that end together also begin together, so they are a group of their own.
-                if self.same[id_a] == id_b:
-                    told.append(id_a)
-                else:
-                    others.append(id_a * len(of_b) + id_b)
-                from_a, from_b = next_a, next_b
-        return (
-            len(ids_a), len(ids_b), len(printed), ";".join(printed).encode(),
-            np.array(told, "<u4").tobytes(), np.array(others, "<i8").tobytes(),
-        )
+        self.same = identity_map(self.a, self.b)
+        self.printed = self.a.printed + self.b.printed
+
+    def printed_groups(self, ids_a, ids_b, last_a, last_b) -> bytes:
+        """``a1,a2|b1;a3|b2,b3``: the ids of each group."""
+        before_a, before_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+        # Tokens of A move up by the tokens of B in earlier groups, tokens of B by those of A up to their own group.
+        up_a = np.repeat(np.cumsum(before_b) - before_b, before_a)
+        up_b = np.repeat(np.cumsum(before_a), before_b)
+        # What is printed for a token: its id in a group, or its id at the end of its side of a group.
+        own = np.empty(len(ids_a) + len(ids_b), np.int64)
+        place_a, place_b = np.arange(len(ids_a)) + up_a, np.arange(len(ids_b)) + up_b
+        own[place_a], own[place_b] = ids_a, ids_b + len(self.a.printed)
+        own[place_a[last_a]] += len(self.a.tokens)
+        own[place_b[last_b]] += len(self.b.tokens)
+        return b"".join(map(self.printed.__getitem__, own.tolist()))[:-1]
 
     def document(self, text: str):
-        """As for a stretch, of a whole text."""
-        found = [self[s] for s in stretches(text)] if text else [None]
-        if None in found:
-            return 0, 0, 0, b"", b"", b""
-        n_a, n_b, n, printed, told, others = zip(*found, strict=True)
-        return sum(n_a), sum(n_b), sum(n), b";".join(printed), b"".join(told), b"".join(others)
+        """n_a, n_b, n_groups, printed groups, ids of A of identity links, numbers of the other pairs."""
+        none = 0, 0, 0, b"", b"", b""
+        if not text:
+            return none
+        ids_a, ids_b, whole = self.a.encode(text), self.b.encode(text), b" " + text.encode()
+        for vocabulary, ids in ((self.a, ids_a), (self.b, ids_b)):
+            if b"".join(map(vocabulary.tokens.__getitem__, ids.tolist())) != whole:
+                return none
+        last_a, last_b = common_ends(np.cumsum(self.a.lengths[ids_a]), np.cumsum(self.b.lengths[ids_b]))
+        link_a, link_b = ids_a[last_a], ids_b[last_b]
+        # Tokens of equal bytes that end together also begin together, so they are a group of their own.
+        told = self.same[link_a] == link_b
+        others = link_a[~told] * len(self.b.tokens) + link_b[~told]
+        return (
+            len(ids_a), len(ids_b), len(last_a), self.printed_groups(ids_a, ids_b, last_a, last_b),
+            link_a[told].astype("<u4").tobytes(), others.astype("<i8").tobytes(),
+        )
 
 
 @cache
-def _aligned(path_a: str, path_b: str) -> Aligned:
-    return Aligned(path_a, path_b)
+def _aligner(path_a: str, path_b: str) -> Aligner:
+    return Aligner(path_a, path_b)
 
 
 def _as_text(groups: bytes) -> str:
@@ -185,16 +186,16 @@ def _encoded(documents: DataFrame, path_a: str, path_b: str, digest, name: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, block, filled = TaskContext.get().partitionId(), 0, 0
-        known = _aligned(path_a, path_b)
+        known = _aligner(path_a, path_b)
         for batch in batches:
             for part in slices(batch):
-                blocks, found = [], []
-                for text in texts(part.column(1)):
+                blocks, own = [], texts(part.column(1))
+                for text in own:
                     if filled >= block_size:
                         block, filled = block + 1, 0
                     filled += len(text) + 64
                     blocks.append((task << 32) + block)
-                    found.append(known.document(text))
+                found = [known.document(text) for text in own]
                 n_a, n_b, n, groups, told, others = zip(*found, strict=True)
                 ends = np.cumsum([0, *map(len, others)], dtype=np.int64) // 8
                 pairs = pa.ListArray.from_arrays(
@@ -248,7 +249,7 @@ def align(
         _encoded(documents, path_a, path_b, _as_sha256 if hashed else _as_text, name, block_size), "aligned"
     )
     a, b = byte_level(path_a), pieces(path_b)
-    size_b, same = len(b.tokens), np.array(identity_map(a, b))
+    size_b, same = len(b.tokens), identity_map(a, b)
     identity = _identity_counts(encoded, len(a.tokens))
 
     asked = stored(

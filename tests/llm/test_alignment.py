@@ -85,16 +85,15 @@ def test_rows_match_brute_force(spark, corpus, corpus_rows, nothing):
     assert alignment.align(nothing, A, B).count() == 0
 
 
-def test_stretches_are_encoded_as_in_the_whole_text(data_dir):
+def test_ranks_give_the_tokens_of_the_file(data_dir):
     import duckdb
 
-    a, b = alignment.byte_level(A), alignment.pieces(B)
+    whole = Tokenizer.from_file(A)
+    whole.encode_special_tokens = True
     found = duckdb.sql(f"SELECT text FROM '{data_dir}/documents.parquet' UNION ALL SELECT html FROM '{data_dir}/pages.parquet'")
-    for (text,) in found.fetchall() + [(t,) for t in ODD]:
-        cut = alignment.stretches(text)
-        assert " ".join(cut) == text
-        assert [i for s in cut for i in a.encode(s)] == a.encode(text)
-        assert [i for s in cut for i in b.encode(s)] == b.encode(text)
+    texts = [t for (t,) in found.fetchall()] + ODD + ["a" * 20_000 + " " * 9_000, "\u0085 \n" * 12_000, "x" + "\n" * 10_001]
+    for text in texts:
+        assert alignment.byte_level(A).encode(text).tolist() == whole.encode(" " + text, add_special_tokens=False).ids
 
 
 def test_long_white_space(spark):
