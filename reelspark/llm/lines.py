@@ -23,6 +23,8 @@ an empty table gives an empty result; extra columns are ignored by ``repeated_li
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -286,10 +288,8 @@ def _by_document(repeats: DataFrame) -> DataFrame:
     )
 
 
-def _keyed(documents: DataFrame) -> DataFrame:
-    return documents.withColumns(
-        {"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_tie": F.xxhash64("text")}
-    )
+def _keyed(documents: DataFrame, doc: str = "_doc", tie: str = "_tie") -> DataFrame:
+    return documents.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), tie: F.xxhash64("text")})
 
 
 def line_report(documents: DataFrame, **limits: int) -> DataFrame:
@@ -311,22 +311,22 @@ def line_report(documents: DataFrame, **limits: int) -> DataFrame:
 
 def without_repeats(documents: DataFrame, **limits: int) -> DataFrame:
     """The documents with repeated lines removed from their texts; columns, and texts without repeats, stay."""
+    taken = {c.lower() for c in documents.columns}
+    doc, tie, removed = (next(n for n in (f"{name}{'_' * k}" for k in count()) if n not in taken) for name in ("doc", "tie", "removed"))
     repeats = _by_document(repeated_lines(documents, **limits)).select(
-        F.col("doc").alias("_doc"), F.col("tie").alias("_tie"), F.col("removed_lines").alias("_removed")
+        F.col("doc").alias(doc), F.col("tie").alias(tie), F.col("removed_lines").alias(removed)
     )
     lines = F.split("text", "\n", -1)
     kept = let(
         lines,
         lambda found: F.array_join(
-            F.transform(
-                F.array_except(F.sequence(F.lit(0), F.size(found) - 1), F.col("_removed")), lambda i: F.get(found, i)
-            ),
+            F.transform(F.array_except(F.sequence(F.lit(0), F.size(found) - 1), F.col(removed)), lambda i: F.get(found, i)),
             "\n",
         ),
     )
     return (
-        _keyed(documents)
-        .join(repeats, ["_doc", "_tie"], "left")
-        .withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(kept))
+        _keyed(documents, doc, tie)
+        .join(repeats, [doc, tie], "left")
+        .withColumn("text", F.when(F.col(removed).isNull(), F.col("text")).otherwise(kept))
         .select(*documents.columns)
     )

@@ -34,9 +34,15 @@ MOST_PIVOTS, SAMPLED = 2048, 16
 BLOCK = 512
 
 
+def unit_vectors(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled by their largest component first, so that no square overflows or vanishes."""
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+
+
 def choose_pivots(vectors: np.ndarray, count: int) -> np.ndarray:
     """``count`` unit vectors, each the one farthest from those before it."""
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    unit = unit_vectors(np.asarray(vectors, float))
     chosen = [0]
     nearest = unit @ unit[0]
     while len(chosen) < min(count, len(unit)):
@@ -59,7 +65,7 @@ def _postings(classes: DataFrame, pivots: dict[int, np.ndarray], near: int) -> D
         out: dict[str, list] = {c: [] for c in ("label", "node", "list", "pivots", "copies", "embedding")}
         for label, node, copies, vector in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             points = shared.value[len(vector)]
-            order = np.argsort(-(points @ np.array(vector)), kind="stable")[:near]
+            order = np.argsort(-(points @ unit_vectors(np.array([vector], float))[0]), kind="stable")[:near]
             own = sorted(map(int, order))
             for p, q in combinations(own, 2) if len(own) > 1 else [(own[0], own[0])]:
                 for name, value in zip(out, (label, node, p << 32 | q, own, copies, vector), strict=True):
@@ -67,7 +73,7 @@ def _postings(classes: DataFrame, pivots: dict[int, np.ndarray], near: int) -> D
         return out
 
     kind = classes.schema["embedding"].dataType.simpleString()
-    schema = f"label int, node bigint, list bigint, pivots array<int>, copies bigint, embedding {kind}"
+    schema = f"label string, node bigint, list bigint, pivots array<int>, copies bigint, embedding {kind}"
     return map_slices(classes.select("label", "node", "copies", "embedding"), schema, rows)
 
 
@@ -84,8 +90,7 @@ def _groups(linked: np.ndarray) -> np.ndarray:
 
 def _cell(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """node, links and head of the classes of one cell: copies linked here for the first time, and a link to a group."""
-    x = np.stack(rows["embedding"].to_numpy()).astype(float)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit_vectors(np.stack(rows["embedding"].to_numpy()).astype(float))
     linked = x @ x.T >= threshold
     np.fill_diagonal(linked, False)
     low, high = int(rows["list"].iloc[0]) >> 32, int(rows["list"].iloc[0]) & 0xFFFFFFFF
@@ -134,7 +139,7 @@ def near_duplicates(
     """
     rows = vectors.select(
         F.col("vec_id").cast("long"),
-        F.col("label").cast("int"),
+        F.col("label").cast("string"),
         "embedding",
     ).withColumn("usable", F.coalesce(usable() & F.col("label").isNotNull(), F.lit(False)))
     classes = (
@@ -186,6 +191,6 @@ def near_duplicates(
 def brute_force_links(ids: Iterator[int], vectors: np.ndarray, labels: np.ndarray, threshold: float) -> set:
     """All linked pairs of a small table, to measure the recall of the index against."""
     ids = np.array(list(ids))
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    unit = unit_vectors(vectors)
     held = (unit @ unit.T >= threshold) & (labels[:, None] == labels[None, :])
     return {(int(ids[i]), int(ids[j])) for i, j in zip(*np.nonzero(np.triu(held, 1)), strict=True)}

@@ -17,6 +17,20 @@ from reelspark.session import storage_root
 SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
 
 
+#: What a worker remembers between tasks (emptied by ``clear``), and the function that it last ran.
+MEMORIES: list = []
+_LAST: list = [None]
+
+
+def begin(rows: Callable) -> None:
+    """A worker that goes on to another function forgets what the one before remembered."""
+    name = f"{rows.__module__}.{rows.__qualname__}"
+    if _LAST[0] != name:
+        for memory in MEMORIES:
+            memory.clear()
+        _LAST[0] = name
+
+
 def raw_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column, null as empty."""
     return [value or b"" for value in column.cast(pa.binary()).to_pylist()]
@@ -45,6 +59,7 @@ def map_slices(df: DataFrame, schema: str, rows: Callable[[pa.RecordBatch], dict
     """``rows`` applied to slices of each Arrow batch; it returns the output columns by name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(rows)
         for batch in batches:
             for part in slices(batch):
                 out = rows(part)
@@ -60,6 +75,7 @@ def edit_slices(df: DataFrame, edit: Callable[[pa.RecordBatch], pa.RecordBatch])
     """``df`` with slices of its batches edited in place: rows left out, or values of its own columns replaced."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(edit)
         for batch in batches:
             for part in slices(batch):
                 yield edit(part)

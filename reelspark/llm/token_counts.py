@@ -11,6 +11,8 @@ spans outside the text are cut to it; repeated rows repeat; other columns are ig
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +23,27 @@ from reelspark.llm.vocabulary import byte_pairs
 RULES = ("first", "middle", "last")
 
 
+#: White space in a row (the Unicode property) that is encoded on its own: the pattern of the vocabulary fails on much more.
+_BLANKS = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{10000,}")
+
+
+def encode(encoding, text: str) -> list[int]:
+    """Ids of a whole text.
+
+    A run of white space is one token's text up to its last character, which goes to what follows.  So a very long run is
+    handed over as a piece, and the text goes on at its last character.
+    """
+    if len(text) < 10_000 or not (runs := list(_BLANKS.finditer(text))):
+        return encoding.encode_ordinary(text)
+    ids, at = [], 0
+    for run in runs:
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        ids += encoding.encode_ordinary(text[at : run.start()])
+        ids += encoding._encode_single_piece(text[run.start() : end])
+        at = end
+    return ids + encoding.encode_ordinary(text[at:])
+
+
 def line_sections(text: bytes) -> np.ndarray:
     """Byte spans of the lines of a text, each with its line break: they cover the text."""
     if not text:
@@ -67,7 +90,7 @@ def section_tokens(documents: DataFrame, vocabulary: str, rule: str = "first", s
                 points = places if chars is None else np.concatenate([[0], chars])[places]
             if not len(places):
                 continue
-            ids = np.array(encoding.encode_ordinary(text.decode()), np.int64)
+            ids = np.array(encode(encoding, text.decode()), np.int64)
             ends = np.cumsum(lengths[ids])
             own_tokens, crossing = attribute(ends, places, rule)
             k = len(places)

@@ -9,8 +9,10 @@ from functools import cache
 import numpy as np
 import regex
 
-#: Words whose ids a worker remembers; beyond it the memory is emptied and filled again.
-REMEMBERED = 400_000
+from reelspark.llm.rows import MEMORIES
+
+#: Words, and their bytes, whose ids a worker remembers; beyond either the memory is emptied and filled again.
+REMEMBERED, REMEMBERED_BYTES = 400_000, 96 << 20
 
 #: How the word vocabulary splits a printable lower-case ASCII word (a fixed value of that vocabulary).
 _ASCII_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
@@ -34,9 +36,15 @@ class _WordIds(dict):
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
+        self.held = 0
+        MEMORIES.append(self)
+
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= REMEMBERED:
+        if len(self) >= REMEMBERED or self.held > REMEMBERED_BYTES:
             self.clear()
         text = word.decode()
         if text.isascii() and text.isprintable() and "<|" not in text:
@@ -47,7 +55,11 @@ class _WordIds(dict):
                 ids = [t.id for part in _ASCII_PARTS.findall(text) for t in self.model.tokenize(part)]
         else:
             ids = self.whole.encode(text, add_special_tokens=False).ids
-        found = self[word] = np.array(ids, "<u4").tobytes()
+        found = np.array(ids, "<u4").tobytes()
+        size = 180 + len(word) + len(found)
+        if size < REMEMBERED_BYTES >> 10:
+            self.held += size
+            self[word] = found
         return found
 
 

@@ -116,3 +116,12 @@ def test_registered_limits_cover_lines_of_every_length(spark):
             firsts.add(line)
     got = lines.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {x.doc_id: [x.removed_lines, x.n_near] for x in got} == want
+
+
+def test_columns_with_clashing_names_are_kept(spark):
+    rows = [(1, "one line that repeats\nx", "a", 5, 0.5), (2, "y\none line that repeats", "b", 6, 1.5), (None, None, "c", 7, 2.5)]
+    for names in (("_doc", "_tie", "_removed"), ("doc", "tie", "removed"), ("Doc", "tie_", "removed")):
+        df = spark.createDataFrame(rows, "doc_id long, text string, {} string, {} int, {} double".format(*names))
+        left = lines.without_repeats(df)
+        assert left.dtypes == df.dtypes
+        assert sorted(map(tuple, left.collect()), key=repr) == sorted([rows[0], (2, "y", "b", 6, 1.5), rows[2]], key=repr)

@@ -47,4 +47,4 @@ def test_run_gives_the_last_stage(spark, data_dir, left):
 def test_every_operator_is_registered():
     names = set(entry_point.queries())
     assert set(QUERIES) <= names and "pipeline" in names
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}

@@ -66,3 +66,21 @@ def test_odd_vectors(spark, nothing):
     assert sorted(g for g in got if g[0] is not None) == sorted(alone + near)
     assert [g[:3] for g in got if g[0] is None] == [(None, 0, None)]
     assert pivots.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_extreme_lengths_and_labels_of_any_type(spark):
+    rows = [(1, [1e200, 2e200], "a"), (2, [1.0, 2.0], "a"), (3, [1e-200, 2e-200], "a"), (4, [2e200, -1e200], "a"), (5, [1.0, 2.0], "b")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in pivots.near_duplicates(df).collect())
+    assert got == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 0, 4), (5, 0, 5)]
+
+
+def test_recall_with_very_many_pivots(spark):
+    r = pivots.np.random.default_rng(1)
+    base = r.normal(size=(1200, 64))
+    near = base[:600] + r.normal(size=(600, 64)) * 0.3
+    x = pivots.np.concatenate([base, near])
+    links = pivots.brute_force_links(range(len(x)), x, pivots.np.zeros(len(x)), 0.93)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = sum(row.n_links for row in pivots.near_duplicates(df, pivots=pivots.MOST_PIVOTS).collect())
+    assert len(links) > 300 and got >= 0.9 * 2 * len(links)

@@ -60,3 +60,12 @@ def test_all_tokens_are_shared_out(corpus, corpus_rows, nothing):
     assert token_counts.section_tokens(nothing, RANKS).count() == 0
     with pytest.raises(ValueError):
         token_counts.section_tokens(nothing, RANKS, "none")
+
+
+def test_very_long_white_space(spark):
+    encoding, _ = byte_pairs(RANKS)
+    for text in ("a" + " " * 12_000 + "b", "a" + "\n" * 12_000, " " * 12_000 + "\u3000 x" + "\t" * 11_000 + "y 1", "q" * 10_000 + " \u0085" * 9_000 + "z"):
+        assert token_counts.encode(encoding, text) == encoding.encode_ordinary(text)
+    df = spark.createDataFrame([(1, " " * 1_000_000), (2, "\n" * 1_000_000), (3, "a" * 1_000_000)], "doc_id long, text string")
+    got = token_counts.section_tokens(df, RANKS).groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.max("doc_tokens").alias("m")).collect()
+    assert len(got) == 3 and all(r.n == r.m > 0 for r in got)
