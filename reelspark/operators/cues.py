@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import near_join
-from ..functions.media_time import finite
+from ..functions.media_time import finite, micros
 from ..functions.scan import Scan, has_large, plain_scan, scan
 from ..functions.text import first_reason, text_ok
 from ..session import materialize
@@ -193,49 +193,98 @@ def _chunk_starts(narrow: DataFrame, max_seconds: float, max_bytes: int) -> Data
         )
 
 
-def edge_neighbours(
-    points: DataFrame, cues: DataFrame, few_points: bool = False, sides: tuple[str, ...] = ("start", "end")
-) -> DataFrame:
+def speech_edges(cues: DataFrame) -> DataFrame:
+    """``project_id, cue_idx, start_s, end_s`` with what a span needs to know when it begins or ends at an edge.
+
+    ``start_u`` / ``end_u``: microseconds of speech before the edge, as the length of the union of all cues, so speech
+    between two edges is a difference.  ``end_next`` / ``end_next_u``: the first cue start at or after the end, and its
+    speech.  Cues are admitted (at most 100,000 in a project); all of this is one exchange.
+    """
+    order = Window.partitionBy("project_id").orderBy("cue_idx")
+    a, b = micros(F.col("start_s")), micros(F.col("end_s"))
+    prior = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    said = (
+        cues.select("project_id", "cue_idx", "start_s", "end_s", a.alias("a"), b.alias("b"))
+        .withColumn("prior", F.coalesce(prior, F.col("a")))
+        .withColumn("gain", F.greatest(F.lit(0), F.col("b") - F.greatest("a", "prior")))
+        .withColumn("total", F.sum("gain").over(order))
+        .withColumns(
+            {
+                "start_u": F.col("total") - F.col("gain") - F.greatest(F.lit(0), F.col("prior") - F.col("a")),
+                "known": F.struct("total", F.greatest("prior", "b").alias("most")),
+            }
+        )
+    )
+    # Starts and ends of all cues in time order; at equal times starts come first, upwards and downwards.
+    ends = F.array(
+        F.struct(F.lit(0).alias("side"), F.col("start_s").alias("t")), F.struct(F.lit(1).alias("side"), F.col("end_s").alias("t"))
+    )
+    events = said.select("project_id", "cue_idx", "start_s", "end_s", "b", "start_u", "known", F.inline(ends))
+    started = lambda c: F.when(F.col("side") == 0, c)
+    until = (Window.unboundedPreceding, Window.currentRow)
+    up = Window.partitionBy("project_id").orderBy("t", "side", "cue_idx").rowsBetween(*until)
+    down = Window.partitionBy("project_id").orderBy(F.col("t").desc(), "side", F.col("cue_idx").desc()).rowsBetween(*until)
+    seen = events.withColumns(
+        {
+            "held": F.last(started(F.col("known")), ignorenulls=True).over(up),
+            "next": F.last(started(F.struct("start_s", "start_u")), ignorenulls=True).over(down),
+        }
+    ).where("side = 1")
+    return seen.select(
+        "project_id", "cue_idx", "start_s", "end_s", "start_u",
+        (F.col("held.total") - F.greatest(F.lit(0), F.col("held.most") - F.col("b"))).alias("end_u"),
+        F.col("next.start_s").alias("end_next"), F.col("next.start_u").alias("end_next_u"),
+    )
+
+
+#: Columns of ``speech_edges`` that go with an edge of either side.
+_PAYLOAD = {"u": "bigint", "next": "double", "next_u": "bigint"}
+
+
+def edge_neighbours(points: DataFrame, cues: DataFrame, few_points: bool = False) -> DataFrame:
     """For every point: nearest cue edge at or below and at or above, first cue reaching it, last cue.
 
-    ``points``: project_id, side (``start`` / ``end``: which cue edge counts), t, ...  Adds ``below``/``above``
-    (``struct<value, cue_idx>``), ``reaching`` (``struct<start_s, end_s>``: first cue in order whose end is at or
-    past the point) and ``last``.
+    ``points``: project_id, side (``start`` / ``end``: which cue edge counts), t, ...  Adds ``below``, ``above``, ``reaching`` (the
+    edge of the first cue in order whose end is at or past the point) and ``last`` (that of the last cue), each a struct of
+    value, cue_idx and, where ``cues`` come from ``speech_edges``, u, next and next_u.
 
     Edges and points of a project are merged in time order and scanned upwards and downwards.  Cues per project are admitted
     (at most 100,000); where a project has very many points (``few_points``: that is ruled out), the merge is cut into time
-    slices, which carry the last edge across.  ``sides`` are those the points ask for; edges of other sides, and cues of
-    projects without points, are never read into the merge.
+    slices, which carry the last edge across.  Cues of projects without points are never read into the merge.
     """
     large = not few_points and has_large(points, ["project_id"])
     asked_for = points.select("project_id").distinct()
-    own = cues.select("project_id", "cue_idx", "start_s", "end_s").join(asked_for, "project_id", "left_semi")
+    facts = [c for c in cues.columns if c not in ("project_id", "cue_idx", "text", "duration")]
+    own = cues.select("project_id", "cue_idx", *facts).join(asked_for, "project_id", "left_semi")
     # A cue that ends no later than an earlier one is never the first to reach a point.
     c = plain_scan(own, ["project_id"], ["cue_idx"], [Scan("prior", "max", F.col("end_s"))]).withColumn(
         "record", F.col("prior").isNull() | (F.col("end_s") > F.col("prior"))
     )
     point_cols = [x for x in points.columns if x not in ("project_id", "side", "t")]
-    none_e = F.lit(None).cast("struct<value:double,cue_idx:int>")
-    none_r = F.lit(None).cast("struct<start_s:double,end_s:double>")
 
     def edge(side: str) -> Column:
-        at = F.col(f"{side}_s")
-        return F.struct(
-            F.lit(side).alias("side"), at.alias("t"), F.struct(at.alias("value"), F.col("cue_idx")).alias("e"), none_r.alias("r")
-        )
+        more = [
+            (F.col(f"{side}_{n}") if f"{side}_{n}" in facts else F.lit(None)).cast(t).alias(n) for n, t in _PAYLOAD.items()
+        ]
+        return F.struct(F.col(f"{side}_s").alias("value"), "cue_idx", *more)
+
+    kind = "struct<value:double,cue_idx:int," + ",".join(f"{n}:{t}" for n, t in _PAYLOAD.items()) + ">"
+    none = F.lit(None).cast(kind)
+
+    def event(side: str) -> Column:
+        return F.struct(F.lit(side).alias("side"), F.col(f"{side}_s").alias("t"), edge(side).cast(kind).alias("e"), none.alias("r"))
 
     def record(side: str) -> Column:
         return F.when(
             F.col("record"),
-            F.struct(F.lit(side).alias("side"), F.col("end_s").alias("t"), none_e.alias("e"), F.struct("start_s", "end_s").alias("r")),
+            F.struct(F.lit(side).alias("side"), F.col("end_s").alias("t"), none.alias("e"), edge(side).cast(kind).alias("r")),
         )
 
     edges = c.select(
-        "project_id", "cue_idx", "start_s", "end_s",
-        F.explode(F.array(*[f(side) for side in sides for f in (edge, record)])).alias("x"),
+        "project_id", "cue_idx", F.explode(F.array(*[f(side) for side in ("start", "end") for f in (event, record)])).alias("x")
     ).where(F.col("x").isNotNull()).select("project_id", "x.*", "cue_idx")
     asked = points.select(
-        "project_id", "side", "t", none_e.alias("e"), none_r.alias("r"), F.lit(None).cast("int").alias("cue_idx"),
+        "project_id", "side", "t", none.alias("e"), none.alias("r"), F.lit(None).cast("int").alias("cue_idx"),
         F.struct(*point_cols).alias("p"),
     )
     merged = edges.withColumn("p", F.lit(None).cast(asked.schema["p"].dataType)).unionByName(asked)
@@ -251,18 +300,19 @@ def edge_neighbours(
         up = materialize(up, "edges")
     down = [Scan("above", "last", F.col("e")), Scan("reaching", "last", F.col("r"))]
     both = scan(up, keys, ["t", "down_tie", "cue_idx"], down, large, True, ["t"])
-    lasts = own.groupBy("project_id").agg(
-        F.max_by("start_s", "cue_idx").alias("start_s"), F.max_by("end_s", "cue_idx").alias("end_s")
-    ).select("project_id", F.struct("start_s", "end_s").alias("last"))
+    latest = own.groupBy("project_id").agg(F.max("cue_idx").alias("cue_idx"))
+    lasts = own.join(latest, ["project_id", "cue_idx"]).select(
+        "project_id", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), edge(s).cast(kind).alias("last")) for s in ("start", "end")])).alias("x")
+    ).select("project_id", "x.side", "x.last")
     return (
         both.where(is_point)
-        .join(lasts, "project_id", "left")
+        .join(lasts, ["project_id", "side"], "left")
         .select("project_id", "side", "t", "p.*", "below", "above", "reaching", "last")
     )
 
 
-def snap_to_cues(points: DataFrame, cues: DataFrame, few_points: bool = False) -> DataFrame:
-    """Adds ``snapped`` to ``project_id, side, t, ...``.
+def snap_to_cues(points: DataFrame, cues: DataFrame, few_points: bool = False, edges: bool = False) -> DataFrame:
+    """Adds ``snapped`` to ``project_id, side, t, ...``, and with ``edges`` the edge it was taken from.
 
     Nearest edge of that side within 3 s (first in cue order on ties); else the edge of the first cue that
     contains or follows the point; else the edge of the last cue.  Without cues the point is unchanged.
@@ -278,11 +328,9 @@ def snap_to_cues(points: DataFrame, cues: DataFrame, few_points: bool = False) -
         )
     )
     nearest = F.when(lower_wins, F.col("below")).otherwise(F.col("above"))
-    close = F.when(F.abs(nearest["value"] - t) <= SNAP_SECONDS, nearest["value"])
-    side = lambda c: F.when(F.col("side") == "start", F.col(f"{c}.start_s")).otherwise(F.col(f"{c}.end_s"))
-    return near.withColumn("snapped", F.coalesce(close, side("reaching"), side("last"), t)).drop(
-        "below", "above", "reaching", "last"
-    )
+    close = F.when(F.abs(nearest["value"] - t) <= SNAP_SECONDS, nearest)
+    found = near.withColumn("edge", F.coalesce(close, "reaching", "last")).withColumn("snapped", F.coalesce(F.col("edge.value"), t))
+    return found.drop("below", "above", "reaching", "last", *([] if edges else ["edge"]))
 
 
 def cue_grounded(spans: DataFrame, cues: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from ..functions.let import let
 from ..functions.media_time import finite, micros
 from ..functions.text import first_reason, text_ok, trim_space
 from ..session import materialize
-from .cues import cue_grounded, edge_neighbours, snap_to_cues
+from .cues import cue_grounded, snap_to_cues, speech_edges
 
 EXCERPT_CHARS = 1000
 MAX_SPANS = 256
@@ -188,13 +188,17 @@ def place_topics(topics: DataFrame, replies: DataFrame, chunks: DataFrame) -> tu
 # ---------------------------------------------------------------------------------------------
 # Span refinement.  ``items``: project_id, ord, label, start_s, end_s (placement order ``ord``);
 # ``cues``: normalised cues; ``profile``: project_id, min_s, max_s, hard_max_s.
+#
+# After the first phase every bound is a cue edge, and brings what later phases ask of it: the speech before it and the
+# next cue start (``speech_edges``).  So overlaps and speech are settled on the items alone; only spans that are too short
+# look at cues again, to grow.
 
-_ITEM = "struct<start_s:double,end_s:double,ord:int,label:string,next_cue:double>"
+_ITEM = "struct<start_s:double,end_s:double,ord:int,label:string,su:bigint,eu:bigint,next_cue:double,next_u:bigint>"
 
 
-def snap_items(items: DataFrame, cues: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Phase 1: check and snap bounds -> ``(snapped items, per-project facts with reason)``."""
-    source = cues.groupBy("project_id").agg(F.min("start_s").alias("first_s"), F.max("end_s").alias("last_s"))
+def snap_items(items: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Phase 1: check and snap bounds -> ``(snapped items, per-project facts with reason)``; ``edges`` from ``speech_edges``."""
+    source = edges.groupBy("project_id").agg(F.min("start_s").alias("first_s"), F.max("end_s").alias("last_s"))
     known = items.join(source, "project_id", "left")
     outside = (
         ~finite(F.col("start_s")) | ~finite(F.col("end_s")) | (F.col("end_s") <= F.col("start_s"))
@@ -217,26 +221,28 @@ def snap_items(items: DataFrame, cues: DataFrame) -> tuple[DataFrame, DataFrame]
         F.struct(F.lit("start").alias("side"), F.greatest("start_s", "first_s").alias("t")),
         F.struct(F.lit("end").alias("side"), F.least("end_s", "last_s").alias("t")),
     )
-    points = admitted.select("project_id", "ord", "label", "start_s", "end_s", F.inline(bounds))
-    at = lambda side: F.max(F.when(F.col("side") == side, F.col("snapped")))
+    points = admitted.select("project_id", "ord", "label", "last_s", "start_s", "end_s", F.inline(bounds))
+    at = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
     snapped = (
-        snap_to_cues(points, cues, few_points=True)
-        .groupBy("project_id", "ord", "label", F.col("start_s").alias("old_start"), F.col("end_s").alias("old_end"))
-        .agg(at("start").alias("start_s"), at("end").alias("end_s"))
+        snap_to_cues(points, edges, few_points=True, edges=True)
+        .groupBy("project_id", "ord", "label", "last_s", F.col("start_s").alias("old_start"), F.col("end_s").alias("old_end"))
+        .agg(
+            at("start", "snapped").alias("start_s"), at("end", "snapped").alias("end_s"), at("start", "edge.u").alias("su"),
+            at("end", "edge.u").alias("eu"), at("end", "edge.next").alias("next_cue"), at("end", "edge.next_u").alias("next_u"),
+        )
         .withColumn("moved", (F.col("start_s") != F.col("old_start")) | (F.col("end_s") != F.col("old_end")))
         .drop("old_start", "old_end")
     )
     return snapped, gate
 
 
-def resolve_overlaps(snapped: DataFrame, cues: DataFrame) -> DataFrame:
-    """Phase 2 -> one row per project: ``items`` (non-overlapping), ``merged``, ``shifted``, ``snapped``, ``bad``."""
-    ends = snapped.withColumns({"side": F.lit("start"), "t": F.col("end_s")})
-    nxt = edge_neighbours(ends, cues, few_points=True, sides=("start",)).select("project_id", "ord", "label", "start_s", "end_s", "moved", F.col("above.value").alias("next_cue"))
-    per = nxt.groupBy("project_id").agg(
-        F.array_sort(F.collect_list(F.struct("start_s", "end_s", "ord", "label", "next_cue"))).alias("xs"),
+def resolve_overlaps(snapped: DataFrame) -> DataFrame:
+    """Phase 2 -> one row per project: ``items`` (non-overlapping), ``merged``, ``shifted``, ``snapped``, ``bad``, ``last_s``."""
+    per = snapped.groupBy("project_id").agg(
+        F.array_sort(F.collect_list(F.struct("start_s", "end_s", "ord", "label", "su", "eu", "next_cue", "next_u"))).alias("xs"),
         F.count_if("moved").alias("snapped"),
         F.bool_or(F.col("end_s") <= F.col("start_s")).alias("bad"),
+        F.max("last_s").alias("last_s"),
     )
     zero = F.struct(
         F.array().cast(f"array<{_ITEM}>").alias("items"), F.lit(0).alias("merged"), F.lit(0).alias("shifted")
@@ -252,17 +258,17 @@ def resolve_overlaps(snapped: DataFrame, cues: DataFrame) -> DataFrame:
         free_start = F.when(prev["next_cue"] < x["end_s"], prev["next_cue"])
         absorb = meets & ((overlap >= shorter * 0.5) | free_start.isNull())
         shift = meets & ~absorb
+        later = x["end_s"] > prev["end_s"]
+        of_end = lambda c: F.when(later, x[c]).otherwise(prev[c]).alias(c)
         grown = F.struct(
-            prev["start_s"].alias("start_s"),
-            F.greatest(prev["end_s"], x["end_s"]).alias("end_s"),
-            prev["ord"].alias("ord"),
-            prev["label"].alias("label"),
-            F.when(x["end_s"] > prev["end_s"], x["next_cue"]).otherwise(prev["next_cue"]).alias("next_cue"),
+            prev["start_s"].alias("start_s"), of_end("end_s"), prev["ord"].alias("ord"), prev["label"].alias("label"),
+            prev["su"].alias("su"), of_end("eu"), of_end("next_cue"), of_end("next_u"),
         )
         placed = F.struct(
             F.when(shift, free_start).otherwise(x["start_s"]).alias("start_s"),
             x["end_s"].alias("end_s"), x["ord"].alias("ord"), x["label"].alias("label"),
-            x["next_cue"].alias("next_cue"),
+            F.when(shift, prev["next_u"]).otherwise(x["su"]).alias("su"), x["eu"].alias("eu"),
+            x["next_cue"].alias("next_cue"), x["next_u"].alias("next_u"),
         )
         return F.struct(
             F.when(absorb, F.concat(head, F.array(grown))).otherwise(F.concat(items, F.array(placed))).alias("items"),
@@ -270,107 +276,81 @@ def resolve_overlaps(snapped: DataFrame, cues: DataFrame) -> DataFrame:
             (acc["shifted"] + shift.cast("int")).alias("shifted"),
         )
 
-    folded = per.select("project_id", "snapped", "bad", F.aggregate("xs", zero, step).alias("f"))
+    folded = per.select("project_id", "snapped", "bad", "last_s", F.aggregate("xs", zero, step).alias("f"))
     return folded.select(
-        "project_id", "snapped", "bad", "f.items", F.col("f.merged").alias("merged"), F.col("f.shifted").alias("shifted")
+        "project_id", "snapped", "bad", "last_s", "f.items", F.col("f.merged").alias("merged"), F.col("f.shifted").alias("shifted")
     )
 
 
-def extend_short(resolved: DataFrame, cues: DataFrame, profile: DataFrame) -> DataFrame:
-    """Phase 3 -> row-wise spans ``project_id, n, ord, label, start_s, end_s, extended`` plus profile columns.
+_COUNTERS = ("snapped", "bad", "merged", "shifted")
+
+
+def extend_short(resolved: DataFrame, edges: DataFrame, profile: DataFrame) -> DataFrame:
+    """Phase 3 -> row-wise spans ``project_id, n, ord, label, start_s, end_s, su, eu, extended`` plus profile columns and counters.
 
     Only spans under the minimum look at cues, and only at cues ending before the tier maximum.
     """
-    last = cues.groupBy("project_id").agg(F.max("end_s").alias("last_s"))
     following = F.transform(
         "items", lambda x, i: F.try_element_at(F.col("items"), (i + 2).cast("int"))["start_s"]
     )
+    own = lambda c: F.col(f"z.items.{c}").alias(c)
     spans = (
         resolved.join(profile.select("project_id", "min_s", "max_s", "hard_max_s"), "project_id")
-        .join(last, "project_id")
         .select(
-            "project_id", "min_s", "max_s", "hard_max_s", "last_s",
+            "project_id", "min_s", "max_s", "hard_max_s", "last_s", *_COUNTERS,
             F.posexplode(F.arrays_zip(F.col("items"), following.alias("following"))).alias("n", "z"),
         )
         .select(
-            "project_id", "n", F.col("z.items.ord").alias("ord"), F.col("z.items.label").alias("label"),
-            F.col("z.items.start_s").alias("start_s"), F.col("z.items.end_s").alias("end_s"),
+            "project_id", "n", *map(own, ("ord", "label", "start_s", "end_s", "su", "eu")),
             F.coalesce(F.col("z.following"), F.col("last_s")).alias("limit_s"),
-            "min_s", "max_s", "hard_max_s",
+            "min_s", "max_s", "hard_max_s", *_COUNTERS,
         )
     )
     reach = F.least("limit_s", F.col("start_s") + F.col("max_s"))
     short = spans.where((F.col("end_s") - F.col("start_s") < F.col("min_s")) & (reach > F.col("end_s"))).select(
-        "project_id", "n", F.col("start_s").alias("s"), F.col("end_s").alias("e"), reach.alias("reach"),
+        "project_id", "n", F.col("start_s").alias("s"), F.col("end_s").alias("e"), "eu", reach.alias("reach"),
         "limit_s", "min_s", "max_s",
     )
     ahead = interval_join(
-        short, cues.select("project_id", "cue_idx", F.col("start_s").alias("cs"), F.col("end_s").alias("ce")),
+        short,
+        edges.select("project_id", "cue_idx", F.col("start_s").alias("cs"), F.col("end_s").alias("ce"), F.col("end_u").alias("cu")),
         ["project_id"], ("e", "reach"), ("ce", "ce"),
     ).where(F.col("ce") > F.col("e"))
-    per = ahead.groupBy("project_id", "n", "s", "e", "limit_s", "min_s", "max_s").agg(
-        F.array_sort(F.collect_list(F.struct("cue_idx", "cs", "ce"))).alias("xs")
+    per = ahead.groupBy("project_id", "n", "s", "e", "eu", "limit_s", "min_s", "max_s").agg(
+        F.array_sort(F.collect_list(F.struct("cue_idx", "cs", "ce", "cu"))).alias("xs")
     )
     s, limit = F.col("s"), F.col("limit_s")
 
-    def step(e: Column, c: Column) -> Column:
+    def step(at: Column, c: Column) -> Column:
+        e = at["e"]
         take = (
             (e - s < F.col("min_s")) & (c["ce"] > e) & (c["cs"] - e <= MAX_GAP) & (c["ce"] <= limit)
             & (c["ce"] - s <= F.col("max_s"))
         )
-        return F.when(take, c["ce"]).otherwise(e)
+        return F.when(take, F.struct(c["ce"].alias("e"), c["cu"].alias("eu"))).otherwise(at)
 
-    grown = per.select("project_id", "n", F.aggregate("xs", F.col("e"), step).alias("new_end"))
-    end = F.coalesce("new_end", "end_s")
+    grown = per.select("project_id", "n", F.aggregate("xs", F.struct("e", "eu"), step).alias("grown"))
+    end = F.coalesce("grown.e", "end_s")
     return (
         spans.join(grown, ["project_id", "n"], "left")
         .withColumn("extended", end > F.col("end_s"))
-        .withColumn("end_s", end)
-        .drop("new_end", "limit_s")
+        .withColumns({"end_s": end, "eu": F.coalesce("grown.eu", "eu")})
+        .drop("grown", "limit_s")
     )
 
 
-_SPAN = "struct<start_s:double,end_s:double,ord:int,label:string,covered:bigint>"
+_SPAN = "struct<start_s:double,end_s:double,ord:int,label:string,su:bigint,eu:bigint>"
 
 
-def merge_short(spans: DataFrame, cues: DataFrame) -> DataFrame:
-    """Phase 4 -> one row per project: ``items``, ``merged``, ``dropped``, ``extended``, ``over_hard_max``.
+def merge_short(spans: DataFrame) -> DataFrame:
+    """Phase 4 -> one row per project: ``items``, ``merged``, ``dropped``, ``extended``, ``over_hard_max`` and the counters before.
 
-    Speech inside a merged span is the sum over its parts and the gaps between them, so coverage is
-    looked up once per part and gap before the fold.
+    Speech inside a span is what its last edge has before it less what its first edge has.
     """
-    order = Window.partitionBy("project_id").orderBy("n")
-    part = spans.withColumn("gap_from", F.lag("end_s").over(order))
-    looked_up = covered_micros(
-        part.select(
-            "project_id",
-            F.inline(
-                F.array(
-                    F.struct((F.col("n") * 2).alias("span_id"), F.col("start_s"), F.col("end_s")),
-                    F.struct((F.col("n") * 2 + 1).alias("span_id"), F.coalesce("gap_from", "start_s").alias("start_s"),
-                             F.col("start_s").alias("end_s")),
-                )
-            ),
-        ).where(F.col("end_s") > F.col("start_s")),
-        cues,
-    ).groupBy("project_id", F.floor(F.col("span_id") / 2).cast("int").alias("n")).agg(
-        F.sum(F.when(F.col("span_id") % 2 == 0, F.col("covered_us"))).alias("own"),
-        F.sum(F.when(F.col("span_id") % 2 == 1, F.col("covered_us"))).alias("gap"),
-    )
-    zero_l = F.lit(0).cast("long")
-    per = (
-        part.join(looked_up, ["project_id", "n"], "left")
-        .groupBy("project_id", "min_s", "max_s")
-        .agg(
-            F.array_sort(
-                F.collect_list(
-                    F.struct("n", "start_s", "end_s", "ord", "label",
-                             F.coalesce("own", zero_l).alias("own"), F.coalesce("gap", zero_l).alias("gap"))
-                )
-            ).alias("xs"),
-            F.count_if("extended").alias("extended"),
-            F.bool_or(F.col("end_s") - F.col("start_s") > F.least(F.lit(HARD_MAX), F.col("hard_max_s"))).alias("over_hard_max"),
-        )
+    per = spans.groupBy("project_id", "min_s", "max_s", *_COUNTERS).agg(
+        F.array_sort(F.collect_list(F.struct("n", "start_s", "end_s", "ord", "label", "su", "eu"))).alias("xs"),
+        F.count_if("extended").alias("extended"),
+        F.bool_or(F.col("end_s") - F.col("start_s") > F.least(F.lit(HARD_MAX), F.col("hard_max_s"))).alias("over_hard_max"),
     )
     none = F.lit(None).cast(_SPAN)
     zero = F.struct(
@@ -379,6 +359,12 @@ def merge_short(spans: DataFrame, cues: DataFrame) -> DataFrame:
     )
     min_s, max_s = F.col("min_s"), F.col("max_s")
 
+    def until(first: Column, last: Column, end: Column, eu: Column) -> Column:
+        return F.struct(
+            first["start_s"].alias("start_s"), end.alias("end_s"), first["ord"].alias("ord"), first["label"].alias("label"),
+            first["su"].alias("su"), eu.alias("eu"),
+        )
+
     def close(acc: Column) -> Column:
         """Settle the open span: keep, join to the previous one, or drop."""
         cur, done = acc["cur"], acc["done"]
@@ -389,12 +375,12 @@ def merge_short(spans: DataFrame, cues: DataFrame) -> DataFrame:
         joins = is_short & F.coalesce(
             (cur["start_s"] - prev["end_s"] <= MAX_GAP) & (cur["end_s"] - prev["start_s"] <= max_s), F.lit(False)
         )
-        silent = cur["covered"] < (micros(cur["end_s"]) - micros(cur["start_s"])) * MIN_COVERAGE
+        silent = cur["eu"] - cur["su"] < (micros(cur["end_s"]) - micros(cur["start_s"])) * MIN_COVERAGE
         drop = is_open & ~joins & (is_short | silent)
         keep = is_open & ~is_short & ~drop
-        widened = F.struct(
-            prev["start_s"].alias("start_s"), F.greatest(prev["end_s"], cur["end_s"]).alias("end_s"),
-            prev["ord"].alias("ord"), prev["label"].alias("label"), prev["covered"].alias("covered"),
+        later = cur["end_s"] > prev["end_s"]
+        widened = until(
+            prev, cur, F.greatest(prev["end_s"], cur["end_s"]), F.when(later, cur["eu"]).otherwise(prev["eu"])
         )
         return F.struct(
             F.when(joins, F.concat(head, F.array(widened)))
@@ -415,73 +401,64 @@ def merge_short(spans: DataFrame, cues: DataFrame) -> DataFrame:
             F.lit(False),
         )
         settled = close(acc)
-        grown = F.struct(
-            cur["start_s"].alias("start_s"), x["end_s"].alias("end_s"), cur["ord"].alias("ord"),
-            cur["label"].alias("label"), (cur["covered"] + x["gap"] + x["own"]).alias("covered"),
-        )
-        fresh = F.struct(
-            x["start_s"].alias("start_s"), x["end_s"].alias("end_s"), x["ord"].alias("ord"),
-            x["label"].alias("label"), x["own"].alias("covered"),
-        )
         return F.when(
             absorb,
             F.struct(
-                acc["done"].alias("done"), grown.alias("cur"),
+                acc["done"].alias("done"), until(cur, x, x["end_s"], x["eu"]).alias("cur"),
                 (acc["merged"] + 1).alias("merged"), acc["dropped"].alias("dropped"),
             ),
         ).otherwise(
             F.struct(
-                settled["done"].alias("done"), fresh.alias("cur"),
+                settled["done"].alias("done"), until(x, x, x["end_s"], x["eu"]).alias("cur"),
                 settled["merged"].alias("merged"), settled["dropped"].alias("dropped"),
             )
         )
 
-    return per.select(
-        "project_id", "min_s", "max_s", "extended", "over_hard_max", F.aggregate("xs", zero, step, close).alias("f")
-    ).select(
-        "project_id", "min_s", "max_s", "extended", "over_hard_max",
-        F.col("f.done").alias("items"), F.col("f.merged").alias("merged"), F.col("f.dropped").alias("dropped"),
+    kept = ("project_id", "max_s", "extended", "over_hard_max", "snapped", "bad", "shifted")
+    return per.select(*kept, "min_s", "merged", F.aggregate("xs", zero, step, close).alias("f")).select(
+        *kept, F.col("merged").alias("merged_before"), F.col("f.done").alias("items"), F.col("f.merged").alias("merged"),
+        F.col("f.dropped").alias("dropped"),
     )
 
 
 def refine_timeline(items: DataFrame, cues: DataFrame, profile: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All phases -> ``(candidates, report)``; a project with a ``reason`` in the report has no candidates.
 
-    Results of a phase that several later steps read (a few rows per project) are stored, so that no phase is
-    planned or run twice.  ``cues`` and ``items`` should be stored tables too.
+    One plan leads from items and cues to a row per project, which is stored, since both results are read from it.
+    ``cues`` and ``items`` should be stored tables too.
     """
-    snapped, gate = snap_items(items, cues)
-    snapped = materialize(snapped, "snapped")
-    resolved = materialize(resolve_overlaps(snapped, cues), "resolved")
-    spans = extend_short(resolved.where(~F.col("bad")), cues, profile)
-    final = materialize(merge_short(spans, cues), "refined")
+    edges = speech_edges(cues)
+    snapped, gate = snap_items(items, edges)
+    resolved = resolve_overlaps(snapped)
+    refined = merge_short(extend_short(resolved, edges, profile))
+    # Every project with items has one row here, with the reason why it has no spans, if any.
     over = F.size(F.filter("items", lambda x: x["end_s"] - x["start_s"] > F.col("max_s") + 1e-6))
-    counted = final.select(
-        "project_id", "items", "extended", "over_hard_max", "dropped",
-        F.col("merged").alias("merged_late"), over.alias("over_tier"),
-    )
-    zero = F.lit(0)
-    report = gate.join(
-        resolved.select("project_id", "snapped", "bad", "merged", "shifted"), "project_id", "left"
-    ).join(counted.withColumn("output", F.size("items")).drop("items"), "project_id", "left")
-    reason = F.coalesce(
-        F.col("gate_reason"),
-        first_reason(
-            (F.col("bad"), "not_grounded"),
-            (F.col("over_hard_max"), "over_hard_max"),
-            (F.coalesce(F.col("output"), zero) == 0, "nothing_survived"),
+    final = materialize(
+        gate.join(profile.select("project_id", F.lit(True).alias("tier")), "project_id", "left").join(
+            refined.withColumn("over_tier", over), "project_id", "left"
         ),
+        "refined",
     )
-    report = report.select(
-        "project_id", F.col("n_input").alias("input"), F.coalesce("output", zero).alias("output"),
-        F.coalesce("snapped", F.lit(0).cast("long")).alias("snapped"),
-        (F.coalesce("merged", zero) + F.coalesce("merged_late", zero)).alias("merged"),
-        F.coalesce("shifted", zero).alias("shifted"), F.coalesce("extended", F.lit(0).cast("long")).alias("extended"),
-        F.lit(0).alias("trimmed"), F.coalesce("dropped", zero).alias("dropped"),
-        F.coalesce("over_tier", zero).alias("over_tier"), reason.alias("reason"),
+    zero = F.lit(0)
+    none = F.lit(0).cast("long")
+    bad = F.coalesce("bad", F.lit(False))  # such a project ends with the second phase
+    late = lambda c, empty=zero: F.when(~bad & F.col(c).isNotNull(), F.col(c)).otherwise(empty)
+    output = F.when(~bad & F.col("items").isNotNull(), F.size("items")).otherwise(zero)
+    reason = first_reason(
+        (F.col("gate_reason").isNotNull(), F.col("gate_reason")),
+        (F.col("tier").isNull(), "no_profile"),
+        (F.col("bad"), "not_grounded"),
+        (F.col("over_hard_max"), "over_hard_max"),
+        (output == 0, "nothing_survived"),
+    )
+    report = final.select(
+        "project_id", F.col("n_input").alias("input"), output.alias("output"), F.coalesce("snapped", none).alias("snapped"),
+        (F.coalesce("merged_before", zero) + late("merged")).alias("merged"), F.coalesce("shifted", zero).alias("shifted"),
+        late("extended", none).alias("extended"), F.lit(0).alias("trimmed"), late("dropped").alias("dropped"),
+        late("over_tier").alias("over_tier"), reason.alias("reason"),
     )
     rows = (
-        counted.where(~F.col("over_hard_max"))
+        final.where(~F.col("over_hard_max") & ~F.col("bad"))
         .select("project_id", F.posexplode("items").alias("i", "x"))
         .select(
             "project_id", (F.col("i") + 1).alias("span_id"), F.concat(F.lit("text-"), F.col("i") + 1).alias("id"),

@@ -839,8 +839,8 @@ def outline_merge(spark, d):
 @query
 def timeline_overlap(spark, d):
     cues = A.stored_cues(spark, d)
-    snapped, _ = TL.snap_items(A.timeline_items(cues), cues)
-    r = TL.resolve_overlaps(snapped, cues)
+    snapped, _ = TL.snap_items(A.timeline_items(cues), C.speech_edges(cues))
+    r = TL.resolve_overlaps(snapped)
     return r.select("project_id", "snapped", "merged", "shifted", F.posexplode("items").alias("n", "x")).select(
         "project_id", "n", "x.start_s", "x.end_s", "x.label", "snapped", "merged", "shifted"
     )
@@ -849,9 +849,9 @@ def timeline_overlap(spark, d):
 @query
 def timeline_extend(spark, d):
     cues = A.stored_cues(spark, d)
-    snapped, _ = TL.snap_items(A.timeline_items(cues), cues)
-    resolved = TL.resolve_overlaps(snapped, cues).where(~F.col("bad"))
-    spans = TL.extend_short(resolved, cues, A.profiles(spark, d, cues))
+    edges = C.speech_edges(cues)
+    resolved = TL.resolve_overlaps(TL.snap_items(A.timeline_items(cues), edges)[0]).where(~F.col("bad"))
+    spans = TL.extend_short(resolved, edges, A.profiles(spark, d, cues))
     return spans.select("project_id", "n", "start_s", "end_s", "extended")
 
 
