@@ -508,7 +508,10 @@ def check_timeline(candidates: DataFrame, report: DataFrame, cues: DataFrame, pr
     their ids in order, labels, bounds, order without overlap, length between minimum and hard maximum, edges of cues,
     evidence as the cues give it, speech over half of the span, kind and score, and the number of rows over the tier.
     """
-    keys = candidates.withColumnRenamed("ord", "span_id")
+    sound = F.coalesce(finite(F.col("start_s")) & finite(F.col("end_s")), F.lit(False))
+    keys = candidates.withColumnRenamed("ord", "span_id").withColumns(
+        {"sound": sound, **{c: F.when(sound, F.col(c)).otherwise(0.0) for c in ("start_s", "end_s")}}  # lookups need numbers
+    )
     grounded = cue_grounded(keys.select("project_id", "span_id", "start_s", "end_s"), cues).select("project_id", "span_id", "grounded")
     covered = covered_micros(keys.select("project_id", "span_id", "start_s", "end_s"), cues).select("project_id", "span_id", "covered_us")
     told = evidence_excerpt(keys.select("project_id", "span_id", "start_s", "end_s"), cues).select(
@@ -531,7 +534,7 @@ def check_timeline(candidates: DataFrame, report: DataFrame, cues: DataFrame, pr
     silent = F.col("covered_us") < (micros(F.col("end_s")) - micros(F.col("start_s"))) * MIN_COVERAGE
     rules = {
         "id": F.col("id") != F.concat(F.lit("text-"), F.col("place")), "label": ~text_ok(F.col("label"), 120, True),
-        "bounds": ~finite(F.col("start_s")) | ~finite(F.col("end_s")), "overlap": F.col("start_s") < F.col("prior"),
+        "bounds": ~F.col("sound"), "overlap": F.col("start_s") < F.col("prior"),
         "too_short": length < F.col("min_s") - 1e-6, "too_long": length > hard + 1e-6, "not_grounded": ~F.col("grounded"),
         "evidence": ~F.col("evidence").eqNullSafe(F.col("said")), "silence": silent,
         "kind": (F.col("kind") != "text") | (F.col("score") != 0),

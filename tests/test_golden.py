@@ -447,3 +447,57 @@ def test_engine_and_probe(spark):
 def test_scene_moves(spark):
     df = spark.createDataFrame([(["a", "b", "c"], 0, 1), (["a", "b", "c"], 2, 1), (["a", "b", "c"], 5, -1), (["a", "b", "c"], 1, -1)], "s array<string>, i int, d int")
     assert [r[0] for r in df.select(D.move_scene(F.col("s"), F.col("i"), F.col("d"))).collect()] == [["b", "a", "c"], ["a", "b", "c"], ["a", "b", "c"], ["b", "a", "c"]]
+
+
+# --- paths, bounds, stored timelines --------------------------------------------------------------------
+
+
+def test_clean_path(spark):
+    rows = ["/w/a/b", "/w//a/./b/", "a/../b", "../x", "/w/../../etc", "", "/", "/w/a/.."]
+    df = spark.createDataFrame([(r,) for r in rows], "p string").select(M.clean_path(F.col("p"), "/w/"))
+    assert [r[0] for r in df.collect()] == ["/w/a/b", "/w/a/b", "/w/b", "/x", "/etc", "/w", "/", "/w"]
+
+
+def test_engine_paths_outside_reject_the_project(spark):
+    schema = "project_id long, seq long, id string, start_s double, end_s double, title string, score double, reason string, hook string, crop_path string"
+    rows = [(p, 0, "c", 0.0, 5.0, "", 50.0, "why", None, path) for p, path in enumerate(["/w/a.json", "/w/../x", "/wx/a", "b.json", None, "/w"])]
+    projects = spark.createDataFrame([(p, 10.0, "portrait") for p in range(7)], "project_id long, duration double, aspect string")
+    drafts, rejects = M.engine_drafts(spark.createDataFrame(rows, schema), projects, "/w")
+    assert sorted((r["project_id"], r["crop_path"], r["ratio"], r["hook"]) for r in drafts.collect()) == [(0, "/w/a.json", "9:16", ""), (3, "/w/b.json", "9:16", "")]
+    assert {r["project_id"]: r["reason"] for r in rejects.collect()} == {1: "unsafe_crop_path", 2: "unsafe_crop_path", 4: "unsafe_crop_path", 5: "unsafe_crop_path", 6: "no_candidates"}
+
+
+def test_a_profile_may_not_ask_for_more_than_is_kept(spark):
+    c = spark.createDataFrame([(1, 0, 0.9)], "project_id long, ord int, score double")
+    profile = spark.createDataFrame([(1, 1, 40)], "project_id long, min_keep int, max_keep int")
+    with pytest.raises(Exception, match="largest_keep"):
+        SE.select_candidates(c, profile).collect()
+    assert SE.select_candidates(c, profile, largest_keep=40).count() == 1
+
+
+def test_speech_before_edges(spark):
+    spans = [(0.0, 2.0), (1.0, 5.0), (1.5, 3.0), (7.0, 8.0), (7.0, 9.5), (9.5, 10.0), (12.0, 13.0)]
+    cues = spark.createDataFrame([(1, i, a, b) for i, (a, b) in enumerate(spans)], "project_id long, cue_idx int, start_s double, end_s double")
+    said = lambda t: sum(any(a <= q / 4 < b for a, b in spans) for q in range(int(t * 4))) * 250_000
+    for r in C.speech_edges(cues).collect():
+        assert (r["start_u"], r["end_u"]) == (said(r["start_s"]), said(r["end_s"]))
+        later = [a for a, _ in spans if a >= r["end_s"]]
+        assert (r["end_next"], r["end_next_u"]) == ((min(later), said(min(later))) if later else (None, None))
+
+
+def test_a_stored_timeline_is_checked(spark):
+    cues = spark.createDataFrame([(p, i, i * 10.0, i * 10.0 + 9, f"c{i}") for p in range(14) for i in range(6)], "project_id long, cue_idx int, start_s double, end_s double, text string")
+    good = lambda p: [[p, 1, "text-1", "A", 0.0, 19.0, "c0 c1", 0.0, "text"], [p, 2, "text-2", "B", 20.0, 39.0, "c2 c3", 0.0, "text"]]
+    faults = {1: (2, "text-3"), 2: (3, ""), 3: (4, float("nan")), 4: (4, 10.0), 5: (5, 29.5), 6: (6, "c2"), 7: (7, 0.1), 8: (8, "gameplay"), 9: (5, 9.0)}
+    rows = []
+    for p in range(13):
+        two = good(p)
+        if p in faults:
+            at, value = faults[p]
+            two[1][at] = value
+        rows += [tuple(r) for r in two]
+    schema = "project_id long, ord int, id string, label string, start_s double, end_s double, evidence string, score double, kind string"
+    report = spark.createDataFrame([(p, 3 if p == 10 else 2, 1 if p == 11 else 0) for p in range(14)], "project_id long, output int, over_tier int")
+    profile = spark.createDataFrame([(p, 15.0, 30.0, 18.0 if p == 12 else 60.0) for p in range(14)], "project_id long, min_s double, max_s double, hard_max_s double")
+    got = {r["project_id"]: r["reason"] for r in TL.check_timeline(spark.createDataFrame(rows, schema), report, cues, profile).collect()}
+    assert got == {0: None, 1: "id", 2: "label", 3: "bounds", 4: "overlap", 5: "too_short", 6: "evidence", 7: "kind", 8: "kind", 9: "too_short", 10: "count", 11: "over_tier", 12: "too_long", 13: "empty"}

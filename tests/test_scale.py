@@ -89,6 +89,23 @@ def test_hot_project_in_fusion_and_suppression(spark):
 results: dict = {}
 
 
+def test_fusion_lists_no_pairs(spark):
+    """Entries of the cell index grow with the rows of a project, and no row meets another but in order."""
+    def candidates(n, width):
+        i = F.col("id")
+        return spark.range(n).select(F.lit(1).cast("long").alias("project_id"), i.alias("ord"), (F.pmod(F.xxhash64(i), F.lit(60000)) / 100).alias("start_s")).withColumn("end_s", F.col("start_s") + width)
+
+    homes = FU.earliest_within(candidates(500, 3.0), candidates(700, 8.0), 2.0)
+    assert "Join" not in plan(homes)
+    t = [(r["ord"], r["start_s"], r["end_s"]) for r in candidates(700, 8.0).collect()]
+    want = {}
+    for v in candidates(500, 3.0).collect():
+        near = [o for o, a, b in t if v["start_s"] <= b + 2 and a <= v["end_s"] + 2]
+        if near:
+            want[v["ord"]] = min(near)
+    assert {r["v_ord"]: r["home"] for r in homes.collect()} == want and len(want) > 400
+
+
 def test_slices_and_salts(spark):
     df = spark.range(1000).select(F.when(F.col("id") < 600, F.lit(0)).otherwise(F.col("id")).alias("k"), F.col("id").alias("i"))
     sliced = scan.slice_hot_keys(df, ["k"], ["i"], rows=100)
