@@ -1054,6 +1054,16 @@ def sample_request(spark, d):
     return out.select("request_id", "reason", F.size("normalized").alias("n"), F.aggregate("normalized", F.lit(0).cast("long"), lambda a, t: a + F.round(t * 1000).cast("long")).alias("sum_ms"))
 
 
+@query
+def screening_request(spark, d):
+    """The four frames by which a source is screened, as a sample request; sources that are too short are refused."""
+    duration = F.when(F.col("doc_id") % 20 == 3, (F.col("n_chars") % 3) / 20).otherwise(F.col("n_chars") / 9)
+    reqs = A.table(spark, d, "documents").select(F.col("doc_id").alias("request_id"), duration.alias("duration"), S.screening_times(duration).alias("times"))
+    out = S.validate_samples(reqs)
+    at = lambda i: F.get("normalized", i)
+    return out.select("request_id", "reason", at(1).alias("second_s"), at(2).alias("third_s"), at(3).alias("last_s"))
+
+
 @query
 def even_downsample(spark, d):
     return S.even_downsample(_frames(spark, d), 25)

@@ -890,6 +890,14 @@ ORACLES: dict[str, str] = {
             CASE WHEN count(*) > 60 THEN 'count' WHEN bool_or(t < 0 OR t > 7200) THEN 'invalid_time' WHEN count(DISTINCT round(t * 1000)) < count(*) THEN 'duplicate_time'
                  WHEN bool_or(t >= d OR round(t * 1000) / 1000 >= d) THEN 'past_end' END AS reason
           FROM (SELECT doc_id, n_chars / 9 AS d, length(unnest(string_split(text, chr(10)))) / 7 - 1 AS t FROM documents) GROUP BY 1)""",
+    "screening_request": """
+        SELECT request_id, reason, CASE WHEN reason IS NULL THEN t[2] END AS second_s, CASE WHEN reason IS NULL THEN t[3] END AS third_s, CASE WHEN reason IS NULL THEN t[4] END AS last_s
+        FROM (SELECT *, CASE WHEN list_bool_or(list_transform(raw, lambda z: z > 7200)) THEN 'invalid_time' WHEN len(list_distinct(t)) < 4 THEN 'duplicate_time'
+                WHEN list_bool_or(list_transform(t, lambda z: z >= d)) OR list_bool_or(list_transform(raw, lambda z: z >= d)) THEN 'past_end' END AS reason
+          FROM (SELECT *, list_transform(raw, lambda z: round(z * 1000) / 1000) AS t FROM (
+            SELECT request_id, d, [0e0, e / 3, e * 2 / 3, e] AS raw FROM (
+              SELECT doc_id AS request_id, d, greatest(0e0, d - 0.1::DOUBLE) AS e FROM (
+                SELECT doc_id, CASE WHEN doc_id % 20 = 3 THEN (n_chars % 3) / 20 ELSE n_chars / 9 END AS d FROM documents)))))""",
     "even_downsample": _sql(
         """SELECT project_id, time_s FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY time_s) - 1 AS o, count(*) OVER (PARTITION BY project_id) AS n FROM frame)
            WHERE n <= 25 OR list_contains(list_transform(range(0, 25), lambda i: i * (n - 1) // 24), o)"""
