@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 TERMINAL = ("completed", "failed", "interrupted", "cancelled")
 BROKEN = ("failed", "interrupted", "cancelled")
+#: Goals that a workflow may have; their places are 0 to 2.
+MAX_GOALS = 3
 
 
 def _flag(c: Column) -> Column:
@@ -213,14 +215,16 @@ def goal_failures(results: DataFrame) -> DataFrame:
     A workflow has at most three distinct goals, so the ordered list per workflow is tiny.
     """
     failed = F.col("status") == "failed"
+    known = F.col("ord").between(0, MAX_GOALS - 1)
     text = F.concat(F.col("goal"), F.lit(": "), F.coalesce("error", F.lit("")))
     listed = results.groupBy("workflow_id").agg(
-        F.array_sort(F.collect_set(F.when(failed, F.struct(F.col("ord"), text.alias("x"))))).alias("xs")
+        F.array_sort(F.collect_set(F.when(failed & known, F.struct(F.col("ord"), text.alias("x"))))).alias("xs"),
+        F.bool_or(~known).alias("more"),
     )
     return listed.select(
         "workflow_id",
-        F.when(F.size("xs") > 0, F.lit("failed")).otherwise(F.lit("completed")).alias("status"),
-        F.array_join(F.col("xs.x"), "; ").alias("message"),
+        F.when(F.col("more"), F.lit("invalid")).when(F.size("xs") > 0, F.lit("failed")).otherwise(F.lit("completed")).alias("status"),
+        F.when(F.col("more"), F.lit("too_many_goals")).otherwise(F.array_join(F.col("xs.x"), "; ")).alias("message"),
     )
 
 

@@ -195,16 +195,20 @@ def fold_task_log(log: DataFrame) -> DataFrame:
 
 
 VERSION = "reelspark-1"
+#: Stages of a run that are chained.
+MAX_STAGES = 256
 
 
 def checkpoint_lineage(stages: DataFrame, saved: DataFrame, version: str = VERSION) -> DataFrame:
     """Digest chain of each run, and whether each saved checkpoint is still valid.
 
     ``stages``: run_id, n (0-based), stage, input, data; ``saved``: run_id, stage, version, input_hash, previous,
-    data_hash.  A run has a fixed short list of stages (one row each), folded per run in the JVM.
+    data_hash.  A run has a short list of stages (one row each), folded per run in the JVM; a stage at place ``MAX_STAGES`` or
+    later is never gathered and comes back as ``too_many_stages``.
     """
     hex_digest = lambda c: F.sha2(c, 256)
-    runs = stages.groupBy("run_id").agg(
+    listed = F.col("n") < MAX_STAGES
+    runs = stages.where(listed).groupBy("run_id").agg(
         F.array_sort(
             F.collect_list(
                 F.struct("n", "stage", hex_digest(F.col("input")).alias("input_hash"), hex_digest(F.col("data")).alias("data_hash"))
@@ -235,4 +239,9 @@ def checkpoint_lineage(stages: DataFrame, saved: DataFrame, version: str = VERSI
         (F.col("s_previous") != F.col("previous"), "previous"),
         (F.col("s_data") != F.col("data_hash"), "data"),
     )
-    return joined.select("run_id", "stage", "input_hash", "previous", "data_hash", reason.alias("stale_reason"))
+    checked = joined.select("run_id", "stage", "input_hash", "previous", "data_hash", reason.alias("stale_reason"))
+    rest = stages.where(~listed).select(
+        "run_id", "stage", hex_digest(F.col("input")).alias("input_hash"), F.lit(None).cast("string").alias("previous"),
+        hex_digest(F.col("data")).alias("data_hash"), F.lit("too_many_stages").alias("stale_reason"),
+    )
+    return checked.unionByName(rest)

@@ -501,3 +501,12 @@ def test_a_stored_timeline_is_checked(spark):
     profile = spark.createDataFrame([(p, 15.0, 30.0, 18.0 if p == 12 else 60.0) for p in range(14)], "project_id long, min_s double, max_s double, hard_max_s double")
     got = {r["project_id"]: r["reason"] for r in TL.check_timeline(spark.createDataFrame(rows, schema), report, cues, profile).collect()}
     assert got == {0: None, 1: "id", 2: "label", 3: "bounds", 4: "overlap", 5: "too_short", 6: "evidence", 7: "kind", 8: "kind", 9: "too_short", 10: "count", 11: "over_tier", 12: "too_long", 13: "empty"}
+
+
+def test_lists_that_are_gathered_have_a_bound(spark):
+    goals = spark.createDataFrame([(1, i, "g", "failed", f"e{i}") for i in range(5)] + [(2, 0, "g", "failed", "e")], "workflow_id long, ord int, goal string, status string, error string")
+    assert {r["workflow_id"]: (r["status"], r["message"]) for r in R.goal_failures(goals).collect()} == {1: ("invalid", "too_many_goals"), 2: ("failed", "g: e")}
+    stages = spark.range(K.MAX_STAGES + 3).select(F.lit(1).alias("run_id"), F.col("id").cast("int").alias("n"), F.concat(F.lit("s"), "id").alias("stage"), F.lit("i").alias("input"), F.lit("d").alias("data"))
+    saved = spark.createDataFrame([], "run_id int, stage string, version string, input_hash string, previous string, data_hash string")
+    got = K.checkpoint_lineage(stages, saved).groupBy("stale_reason").count().collect()
+    assert {r["stale_reason"]: r["count"] for r in got} == {"absent": K.MAX_STAGES, "too_many_stages": 3}
