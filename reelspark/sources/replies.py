@@ -282,14 +282,14 @@ def build_prompts(
 def resolve_prompts(requests: DataFrame, templates: DataFrame) -> DataFrame:
     """Category template of a stage, else the shared one (``category`` = '').
 
-    ``templates`` is ``category, stage, template`` with one row per pair.  No hint is given: the
-    optimizer broadcasts it by its measured size.
+    ``templates`` is ``category, stage, template`` with one row per pair, written by hand, hence broadcast: by the few
+    stages there are, requests with their whole inputs would meet in as few tasks.
     """
     own = templates.where(F.col("category") != "").withColumnRenamed("template", "__own")
     shared = templates.where(F.col("category") == "").select("stage", F.col("template").alias("__shared"))
     return (
-        requests.join(own, ["category", "stage"], "left")
-        .join(shared, "stage", "left")
+        requests.join(F.broadcast(own), ["category", "stage"], "left")
+        .join(F.broadcast(shared), "stage", "left")
         .withColumn("template", F.coalesce("__own", "__shared"))
         .drop("__own", "__shared")
     )

@@ -163,3 +163,10 @@ def test_materialize_keeps_rows_and_schema(spark):
     df = spark.range(10).withColumn("x", F.array(F.col("id")))
     stored = materialize(df, "t")
     assert stored.columns == df.columns and sorted(map(tuple, stored.select("id").collect())) == sorted(map(tuple, df.select("id").collect()))
+
+
+def test_prompts_move_no_inputs(spark, data_dir):
+    """Requests that share one of the few stages are not brought together in a task."""
+    for name in ("prompt_table", "prompt_resolve"):
+        text = plan(QUERIES[name](spark, data_dir))
+        assert "SortMergeJoin" not in text and "hashpartitioning" not in text
