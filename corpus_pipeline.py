@@ -22,7 +22,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of texts with a Jaccard similarity of 0.8 or more (five words) the one with the smallest id stays."""
+    """Of every group of texts with a Jaccard similarity of 0.8 or more (five words) the one with the smallest id stays.
+
+    SimHash fingerprints by Golay-code keys, as in ``op2_simhash_near_dedup``, name the first candidates.
+    """
     return near_texts.first_of_each(docs)
 
 

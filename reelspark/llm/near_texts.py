@@ -1,15 +1,19 @@
-"""Near copies of whole texts: MinHash bands name candidates, the Jaccard similarity of their shingles decides.
+"""Near copies of whole texts: SimHash by Golay-code keys, MinHash bands for the rest, Jaccard similarity decides.
 
 A text is the set of its shingles of ``width`` words (A-Z lower-cased; a shorter text is one shingle of all its words).
 Two texts are near copies if their sets have a Jaccard similarity of at least ``least``.
 
-* Candidates: ``BANDS`` keys, each of ``ROWS`` minima of the set under as many hash functions.  Two sets of similarity s
-  share a key with probability 1 - (1 - s ** ROWS) ** BANDS: 0.99994 at 0.8, more above.
+* First candidates: the SimHash of a set (64 bits, each set if it is in over half of the set's hashes).  Fingerprints at
+  ``BITS`` or fewer differing bits meet through the Golay-code keys of ``simhash.near_links``.
+* A similarity of 0.8 allows many more differing bits (10 on average), so texts that are still apart go on to ``BANDS`` MinHash keys,
+  each of ``ROWS`` minima of the set under as many hash functions.  Two sets of similarity s share a key with probability
+  1 - (1 - s ** ROWS) ** BANDS: 0.99994 at 0.8, more above.
 * Decision: the sets of a candidate pair are compared as a whole, shingle by shingle (64-bit hashes).  Nothing is
   removed for a shared key or a fingerprint.
-* Equal sets collapse to one node first, and their sizes must allow the similarity before texts move.  A text is compared to
-  the smallest one that any of its buckets holds (of texts that share a passage, the one with the least beside it); then,
-  where they are still apart, to the smallest and the largest of each of its buckets.  What is still apart then is decided by prefixes (``_prefix_pairs``), not by all pairs of a bucket.
+* Equal sets collapse to one node first, and their sizes must allow the similarity before texts move.  A text that is still apart
+  from it is compared to the smallest one that any of its buckets holds (of texts that share a passage, the one with the least
+  beside it); then to the smallest and the largest of each of its buckets.  What is still apart then is decided by prefixes
+  (``_prefix_pairs``), not by all pairs of a bucket.
 
 Defined results: null and empty texts have one empty shingle, so they are copies of each other; rows without doc_id are
 compared like any other; an empty table gives an empty result; other columns are kept.
@@ -28,6 +32,10 @@ from pyspark.sql import functions as F
 
 from reelspark.llm.components import components
 from reelspark.llm.rows import map_slices, raw_texts, stored
+from reelspark.llm.simhash import majority_bits, near_links
+
+#: Bits in which fingerprints that make a candidate pair may differ (what the Golay-code keys find).
+BITS = 3
 
 #: Minima that make a key, and keys of a text.
 ROWS, BANDS = 6, 32
@@ -85,7 +93,7 @@ def _placed(documents: DataFrame) -> DataFrame:
 
 
 def _prints(documents: DataFrame, width: int) -> DataFrame:
-    """doc, tie, node (hash of the set of shingles), size and keys of each document."""
+    """doc, tie, node (hash of the set of shingles), size, fp (SimHash of the set) and keys of each document."""
 
     def rows(batch: pa.RecordBatch) -> dict:
         sets = [shingles(t, width) for t in raw_texts(batch.column(2))]
@@ -94,12 +102,13 @@ def _prints(documents: DataFrame, width: int) -> DataFrame:
             "tie": batch.column(1),
             "node": np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64),
             "size": [len(s) for s in sets],
+            "fp": [majority_bits(s) for s in sets],
             "keys": [band_keys(s) for s in sets],
         }
 
     return map_slices(
         _placed(documents.select("doc_id", "text")).select("doc", "tie", "text"),
-        "doc bigint, tie bigint, node bigint, size bigint, keys array<bigint>",
+        "doc bigint, tie bigint, node bigint, size bigint, fp bigint, keys array<bigint>",
         rows,
     )
 
@@ -125,8 +134,18 @@ def _similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Da
     )
 
 
+def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (node, other) of nodes (node, fp) that join all whose fingerprints differ in at most ``BITS`` bits."""
+    first = stored(nodes.groupBy("fp").agg(F.min("node").alias("node")), "near-fingerprints")
+    equal = nodes.select("node", "fp").join(first.select("fp", F.col("node").alias("other")), "fp")
+    return equal.where("node <> other").select("node", "other").union(
+        near_links(first, BITS).select(F.col("b").alias("node"), F.col("a").alias("other"))
+    )
+
+
 def _links(nodes: DataFrame, documents: DataFrame, width: int, least_similarity: float) -> DataFrame:
-    """Links (a, b) that join all nodes (node, size, keys, at) that are near copies; not all pairs."""
+    """Links (a, b) that join all nodes (node, size, fp, keys, at) that are near copies; not all pairs."""
+    alike = stored(_fingerprint_pairs(nodes), "near-alike")
     keyed = nodes.select("node", "size", F.posexplode("keys").alias("band", "key"))
     me = F.struct("size", "node")
     ends = (
@@ -136,7 +155,8 @@ def _links(nodes: DataFrame, documents: DataFrame, width: int, least_similarity:
         .select("band", "key", F.col("h.node").alias("head"), F.col("h.size").alias("head_size"), F.col("t.node").alias("tail"))
     )
     shared = stored(keyed.join(ends, ["band", "key"]), "near-buckets")
-    met = nodes.join(shared.select("node").distinct(), "node").select("node", "at.*")
+    wanted = shared.select("node").union(alike.select("node")).union(alike.select("other")).distinct()
+    met = nodes.join(wanted, "node").select("node", "at.*")
     texts = stored(
         _placed(documents)
         .select("doc", "tie", "text")
@@ -175,14 +195,20 @@ def _links(nodes: DataFrame, documents: DataFrame, width: int, least_similarity:
             .distinct()
         )
 
-    # The smallest set that a text meets in any of its buckets first: one pair for each text, also in a very large group.
+    links = stored(
+        _similar(sized(alike.join(nodes.select("node", "size"), "node")), texts, width, least_similarity), "near-links"
+    )
+    # The smallest set that a text meets in any of its buckets next: one pair for each text, also in a very large group.
+    parts = placed(links)
     hubs = (
-        shared.where("head <> node")
-        .groupBy("node", "size")
+        parts.where("head <> node")
+        .groupBy("node", "size", "part")
         .agg(F.min(F.struct("head_size", "head")).alias("hub"))
-        .select("node", "size", F.col("hub.head").alias("other"))
+        .select("node", "size", "part", F.col("hub.head").alias("other"))
     )
-    links = stored(_similar(sized(hubs), texts, width, least_similarity), "near-links")
+    own = parts.where("node = head").select(F.col("node").alias("other"), F.col("part").alias("other_part")).distinct()
+    far = hubs.join(own, "other").where("part <> other_part").select("node", "size", "other")
+    links = stored(links.union(_similar(sized(far), texts, width, least_similarity)), "near-links")
     for end in ("head", "tail"):
         parts = placed(links)
         links = stored(
@@ -257,7 +283,7 @@ def first_of_each(documents: DataFrame, width: int = 5, least: float = 0.8) -> D
     prints = stored(_prints(documents, width), "near-prints")
     nodes = stored(
         prints.groupBy("node").agg(
-            F.min(F.struct("doc", "tie")).alias("at"), F.first("size").alias("size"), F.first("keys").alias("keys")
+            F.min(F.struct("doc", "tie")).alias("at"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys")
         ),
         "near-nodes",
     )

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from reelspark.llm import near_texts
 
 
@@ -70,3 +71,22 @@ def test_a_document_is_its_id_and_its_text(spark):
     assert left.columns == docs.columns
     got = sorted(((r.doc_id, r.text) for r in left.collect()), key=repr)
     assert got == sorted([(1, texts["t"]), (2, texts["u"]), (3, texts["v"]), (None, texts["w"]), (4, None)], key=repr)
+
+
+def test_golay_keys_of_fingerprints_link_near_copies_without_bands(spark):
+    rows = edited_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    prints = near_texts.stored(near_texts._prints(docs, 5), "test-prints")
+    first = [F.first(c).alias(c) for c in ("size", "fp")]
+    nodes = prints.groupBy("node").agg(F.min(F.struct("doc", "tie")).alias("at"), *first)
+    nodes = near_texts.stored(nodes.withColumn("keys", F.array().cast("array<bigint>")), "test-nodes")
+    held = {r.node: (r.fp, plain_shingles(dict(rows)[r["at"].doc])) for r in nodes.collect()}
+
+    def close(a, b):
+        (x, s), (y, t) = held[a], held[b]
+        return ((x ^ y) & (1 << 64) - 1).bit_count() <= 3 and len(s & t) >= 0.8 * len(s | t)
+
+    want = {frozenset((a, b)) for a in held for b in held if a < b and close(a, b)}
+    links = {frozenset((r.a, r.b)) for r in near_texts._links(nodes, docs, 5, 0.8).collect()}
+    assert want and links <= want
+    assert set().union(*links) == set().union(*want)
