@@ -7,7 +7,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 from reelspark.llm import packing
-from reelspark.llm.vocabulary import public_path, word_encoder
+from reelspark.llm.vocabulary import _WordIds, public_path, word_encoder
 
 WORDS = public_path("word_bpe_49k.json")
 
@@ -44,6 +44,19 @@ def test_words_in_turn_equal_whole_texts():
         assert np.frombuffer(encode(text.encode()), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_words_share_the_ids_of_their_parts():
+    whole, known = Tokenizer.from_file(WORDS), _WordIds(WORDS)
+    words = "Thorat thorat, THORAT*** Ähnlich ähnlich. ähnlich&&& Ærø's ÿÞßÀ À´b ×÷ a×b «é» µª² d'été 3é4 e\u0301 ﬁé Āé é<|endoftext|>".split()
+    for word in words:
+        assert np.frombuffer(known[word.encode()], "<u4").tolist() == whole.encode(word, add_special_tokens=False).ids, word
+    parts = set(known.parts)
+    assert {"thorat", ",", "***", "ähnlich", ".", "&&&", "ærø", "'s"} <= parts
+    assert not {"Thorat", "thorat,", "Ähnlich", "ähnlich."} & parts
+    letters = [chr(c) for c in range(0xC0, 0x100)]
+    for word in (*letters, "".join(letters), *(c + "x1" for c in letters)):
+        assert np.frombuffer(known[word.encode()], "<u4").tolist() == whole.encode(word, add_special_tokens=False).ids, word
+
+
 def test_binary_pieces():
     assert packing.binary_pieces(1, 4096) == [1]
     assert packing.binary_pieces(4096 * 2 + 5, 4096) == [4096, 4096, 4, 1]
