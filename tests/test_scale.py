@@ -11,7 +11,7 @@ from reelspark.functions import scan
 from reelspark.operators import fusion as FU
 from reelspark.operators import rollup as R
 from reelspark.operators import tasks as K
-from reelspark.plans.catalog import QUERIES
+from reelspark.plans.catalog import QUERIES, _marks
 from reelspark.session import materialize
 
 
@@ -170,3 +170,13 @@ def test_prompts_move_no_inputs(spark, data_dir):
     for name in ("prompt_table", "prompt_resolve"):
         text = plan(QUERIES[name](spark, data_dir))
         assert "SortMergeJoin" not in text and "hashpartitioning" not in text
+
+
+def test_marks_are_made_where_cues_are_read(spark):
+    """Forty rows of every project come from the tasks that read the cues, not from the few that a distinct leaves."""
+    cues = materialize(
+        spark.createDataFrame([(p, i) for p in (3, 8, 9) for i in range(p)], "project_id long, cue_idx int"), "cues"
+    )
+    marks = _marks(cues)
+    assert "Exchange" not in plan(marks)
+    assert sorted(map(tuple, marks.select("project_id", "id").collect())) == sorted((p, f"text-{n}") for p in (3, 8, 9) for n in range(1, 41))
