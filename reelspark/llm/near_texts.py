@@ -178,8 +178,7 @@ def _links(nodes: DataFrame, documents: DataFrame, width: int, least_similarity:
             .select(F.col("other").alias("a"), F.col("node").alias("b"))
         )
 
-    def placed(links: DataFrame) -> DataFrame:
-        group = components(links)
+    def placed(group: DataFrame) -> DataFrame:
         return stored(
             shared.join(group, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"),
             "near-placed",
@@ -195,11 +194,18 @@ def _links(nodes: DataFrame, documents: DataFrame, width: int, least_similarity:
             .distinct()
         )
 
-    links = stored(
-        _similar(sized(alike.join(nodes.select("node", "size"), "node")), texts, width, least_similarity), "near-links"
+    def also(group: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The groups with those of the pairs that are near copies; what is joined already comes as stars, not link by link."""
+        return components(stars(group).union(_similar(pairs, texts, width, least_similarity)))
+
+    def stars(group: DataFrame) -> DataFrame:
+        return group.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+
+    group = components(
+        _similar(sized(alike.join(nodes.select("node", "size"), "node")), texts, width, least_similarity)
     )
     # The smallest set that a text meets in any of its buckets next: one pair for each text, also in a very large group.
-    parts = placed(links)
+    parts = placed(group)
     hubs = (
         parts.where("head <> node")
         .groupBy("node", "size", "part")
@@ -208,17 +214,14 @@ def _links(nodes: DataFrame, documents: DataFrame, width: int, least_similarity:
     )
     own = parts.where("node = head").select(F.col("node").alias("other"), F.col("part").alias("other_part")).distinct()
     far = hubs.join(own, "other").where("part <> other_part").select("node", "size", "other")
-    links = stored(links.union(_similar(sized(far), texts, width, least_similarity)), "near-links")
+    group = also(group, sized(far))
     for end in ("head", "tail"):
-        parts = placed(links)
-        links = stored(
-            links.union(_similar(sized(apart_from(parts, end)), texts, width, least_similarity)), "near-links"
-        )
-    parts = placed(links)
+        group = also(group, sized(apart_from(placed(group), end)))
+    parts = placed(group)
     mixed = parts.groupBy("band", "key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q")
     apart = parts.join(mixed.select("band", "key"), ["band", "key"], "left_semi").select("node", "part", "size").distinct()
     left = _prefix_pairs(stored(apart, "near-apart"), texts, width, least_similarity)
-    return links.union(_similar(left, texts, width, least_similarity))
+    return stars(group).union(_similar(left, texts, width, least_similarity))
 
 
 def _prefix_pairs(apart: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:

@@ -3,7 +3,8 @@
 Inputs of a score are the words of the whole text (hashed), statistics of its structure and the stored length n_chars;
 labels, language, source and doc_id never are.  The pairwise term is computed in linear time as
 half of (sum of v x)^2 - sum of (v x)^2 per factor.  Training takes a bounded sample of the labelled rows (``sample``
-rows, chosen by a hash of doc_id) on the driver; the model has a fixed size.  Scoring reads every document.
+rows, chosen by a hash of doc_id): their features are made in many tasks and meet in one, so that the driver gets the model only,
+which has a fixed size.  Scoring reads every document.
 
 Defined results: null and empty texts are scored from their statistics alone; a null n_chars counts as missing, a feature
 of its own; labels that disagree for one doc_id are averaged and rounded; null labels are ignored; with labels of one
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.llm.rows import edit_slices, map_slices, raw_texts
+from reelspark.llm.rows import begin, edit_slices, end, map_slices, raw_texts
 
 #: Statistics of structure and metadata, in the order of ``_statistics``.
 STATISTICS = (
@@ -167,8 +169,11 @@ def fit(rows: list, buckets: int, rank: int = 8, epochs: int = 12, rate: float =
 
 
 def train(labelled: DataFrame, buckets: int = 1 << 16, rank: int = 8) -> Model:
-    """Model of labelled documents (doc_id, text, n_chars, label), all of which are used: pass a bounded sample."""
-    # Arrays travel as bytes: as lists of Python numbers they would take many times the driver's memory.
+    """Model of labelled documents (doc_id, text, n_chars, label), all of which are used: pass a bounded sample.
+
+    It is fitted in one task, to which the rows come in the order of their places.
+    """
+    # Arrays travel as bytes: as lists of Python numbers they would take many times the memory.
     schema = "index binary, value binary, stats binary, label double"
 
     def rows(batch: pa.RecordBatch) -> dict:
@@ -182,11 +187,24 @@ def train(labelled: DataFrame, buckets: int = 1 << 16, rank: int = 8) -> Model:
             "label": batch.column(3),
         }
 
-    return fit(
-        map_slices(labelled.select("doc_id", "text", "n_chars", F.col("label").cast("double")), schema, rows).collect(),
-        buckets,
-        rank,
-    )
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(learn)
+        found = list(batches)
+        if found:
+            rows = pa.Table.from_batches(found).sort_by("place").drop_columns("place").to_pylist()
+            model = fit(rows, buckets, rank)
+            arrays = {n: [getattr(model, n).tobytes()] for n in ("linear", "factors", "mean", "scale")}
+            yield pa.RecordBatch.from_pydict({"bias": [float(model.bias)], **arrays})
+        end()
+
+    columns = labelled.select("doc_id", "text", "n_chars", F.col("label").cast("double"))
+    features = map_slices(columns, schema, rows).withColumn("place", F.monotonically_increasing_id())
+    made = "bias double, linear binary, factors binary, mean binary, scale binary"
+    found = features.repartition(1).mapInArrow(learn, made).collect()
+    if not found:
+        return fit([], buckets, rank)
+    linear, factors, mean, scale = (np.frombuffer(found[0][n]) for n in ("linear", "factors", "mean", "scale"))
+    return Model(found[0].bias, linear, factors.reshape(-1, rank), mean, scale)
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, usable: Column, sample: int) -> DataFrame:

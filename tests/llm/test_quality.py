@@ -28,6 +28,18 @@ def test_classifier_on_rows_it_never_saw(tables):
     assert np.mean([r.predicted == 1 for r in held if r.quality == 1]) > 0.97
 
 
+def test_the_driver_gets_the_model_only(tables, monkeypatch):
+    documents, labels = tables
+    frame, got = type(documents), []
+    monkeypatch.setattr(frame, "collect", lambda self, f=frame.collect: got.append(f(self)) or got[-1])
+    sample = quality_model.labelled_sample(documents, labels, "quality", F.lit(True), 400)
+    model = quality_model.train(sample, 1 << 10)
+    assert sample.count() > 100
+    assert [len(rows) for rows in got] == [1]
+    assert model.factors.shape == ((1 << 10) + len(quality_model.STATISTICS), 8) and model.linear.any()
+    assert len(model.linear) == len(model.factors) and len(model.mean) == len(model.scale) == len(quality_model.STATISTICS)
+
+
 def test_sum_of_squares_identity():
     r = np.random.default_rng(1)
     k = 6 + len(quality_model.STATISTICS)
