@@ -21,7 +21,7 @@ compared like any other; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, reduce
 from itertools import count
 
 import numpy as np
@@ -196,14 +196,15 @@ def _links(nodes: DataFrame, documents: DataFrame, width: int, least_similarity:
 
     def also(group: DataFrame, pairs: DataFrame) -> DataFrame:
         """The groups with those of the pairs that are near copies; what is joined already comes as stars, not link by link."""
-        return components(stars(group).union(_similar(pairs, texts, width, least_similarity)))
+        links.append(stored(_similar(pairs, texts, width, least_similarity), "near-links"))
+        return components(stars(group).union(links[-1]))
 
     def stars(group: DataFrame) -> DataFrame:
         return group.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
 
-    group = components(
-        _similar(sized(alike.join(nodes.select("node", "size"), "node")), texts, width, least_similarity)
-    )
+    first = sized(alike.join(nodes.select("node", "size"), "node"))
+    links = [stored(_similar(first, texts, width, least_similarity), "near-links")]
+    group = components(links[0])
     # The smallest set that a text meets in any of its buckets next: one pair for each text, also in a very large group.
     parts = placed(group)
     hubs = (
@@ -221,7 +222,7 @@ def _links(nodes: DataFrame, documents: DataFrame, width: int, least_similarity:
     mixed = parts.groupBy("band", "key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q")
     apart = parts.join(mixed.select("band", "key"), ["band", "key"], "left_semi").select("node", "part", "size").distinct()
     left = _prefix_pairs(stored(apart, "near-apart"), texts, width, least_similarity)
-    return stars(group).union(_similar(left, texts, width, least_similarity))
+    return reduce(DataFrame.union, [*links, _similar(left, texts, width, least_similarity)])
 
 
 def _prefix_pairs(apart: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
