@@ -1,6 +1,7 @@
 """Plans and results under skew: one key with a third of all rows, no cross joins, bounded shuffles."""
 
 import io
+import tempfile
 from contextlib import redirect_stdout
 
 import pytest
@@ -12,7 +13,7 @@ from reelspark.operators import fusion as FU
 from reelspark.operators import rollup as R
 from reelspark.operators import tasks as K
 from reelspark.plans.catalog import QUERIES, _marks
-from reelspark.session import materialize
+from reelspark.session import keyed_session, materialize, materialize_by
 
 
 def plan(df):
@@ -180,3 +181,36 @@ def test_marks_are_made_where_cues_are_read(spark):
     marks = _marks(cues)
     assert "Exchange" not in plan(marks)
     assert sorted(map(tuple, marks.select("project_id", "id").collect())) == sorted((p, f"text-{n}") for p in (3, 8, 9) for n in range(1, 41))
+
+
+def test_tables_dealt_out_by_a_key_are_not_moved_again(spark):
+    rows = [(k, i % 5, f"t{i}") for i in range(60) for k in (i % 7, None)] * 2
+    own = keyed_session(spark)
+    own.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    stored = materialize_by(own.createDataFrame(rows, "k long, i int, t string"), "k", "dealt-out")
+    assert sorted(map(str, stored.collect())) == sorted(map(str, own.createDataFrame(rows, "k long, i int, t string").collect()))
+    assert not [t for t in own.catalog.listTables() if t.name.startswith("dealt_out")]
+    pairs = stored.groupBy("k", "i").agg(F.count("t").alias("n")).join(stored, ["k", "i"])
+    assert "hashpartitioning" not in plan(pairs)
+    want = spark.createDataFrame(rows, "k long, i int, t string")
+    want = want.groupBy("k", "i").agg(F.count("t").alias("n")).join(want, ["k", "i"])
+    assert sorted(map(str, pairs.collect())) == sorted(map(str, want.select(pairs.columns).collect()))
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
+def test_timelines_are_checked_where_their_cues_lie(spark):
+    """No table of the check is shuffled: neither texts nor evidence move once cues are stored."""
+    texts = [(p, "\n".join(f"line {n} of {p}" for n in range(13))) for p in range(1, 27)]
+    folder = f"{tempfile.mkdtemp(prefix='run-', dir='/tmp')}/tables"
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        checked = QUERIES["timeline_check"](spark, folder)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    text = plan(checked)
+    assert "SortMergeJoin" in text and "hashpartitioning" not in text
+    got = {r["project_id"]: r["reason"] for r in checked.collect()}
+    want = {1: "id", 2: "label", 3: "not_grounded", 4: "not_grounded", 5: "evidence", 6: "kind", 7: "kind", 8: "count", 9: "over_tier"}
+    assert len(got) == 26 and {p: r for p, r in got.items() if p < 10} == want
